@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from docspark.llm import decontaminate, exact_dedup
+from docspark.llm import decontaminate, exact_dedup, near_dedup, substring_dedup, suffix_dedup
 
 QUERIES = {
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
 }
 
 SQL = {
+    "op4_near_dedup": near_dedup.OP4_SQL,
+    "op10_substring_dedup": substring_dedup.OP10_SQL,
     "op5_decontamination": decontaminate.OP5_SQL,
     "op6_exact_dedup": exact_dedup.OP6_SQL,
 }
