@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docspark.llm.staging import stage, table
+from docspark.llm.staging import stage, table, without
 
 WIDTH = 5
 THRESHOLD = 80  # percent
@@ -87,8 +87,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_text: str = "text") -> DataFrame:
     """The documents that contain no item, with their own columns."""
-    drop = contaminated(docs, items, doc_id, doc_text).select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[doc_id] == F.col("__drop"), "left_anti")
+    return without(docs, contaminated(docs, items, doc_id, doc_text).select("doc_id"), doc_id)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

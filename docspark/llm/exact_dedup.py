@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.staging import stage, table
+from docspark.llm.staging import stage, table, without
 
 WHITE = " \t\n\x0b\f\r"
 
@@ -55,8 +55,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` that stay, with their own columns."""
-    drop = exact_groups(docs, id_col, text_col).where(~F.col("kept")).select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, docs[id_col] == F.col("__drop"), "left_anti")
+    return without(docs, exact_groups(docs, id_col, text_col).where(~F.col("kept")).select("doc_id"), id_col)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

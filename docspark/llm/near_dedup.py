@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from docspark.llm.bytewise import mix64, pieces, seeded
 from docspark.llm.components import components
 from docspark.llm.sieve import sieve, thin
-from docspark.llm.staging import stage, table
+from docspark.llm.staging import stage, table, without
 
 BANDS, ROWS = 40, 3  # rows are permutations: two values each
 THRESHOLD = 80  # percent
@@ -170,8 +170,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group stays, with its own columns."""
-    drop = near_duplicates(docs, id_col, text_col, width, threshold).where(~F.col("kept")).select(F.col("doc_id").alias("__drop"))
-    return docs.join(drop, docs[id_col] == F.col("__drop"), "left_anti")
+    return without(docs, near_duplicates(docs, id_col, text_col, width, threshold).where(~F.col("kept")).select("doc_id"), id_col)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,5 +37,17 @@ def drop_stage(df: DataFrame) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def without(docs: DataFrame, drop: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` whose id is not in the one column of `drop`; null ids stay. The ids are staged and counted: up
+    to BROADCAST_ROWS go to every executor, more are joined by a shuffle."""
+    ids = stage(drop.toDF("__drop").distinct())
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs[id_col] == F.col("__drop"), "left_anti")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
