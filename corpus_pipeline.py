@@ -4,21 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docspark.llm import decontaminate, exact_dedup
+from docspark.llm import decontaminate, exact_dedup, near_dedup, packing, toxicity
 from docspark.llm.staging import stage, table
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def clean_speech(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents not predicted toxic."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     return exact_dedup.drop_exact_copies(docs)
 
 
-def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by a similarity of 0.8 on shingles of five words."""
+    return near_dedup.drop_near_copies(docs)
+
+
+def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("exact dedup", exact), ("benchmark decontamination", leaks)]
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the kept documents, placed in sequences of 4096 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("toxicity", clean_speech),
+    ("exact dedup", no_copies),
+    ("near dedup", no_near_copies),
+    ("decontamination", no_leaks),
+    ("packing", packed),
+]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # toxicity is learned and packing is not unique
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
