@@ -5,9 +5,12 @@ evaluations; minimum and maximum agree for two sets with the probability of thei
 values find pairs of similarity 0.8 with probability 1 - (1 - 0.8^6)^40, over 0.999994.
 
 Documents with equal sets are one class and go on as their smallest id. In a bucket, members are compared with one
-representative; components follow, and only pairs that are still in different components are compared further, so a
-group of copies costs its size and not its square, while every candidate pair ends up linked, joined through others,
-or measured. All links are confirmed on the full sets.
+representative, then with another; components follow, and only pairs that are still in different components are left.
+Of these, a pair is compared unless it provably can't be similar: its sizes differ too much, or the intersection would
+be too small even if it held every shingle that more than RARE of the documents left have (those that few have are
+counted, pair by pair). So a group of copies costs its size and not its square, while
+every candidate pair ends up linked, joined through others, measured or ruled out. All links are confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -24,7 +27,8 @@ from docspark.llm.staging import stage, table, without
 
 BANDS, ROWS = 40, 3  # rows are permutations: two values each
 THRESHOLD = 80  # percent
-STAR_ROUNDS = 4
+RARE = 8  # documents at most
+STARS = (("lo", "min"), ("hi", "max"))  # whose component gives the representative, and which member
 
 
 def _shingles(piece, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,10 +103,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, packed binary")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> DataFrame:
+def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Those of `pairs` (u, v) whose full sets are similar enough."""
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-    sets = stage(_sets(thin(docs, sieve(ids), "doc_id"), width).dropDuplicates(["id"]))
 
     def run(batches):
         for batch in batches:
@@ -119,6 +121,19 @@ def _confirm(pairs: DataFrame, docs: DataFrame, width: int, threshold: int) -> D
     return full.mapInArrow(run, "u long, v long")
 
 
+def _rare_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(shingle, doc_id): shingles that at most RARE of the documents in `ids` have."""
+
+    def run(batches):
+        for batch in batches:
+            for i, x in zip(batch["id"].to_pylist(), batch["packed"].to_pylist(), strict=True):
+                x = np.frombuffer(x, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int64)), pa.array(x)], names=["doc_id", "shingle"])
+
+    found = stage(sets.join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi").mapInArrow(run, "doc_id long, shingle long"))
+    return found.join(found.groupBy("shingle").count().where(F.col("count") <= RARE).select("shingle"), "shingle")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -135,29 +150,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keys = heads.select(F.explode("bands").alias("key"), "doc_id", "n")
     shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
     buckets = stage(keys.join(shared, "key"))
-    similar = F.col("n") * 100 >= F.col("m") * threshold
-    similar &= F.col("m") * 100 >= F.col("n") * threshold
+    sets = stage(_sets(thin(docs, sieve(buckets.select("doc_id").distinct()), "doc_id"), width))
+    similar = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
     pair = [F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")]
-
     tested, links, of = None, None, None
-    for turn in range(STAR_ROUNDS + 1):
-        if of is None:
-            members = buckets.withColumn("c", F.col("doc_id"))
+
+    def apart() -> DataFrame:
+        """Members of the buckets that hold more than one component, with their component c and the bucket's extremes."""
+        known = buckets.withColumn("c", F.col("doc_id"))
+        if of is not None:
+            known = buckets.join(of.select(F.col("u").alias("doc_id"), "component"), "doc_id", "left")
+            known = known.withColumn("c", F.coalesce("component", "doc_id")).drop("component")
+        return known.join(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi"), "key")
+
+    for component, member in (*STARS, (None, None)):
+        left = stage(apart())
+        if component:
+            best = left.where(F.col("c") == F.col(component)).groupBy("key").agg(getattr(F, member)(F.struct("doc_id", "n", "c")).alias("best"))
+            found = left.join(best, "key").select("doc_id", "n", "c", F.col("best.doc_id").alias("other"), F.col("best.n").alias("m"), F.col("best.c").alias("d")).where(similar)
         else:
-            members = buckets.join(of.select(F.col("u").alias("doc_id"), "component"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        mixed = members.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-        members = members.join(mixed, "key")
-        if turn < STAR_ROUNDS:  # the representative comes from the first component, then from the last, in turn
-            head = F.col("c") == F.col("lo" if turn % 2 == 0 else "hi")
-            best = members.where(head).groupBy("key").agg((F.min if turn < 2 else F.max)(F.struct("doc_id", "n", "c")).alias("best"))
-            found = members.join(best, "key").select("doc_id", "n", "c", F.col("best.doc_id").alias("other"), F.col("best.n").alias("m"), F.col("best.c").alias("d"))
-        else:  # whatever is still apart
-            found = members.join(members.select("key", F.col("doc_id").alias("other"), F.col("n").alias("m"), F.col("c").alias("d")), "key").where("doc_id < other")
-        pairs = found.where("c <> d").where(similar).select(*pair).distinct()
+            rare = stage(_rare_shingles(sets, left.select("doc_id").distinct()))
+            few = rare.groupBy("doc_id").agg(F.count("*").alias("few"))
+            left = left.join(few, "doc_id", "left").withColumn("e", F.col("n") - F.coalesce("few", F.lit(0)))
+            one = left.select("doc_id", "n", "c", "e")
+            two = one.toDF("other", "m", "d", "g")
+            enough = lambda shared: (F.least("e", "g") + shared) * (100 + threshold) >= (F.col("n") + F.col("m")) * threshold
+            known = (F.col("doc_id") < F.col("other")) & (F.col("c") != F.col("d")) & similar
+            right = left.select("key", "doc_id", "n", "c", "e").toDF("key", "other", "m", "d", "g")
+            common = left.select("key", *one.columns).alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & known & enough(F.lit(0))).drop("key")
+            sharing = rare.join(rare.toDF("shingle", "other"), "shingle").where("doc_id < other").groupBy("doc_id", "other").agg(F.count("*").alias("shared"))
+            sharing = sharing.join(one.distinct(), "doc_id").join(two.distinct(), "other").where(known & enough(F.col("shared")))
+            found = common.select("doc_id", "other", "c", "d").unionByName(sharing.select("doc_id", "other", "c", "d"))
+        pairs = found.where("c <> d").select(*pair).distinct()
         pairs = stage(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
         if pairs.isEmpty():
             continue
-        confirmed = stage(_confirm(pairs, docs, width, threshold))
+        confirmed = stage(_confirm(pairs, sets, threshold))
         tested = pairs if tested is None else tested.unionByName(pairs)
         links = confirmed if links is None else links.unionByName(confirmed)
         of = stage(components(links))

@@ -22,7 +22,8 @@ from docspark.llm.sieve import sieve, thin
 from docspark.llm.staging import stage, table
 
 WINDOW, GRAM = 50, 4
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = {"word": 4 << 20, "byte": 512 << 10}  # handled at once: memory follows the units in it
+CUT_BYTES = {"word": 2 << 20, "byte": 1 << 20}
 _STEP = 0xD6E8FEB86659FD93
 _EXACT = seeded(9, 256)
 
@@ -97,7 +98,7 @@ def cut(window: int, gram: int, unit: str = "word", only=None):
 
     def run(batches):
         for batch in batches:
-            for p in pieces(batch, "doc_id", "text"):
+            for p in pieces(batch, "doc_id", "text", CUT_BYTES[unit]):
                 begin, close, first, h, at, doc = _windows(p, window, unit)
                 if only:
                     can = only(batch, p, at, doc)
@@ -155,7 +156,7 @@ def _count(window: int, unit: str):
                 continue
             held.append(batch)
             size += batch.nbytes
-            if size < BLOCK_BYTES:
+            if size < BLOCK_BYTES[unit]:
                 continue
             t = pa.Table.from_batches(held)
             m = t["minimiser"].to_numpy()
