@@ -22,8 +22,8 @@ from docspark.llm.sieve import sieve, thin
 from docspark.llm.staging import stage, table
 
 WINDOW, GRAM = 50, 4
-BLOCK_BYTES = {"word": 4 << 20, "byte": 512 << 10}  # handled at once: memory follows the units in it
-CUT_BYTES = {"word": 2 << 20, "byte": 1 << 20}
+BLOCK_BYTES = {"word": 4 << 20, "byte": 256 << 10}  # handled at once: memory follows the units in it
+CUT_BYTES = {"word": 2 << 20, "byte": 512 << 10}
 _STEP = 0xD6E8FEB86659FD93
 _EXACT = seeded(9, 256)
 

@@ -29,7 +29,8 @@ WINDOW = 100
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs
 GRAM = 20
-BUCKET_SAMPLES = 6_000_000  # sorted at once
+BUCKET_SAMPLES = 3_000_000  # sorted at once
+PIECE = 1 << 20
 
 
 def _cover(piece, depth: int) -> np.ndarray:
@@ -57,7 +58,7 @@ def _samples(buckets: int, depth: int):
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            for p in pieces(batch, "doc_id", "text"):
+            for p in pieces(batch, "doc_id", "text", PIECE):
                 at = _cover(p, depth)
                 if not len(at):
                     continue
