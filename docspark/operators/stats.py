@@ -176,9 +176,9 @@ def language_transitions(old: DataFrame, new: DataFrame) -> DataFrame:
 def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Per label: precision, recall, F1 and support, with accuracy, macro and weighted F1 beside them; zero where undefined."""
     cells = df.groupBy(F.col(actual).alias("a"), F.col(predicted).alias("p")).agg(F.count("*").alias("n"))
-    zero = F.lit(0)
-    sides = cells.select(F.inline(F.array(F.struct(F.col("a").alias("label"), F.col("n").alias("support"), zero.alias("called"), F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0).alias("hit")), F.struct(F.col("p"), zero, F.col("n"), zero))))
-    per = sides.groupBy("label").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hit").alias("hit"))
+    asked = cells.groupBy(F.col("a").alias("label")).agg(F.sum("n").alias("support"), F.sum(F.when(F.col("a") == F.col("p"), F.col("n")).otherwise(0)).alias("hit"), F.lit(0).cast("long").alias("called"))
+    told = cells.groupBy(F.col("p").alias("label")).agg(F.lit(0).cast("long").alias("support"), F.lit(0).cast("long").alias("hit"), F.sum("n").alias("called"))
+    per = asked.unionByName(told).groupBy("label").agg(F.sum("support").alias("support"), F.sum("called").alias("called"), F.sum("hit").alias("hit"))
     part = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0))
     per = per.withColumns({"precision": part("hit", "called"), "recall": part("hit", "support"), "f1": F.coalesce(F.try_divide(F.col("hit") * 2.0, F.col("called") + F.col("support")), F.lit(0.0))})
     whole = per.agg((F.sum("hit") / F.sum("support")).alias("accuracy"), F.avg("f1").alias("macro_f1"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1"))

@@ -232,9 +232,9 @@ def d27(spark, sf):
     return stats.error_breakdown(view(spark, sf, "v_files_old"), view(spark, sf, "v_files_new"))
 
 
-@query("d29_cross_year", """SELECT agency, node_id, count(DISTINCT year) AS years FROM (SELECT agency, CAST(CAST(node_id AS INT) % 7 AS STRING) AS node_id, year FROM v_files_old) q GROUP BY 1, 2 HAVING count(DISTINCT year) > 1""")
+@query("d29_cross_year", """SELECT agency, node_id, count(DISTINCT year) AS years FROM (SELECT meta_language AS agency, CAST(CAST(node_id AS INT) % 7 AS STRING) AS node_id, year FROM v_files_old) q GROUP BY 1, 2 HAVING count(DISTINCT year) > 1""")
 def d29(spark, sf):
-    return stats.cross_year(view(spark, sf, "v_files_old").withColumn("node_id", (F.col("node_id").cast("int") % 7).cast("string")))
+    return stats.cross_year(view(spark, sf, "v_files_old").withColumns({"agency": F.col("meta_language"), "node_id": (F.col("node_id").cast("int") % 7).cast("string")}))
 
 
 @query("d28_report_variants", """SELECT variant, count(*) AS n FROM (SELECT CASE CAST(doc_id AS INT) % 4 WHEN 0 THEN 'Main Report' WHEN 1 THEN 'Report 2' WHEN 2 THEN 'Report 13' END AS variant FROM v_docs) q WHERE variant IS NOT NULL GROUP BY 1""")
