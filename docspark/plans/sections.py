@@ -1 +1,144 @@
-"""Registered queries."""
+"""Registered queries over tables of contents."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from docspark.operators import sections as se
+from docspark.plans.registry import query
+from docspark.plans.views import view
+
+
+def toc(spark, sf):
+    return view(spark, sf, "v_toc")
+
+
+LABELS = "CASE title WHEN 'Executive Summary' THEN 'executive_summary' WHEN 'Introduction' THEN 'introduction' WHEN 'Methodology' THEN 'methodology' WHEN 'Findings' THEN 'findings' WHEN 'Conclusions' THEN 'conclusions' WHEN 'Recommendations' THEN 'recommendations' WHEN 'Annex A' THEN 'annexes' WHEN 'Bibliography' THEN 'bibliography' WHEN 'Acronyms' THEN 'acronyms' WHEN 'Table of Contents' THEN 'front_matter' WHEN 'Theory of change' THEN 'context' ELSE 'other' END"
+PARENT = "CASE WHEN level > 1 THEN greatest(max(CASE WHEN level = 1 THEN idx END) OVER w, CASE WHEN level > 2 THEN max(CASE WHEN level = 2 THEN idx END) OVER w END) END"
+PARENTS = f"t AS (SELECT *, {LABELS} AS label, {PARENT} AS parent_idx FROM v_toc WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+
+
+@query("e07_parent_of", f"WITH {PARENTS} SELECT doc_id, idx, parent_idx FROM t")
+def e07(spark, sf):
+    return se.parent_of(toc(spark, sf), 4).select("doc_id", "idx", "parent_idx")
+
+
+_STRONG = ", ".join(map(repr, se.STRONG))
+_MAY = " OR ".join(f"(p.label = '{p}' AND t.label IN ({', '.join(map(repr, x))}))" for p, x in se.OVERRIDES.items())
+_RULE = f"CASE WHEN p.label IN ({_STRONG}) THEN CASE WHEN {_MAY} THEN t.label ELSE p.label END WHEN t.label = 'other' AND p.label IS NOT NULL THEN p.label ELSE t.label END"
+
+
+@query("e08_propagate_labels", f"""WITH {PARENTS}, l1 AS (SELECT doc_id, idx, label FROM t WHERE level = 1),
+l2 AS (SELECT t.doc_id, t.idx, {_RULE} AS label FROM t LEFT JOIN l1 p ON p.doc_id = t.doc_id AND p.idx = t.parent_idx WHERE level = 2), l12 AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)
+SELECT * FROM l12 UNION ALL SELECT t.doc_id, t.idx, {_RULE} AS label FROM t LEFT JOIN l12 p ON p.doc_id = t.doc_id AND p.idx = t.parent_idx WHERE level = 3""")
+def e08(spark, sf):
+    return se.propagate_labels(se.lock_labels(toc(spark, sf)))
+
+
+TOTAL = f"(SELECT *, {LABELS} AS label, CAST(doc_id AS INT) % 12 AS total_pages FROM v_toc)"
+
+
+def labelled(spark, sf):
+    return se.lock_labels(toc(spark, sf)).withColumn("total_pages", F.col("doc_id").cast("int") % 12)
+
+
+@query("e09_rule_short_doc", f"SELECT doc_id, idx, CASE WHEN total_pages BETWEEN 1 AND 3 THEN 'executive_summary' ELSE label END AS label FROM {TOTAL} q")
+def e09(spark, sf):
+    return se.rule_short_doc(labelled(spark, sf)).select("doc_id", "idx", "label")
+
+
+FRONT = f"(SELECT doc_id, idx, title, page, total_pages, CASE WHEN total_pages > 0 AND page > total_pages / 3 AND label = 'front_matter' THEN 'other' WHEN total_pages > 0 AND page <= total_pages / 3 AND title = 'Annex A' THEN 'front_matter' ELSE label END AS label FROM {TOTAL} q)"
+
+
+@query("e10_rule_front", f"SELECT doc_id, idx, label FROM {FRONT} f")
+def e10(spark, sf):
+    return se.rule_front(labelled(spark, sf)).select("doc_id", "idx", "label")
+
+
+def _annex(source):
+    before = ", ".join(map(repr, se.BEFORE_ANNEX))
+    return f"(SELECT *  REPLACE (CASE WHEN idx > start AND label IN ({before}) THEN 'annexes' ELSE label END AS label) FROM (SELECT *, min(CASE WHEN label = 'annexes' THEN idx END) OVER (PARTITION BY doc_id) AS start FROM (SELECT * REPLACE (CASE WHEN title = 'Annex A' AND label <> 'front_matter' THEN 'annexes' ELSE label END AS label) FROM {source} a) b) c)"
+
+
+def _unique(source):
+    return f"(SELECT doc_id, idx, CASE WHEN label = 'executive_summary' AND sum(s) OVER (PARTITION BY doc_id ORDER BY idx) > 1 THEN 'findings' ELSE label END AS label FROM (SELECT *, CASE WHEN label = 'executive_summary' AND coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY idx), '') <> 'executive_summary' THEN 1 ELSE 0 END AS s FROM {source} u) v)"
+
+
+@query("e13_rule_annex", f"SELECT doc_id, idx, label FROM {_annex(TOTAL)} z")
+def e13(spark, sf):
+    return se.rule_annex(labelled(spark, sf)).select("doc_id", "idx", "label")
+
+
+@query("e14_rule_exec_unique", f"SELECT doc_id, idx, label FROM {_unique(TOTAL)} z")
+def e14(spark, sf):
+    return se.rule_exec_unique(labelled(spark, sf)).select("doc_id", "idx", "label")
+
+
+@query("e15_sequence_rules", f"SELECT doc_id, idx, 'executive_summary' AS label FROM {TOTAL} q WHERE total_pages BETWEEN 1 AND 3 UNION ALL SELECT doc_id, idx, label FROM {_unique(_annex(FRONT))} z WHERE CAST(doc_id AS INT) % 12 NOT BETWEEN 1 AND 3")
+def e15(spark, sf):
+    return se.sequence_rules(labelled(spark, sf)).select("doc_id", "idx", "label")
+
+
+@query("e17_drop_majors", """WITH RECURSIVE n AS (SELECT doc_id, idx, 1 + page % 5 AS n FROM v_toc), r AS (SELECT doc_id, -1 AS idx, 0 AS last, false AS ok FROM (SELECT DISTINCT doc_id FROM n) q UNION ALL
+SELECT n.doc_id, n.idx, CASE WHEN n <= last + 1 THEN n ELSE last END, n <= last + 1 FROM r JOIN n ON n.doc_id = r.doc_id AND n.idx = r.idx + 1) SELECT doc_id, idx FROM r WHERE ok""")
+def e17(spark, sf):
+    t = toc(spark, sf).withColumn("title", F.concat((F.col("page") % 5 + 1).cast("string"), F.lit(". "), "title"))
+    return se.drop_majors(t).select("doc_id", "idx")
+
+
+@query("e23_toc_features", """SELECT doc_id, idx, round(CASE WHEN count(*) OVER d > 1 THEN idx / (count(*) OVER d - 1) ELSE 0 END, 6) AS "position", round(page / max(page) OVER d, 6) AS page_norm, round(level / 6, 6) AS level_norm, page IS NOT NULL AS has_page FROM v_toc WINDOW d AS (PARTITION BY doc_id)""")
+def e23(spark, sf):
+    return se.toc_features(toc(spark, sf))
+
+
+LINE = "'[H' || level || '] ' || title || ' | page ' || page || CASE WHEN fm THEN ' [Front]' ELSE '' END"
+
+
+@query("t12_render_toc", f"SELECT doc_id, string_agg({LINE}, chr(10) ORDER BY idx) AS toc FROM v_toc GROUP BY 1")
+def t12(spark, sf):
+    return se.render_toc(toc(spark, sf))
+
+
+@query("t11_parse_toc", """SELECT doc_id, idx, level, title, lower(title) AS normalized_title, page, fm FROM v_toc""")
+def t11(spark, sf):
+    return se.parse_toc(se.render_toc(toc(spark, sf))).drop("roman")
+
+
+@query("t15_choose_toc", """SELECT doc_id, count(*) AS entries, round(avg((title = 'Table of Contents')::INT), 6) AS figures, 0.0 AS unknown, count(*) < 5 AS low_quality, false AS unusable FROM v_toc GROUP BY 1""")
+def t15(spark, sf):
+    return se.choose_toc(toc(spark, sf))
+
+
+@query("t16_validate_toc", """SELECT doc_id, count(*) >= 2 AS ok, CASE WHEN count(*) >= 2 THEN 'ok' ELSE 'too short' END AS reason FROM v_toc GROUP BY 1""")
+def t16(spark, sf):
+    return se.validate_toc(toc(spark, sf))
+
+
+@query("t19_lock_labels", f"SELECT doc_id, idx, {LABELS} AS label FROM v_toc")
+def t19(spark, sf):
+    return se.lock_labels(toc(spark, sf)).select("doc_id", "idx", "label")
+
+
+@query("t21_restore_labels", f"SELECT doc_id, idx, {LABELS} AS label FROM v_toc WHERE CAST(doc_id AS INT) % 3 <> 0")
+def t21(spark, sf):
+    new = toc(spark, sf)
+    old = se.lock_labels(new).withColumn("label", F.when((F.col("doc_id").cast("int") % 3 == 0) & (F.col("idx") == 0), "wrong").otherwise(F.col("label")))
+    return se.restore_labels(old, new)
+
+
+@query("t22_infer_level", f"SELECT doc_id, idx, CASE idx % 3 WHEN 0 THEN 2 WHEN 1 THEN CASE WHEN {LABELS} <> 'other' THEN 1 END ELSE 3 END AS level FROM v_toc")
+def t22(spark, sf):
+    k = F.col("idx") % 3
+    title = F.when(k == 0, F.concat(F.lit("2.1 "), "title")).when(k == 1, F.col("title")).otherwise(F.concat(F.lit("Figure 3 "), "title"))
+    return toc(spark, sf).select("doc_id", "idx", se.infer_level(title).alias("level"))
+
+
+@query("c03_asof_section", f"""WITH t AS (SELECT *, {LABELS} AS label FROM v_toc) SELECT chunk_id, c.doc_id, coalesce((SELECT label FROM t WHERE t.doc_id = c.doc_id AND t.page <= c.page_num ORDER BY page DESC, idx DESC LIMIT 1), 'other') AS section FROM v_chunks c""")
+def c03(spark, sf):
+    return se.asof_section(view(spark, sf, "v_chunks"), se.lock_labels(toc(spark, sf)))
+
+
+@query("c04_heading_section", f"""WITH t AS (SELECT *, {LABELS} AS label FROM v_toc) SELECT chunk_id, coalesce((SELECT label FROM t WHERE t.doc_id = c.doc_id AND t.title = CASE c.pos % 3 WHEN 0 THEN 'Findings' WHEN 1 THEN 'Methodology' ELSE 'None' END ORDER BY CASE WHEN page <= c.page_num THEN page ELSE -1 END DESC, idx DESC LIMIT 1), 'other') AS section FROM v_chunks c""")
+def c04(spark, sf):
+    h = F.when(F.col("pos") % 3 == 0, "FINDINGS ").when(F.col("pos") % 3 == 1, " Methodology").otherwise("None")
+    return se.heading_section(view(spark, sf, "v_chunks").withColumn("headings", F.array(F.lit("No such title"), h)), se.lock_labels(toc(spark, sf)))

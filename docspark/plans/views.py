@@ -108,4 +108,6 @@ def oracle(sql: str) -> str:
     if not head:
         return sql
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE"):
+        return f"WITH RECURSIVE {head}, {body[14:]}"
     return f"WITH {head}, {body[4:]}" if body.upper().startswith("WITH") else f"WITH {head} {body}"
