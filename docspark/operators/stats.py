@@ -119,7 +119,7 @@ def error_histogram(events: DataFrame) -> DataFrame:
 def phase_intervals(events: DataFrame) -> DataFrame:
     """Start and end of each event: the start is the end less the elapsed time, else the event before it."""
     before = F.lag("at").over(Window.partitionBy("doc_id").orderBy("at", "event_id"))
-    start = F.coalesce(F.timestamp_micros(F.unix_micros("at") - F.round(F.col("elapsed_seconds") * 1000000).cast("long")), before)
+    start = F.coalesce(F.timestamp_micros(F.unix_micros(F.col("at").cast("timestamp")) - F.round(F.col("elapsed_seconds") * 1000000).cast("long")).cast("timestamp_ntz"), before)
     return events.select("event_id", "doc_id", "stage", start.alias("start_at"), F.col("at").alias("end_at"))
 
 
