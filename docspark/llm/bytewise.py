@@ -6,12 +6,14 @@ is never cut. Words are maximal runs of bytes other than space and \\t \\n \\v \
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 2 << 20
+SLICE_ROWS = 1024
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
@@ -91,31 +93,33 @@ class Piece:
         return np.searchsorted(self.offs, at, "right") - 1
 
 
-def pieces(batch: pa.RecordBatch, id_col: str, text_col: str, limit: int = PIECE_BYTES) -> Iterator[Piece]:
-    """Null texts are empty."""
-    texts = batch.column(text_col)
-    if texts.null_count:
-        texts = texts.fill_null("")
-    texts = texts.cast(pa.large_binary())
-    n = len(texts)
-    if not n:
-        return
-    offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    data = texts.buffers()[2]
-    buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    ids = np.asarray(batch.column(id_col).to_numpy(zero_copy_only=False)) if id_col else np.zeros(n)
-    at = 0
-    while at < n:
-        to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
-        yield Piece(ids[at:to], buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at], at)
-        at = to
-
-
-def runs(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of half-open intervals given in order of their starts, as disjoint maximal ones."""
-    if not len(first):
-        return first, last
-    reach = np.maximum.accumulate(last)
-    new = np.ones(len(first), bool)
-    new[1:] = first[1:] > reach[:-1]
-    return first[new], np.append(reach[np.flatnonzero(new)[1:] - 1], reach[-1])
+def release() -> None:
+    """Give freed memory back to the system: workers stay alive between tasks and would keep their largest size."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _trim = None
+
+
+def pieces(batch: pa.RecordBatch, id_col: str, text_col: str, limit: int = PIECE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Piece]:
+    """Documents of a batch, at most `limit` bytes and `rows` rows at a time but never less than one; null texts are empty."""
+    ids = batch.column(id_col)
+    for low in range(0, len(batch), rows):
+        texts = batch.column(text_col).slice(low, rows)
+        texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
+        n = len(texts)
+        offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = texts.buffers()[2]
+        buf = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        own = np.asarray(ids.slice(low, rows).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+            yield Piece(own[at:to], buf[offs[at] : offs[to]], offs[at : to + 1] - offs[at], low + at)
+            at = to
+        release()

@@ -144,49 +144,51 @@ def fractional(lens: np.ndarray, demand: np.ndarray, limit: int, rounds: int = R
     return mass
 
 
+def _rounded(lens: np.ndarray, demand: np.ndarray, limit: int, mass: dict[tuple[int, ...], float], up: bool) -> list[tuple[list[tuple[int, int]], int]]:
+    """Whole configurations ((length, copies) pairs, longest first) and how often each is used."""
+    left, used = demand.copy(), []
+    full = {c: int(lens[list(c)].sum()) for c in mass}
+    scale = float((lens * left).sum()) / max(1.0, sum(x * full[c] for c, x in mass.items()))  # over-covered mass is taken back
+    for c in sorted(mass, key=lambda c: (-full[c] if up else 0, -mass[c], c)):
+        if up and full[c] < limit - limit // 1000:
+            continue
+        kinds, copies = np.unique(c, return_counts=True)
+        times = min(int(mass[c] * scale + (1 - 1e-9 if up else 0)), int((left[kinds] // copies).min()))
+        if times > 0:
+            used.append(([(int(lens[k]), int(n)) for k, n in zip(kinds[::-1], copies[::-1], strict=True)], times))
+            left[kinds] -= times * copies
+    bins, free = [], []  # the rest: best fit, longest first
+    for k in range(len(lens) - 1, -1, -1):
+        size = int(lens[k])
+        for _ in range(int(left[k])):
+            at = bisect_left(free, (size, -1))
+            room, b = free.pop(at) if at < len(free) else (limit, len(bins))
+            if b == len(bins):
+                bins.append([])
+            bins[b].append(size)
+            if room > size:
+                insort(free, (room - size, b))
+    return used + [([(s, b.count(s)) for s in sorted(set(b), reverse=True)], 1) for b in bins]
+
+
 def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> tuple[np.ndarray, int]:
     """Intervals (length, first rank, end rank, copies in a sequence, first sequence, offset) that place every piece,
     sorted by length and rank, and the number of sequences."""
-    rows, used, sequences = [], dict.fromkeys(histogram, 0), 0
-
-    def put(config: list[tuple[int, int]], times: int) -> None:
-        nonlocal sequences
+    used = [([(limit, 1)], histogram[limit])] if limit in histogram else []
+    lens = np.array(sorted(x for x in histogram if x < limit), np.int64)
+    if len(lens):
+        demand = np.array([histogram[int(x)] for x in lens], np.int64)
+        mass = fractional(lens, demand.astype(float), limit, rounds)
+        used += min((_rounded(lens, demand, limit, mass, up) for up in (False, True)), key=lambda u: sum(n for _, n in u))
+    rows, rank, sequences = [], dict.fromkeys(histogram, 0), 0
+    for config, times in used:
         at = 0
         for size, copies in config:
-            rows.append((size, used[size], used[size] + copies * times, copies, sequences, at))
-            used[size] += copies * times
+            rows.append((size, rank[size], rank[size] + copies * times, copies, sequences, at))
+            rank[size] += copies * times
             at += size * copies
         sequences += times
-
-    if limit in histogram:
-        put([(limit, 1)], histogram[limit])
-    lens = np.array(sorted(x for x in histogram if x < limit), np.int64)
-    if len(lens):
-        left = np.array([histogram[int(x)] for x in lens], np.int64)
-        mass = fractional(lens, left.astype(float), limit, rounds)
-        full = {c: int(lens[list(c)].sum()) for c in mass}
-        scale = float((lens * left).sum()) / max(1.0, sum(x * full[c] for c, x in mass.items()))  # over-covered mass is taken back
-        for c in sorted(mass, key=lambda c: (-full[c], -mass[c], c)):
-            kinds, copies = np.unique(c, return_counts=True)
-            times = min(int(np.ceil(mass[c] * scale)), int((left[kinds] // copies).min()))
-            if times > 0 and full[c] >= limit - max(2, limit // 1000):
-                put([(int(lens[k]), int(n)) for k, n in zip(kinds[::-1], copies[::-1], strict=True)], times)
-                left[kinds] -= times * copies
-        bins, free = [], []  # the rest: best fit, longest first
-        for k in range(len(lens) - 1, -1, -1):
-            size = int(lens[k])
-            for _ in range(int(left[k])):
-                at = bisect_left(free, (size, -1))
-                room, b = free.pop(at) if at < len(free) else (limit, len(bins))
-                if b == len(bins):
-                    bins.append([])
-                bins[b].append(size)
-                if room > size:
-                    insort(free, (room - size, b))
-        for b in bins:
-            put([(s, b.count(s)) for s in sorted(set(b), reverse=True)], 1)
-    got = np.array(sorted(rows), np.int64).reshape(-1, 6)
-    return got, sequences
+    return np.array(sorted(rows), np.int64).reshape(-1, 6), sequences
 
 
 def pack(pieces: DataFrame, limit: int = LIMIT, rounds: int = ROUNDS) -> DataFrame:

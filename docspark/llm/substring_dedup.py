@@ -141,7 +141,7 @@ def _count(window: int, unit: str):
         t = t.sort_by([("doc_id", "ascending"), ("first", "ascending")])
         ids, start = t["doc_id"].to_numpy(), t["first"].to_numpy()
         b = pa.record_batch([pa.array(ids), t["packed"].combine_chunks()], names=["doc_id", "text"])
-        for p in pieces(b, "doc_id", "text", 1 << 62):
+        for p in pieces(b, "doc_id", "text", 1 << 62, max(1, len(b))):
             _, _, first, h, at, row = _windows(p, window, unit)
             late = _late(_rolled(h, window, 1)[at], _rolled(h, window, 2)[at], ids[row], unit == "byte")
             r, a, b = _cover(row[late], at[late], first, window)
