@@ -37,7 +37,7 @@ def parse_toc(docs: DataFrame, col: str = "toc") -> DataFrame:
     pattern = r"^\s*\[H(\d)\]\s*(.*?)\s*(?:\|\s*page\s+(\d+|\?)\s*)?(?:\(([ivxlcdm]+)\)\s*)?(\[Front\])?\s*$"
     lines = docs.select("doc_id", F.posexplode(F.split(col, "\n")).alias("pos", "line")).where(F.col("line").rlike(pattern))
     part = lambda k: F.regexp_extract("line", pattern, k)
-    title = F.trim(F.regexp_replace(part(2), r"\.{3,}", " "))
+    title = F.trim(F.regexp_replace(part(2), r"\s*\.{3,}\s*", " "))
     idx = F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")) - 1
     return lines.select("doc_id", idx.alias("idx"), part(1).cast("int").alias("level"), title.alias("title"), strings.normalize_title(title).alias("normalized_title"), part(3).try_cast("int").alias("page"), F.nullif(part(4), F.lit("")).alias("roman"), (part(5) != "").alias("fm"))
 
