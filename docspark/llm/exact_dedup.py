@@ -45,12 +45,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         )
     )
     plain = rows.select("doc_id", "digest", F.sha2("content", 256).alias("text_sha256")).join(winners.where("clash is null").drop("clash"), "digest")
-    # digests shared by different contents: the contents themselves are compared
+    shape = ["doc_id", "digest", "text_sha256", "keep_id", "group_size"]
+    found = plain.select(*shape)
+    if not winners.where("clash is not null").isEmpty():
+        found = found.unionByName(_told_apart(rows, winners).select(*shape))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def _told_apart(rows: DataFrame, winners: DataFrame) -> DataFrame:
+    """Rows whose digest different contents share: the contents themselves are compared."""
     clash = winners.where("clash is not null").select("digest", F.explode("clash").alias("g")).select("digest", "g.*")
-    told = rows.join(clash, ["digest", "content"]).select("doc_id", "digest", F.sha2("content", 256).alias("text_sha256"), "keep_id", F.col("n").alias("group_size"))
-    return plain.select("doc_id", "digest", "text_sha256", "keep_id", "group_size").unionByName(told).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
-    )
+    told = rows.join(clash, ["digest", "content"])
+    return told.select("doc_id", "digest", F.sha2("content", 256).alias("text_sha256"), "keep_id", F.col("n").alias("group_size"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -27,7 +27,8 @@ from docspark.llm.staging import stage, table
 LIMIT = 4096
 END_ID = 1
 ROUNDS = 24
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 400_000
+SLICE_ROWS = 512  # texts held as Python strings at once
 TOKENIZER = "word_bpe_49k.json"
 
 _loaded: dict[str, tuple] = {}
@@ -87,11 +88,13 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
-            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].cast(pa.large_binary()).to_pylist(), strict=True):
-                ids = encode(text or b"") + end
-                for k, a in enumerate(range(0, len(ids), 4 * limit)):
-                    part = ids[a : a + 4 * limit]
-                    out.append((i, k, a // 4, len(part) // 4, zlib.crc32(part), part))
+            for at in range(0, len(batch), SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                for i, text in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.large_binary()).to_pylist(), strict=True):
+                    ids = encode(text or b"") + end
+                    for k, a in enumerate(range(0, len(ids), 4 * limit)):
+                        piece = ids[a : a + 4 * limit]
+                        out.append((i, k, a // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None))
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, kinds, strict=True))[: 6 if with_ids else 5]], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])

@@ -21,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.llm.bytewise import release
 from docspark.llm.staging import table
 
 SAMPLE_ROWS = 20_000
 LEXICON_ROWS = 20_000  # the most frequent candidates, a bound of the model's size
 MIN_DOCS = 3
 MIN_WEIGHT = 2.5
+CACHE_WORDS = 150_000  # whose classes a worker keeps
+SLICE_ROWS = 512  # texts held as Python strings at once
 SHORTEST, LONGEST = 3, 8  # word beginnings
 SCOPE = 3
 
@@ -95,7 +98,7 @@ class Grammar:
     def classify(self, word: str) -> tuple[int, float]:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > 1_000_000:
+            if len(self.known) > CACHE_WORDS:
                 self.known.clear()
             bare = _bare(word)
             weight = max((self.lexicon.get(x, 0.0) for x in _beginnings(bare)), default=0.0)
@@ -155,7 +158,7 @@ def _counted(only):
     def run(batches):
         for batch in batches:
             found = Counter()
-            for text in batch["text"].to_pylist():
+            for text in (t for at in range(0, len(batch), SLICE_ROWS) for t in batch["text"].slice(at, SLICE_ROWS).to_pylist()):
                 grams = {g for w in set((text or "").lower().split()) for g in _beginnings(_bare(w))}
                 found.update(grams if only is None else grams & only.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
@@ -217,9 +220,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[
     return grammar, _fit(x, y)
 
 
-def _scores(model, texts: list) -> np.ndarray:
+def _scores(model, texts: pa.Array) -> np.ndarray:
     grammar, w = model.value
-    x = np.array([grammar.features(t or "") for t in texts]).reshape(len(texts), len(w) - 1)
+    rows = [grammar.features(t or "") for at in range(0, len(texts), SLICE_ROWS) for t in texts.slice(at, SLICE_ROWS).to_pylist()]
+    release()
+    x = np.array(rows).reshape(len(texts), len(w) - 1)
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
@@ -234,7 +239,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(model, batch["text"].to_pylist()))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(model, batch["text"]))], names=["doc_id", "score"])
 
     scored = docs.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", (_fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
@@ -246,7 +251,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(_scores(model, batch[text_col].to_pylist()) < 0.5))
+            yield batch.filter(pa.array(_scores(model, batch[text_col]) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
 
