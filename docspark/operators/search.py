@@ -44,13 +44,17 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return terms.groupBy(id_col, "term", "len").agg(F.count("*").alias("tf"))
 
 
-def bm25_search(posts: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """Scores over 0, best k per query; a term that stands twice in a query counts twice."""
-    sizes = posts.groupBy(id_col).agg(F.first("len").alias("len")).agg(F.count("*").alias("docs"), F.avg("len").alias("avg_len"))
+def bm25_search(tokens: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    """Scores over 0, best k per query; a term that stands twice in a query counts twice.
+
+    tokens: the id and its `tokens`. Only the queries' terms are counted, right after they are read."""
+    tokens = tokens.where(F.size("tokens") > 0)
+    sizes = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("avg_len"))
     terms = queries.select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    kept = posts.join(_few(terms.select("term").distinct()), "term", "left_semi")
+    read = tokens.select(id_col, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
+    kept = read.join(_few(terms.select("term").distinct()), "term", "left_semi").groupBy(id_col, "len", "term").agg(F.count("*").alias("tf"))
     df = kept.groupBy("term").agg(F.count("*").alias("df"))
-    hit = kept.join(_few(df), "term").join(_few(terms), "term").join(F.broadcast(sizes))  # one row
+    hit = kept.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(sizes))  # as many rows as query terms, and one
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * F.col("times")
     return top_k(hit.groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0"), k, id_col)

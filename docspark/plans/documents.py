@@ -496,3 +496,58 @@ def h20(spark, sf):
 def t18(spark, sf):
     k = F.col("doc_id").cast("int") % 4
     return docs(spark, sf).select("doc_id", strings.roman_to_int(F.when(k == 0, "iv").when(k == 1, "XII").when(k == 2, "xlix").otherwise("iiiix")).alias("value"))
+
+
+@query("k02_split_sdgs", """SELECT doc_id, 'SDG 1 - No Poverty; SDG ' || doc_id || ' - Other' AS sdgs FROM v_docs""")
+def k02(spark, sf):
+    return docs(spark, sf).select("doc_id", quality.split_sdgs(F.concat(F.lit("SDG 1 - No Poverty SDG "), "doc_id", F.lit(" - Other"))).alias("sdgs"))
+
+
+@query("k06_summary_headings", """SELECT CASE CAST(doc_id AS INT) % 4 WHEN 0 THEN 'h1' WHEN 1 THEN 'bullet_bold' WHEN 2 THEN 'ok' ELSE 'unknown' END AS pattern, count(*) AS n FROM v_docs GROUP BY 1""")
+def k06(spark, sf):
+    k = F.col("doc_id").cast("int") % 4
+    text = F.when(k == 0, "# A\ntext").when(k == 1, "- **A**\ntext").when(k == 2, "## A\ntext").otherwise("text")
+    return docs(spark, sf).groupBy(quality.heading_pattern(text).alias("pattern")).agg(F.count("*").alias("n"))
+
+
+@query("k13_clear_taxonomies", """SELECT doc_id, CAST(NULL AS STRING) AS map_country FROM v_docs""")
+def k13(spark, sf):
+    return docs(spark, sf).select("doc_id", F.lit(None).cast("string").alias("map_country"))
+
+
+@query("k16_taxonomy_storage", """SELECT count(*) FILTER (map_country IS NOT NULL) AS with_tags, count(*) FILTER (map_country IS NULL) AS without_tags FROM v_docs""")
+def k16(spark, sf):
+    return docs(spark, sf).agg(F.count_if(F.col("map_country").isNotNull()).alias("with_tags"), F.count_if(F.col("map_country").isNull()).alias("without_tags"))
+
+
+@query("g04_merge_codes", """SELECT doc_id, 'c' || CAST(CAST(doc_id AS INT) % 3 AS STRING) AS code, 'first' AS reason, 'name' || CAST(CAST(doc_id AS INT) % 3 AS STRING) AS name FROM v_docs""")
+def g04(spark, sf):
+    code = F.concat(F.lit("c"), (F.col("doc_id").cast("int") % 3).cast("string"))
+    rows = docs(spark, sf).select("doc_id", F.explode(F.array(*(F.concat(c, F.lit(x)) for c, x in ((code, "/later/2"), (code, "/first/1"), (F.lit("zz"), "/unknown/0"))))).alias("r"))
+    part = lambda k: F.element_at(F.split("r", "/"), k)
+    rows = rows.select("doc_id", part(1).alias("code"), part(2).alias("reason"), part(3).cast("int").alias("ord"))
+    names = spark.createDataFrame([(f"c{i}", f"name{i}") for i in range(3)], "code string, name string")
+    return quality.merge_codes(rows, names)
+
+
+@query("h18_model_prefix", """SELECT doc_id, 'query: ' || map_language AS text FROM v_docs""")
+def h18(spark, sf):
+    return docs(spark, sf).select("doc_id", strings.model_prefix(F.col("map_language"), F.lit("multilingual-E5"), "query").alias("text"))
+
+
+@query("h25_position_hint", """SELECT doc_id, round((842 - CAST(doc_id AS INT) % 842) / 842.0, 3)::DOUBLE AS hint FROM v_docs""")
+def h25(spark, sf):
+    return docs(spark, sf).select("doc_id", strings.position_hint((F.col("doc_id").cast("int") % 842).cast("double")).alias("hint"))
+
+
+@query("h21_strip_markdown", """SELECT doc_id, 'Head' || chr(10) || 'a b ' || doc_id AS text FROM v_docs""")
+def h21(spark, sf):
+    md = F.concat(F.lit("![x](y.png)<!-- c -->**Head**\na \t b "), "doc_id", F.lit("```"))
+    return docs(spark, sf).select("doc_id", strings.strip_markdown(md).alias("text"))
+
+
+@query("g03_union_stage_docs", """SELECT doc_id, CASE sys_status WHEN 'tagged' THEN 1 WHEN 'summarized' THEN 2 ELSE 3 END AS ord FROM v_docs WHERE sys_status IN ('tagged', 'summarized', 'parsed')""")
+def g03(spark, sf):
+    d = docs(spark, sf)
+    parts = [d.where(F.col("sys_status") == s).select("doc_id", F.lit(i).alias("ord")) for i, s in enumerate(("tagged", "summarized", "parsed"), 1)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docspark.operators import chunks as ch
+from docspark.operators import elements as el
 from docspark.operators import facets, search, stats
 from docspark.plans.registry import query
 from docspark.plans.views import view
@@ -138,9 +139,7 @@ SELECT query_id, chunk_id, score, ord FROM (SELECT *, row_number() OVER (PARTITI
 def f02(spark, sf):
     # \w without the Unicode flag would drop accented letters
     c = chunks(spark, sf).withColumn("text", F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}_\s]", ""))
-    posts = c.select("chunk_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("tokens")).where(F.size("tokens") > 0)
-    posts = posts.select("chunk_id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "len").agg(F.count("*").alias("tf"))
-    return search.bm25_search(posts, text_queries(spark), 20)
+    return search.bm25_search(c.select("chunk_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("tokens")), text_queries(spark), 20)
 
 
 @query("f03_hybrid_search", f"""WITH s AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS ord FROM {HITS} z WHERE vec_id % 3 = 0 AND ord <= 60), d AS (SELECT query_id, doc_id, ord FROM {HITS} z WHERE ord <= 30),
@@ -292,3 +291,50 @@ def h17(spark, sf):
 
     n = vectors.l2_normalize(F.col("embedding"))
     return embeddings(spark, sf).select("vec_id", F.round(vectors.dot(F.col("embedding"), F.col("embedding")), 6).alias("dot"), F.round(vectors.dot(n, n), 6).alias("unit"))
+
+
+@query("t07_chunk_text", """SELECT doc_id || '/' || CAST(page_num AS STRING) AS chunk_id, string_agg(text, chr(10) || chr(10) ORDER BY pos) AS text FROM v_chunks GROUP BY 1""")
+def t07(spark, sf):
+    c = chunks(spark, sf)
+    return el.chunk_text(c.select(F.concat_ws("/", "doc_id", F.col("page_num").cast("string")).alias("chunk_id"), F.col("page_num").alias("page"), "pos", "text"))
+
+
+@query("t05_footnotes", """SELECT chunk_id, CAST(pos % 100 AS INT) AS number, '[^' || CAST(pos % 100 AS STRING) || '] note' AS text FROM v_chunks""")
+def t05(spark, sf):
+    note = F.concat(F.lit("[^"), (F.col("pos") % 100).cast("string"), F.lit("]:  note"))
+    return chunks(spark, sf).select("chunk_id", el.footnote_number(note).alias("number"), el.normalize_footnote(note).alias("text"))
+
+
+@query("c07_resolve_footnotes", """SELECT doc_id, chunk_id, 3 AS number, '[^3] ' || f AS text FROM v_chunks JOIN (SELECT doc_id, arg_min(chunk_id, pos) AS f FROM v_chunks WHERE pos % 2 = 1 GROUP BY 1) d USING (doc_id) WHERE pos % 2 = 0""")
+def c07(spark, sf):
+    c = chunks(spark, sf)
+    odd = F.col("pos") % 2 == 1
+    text = F.when(odd, F.concat(F.lit("3: "), "chunk_id")).otherwise(F.col("text"))
+    rows = c.select("doc_id", "chunk_id", F.col("page_num").alias("page"), "pos", text.alias("text"), odd.alias("is_reference"), F.array(F.lit(3), F.lit(99)).alias("refs"))
+    return el.resolve_footnotes(rows)
+
+
+@query("c05_attach_images", """SELECT chunk_id, 'i' || doc_id AS image_id FROM v_chunks WHERE page_num = 1 AND (pos * 100 <= 130 AND pos * 100 + 90 >= 120)""")
+def c05(spark, sf):
+    c = chunks(spark, sf)
+    rows = c.select("doc_id", "chunk_id", F.col("page_num").alias("page"), F.lit("x").alias("text"), (F.col("pos") * 100.0).alias("low"), (F.col("pos") * 100.0 + 90).alias("high"))
+    images = c.select("doc_id").distinct().select("doc_id", F.lit(1).alias("page"), F.concat(F.lit("i"), "doc_id").alias("image_id"), F.lit(120.0).alias("low"), F.lit(130.0).alias("high"))
+    return el.attach_images(rows, images)
+
+
+@query("t10_table_rows", """SELECT table_id, row, array_to_string(list(text ORDER BY col), '#') AS cells FROM (SELECT doc_id AS table_id, page_num AS row, text, min(pos) AS col FROM v_chunks WHERE page_num < 50 GROUP BY 1, 2, 3) q GROUP BY 1, 2""")
+def t10(spark, sf):
+    cells = chunks(spark, sf).select(F.col("doc_id").alias("table_id"), F.col("page_num").alias("row"), F.col("pos").alias("col"), "text")
+    return el.table_rows(cells).select("table_id", "row", F.array_join("cells", "#").alias("cells"))
+
+
+@query("t42_grouped_references", f"""SELECT query_id AS answer_id, map_language AS title, min(ord) AS seq, string_agg(CAST(ord AS STRING), ',' ORDER BY ord) AS numbers FROM {HITS} z JOIN v_docs USING (doc_id) WHERE ord <= 12 GROUP BY 1, 2""")
+def t42(spark, sf):
+    h = hits(spark, sf).where("ord <= 12").join(view(spark, sf, "v_docs").select("doc_id", F.col("map_language").alias("title")), "doc_id").withColumnRenamed("query_id", "answer_id")
+    return el.grouped_references(h.select("answer_id", F.col("ord").alias("citation"), F.col("ord").alias("number")), h)
+
+
+@query("t43_key_facts", """SELECT doc_id AS answer_id, 2 AS pos, 'fact ' || doc_id AS fact, 2 AS cited FROM v_docs""")
+def t43(spark, sf):
+    text = F.concat(F.lit("# Intro\n## Key Facts\n- fact "), "doc_id", F.lit(" [1, 2] [3]\n## Else\n- not a fact [1]"))
+    return el.key_facts(view(spark, sf, "v_docs").select(F.col("doc_id").alias("answer_id"), text.alias("text")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspark.operators import elements as el
 from docspark.operators import sections as se
 from docspark.plans.registry import query
 from docspark.plans.views import view
@@ -142,3 +143,40 @@ def c03(spark, sf):
 def c04(spark, sf):
     h = F.when(F.col("pos") % 3 == 0, "FINDINGS ").when(F.col("pos") % 3 == 1, " Methodology").otherwise("None")
     return se.heading_section(view(spark, sf, "v_chunks").withColumn("headings", F.array(F.lit("No such title"), h)), se.lock_labels(toc(spark, sf)))
+
+
+@query("g05_merge_label_batches", f"""SELECT doc_id, idx, CASE WHEN idx = 0 THEN 'front_matter' ELSE 'batch' || CAST(2 + page % 2 AS STRING) END AS label FROM v_toc""")
+def g05(spark, sf):
+    t = toc(spark, sf)
+    rows = t.select("doc_id", "idx", F.explode(F.array(F.lit(1), F.col("page") % 2 + 2)).alias("batch"))
+    rows = rows.withColumn("label", F.concat(F.lit("batch"), F.col("batch").cast("string")))
+    return el.merge_label_batches(rows, t.where("idx = 0").select("doc_id", "idx", F.lit("front_matter").alias("label")))
+
+
+@query("k17_apply_corrections", f"""SELECT doc_id, idx, CASE WHEN idx % 4 = 1 THEN 'edited' ELSE {LABELS} END AS label, idx % 4 = 1 AS edited FROM v_toc""")
+def k17(spark, sf):
+    t = se.lock_labels(toc(spark, sf))
+    return el.apply_corrections(t, t.where("idx % 4 = 1").select("doc_id", "idx", F.lit("edited").alias("label"))).select("doc_id", "idx", "label", "edited")
+
+
+@query("e16_front_run_end", """WITH p AS (SELECT doc_id, idx + 1 AS page, 1 + idx % 5 AS roman FROM v_toc), b AS (SELECT *, (page - 1) // 5 AS run FROM p), l AS (SELECT doc_id, run, count(*) AS n, max(page) AS e FROM b GROUP BY 1, 2) SELECT doc_id, max(e) AS last_page FROM l WHERE n >= 3 GROUP BY 1""")
+def e16(spark, sf):
+    return el.front_run_end(toc(spark, sf).select("doc_id", (F.col("idx") + 1).alias("page"), (F.col("idx") % 5 + 1).alias("roman")))
+
+
+@query("t13_toc_from_blocks", """SELECT doc_id, idx AS pos, '[H' || CAST(level + 1 AS STRING) || '] ' || title || ' | page ' || CAST(page AS STRING) AS line FROM v_toc WHERE level < 3""")
+def t13(spark, sf):
+    t = toc(spark, sf)
+    blocks = t.select("doc_id", F.col("idx").alias("pos"), F.when(F.col("level") < 3, "section_header").otherwise("text").alias("label"), "level", "page", F.col("title").alias("text"))
+    return el.toc_from_blocks(blocks.unionByName(blocks.withColumn("text", F.concat(F.lit("77. "), "text"))))
+
+
+@query("t23_body_size", """WITH n AS (SELECT doc_id, CAST(8 + page % 4 AS INT) AS size, count(*) AS n FROM v_toc GROUP BY 1, 2) SELECT doc_id, size AS body_size FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, size) AS k FROM n) q WHERE k = 1""")
+def t23(spark, sf):
+    return el.body_size(toc(spark, sf).select("doc_id", (F.col("page") % 4 + 8.2).alias("size")))
+
+
+@query("f18_split_by_doc", """SELECT doc_id, count(*) AS n FROM v_toc GROUP BY 1""")
+def f18(spark, sf):
+    parts = el.split_by_doc(toc(spark, sf), 0.7, 5)
+    return parts.groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("train").alias("sides")).where("sides = 1").select("doc_id", "n")
