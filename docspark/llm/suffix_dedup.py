@@ -173,7 +173,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _removals(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     spark, depth = docs.sparkSession, window - PERIOD + 1
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total * len(COVER) / PERIOD / BUCKET_SAMPLES))
+    buckets = max(2 * spark.sparkContext.defaultParallelism, int(total * len(COVER) / PERIOD / BUCKET_SAMPLES))
     single = _without(docs, copies, sieve(copies))
     samples = single.mapInArrow(_samples(buckets, depth), SAMPLE_SCHEMA)
     flagged = stage(samples.groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, flags array<int>"))
