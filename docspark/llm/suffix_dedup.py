@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewise import pieces
+from docspark.llm.bytewise import pieces, release
 from docspark.llm.sieve import sieve, thin
 from docspark.llm.staging import stage, table
 from docspark.llm.substring_dedup import CUT_SCHEMA, count, cut
@@ -51,13 +51,15 @@ SAMPLE_SCHEMA = "bucket int, docs binary, samples binary, doc_id long, flags arr
 _SAMPLES = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("samples", pa.binary()), ("doc_id", pa.int64()), ("flags", pa.list_(pa.int32()))])
 
 
-def _samples(buckets: int, depth: int):
+def _samples(buckets: int, depth: int, skip=None):
     """Cover samples of each piece: per bucket, packed ranks and places. Of equal ones in a piece one goes on, and all
-    are flagged at once."""
+    are flagged at once. Documents that the sieve `skip` may hold are left to another reader."""
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
         for batch in batches:
+            if skip is not None:
+                batch = batch.filter(pa.array(~skip.value.keeps(batch["doc_id"].to_numpy(zero_copy_only=False))))
             for p in pieces(batch, "doc_id", "text", PIECE):
                 at = _cover(p, depth)
                 if not len(at):
@@ -92,29 +94,33 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     z = zstandard.ZstdDecompressor()
     told = t.filter(t["samples"].is_null()).select(["doc_id", "flags"])
     t = t.filter(t["samples"].is_valid())
-    ranks, places = [], []
-    for packed in t["samples"].to_pylist():
-        x = np.frombuffer(z.decompress(packed), np.uint32)
-        ranks.append(x[: len(x) // 2])
-        places.append(np.cumsum(x[len(x) // 2 :], dtype=np.int64))
+    ranks = [np.frombuffer(z.decompress(x), np.uint32) for x in t["samples"].to_pylist()]
+    ranks = [x[: len(x) // 2].copy() for x in ranks]
     if not ranks:
         return told
     sizes = np.array([len(r) for r in ranks])
-    rank = np.concatenate(ranks)
-    order = np.argsort(rank)
-    same = rank[order][1:] == rank[order][:-1]
-    flagged = np.zeros(len(rank), bool)
-    flagged[order[1:][same]] = flagged[order[:-1][same]] = True
+    keys = np.concatenate(ranks).astype(np.uint64)
+    del ranks
+    keys <<= np.uint64(32)
+    keys |= np.arange(len(keys), dtype=np.uint64)
+    keys.sort()  # a rank and its place in the bucket
+    same = np.flatnonzero((keys[1:] >> np.uint64(32)) == (keys[:-1] >> np.uint64(32)))
+    flagged = np.zeros(len(keys), bool)
+    for at in (same, same + 1):
+        flagged[(keys[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
+    del keys, same
     out, begin = [told], 0
-    for packed, place, n in zip(t["docs"].to_pylist(), places, sizes, strict=True):
-        got = place[flagged[begin : begin + n]]
+    for packed, samples, n in zip(t["docs"].to_pylist(), t["samples"], sizes, strict=True):
+        mark = flagged[begin : begin + n]
         begin += n
-        if len(got):
+        if mark.any():
+            place = np.cumsum(np.frombuffer(z.decompress(samples.as_py()), np.uint32)[n:], dtype=np.int64)[mark]
             x = np.frombuffer(z.decompress(packed), np.int64)
             ids, offs = np.cumsum(x[: len(x) // 2]), np.concatenate([[0], np.cumsum(x[len(x) // 2 :])])
-            doc = np.searchsorted(offs, got, "right") - 1
-            d, flags = _grouped(doc, got - offs[doc])
+            doc = np.searchsorted(offs, place, "right") - 1
+            d, flags = _grouped(doc, place - offs[doc])
             out.append(pa.table([pa.array(ids[d]), flags], schema=told.schema))
+    release()
     return pa.concat_tables(out)
 
 
@@ -156,16 +162,6 @@ def _copies(docs: DataFrame) -> DataFrame:
     return named.join(first, ["sha", "n"]).where("doc_id > head").select("doc_id")
 
 
-def _without(docs: DataFrame, gone: DataFrame, kept) -> DataFrame:
-    """Left anti join that moves only the rows that may match."""
-
-    def rest(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(~kept.value.keeps(batch["doc_id"].to_numpy(zero_copy_only=False))))
-
-    return docs.mapInArrow(rest, docs.schema).unionByName(thin(docs, kept, "doc_id").join(gone, "doc_id", "left_anti"))
-
-
 def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
 
@@ -174,8 +170,9 @@ def _removals(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     spark, depth = docs.sparkSession, window - PERIOD + 1
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(2 * spark.sparkContext.defaultParallelism, int(total * len(COVER) / PERIOD / BUCKET_SAMPLES))
-    single = _without(docs, copies, sieve(copies))
-    samples = single.mapInArrow(_samples(buckets, depth), SAMPLE_SCHEMA)
+    kept = sieve(copies)  # all but later copies of whole texts; only rows that may be one are joined
+    samples = docs.mapInArrow(_samples(buckets, depth, kept), SAMPLE_SCHEMA)
+    samples = samples.unionByName(thin(docs, kept, "doc_id").join(copies, "doc_id", "left_anti").mapInArrow(_samples(buckets, depth), SAMPLE_SCHEMA))
     flagged = stage(samples.groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, flags array<int>"))
     flags = flagged.groupBy("doc_id").agg(F.flatten(F.collect_list("flags")).alias("flags"))
     near = thin(docs, sieve(flagged.select("doc_id")), "doc_id").join(copies, "doc_id", "left_anti").join(flags, "doc_id")
