@@ -37,7 +37,7 @@ class Sieve:
 def sieve(ids: DataFrame):
     """A broadcast Sieve of the one long column of `ids`."""
     spark, name = ids.sparkSession, ids.columns[0]
-    ids = ids.where(F.col(name).isNotNull())
+    ids = ids.where(F.col(name).isNotNull()).distinct()
     n = ids.agg(F.approx_count_distinct(name)).first()[0]
     size = min(MAX_BITS, max(1 << 16, 1 << int(10 * n).bit_length()))
 
