@@ -247,6 +247,12 @@ def test_invalid_and_odd_texts_stay(spark):
     assert pii.pseudonymise(docs_of(spark, [(1, "a")]).limit(0)).count() == 0
 
 
+def test_values_without_two_digits_in_a_row_are_found_alone(spark):
+    got = pii.pseudonymise(docs_of(spark, [(0, "8.8.8.8"), (1, "8.8.8.8 of 1999"), (2, "4 0 4 1 8 9 4 9 7 4 6 0 8 7 9 5")])).orderBy("doc_id").collect()
+    assert (got[0].n_ip, got[1].n_ip, got[2].n_card) == (1, 1, 1)
+    assert got[0].text != "8.8.8.8" and got[1].text == f"{got[0].text} of 1999" and luhn(got[2].text)
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(189 * 773).select(pii.permute_number(F.col("id"), 189, 773, "k").alias("p"))
     x = n.agg(F.count_distinct("p"), F.min("p"), F.max("p")).first()
