@@ -1,15 +1,15 @@
 """A bigram language model in a log-frequency Bloom filter.
 
-N-gram counts are gathered in hash buckets: map tasks combine what they read, sort it and send it packed. A count is
-quantised to the level j of the largest step LEVELS[j] below or equal to it, and the n-gram goes into the filter once
-for each of the levels 1..j; a reader probes level after level until one is missing, so the filter answers with
-quantised counts. Each bucket owns a segment of the filter and one task fills it. The filter has at most MAX_BITS
-(64 MB) and is broadcast; n-grams below the smallest count that lets the rest fit at BITS_EACH bits an entry are pruned,
-words and word pairs apart. The pruned mass goes to unseen words, so probabilities stay normalised.
+Map tasks combine the n-grams of up to FLUSH_TOKENS tokens, a piece, and send them in hash buckets, sorted and packed,
+with their training counts. A count is quantised to the level j of the largest step LEVELS[j] below or equal to it, and
+the n-gram goes into the filter once for each of the levels 1..j; a reader probes level after level until one is
+missing, so the filter answers with quantised counts. Each bucket owns a segment of the filter, of BITS_EACH bits an
+entry: one task merges the bucket's counts, fills the segment and answers every piece's n-grams from it, and the answers
+return to the pieces' tokens by a second shuffle. Buckets grow in number with the corpus and nothing is pruned; no task
+holds more than a segment or a piece.
 
 P(w | v) = max(c(vw) - D, 0) / c(v) + A P(w), P(w) = (1 - u) c(w) / N for known words and u for an unknown one, with
-D = n1 / (n1 + 2 n2) from the counts of counts of pairs, A = D * distinct pairs / pairs, u the share of words seen once
-or pruned.
+D = n1 / (n1 + 2 n2) from the counts of counts of pairs, A = D * distinct pairs / pairs, u the share of words seen once.
 """
 
 from __future__ import annotations
@@ -20,16 +20,16 @@ from math import log10
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.bytewise import Piece, mix64, pieces, seeded
 from docspark.llm.staging import stage, table
 
-MAX_BITS = 1 << 29
 BITS_EACH = 10
 PROBES = 4
-HEAD_SHARE = 5e-7  # words with this share of all tokens are broadcast with exact counts: 1 / HEAD_SHARE at most
+HEAD_SHARE = 5e-7  # of no effect: all exact counts come from the buckets; tests set it
 BUCKET_TOKENS = 1_500_000
 FLUSH_TOKENS = 3_000_000
 BOUNDARY = seeded(11, 1)[0]
@@ -70,12 +70,22 @@ def _pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
     return mix64(before * np.uint64(0x9E3779B97F4A7C15) + h)
 
 
+def _planes(z, x: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, which packs tighter: upper bytes are mostly alike."""
+    return z.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes())
+
+
+def _whole(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
 def _packed(z, h: np.ndarray, n: np.ndarray) -> bytes:
-    return z.compress(np.diff(h, prepend=np.uint64(0)).tobytes() + n.astype(np.int64).tobytes())
+    return _planes(z, np.concatenate([np.diff(h, prepend=np.uint64(0)), n.astype(np.int64).view(np.uint64)]))
 
 
 def _unpacked(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    x = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint64)
+    x = _whole(zstandard.ZstdDecompressor().decompress(packed), np.uint64)
     return np.cumsum(x[: len(x) // 2], dtype=np.uint64), x[len(x) // 2 :].view(np.int64)
 
 
@@ -87,65 +97,88 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return h[heads], np.add.reduceat(n, heads) if len(heads) else n
 
 
+NGRAMS = "bucket long, piece long, words binary, pairs binary, tokens binary"
+
+
+def _rows(bucket, piece, words, pairs, tokens=None) -> pa.RecordBatch:
+    n = len(bucket)
+    kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    cols = (bucket, np.full(n, piece) if np.isscalar(piece) else piece, words, pairs, tokens or [None] * n)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["bucket", "piece", "words", "pairs", "tokens"])
+
+
 def _gather(buckets: int):
-    """Training n-grams with their counts, combined over up to FLUSH_TOKENS tokens; a row per bucket."""
+    """For every piece, a row per bucket with its n-grams and their training counts (0 if only held-out documents have
+    them), and a row of its own, in bucket -1 - piece, with its documents and tokens."""
 
     edges = _edges(buckets)
 
-    def rows(words: list, pairs: list):
+    def rows(piece: int, held: list):
         z = zstandard.ZstdCompressor(level=1)
+        ids, sizes, h, before = (np.concatenate(x) for x in zip(*held, strict=True))
+        use = np.repeat(~held_out(ids), sizes)
+        names, at = np.unique(h, return_inverse=True)
         found = []
-        for held in (words, pairs):
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(h, edges)
-            found.append([_packed(z, a, b) for a, b in zip(np.split(h, cut), np.split(n, cut), strict=True)])
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(buckets, dtype=np.int32)), *(pa.array(x, pa.binary()) for x in found)], names=["bucket", "words", "pairs"])
+        for k in ("words", "pairs"):
+            g, i = (names, at) if k == "words" else np.unique(_pair(before, h), return_inverse=True)
+            n = np.bincount(i, use, len(g)).astype(np.int64)
+            cut = np.searchsorted(g, edges)
+            found.append([_packed(z, a, b) for a, b in zip(np.split(g, cut), np.split(n, cut), strict=True)])
+        yield _rows(np.arange(buckets), piece, *found)
+        documents = np.concatenate([ids.astype(np.int64), sizes.astype(np.int64)])
+        yield _rows([-1 - piece], piece, [_planes(z, np.diff(names, prepend=np.uint64(0)))], [_planes(z, documents)], [_planes(z, at.astype(np.uint32))])
 
     def run(batches):
-        words, pairs, size = [], [], 0
+        held, size, piece = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for p in pieces(batch, "doc_id", "text"):
                 h, before, offs = _tokens(p)
-                use = np.repeat(~held_out(p.ids), np.diff(offs))
-                words.append(h[use])
-                pairs.append(_pair(before, h)[use])
+                held.append((p.ids, np.diff(offs), h, before))
                 size += len(h)
                 if size >= FLUSH_TOKENS:
-                    yield rows(words, pairs)
-                    words, pairs, size = [], [], 0
+                    yield from rows(piece, held)
+                    held, size, piece = [], 0, piece + 1
         if size:
-            yield rows(words, pairs)
+            yield from rows(piece, held)
 
     return run
 
 
+def _training(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    h, n = _merged(parts)
+    return h[n > 0], n[n > 0]
+
+
 def _combine(t: pa.Table) -> pa.Table:
     z = zstandard.ZstdCompressor(level=1)
-    packed = [_packed(z, *_merged([_unpacked(x) for x in t[c].to_pylist()])) for c in ("words", "pairs")]
+    packed = [_packed(z, *_training([_unpacked(x) for x in t[c].to_pylist()])) for c in ("words", "pairs")]
     return pa.table({"bucket": pa.array(t["bucket"].to_numpy()[:1]), "words": pa.array(packed[:1], pa.binary()), "pairs": pa.array(packed[1:], pa.binary())})
 
 
-def _counts_of_counts(counted: DataFrame, name: str) -> dict[int, tuple[int, int]]:
+def _histogram(n: np.ndarray) -> bytes:
     """By level: n-grams and their tokens. There are few levels, whatever the corpus."""
+    level = np.searchsorted(LEVELS, n, "right")
+    return np.concatenate([np.bincount(level, None, len(LEVELS) + 1), np.bincount(level, n, len(LEVELS) + 1).astype(np.int64)]).tobytes()
 
-    def run(batches):
-        for batch in batches:
-            for x in batch[name].to_pylist():
-                n = _unpacked(x)[1]
-                level = np.searchsorted(LEVELS, n, "right")
-                types, tokens = np.bincount(level, minlength=1), np.bincount(level, n, minlength=1).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(types))), pa.array(types), pa.array(tokens)], names=["level", "types", "tokens"])
-
-    got = counted.select(name).mapInArrow(run, "level long, types long, tokens long").where("types > 0").groupBy("level").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()
-    return {r["level"]: (r["types"], r["tokens"]) for r in got}
 
-
-def _cutoff(levels: dict[int, tuple[int, int]], bits: int) -> tuple[int, int]:
-    """The smallest level whose n-grams and those above it fit, and their entries."""
-    low = 1
-    while (entries := sum(t * (k - low + 1) for k, (t, _) in levels.items() if k >= low)) * BITS_EACH > bits:
-        low += 1
-    return low, entries
+def _answer(t: pa.Table) -> pa.Table:
+    """Of a bucket: its histograms in piece -1, and for each piece its words' exact counts and the levels its words and
+    pairs have in the filter, in the order of the hashes. A piece's own row stays as it is."""
+    bucket = t["bucket"][0].as_py()
+    if bucket < 0:
+        return t
+    z = zstandard.ZstdCompressor(level=1)
+    asked = [[_unpacked(x) for x in t[c].to_pylist()] for c in ("words", "pairs")]
+    (w, nw), (p, np_) = (_training(x) for x in asked)
+    filled = Segment((w, nw), (p, np_))
+    exact, words, pairs = [], [], []
+    for (a, _), (b, _) in zip(*asked, strict=True):
+        at = np.minimum(np.searchsorted(w, a), max(len(w) - 1, 0))
+        exact.append(_planes(z, np.where(w[at] == a, nw[at], 0).astype(np.int64) if len(w) else np.zeros(len(a), np.int64)))
+        words.append(z.compress(filled.levels(a).astype(np.uint8).tobytes()))
+        pairs.append(z.compress(filled.levels(b).astype(np.uint8).tobytes()))
+    answers = _rows(np.full(len(t), bucket), t["piece"].to_numpy(), words, pairs, exact)
+    return pa.Table.from_batches([_rows([bucket], -1, [_histogram(nw)], [_histogram(np_)]), answers])
 
 
 def _edges(buckets: int) -> np.ndarray:
@@ -163,132 +196,127 @@ def _place(a: np.ndarray, i: int, size: int) -> np.ndarray:
     return (at * np.uint64(size)) >> np.uint64(32)
 
 
-def _fill(segment: int, low_word: int, low_pair: int):
-    def run(batches):
-        for batch in batches:
-            out = []
-            for w, p in zip(batch["words"].to_pylist(), batch["pairs"].to_pylist(), strict=True):
-                on = np.zeros(segment, bool)
-                for packed, low in ((w, low_word), (p, low_pair)):
-                    h, n = _unpacked(packed)
-                    level = np.searchsorted(LEVELS, n, "right")
-                    for j in range(low, int(level.max(initial=0)) + 1):
-                        h, level = h[level >= j], level[level >= j]
-                        a = _mixed(h, j)
-                        for i in range(PROBES):
-                            on[_place(a, i, segment)] = True
-                out.append(np.packbits(on, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch["bucket"], pa.array(out, pa.binary())], names=["bucket", "bits"])
-
-    return run
-
-
-class Model:
-    """The filter and the few numbers beside it; built by `train` and sent to the workers."""
+class Segment:
+    """A bucket's part of the filter."""
 
-    def __init__(self, bits: np.ndarray, buckets: int, segment: int, lows: tuple[int, int], tokens: int, types: int, unseen: float, discount: float, backoff: float):
-        self.bits, self.buckets, self.segment, self.lows = bits, buckets, segment, lows
-        self.tokens, self.types, self.unseen, self.discount, self.backoff = tokens, types, unseen, discount, backoff
+    def __init__(self, *counted: tuple[np.ndarray, np.ndarray]):
+        levels = [np.searchsorted(LEVELS, n, "right") for _, n in counted]
+        self.size = -(-int(sum(x.sum() for x in levels)) * BITS_EACH // 64) * 64 + 64
+        on = np.zeros(self.size, bool)
+        for (h, _), level in zip(counted, levels, strict=True):
+            for j in range(1, int(level.max(initial=0)) + 1):
+                h, level = h[level >= j], level[level >= j]
+                a = _mixed(h, j)
+                for i in range(PROBES):
+                    on[_place(a, i, self.size)] = True
+        self.bits = np.packbits(on, bitorder="little")
 
-    def counts(self, h: np.ndarray, low: int) -> np.ndarray:
-        """Quantised counts of distinct n-grams, 0 where not even the lowest level is set."""
+    def levels(self, h: np.ndarray, low: int = 1) -> np.ndarray:
+        """The levels of distinct n-grams, 0 where not even the lowest one is set."""
         got = np.zeros(len(h), np.int64)
         live, j = np.arange(len(h)), low
-        base = (((h >> np.uint64(32)) * np.uint64(self.buckets)) >> np.uint64(32)) * np.uint64(self.segment)
         while len(live) and j <= len(LEVELS):
             a = _mixed(h[live], j)
             for i in range(PROBES):  # most absences show at the first probe
-                at = _place(a, i, self.segment) + base[live]
+                at = _place(a, i, self.size)
                 hit = (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 live, a = live[hit], a[hit]
-            got[live] = LEVELS[j - 1]
+            got[live] = j
             j += 1
         return got
 
-    def log_probabilities(self, h: np.ndarray, before: np.ndarray) -> np.ndarray:
-        """log10 P of each token after the one before it."""
+
+STEPS = np.append(0, LEVELS)  # the count that a level stands for
+
+
+class Model:
+    """The few numbers beside the filter, sent to the workers, and, if made by `train`, the filter's segments."""
+
+    lows = (1, 1)
+
+    def __init__(self, words: dict[int, tuple[int, int]], pairs: dict[int, tuple[int, int]], segments: list[Segment] | None = None):
+        self.segments = segments
+        self.tokens, self.types = sum(t for _, t in words.values()), sum(n for n, _ in words.values())
+        n1, n2, tokens = pairs.get(1, (0, 0))[0], pairs.get(2, (0, 0))[0], self.tokens
+        self.discount = n1 / (n1 + 2 * n2) if n1 else 0.5
+        self.unseen = min(0.5, max(words.get(1, (0, 0))[0] / tokens, 1 / (tokens + 1))) if tokens else 1.0
+        self.backoff = min(1.0, max(self.discount * sum(n for n, _ in pairs.values()) / tokens, 1e-3)) if tokens else 1.0
+
+    def counts(self, h: np.ndarray, low: int) -> np.ndarray:
+        """Quantised counts of distinct n-grams, from the segments of `train`."""
+        got, bucket = np.zeros(len(h), np.int64), ((h >> np.uint64(32)) * np.uint64(len(self.segments))) >> np.uint64(32)
+        for b in np.unique(bucket):
+            got[bucket == b] = STEPS[self.segments[int(b)].levels(h[bucket == b], low)]
+        return got
+
+    def log_probabilities(self, one: np.ndarray, two: np.ndarray, context: np.ndarray) -> np.ndarray:
+        """log10 P of tokens after those before them, by the quantised counts of token, pair and token before."""
         if not self.tokens:
-            return np.zeros(len(h))
-        words, at = np.unique(np.concatenate([h, before]), return_inverse=True)
-        c = self.counts(words, self.lows[0])
-        one, context = c[at[: len(h)]], c[at[len(h) :]]
-        pairs, at = np.unique(_pair(before, h), return_inverse=True)
-        two = np.minimum(self.counts(pairs, self.lows[1])[at], one)
+            return np.zeros(len(one))
+        two = np.minimum(two, one)
         single = np.where(one > 0, (1 - self.unseen) * one / self.tokens, self.unseen)
-        seen = context > 0
-        p = np.where(seen, np.maximum(two - self.discount, 0) / np.maximum(context, np.maximum(two, 1)) + self.backoff * single, single)
+        p = np.where(context > 0, np.maximum(two - self.discount, 0) / np.maximum(context, np.maximum(two, 1)) + self.backoff * single, single)
         return np.log10(np.minimum(p, 1.0))
 
 
-def count_ngrams(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The staged counts of training n-grams, a row per bucket, and the number of buckets."""
-    spark = docs.sparkSession
+def gather(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The n-grams of pieces by bucket, not staged, and the number of buckets."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_TOKENS)
-    rows = docs.mapInArrow(_gather(buckets), "bucket int, words binary, pairs binary")
-    return stage(rows.groupBy("bucket").applyInArrow(_combine, "bucket int, words binary, pairs binary")), buckets
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_TOKENS)
+    return docs.mapInArrow(_gather(buckets), NGRAMS), buckets
 
 
-def train(counted: DataFrame, buckets: int) -> Model:
-    words, pairs = (_counts_of_counts(counted, c) for c in ("words", "pairs"))
-    low_w, in_w = _cutoff(words, MAX_BITS // 4)
-    low_p, in_p = _cutoff(pairs, MAX_BITS - MAX_BITS // 4)
-    segment = -(-(in_w + in_p) * BITS_EACH // buckets // 64) * 64 + 64
-    bits = np.zeros(buckets * segment // 8, np.uint8)
-    for r in counted.mapInArrow(_fill(segment, low_w, low_p), "bucket int, bits binary").toLocalIterator():
-        at = r["bucket"] * segment // 8
-        bits[at : at + segment // 8] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    tokens, types = sum(t for _, t in words.values()), sum(n for n, _ in words.values())
-    lost = sum(t for k, (_, t) in words.items() if k < low_w)
-    n1, n2 = pairs.get(1, (0, 0))[0], pairs.get(2, (0, 0))[0]
-    discount = n1 / (n1 + 2 * n2) if n1 else 0.5
-    unseen = min(0.5, max((words.get(1, (0, 0))[0] if low_w == 1 else lost) / tokens, 1 / (tokens + 1))) if tokens else 1.0
-    backoff = min(1.0, max(discount * sum(n for n, _ in pairs.values()) / tokens, 1e-3)) if tokens else 1.0
-    return Model(bits, buckets, segment, (low_w, low_p), tokens, types, unseen, discount, backoff)
-
-
-def _word_counts(counted: DataFrame) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            for x in batch["words"].to_pylist():
-                h, n = _unpacked(x)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "c"])
-
-    return counted.mapInArrow(run, "word long, c long")
-
-
-def _score(sent, heads):
-    def run(batches):
-        model, (names, counts) = sent.value, heads.value
-        log_counts = np.log10(counts + 1.0)
-        for batch in batches:
-            for p in pieces(batch, "doc_id", "text"):
-                h, before, offs = _tokens(p)
-                at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
-                known = names[at] == h if len(names) else np.zeros(len(h), bool)
-                sums = [np.add.reduceat(x, offs[:-1]) for x in (np.where(known, log_counts[at], 0.0) if len(names) else np.zeros(len(h)), known.astype(np.int64), model.log_probabilities(h, before))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p.ids, held_out(p.ids), np.diff(offs), *sums)], names=["doc_id", "held_out", "n_tokens", "head_log", "head_known", "score"])
+def count_ngrams(docs: DataFrame) -> tuple[DataFrame, int]:
+    """The staged counts of training n-grams, a row per bucket, and the number of buckets."""
+    rows, buckets = gather(docs)
+    return stage(rows.where("bucket >= 0").groupBy("bucket").applyInArrow(_combine, "bucket long, words binary, pairs binary")), buckets
 
-    return run
 
+def train(counted: DataFrame, buckets: int) -> Model:
+    """The model with all its segments in one place, for a corpus of a few buckets; scoring leaves them apart."""
+    segments, sums = [Segment() for _ in range(buckets)], np.zeros((2, 2, len(LEVELS) + 1), np.int64)
+    for r in counted.toLocalIterator():
+        both = [_unpacked(r[c]) for c in ("words", "pairs")]
+        segments[r["bucket"]] = Segment(*both)
+        sums += np.array([np.frombuffer(_histogram(n), np.int64).reshape(2, -1) for _, n in both])
+    return Model(*({k: (int(n), int(t)) for k, (n, t) in enumerate(x.T) if n} for x in sums), segments)
 
-def _tails(heads):
-    """Words that are no heads, per document; a row with a null word per row of the table."""
 
+def _model(answers: DataFrame) -> Model:
     def run(batches):
-        names, _ = heads.value
         for batch in batches:
-            for p in pieces(batch, "doc_id", "text"):
-                h, _, offs = _tokens(p)
-                at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0))
-                tail = names[at] != h if len(names) else np.ones(len(h), bool)
-                doc, h = np.repeat(np.arange(len(p)), np.diff(offs))[tail], h[tail]
-                order = np.lexsort((h, doc))
-                doc, h = doc[order], h[order]
-                first = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))) if len(h) else np.zeros(0, np.int64)
-                n = np.diff(np.append(first, len(h)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(p.ids[doc[first]]), pa.array(n)], names=["word", "doc_id", "n"])
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(p), pa.int64()), pa.array(p.ids), pa.array(np.ones(len(p), np.int64))], names=["word", "doc_id", "n"])
+            for c in ("words", "pairs"):
+                for x in batch[c].to_pylist():
+                    types, tokens = np.frombuffer(x, np.int64).reshape(2, -1)
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(types)), pa.array(np.arange(len(types))), pa.array(types), pa.array(tokens)], names=["name", "level", "types", "tokens"])
+
+    got = answers.where("piece = -1").select("words", "pairs").mapInArrow(run, "name string, level long, types long, tokens long").where("types > 0").groupBy("name", "level").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()
+    return Model(*({r["level"]: (r["types"], r["tokens"]) for r in got if r["name"] == c} for c in ("words", "pairs")))
+
+
+def _score(model: Model):
+    """Of a piece's own row and the answers to it: a row per document."""
+
+    def run(t: pa.Table) -> pa.Table:
+        z = zstandard.ZstdDecompressor()
+        t = t.sort_by("bucket")  # the piece's own row is first
+        own = lambda c, kind: _whole(z.decompress(t[c][0].as_py()), kind)
+        joined = lambda c, kind: np.concatenate([_whole(z.decompress(x), kind) for x in t[c][1:].to_pylist()])
+        names, at = np.cumsum(own("words", np.uint64), dtype=np.uint64), own("tokens", np.uint32)
+        ids, sizes = own("pairs", np.int64).reshape(2, -1)
+        first = np.cumsum(sizes) - sizes
+        exact, words = joined("tokens", np.int64), STEPS[joined("words", np.uint8)]
+        end = np.searchsorted(names, BOUNDARY)  # every document has one
+        before = np.empty_like(at)
+        before[1:] = at[:-1]
+        before[first] = end
+        _, pair = np.unique(_pair(names[before], names[at]), return_inverse=True)
+        two = STEPS[joined("pairs", np.uint8)][pair]
+        c = exact[at]
+        sums = [np.add.reduceat(x, first) for x in ((c > 0).astype(np.int64), np.log10(c + 1.0), model.log_probabilities(words[at], two, words[before]))]
+        base = sums[1] - sizes * log10(model.tokens + model.types + 1)
+        cols = (ids, held_out(ids), sizes, sums[0], np.full(len(ids), model.tokens), base, sums[2])
+        return pa.table([pa.array(x) for x in cols], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
@@ -297,37 +325,15 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are lower-cased words and one end; a null or empty text is the end alone. Documents whose crc32(id) mod 7 is 2
-    are held out, the others teach. base_score adds one to exact counts: words with a share of HEAD_SHARE have theirs
-    broadcast, the rest are joined. With nothing to learn from, scores are those of an empty model (0). Rows without an
-    id are left out; rows that share an id must share their text and get a row each. Other columns are ignored."""
+    are held out, the others teach. base_score adds one to exact counts. With nothing to learn from, scores are those of
+    an empty model (0). Rows without an id are left out; rows that share an id must share their text and get a row each.
+    Other columns are ignored."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
-    spark = docs.sparkSession
-    counted, buckets = count_ngrams(docs)
-    model = train(counted, buckets)
-    counts = _word_counts(counted)
-    least = max(1, int(np.ceil(model.tokens * HEAD_SHARE)))
-    top = counts.where(F.col("c") >= least).toArrow()
-    names, c = top["word"].to_numpy().view(np.uint64), top["c"].to_numpy()
-    order = np.argsort(names)
-    heads = spark.sparkContext.broadcast((names[order], c[order]))
-    scored = docs.mapInArrow(_score(spark.sparkContext.broadcast(model), heads), "doc_id long, held_out boolean, n_tokens long, head_log double, head_known long, score double")
-    tails = docs.mapInArrow(_tails(heads), "word long, doc_id long, n long").join(counts.where(F.col("c") < least), "word", "left")
-    per_doc = tails.groupBy("doc_id").agg(
-        F.sum(F.when(F.col("word").isNull(), F.col("n"))).alias("rows"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n") * F.log10(F.col("c") + 1.0))).alias("tail_log"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("n"))).alias("tail_known"),
-    )
-    found = scored.join(per_doc, "doc_id", "left")
-    each = lambda name: F.coalesce(F.col(name) / F.col("rows"), F.lit(0.0))
-    return found.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("head_known") + each("tail_known").cast("long")).alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("head_log") + each("tail_log") - F.col("n_tokens") * F.lit(log10(model.tokens + model.types + 1))).alias("base_score"),
-        "score",
-    )
+    rows, _ = gather(docs)
+    answers = stage(rows.groupBy("bucket").applyInArrow(_answer, NGRAMS))
+    model = _model(answers)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return answers.where("piece >= 0").groupBy("piece").applyInArrow(_score(model), schema)
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

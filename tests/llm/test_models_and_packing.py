@@ -204,6 +204,26 @@ def test_filter_answers_with_quantised_counts(spark):
     assert (absent > 0).mean() < 0.05
 
 
+def test_no_ngram_is_pruned_however_many_there_are(spark, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "MAX_BITS", 1 << 14, raising=False)  # the bound that the filter once had
+    r = random.Random(11)
+    texts = [(i, " ".join(f"w{int(r.expovariate(0.01))}" for _ in range(120))) for i in range(100)]
+    tokens = {i: [None, *t.split(), None] for i, t in texts}
+    train = [t for i, t in tokens.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two = Counter(w for t in train for w in t[1:]), Counter(p for t in train for p in zip(t, t[1:], strict=False))
+    step = lambda n: bloom_lm.LEVELS[bloom_lm.LEVELS <= n][-1] if n else 0
+    total, n = sum(one.values()), Counter(two.values())
+    d, u = n[1] / (n[1] + 2 * n[2]), sum(c == 1 for c in one.values()) / total
+
+    def p(v, w):
+        single = (1 - u) * step(one[w]) / total if one[w] else u
+        return max(step(two[v, w]) - d, 0) / step(one[v]) + d * len(two) / total * single if one[v] else single
+
+    for x in bloom_lm.language_scores(docs_of(spark, texts)).collect():
+        t = tokens[x.doc_id]
+        assert x.score == pytest.approx(sum(math.log10(min(1, p(v, w))) for v, w in zip(t, t[1:], strict=False)), rel=0.04)
+
+
 def test_scores_beat_the_base_on_held_out_documents(spark, sf):
     x = bloom_lm.op7_lm_scoring(spark, sf).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.count("*")).first()
     assert x[2] > 0 and x[0] > x[1]
