@@ -4,9 +4,10 @@ Only the histogram of piece lengths goes to the driver, at most `limit` numbers
 a multiset of lengths that fits a sequence. Multiplicative weights price the lengths: each round solves the knapsack
 over the prices by dynamic programming, takes for every length the best configuration that holds it, and lowers the
 prices of what came out over-covered. The mean of the rounds is a fractional solution; it is rounded to whole sequences
-within the demand, best filled first, and what is left goes best-fit decreasing. The plan, a few intervals of ranks per
-length, is broadcast (bounded by rounds x limit configurations); the pieces of a length are ranked in salted slices, so
-a length shared by a third of all rows spreads over the cluster.
+within the demand, best filled first, and what is left is planned again as long as that halves it. The rest goes into
+sequences in bulk, longest first, and the last `limit` pieces best-fit decreasing. The plan, intervals of ranks per
+length, is broadcast; it and the driver's work depend on the lengths and rounds and not on the number of pieces. The
+pieces of a length are ranked in salted slices, so a length shared by a third of all rows spreads over the cluster.
 """
 
 from __future__ import annotations
@@ -147,20 +148,42 @@ def fractional(lens: np.ndarray, demand: np.ndarray, limit: int, rounds: int = R
     return mass
 
 
-def _rounded(lens: np.ndarray, demand: np.ndarray, limit: int, mass: dict[tuple[int, ...], float], up: bool) -> list[tuple[list[tuple[int, int]], int]]:
-    """Whole configurations ((length, copies) pairs, longest first) and how often each is used."""
-    left, used = demand.copy(), []
-    full = {c: int(lens[list(c)].sum()) for c in mass}
-    scale = float((lens * left).sum()) / max(1.0, sum(x * full[c] for c, x in mass.items()))  # over-covered mass is taken back
-    for c in sorted(mass, key=lambda c: (-full[c] if up else 0, -mass[c], c)):
-        if up and full[c] < limit - limit // 1000:
-            continue
+def _uses(lens: np.ndarray, left: np.ndarray, limit: int, mass: dict[tuple[int, ...], float], up: bool) -> list[tuple[list[tuple[int, int]], int]]:
+    """Whole configurations ((length, copies) pairs, longest first) and how often each is used, best filled first; what
+    they hold is taken from `left`, and mass that would cover more than is left is taken back."""
+    used, full = [], {c: int(lens[list(c)].sum()) for c in mass}
+    for c in sorted(mass, key=lambda c: (-full[c], -mass[c], c)):
         kinds, copies = np.unique(c, return_counts=True)
-        times = min(int(mass[c] * scale + (1 - 1e-9 if up else 0)), int((left[kinds] // copies).min()))
+        times = min(int(mass[c] + (1 - 1e-9 if up else 0)), int((left[kinds] // copies).min()))
         if times > 0:
             used.append(([(int(lens[k]), int(n)) for k, n in zip(kinds[::-1], copies[::-1], strict=True)], times))
             left[kinds] -= times * copies
-    bins, free = [], []  # the rest: best fit, longest first
+    return used
+
+
+def _fitted(lens: np.ndarray, left: np.ndarray, limit: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Pieces in bulk, longest first: a sequence takes the longest that fit, as often as what is left allows. Each step
+    leaves fewer of a length than the sequence held, so the steps are bounded by the lengths and not by the pieces."""
+    used = []
+    live = np.flatnonzero(left)
+    while int(left.sum()) > limit:
+        room, config, at = limit, [], len(live)
+        while at and (at := min(at, int(np.searchsorted(lens[live], room, "right")))):
+            k = live[at := at - 1]
+            if n := min(int(left[k]), room // int(lens[k])):
+                config.append((k, n))
+                room -= n * int(lens[k])
+        times = min(int(left[k]) // n for k, n in config)
+        used.append(([(int(lens[k]), n) for k, n in config], times))
+        for k, n in config:
+            left[k] -= times * n
+        live = live[left[live] > 0]
+    return used
+
+
+def _best_fit(lens: np.ndarray, left: np.ndarray, limit: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Piece by piece, longest first; for `limit` pieces at most."""
+    bins, free = [], []
     for k in range(len(lens) - 1, -1, -1):
         size = int(lens[k])
         for _ in range(int(left[k])):
@@ -171,7 +194,21 @@ def _rounded(lens: np.ndarray, demand: np.ndarray, limit: int, mass: dict[tuple[
             bins[b].append(size)
             if room > size:
                 insort(free, (room - size, b))
-    return used + [([(s, b.count(s)) for s in sorted(set(b), reverse=True)], 1) for b in bins]
+    return [([(s, b.count(s)) for s in sorted(set(b), reverse=True)], 1) for b in bins]
+
+
+def _rounded(lens: np.ndarray, demand: np.ndarray, limit: int, mass: dict[tuple[int, ...], float], rounds: int, up: bool) -> list[tuple[list[tuple[int, int]], int]]:
+    """The fractional plan in whole sequences; what it leaves is planned again while that takes away half of it."""
+    left, used, before = demand.copy(), [], 2 * int(demand.sum())
+    while True:
+        used += _uses(lens, left, limit, mass, up)
+        rest = int(left.sum())
+        if rest <= limit or rest > before // 2:
+            break
+        before, live = rest, np.flatnonzero(left)
+        mass = {tuple(live[list(c)].tolist()): x for c, x in fractional(lens[live], left[live].astype(float), limit, max(1, rounds // 4)).items()}
+    used += _fitted(lens, left, limit)
+    return used + _best_fit(lens, left, limit)
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> tuple[np.ndarray, int]:
@@ -182,7 +219,7 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) ->
     if len(lens):
         demand = np.array([histogram[int(x)] for x in lens], np.int64)
         mass = fractional(lens, demand.astype(float), limit, rounds)
-        used += min((_rounded(lens, demand, limit, mass, up) for up in (False, True)), key=lambda u: sum(n for _, n in u))
+        used += min((_rounded(lens, demand, limit, mass, rounds, up) for up in (False, True)), key=lambda u: sum(n for _, n in u))
     rows, rank, sequences = [], dict.fromkeys(histogram, 0), 0
     for config, times in used:
         at = 0

@@ -83,6 +83,21 @@ def test_plan_fills_and_covers():
         assert mine[0, 1] == 0 and mine[-1, 2] == n and (mine[1:, 1] == mine[:-1, 2]).all()
 
 
+def test_a_plan_does_not_grow_with_the_pieces():
+    r = random.Random(4)
+    lens = {k: r.randrange(1, 40) for k in range(1, 600, 7)}
+    sizes = []
+    for times in (1_000, 100_000):
+        many = {k: n * times + r.randrange(50) for k, n in lens.items()}
+        rows, used = packing.plan(many, 1000)
+        sizes.append(len(rows))
+        assert used <= math.ceil(sum(k * n for k, n in many.items()) / 1000) * 1.02 + 1
+        for k, n in many.items():
+            mine = rows[rows[:, 0] == k]
+            assert mine[0, 1] == 0 and mine[-1, 2] == n and (mine[1:, 1] == mine[:-1, 2]).all()
+    assert sizes[1] <= 2 * sizes[0]
+
+
 def test_plan_of_nothing(spark):
     assert packing.pack_documents(docs_of(spark, [(1, "a")]).limit(0)).count() == 0
 
