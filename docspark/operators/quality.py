@@ -98,7 +98,13 @@ def glyph_ratio(col):
     """The share of a text that is unresolved glyph names; 0 below 200 characters."""
     gids = F.regexp_count(col, F.lit(r"/gid\d{5}")) * 9
     marks = F.aggregate(F.regexp_extract_all(col, F.lit(r"GLYPH<[^>]*>"), F.lit(0)), F.lit(0), lambda s, x: s + F.length(x))
-    return F.when(F.length(col) < 200, 0.0).otherwise(F.round((gids + marks) / F.length(col), 6))
+    return F.when(F.length(col) < 200, 0.0).otherwise((gids + marks) / F.length(col))
+
+
+def reset_contaminated(docs: DataFrame, text: str, threshold: float = 0.10) -> DataFrame:
+    """Documents whose text is glyph names by `threshold` or more, set back to be parsed again, with the reason."""
+    bad = docs.where(glyph_ratio(F.col(text)) >= threshold)
+    return bad.withColumn("sys_status", F.lit("downloaded")).withColumn("sys_error_message", F.lit("Reset: glyph contamination in parsed output"))
 
 
 def reconcile_counts(a: DataFrame, b: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -391,6 +391,17 @@ def k05(spark, sf):
     return d.where(quality.glyph_ratio(F.col("text")) >= 0.09).select("doc_id", "sys_status")
 
 
+@query("k05b_glyph_reset", r"""WITH t AS (SELECT doc_id, sys_full_summary || CASE CAST(doc_id AS INT) % 7 WHEN 3 THEN repeat('GLYPH<23>.', 40) WHEN 5 THEN repeat('/gid00023 ', 40) ELSE '' END AS text FROM v_docs)
+SELECT doc_id, 'downloaded' AS sys_status, 'Reset: glyph contamination in parsed output' AS sys_error_message FROM t WHERE length(text) >= 200 AND
+(9 * len(regexp_extract_all(text, '/gid\d{5}')) + length(array_to_string(regexp_extract_all(text, 'GLYPH<[^>]*>'), ''))) / length(text) >= 0.10""")
+def k05b(spark, sf):
+    """Every document's whole text; k05 looks at some lengths alone."""
+    k = F.col("doc_id").cast("int") % 7
+    marks = F.when(k == 3, F.repeat(F.lit("GLYPH<23>."), 40)).when(k == 5, F.repeat(F.lit("/gid00023 "), 40)).otherwise("")
+    d = docs(spark, sf).withColumn("text", F.concat("sys_full_summary", marks))
+    return quality.reset_contaminated(d, "text").select("doc_id", "sys_status", "sys_error_message")
+
+
 @query("k08_backfill", """SELECT doc_id, coalesce(map_country, map_organization) AS map_country FROM v_docs""")
 def k08(spark, sf):
     return quality.backfill(docs(spark, sf), {"map_country": "map_organization"}).select("doc_id", "map_country")

@@ -194,3 +194,9 @@ def test_plans_of_relational_operators_stay_native(spark, sf):
     for name in ("d03_breakdown", "e08_propagate_labels", "f02_bm25_search", "c03_asof_section", "d06_org_flows"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "CartesianProduct")), name
+
+
+def test_contaminated_documents_are_reset_whatever_their_length(spark):
+    rows = [("a", "GLYPH<1>" * 1000 + "x" * 2000, "indexed"), ("b", "/gid00001" * 10 + "x" * 811, "indexed"), ("c", "/gid00001" * 10 + "x" * 810, "parsed"), ("d", "GLYPH<1>" * 24, "parsed"), ("e", None, "parsed")]
+    got = quality.reset_contaminated(spark.createDataFrame(rows, "doc_id string, text string, sys_status string"), "text").collect()
+    assert {(r.doc_id, r.sys_status, r.sys_error_message) for r in got} == {(k, "downloaded", "Reset: glyph contamination in parsed output") for k in "ac"}
