@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewise import Piece, mix64, pieces, seeded
-from docspark.llm.staging import stage, table
+from docspark.llm.bytewise import Digests, Piece, mix64, pieces, seeded
+from docspark.llm.staging import for_each_row, one_row_per_id, stage, table
 
 BITS_EACH = 10
 PROBES = 4
@@ -50,11 +50,11 @@ def held_out(ids: np.ndarray, parts: int = 7, part: int = 2) -> np.ndarray:
     return np.array([zlib.crc32(str(int(i)).encode()) % parts == part for i in ids], bool)
 
 
-def _tokens(p: Piece) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tokens(p: Piece, digests: Digests) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token fingerprints with an end after each document, those of the token before each (the boundary first), and
     where documents begin (one more at the end)."""
-    begin, close, first = p.words()
-    h = p.fingerprints(begin, close, folded=True)
+    h, first = digests.of(p)
+    h = h[:, 0]
     offs = first + np.arange(len(first))
     got = np.empty(offs[-1], np.uint64)
     word = np.ones(offs[-1], bool)
@@ -129,10 +129,11 @@ def _gather(buckets: int):
         yield _rows([-1 - piece], piece, [_planes(z, np.diff(names, prepend=np.uint64(0)))], [_planes(z, documents)], [_planes(z, at.astype(np.uint32))])
 
     def run(batches):
+        digests = Digests(folded=True)
         held, size, piece = [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for p in pieces(batch, "doc_id", "text"):
-                h, before, offs = _tokens(p)
+                h, before, offs = _tokens(p, digests)
                 held.append((p.ids, np.diff(offs), h, before))
                 size += len(h)
                 if size >= FLUSH_TOKENS:
@@ -326,14 +327,15 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Tokens are lower-cased words and one end; a null or empty text is the end alone. Documents whose crc32(id) mod 7 is 2
     are held out, the others teach. base_score adds one to exact counts. With nothing to learn from, scores are those of
-    an empty model (0). Rows without an id are left out; rows that share an id must share their text and get a row each.
-    Other columns are ignored."""
+    an empty model (0). Long texts are read whole. Rows without an id are left out; of rows that share an id,
+    `one_row_per_id` names one for all. Other columns are ignored."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
+    all_, docs = docs, one_row_per_id(docs)
     rows, _ = gather(docs)
     answers = stage(rows.groupBy("bucket").applyInArrow(_answer, NGRAMS))
     model = _model(answers)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return answers.where("piece >= 0").groupBy("piece").applyInArrow(_score(model), schema)
+    return for_each_row(all_, docs, answers.where("piece >= 0").groupBy("piece").applyInArrow(_score(model), schema))
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

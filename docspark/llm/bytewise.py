@@ -1,24 +1,26 @@
-"""Vectorised words and fingerprints over Arrow string columns.
+"""Words, digests and byte strings over Arrow string columns.
 
 A batch is cut into pieces of a few MB so that a worker's arrays stay small whatever the batch size is; a document
-is never cut. Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r.
+is never cut. Words are maximal runs of bytes other than space and \\t \\n \\v \\f \\r; equality of words is equality
+of 128-bit BLAKE2b digests.
 """
 
 from __future__ import annotations
 
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 PIECE_BYTES = 2 << 20
 SLICE_ROWS = 1024
+KNOWN_BYTES = 24 << 20  # of words whose digests a task keeps
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,20 +39,65 @@ def seeded(seed: int, n: int) -> np.ndarray:
     return mix64((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 20)) * np.uint64(_BASE))
 
 
-_EXACT = seeded(1, 256)
-_FOLDED = _EXACT.copy()
-_FOLDED[65:91] = _FOLDED[97:123]
-_powers: tuple[np.ndarray, np.ndarray] | None = None
+STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, PIECE_BYTES + (PIECE_BYTES >> 2))
-        up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers[0][:n], _powers[1][:n]
+def chained(parts: list[np.ndarray], seed: int) -> np.ndarray:
+    """A fingerprint of equally long columns of 64-bit values, by row; mixing after every value keeps it non-linear."""
+    got = np.full(len(parts[0]), seed, np.uint64)
+    for x in parts:
+        got = mix64(got * STEP + x)
+    return got
+
+
+def runs(h: np.ndarray, size: int, seed: int) -> np.ndarray:
+    """Fingerprints of every run of `size` values, by doubling."""
+    if len(h) < size:
+        return np.zeros(0, np.uint64)
+    x, span = mix64(h + np.uint64(seed)), 1
+    while span < size:
+        off = min(span, size - span)
+        x = mix64(x[:-off] * STEP + x[off:])
+        span += off
+    return x
+
+
+def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
+    span = 1
+    while span * 2 <= size:
+        x = np.minimum(x[:-span], x[span:])
+        span *= 2
+    return np.minimum(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
+
+
+class Digests:
+    """Digests of the words of pieces, as two columns of 64 bits. Those seen are kept in bounded memory for as long as
+    the object lives, which is a task."""
+
+    def __init__(self, folded: bool = False):
+        self.folded, self.known, self.size = folded, {}, 0
+
+    def _miss(self, word: bytes) -> bytes:
+        got = blake2b(word, digest_size=16).digest()
+        if len(word) <= 64:
+            self.size += len(word) + 160
+            if self.size > KNOWN_BYTES:
+                self.known.clear()
+                self.size = len(word) + 160
+            self.known[word] = got
+        return got
+
+    def of(self, p: Piece) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of all words in order, shape (words, 2), and where each document's begin (one more at the end)."""
+        data, joined, first = p.buf.tobytes(), [], [0]
+        if self.folded:
+            data = data.lower()  # A-Z alone, as these are bytes
+        for a, b in zip(p.offs[:-1].tolist(), p.offs[1:].tolist(), strict=True):
+            words = data[a:b].split()
+            get, miss = self.known.get, self._miss
+            joined.append(b"".join([get(w) or miss(w) for w in words]))
+            first.append(first[-1] + len(words))
+        return np.frombuffer(b"".join(joined), np.uint64).reshape(-1, 2), np.array(first, np.int64)
 
 
 class Piece:
@@ -58,25 +105,10 @@ class Piece:
 
     def __init__(self, ids: np.ndarray, buf: np.ndarray, offs: np.ndarray, first: int):
         self.ids, self.buf, self.offs, self.first = ids, buf, offs, first
-        self._sums: dict[bool, np.ndarray] = {}
 
     def __len__(self) -> int:
         return len(self.offs) - 1
 
-    def sums(self, folded: bool) -> np.ndarray:
-        """Prefix sums of byte values times powers; any substring's fingerprint is a difference of two."""
-        if folded not in self._sums:
-            up, _ = _pow(len(self.buf) + 1)
-            s = np.zeros(len(self.buf) + 1, np.uint64)
-            np.cumsum((_FOLDED if folded else _EXACT)[self.buf] * up[: len(self.buf)], out=s[1:])
-            self._sums[folded] = s
-        return self._sums[folded]
-
-    def fingerprints(self, start: np.ndarray, end: np.ndarray, folded: bool = False) -> np.ndarray:
-        s = self.sums(folded)
-        _, down = _pow(len(self.buf) + 1)
-        return mix64((s[end] - s[start]) * down[start])
-
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and for each document where its words begin (one more at the end)."""
         n = len(self.buf)

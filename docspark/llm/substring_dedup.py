@@ -17,163 +17,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewise import Piece, mix64, pieces, seeded
+from docspark.llm.bytewise import Digests, Piece, pieces, runs, sliding_min
 from docspark.llm.sieve import sieve, thin
-from docspark.llm.staging import stage, table
+from docspark.llm.spans import CUT_SCHEMA, SPANS, blocks, cover, super_kmers, told
+from docspark.llm.staging import for_each_row, one_row_per_id, stage, table
 
 WINDOW, GRAM = 50, 4
-BLOCK_BYTES = {"word": 4 << 20, "byte": 256 << 10}  # handled at once: memory follows the units in it
-CUT_BYTES = {"word": 2 << 20, "byte": 512 << 10}
-_STEP = 0xD6E8FEB86659FD93
-_EXACT = seeded(9, 256)
-
-
-def _rolled(h: np.ndarray, size: int, seed: int) -> np.ndarray:
-    """Fingerprints of every run of `size` values."""
-    n = len(h) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up = np.full(len(h), _STEP, np.uint64)
-    up[0] = 1
-    up = np.cumprod(up)
-    down = np.full(n, pow(_STEP, -1, 1 << 64), np.uint64)
-    down[0] = 1
-    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h + np.uint64(seed)) * up)])
-    return mix64((s[size:] - s[:-size]) * np.cumprod(down))
-
-
-def _sliding_min(x: np.ndarray, size: int) -> np.ndarray:
-    span = 1
-    while span * 2 <= size:
-        x = np.minimum(x[:-span], x[span:])
-        span *= 2
-    return np.minimum(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
-
-
-def _units(p: Piece, unit: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    if unit == "word":
-        return p.words()
-    at = np.arange(len(p.buf))
-    return at, at + 1, p.offs
-
-
-def _windows(p: Piece, window: int, unit: str) -> tuple:
-    """Bounds of units (words or bytes), where documents' units begin, unit fingerprints, and where all windows start."""
-    begin, close, first = _units(p, unit)
-    h = p.fingerprints(begin, close) if unit == "word" else _EXACT[p.buf]
+BLOCK_BYTES = 4 << 20  # of super-k-mers, counted at once
+CUT_BYTES = 2 << 20  # of documents
+
+
+def _windows(p: Piece, window: int, digests: Digests) -> tuple:
+    """Bounds of words, where documents' words begin, word digests, and where all windows start with their document."""
+    begin, close, first = p.words()
+    h, _ = digests.of(p)
     room = np.maximum(np.diff(first) - window + 1, 0)
     at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(room)[:-1]]), room) + np.arange(room.sum())
     return begin, close, first, h, at, np.repeat(np.arange(len(p)), room)
 
 
-def _late(key: np.ndarray, second: np.ndarray, ids: np.ndarray, within: bool) -> np.ndarray:
-    """Windows that also start earlier: in a smaller id or, if `within`, before them in the same one."""
+def _late(h: np.ndarray, at: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Windows whose words, by 128 bits, also start in a smaller id."""
+    if not len(at):
+        return np.zeros(0, bool)
+    key, second = (runs(h[:, lane], window, lane)[at] for lane in range(2))
     order = np.lexsort((ids, second, key))
     same = np.zeros(len(key), bool)
     same[1:] = (key[order][1:] == key[order][:-1]) & (second[order][1:] == second[order][:-1])
     late = np.zeros(len(key), bool)
-    if within:
-        late[order] = same
-    else:
-        late[order] = ids[order] > ids[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
+    late[order] = ids[order] > ids[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
     return late
 
 
-def _cover(docs: np.ndarray, at: np.ndarray, base: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word intervals covered by flagged windows `at` (ascending), per document, relative to `base`."""
-    if not len(at):
-        return docs, at, at
-    new = np.ones(len(at), bool)
-    new[1:] = (at[1:] > at[:-1] + window) | (docs[1:] != docs[:-1])
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(at)) - 1
-    return docs[heads], at[heads] - base[docs[heads]], at[tails] + window - base[docs[heads]]
-
-
-def cut(window: int, gram: int, unit: str = "word", only=None):
-    """Super-k-mers of each piece, and at once the intervals that the piece itself shows to be repeated.
-
-    `only(batch, piece, starts, docs)`, if given, says which windows can be repeated at all."""
-    within = unit == "byte"
+def cut(window: int, gram: int):
+    """Super-k-mers of each piece, and at once the intervals that the piece itself shows to be repeated."""
 
     def run(batches):
+        digests = Digests()
         for batch in batches:
-            for p in pieces(batch, "doc_id", "text", CUT_BYTES[unit]):
-                begin, close, first, h, at, doc = _windows(p, window, unit)
-                if only:
-                    can = only(batch, p, at, doc)
-                    at, doc = at[can], doc[can]
-                if not len(at):
-                    continue
-                late = _late(_rolled(h, window, 1)[at], _rolled(h, window, 2)[at], p.ids[doc], within)
-                d, a, b = _cover(doc[late], at[late], first, window)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(mix64(p.ids[d].astype(np.int64).view(np.uint64)).view(np.int64)), pa.array(p.ids[d]), pa.array(a), pa.array(b), pa.nulls(len(d), pa.binary())],
-                    names=["minimiser", "doc_id", "first", "last", "packed"],
-                )
+            for p in pieces(batch, "doc_id", "text", CUT_BYTES):
+                begin, close, first, h, at, doc = _windows(p, window, digests)
+                late = _late(h, at, p.ids[doc], window)
+                yield from told(p.ids, *cover(doc[late], at[late], first, window))
                 at, doc = at[~late], doc[~late]
-                if not len(at):
-                    continue
-                least = _sliding_min(_rolled(h, gram, 3), window - gram + 1)[at]
-                new = np.ones(len(at), bool)
-                new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
-                heads = np.flatnonzero(new)
-                tails = at[np.append(heads[1:], len(at)) - 1] + window - 1
-                data = p.buf.tobytes()
-                packed = [data[x:y] for x, y in zip(begin[at[heads]].tolist(), close[tails].tolist(), strict=True)]
-                base = first[doc[heads]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(least[heads].view(np.int64)), pa.array(p.ids[doc[heads]]), pa.array(at[heads] - base), pa.array(tails + 1 - base), pa.array(packed, pa.binary())],
-                    names=["minimiser", "doc_id", "first", "last", "packed"],
-                )
+                if len(at):
+                    least = sliding_min(runs(h[:, 0], gram, 3), window - gram + 1)[at]
+                    yield super_kmers(p, least, at, doc, first, begin, close, window)
 
     return run
 
 
-CUT_SCHEMA = "minimiser long, doc_id long, first long, last long, packed binary"
-
-
-def _count(window: int, unit: str):
-    """Reads super-k-mers sorted by minimiser, whole buckets at a time; gives the covered intervals."""
+def _count(window: int):
+    def run(batches):
+        digests = Digests()
 
-    def settle(t: pa.Table):
-        # a window's place in the corpus is its super-k-mer's document and start: rows are put in that order first
-        t = t.sort_by([("doc_id", "ascending"), ("first", "ascending")])
-        ids, start = t["doc_id"].to_numpy(), t["first"].to_numpy()
-        b = pa.record_batch([pa.array(ids), t["packed"].combine_chunks()], names=["doc_id", "text"])
-        for p in pieces(b, "doc_id", "text", 1 << 62, max(1, len(b))):
-            _, _, first, h, at, row = _windows(p, window, unit)
-            late = _late(_rolled(h, window, 1)[at], _rolled(h, window, 2)[at], ids[row], unit == "byte")
-            r, a, b = _cover(row[late], at[late], first, window)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(start[r] + a), pa.array(start[r] + b)], names=["doc_id", "first", "last"])
+        def settle(t: pa.Table):
+            found, alive = [], np.zeros(len(t), bool)
+            ids, start = t["doc_id"].to_numpy(), t["first"].to_numpy()
+            for p in pieces(pa.record_batch([pa.array(ids), t["packed"].combine_chunks()], names=["doc_id", "text"]), "doc_id", "text", 1 << 62, len(t)):
+                _, _, first, h, at, row = _windows(p, window, digests)
+                late = _late(h, at, ids[row], window)
+                alive[row[~late]] = True
+                r, a, b = cover(row[late], at[late], first, window)
+                found.append(pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(start[r] + a), pa.array(start[r] + b)], names=["doc_id", "first", "last"]))
+            return found, alive
 
-    def run(batches):
-        held, size = [], 0
-        for batch in batches:
-            yield batch.filter(batch["packed"].is_null()).select(["doc_id", "first", "last"])
-            batch = batch.filter(batch["packed"].is_valid())
-            if not len(batch):
-                continue
-            held.append(batch)
-            size += batch.nbytes
-            if size < BLOCK_BYTES[unit]:
-                continue
-            t = pa.Table.from_batches(held)
-            m = t["minimiser"].to_numpy()
-            done = int(np.flatnonzero(m != m[-1])[-1]) + 1 if m[0] != m[-1] else 0
-            if done:
-                yield from settle(t.slice(0, done))
-            rest = t.slice(done).combine_chunks()
-            held, size = rest.to_batches(), (rest.nbytes if done else 0)
-        if held:
-            yield from settle(pa.Table.from_batches(held))
+        yield from blocks(batches, BLOCK_BYTES, settle)
 
     return run
 
 
-def count(cut_rows: DataFrame, window: int, unit: str = "word") -> DataFrame:
+def count(cut_rows: DataFrame, window: int) -> DataFrame:
     """(doc_id, first, last): the repeated intervals that the buckets of `cut_rows` show."""
-    return cut_rows.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count(window, unit), "doc_id long, first long, last long")
+    return cut_rows.repartition("minimiser").sortWithinPartitions("minimiser").mapInArrow(_count(window), SPANS)
 
 
 def _remove(batches):
@@ -201,38 +117,41 @@ def _whole(batches):
         )
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+
+
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, first, last): intervals of words covered by a window that also starts in a document with a smaller id.
-    Intervals may overlap. Rows without an id are left out; of rows that share an id, none covers another."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    Intervals may overlap. Rows without an id are left out; of rows that share an id, `one_row_per_id` names one."""
+    docs = one_row_per_id(_rows(docs, id_col, text_col))
     return count(docs.mapInArrow(cut(window, min(GRAM, window)), CUT_SCHEMA), window)
 
 
 def _removed(docs: DataFrame, window: int) -> DataFrame:
-    spans = stage(repeated_spans(docs, window=window))
+    spans = stage(count(docs.mapInArrow(cut(window, min(GRAM, window)), CUT_SCHEMA), window))
     hit = thin(docs, sieve(spans.select("doc_id")), "doc_id")
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     return hit.join(per_doc, "doc_id").mapInArrow(_remove, "doc_id long, n_removed long, kept_sha256 string, kept_text string")
 
 
-def _own(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-
-
 def substring_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 of the kept words joined by one space.
 
     Words are compared unchanged. A null, empty or short text (fewer words than `window`) loses nothing, nor does the
-    smallest id of each repeated window. Very long texts are never cut; repeated rows give a row each."""
-    docs = _own(docs, id_col, text_col)
-    gone = _removed(docs, window).drop("kept_text").dropDuplicates(["doc_id"])
+    smallest id of each repeated window. Very long texts are never cut. Rows without an id are left out; of rows that
+    share an id, `one_row_per_id` names one for all. Other columns are ignored."""
+    rows = _rows(docs, id_col, text_col)
+    docs = one_row_per_id(rows)
+    gone = _removed(docs, window).drop("kept_text")
     full = docs.mapInArrow(_whole, "doc_id long, n_words long, sha string")
-    return full.join(gone, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    found = full.join(gone, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return for_each_row(rows, docs, found)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, text) of every document that loses words, with the words it keeps."""
-    return _removed(_own(docs, id_col, text_col), window).select("doc_id", F.col("kept_text").alias("text"))
+    return _removed(one_row_per_id(_rows(docs, id_col, text_col)), window).select("doc_id", F.col("kept_text").alias("text"))
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

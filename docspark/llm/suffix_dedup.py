@@ -1,13 +1,15 @@
-"""Removal of repeated byte strings, with difference-cover samples and blockwise sorting.
+"""Removal of repeated byte strings by sorting suffixes, with difference-cover samples, block by block.
 
 Every string of WINDOW bytes holds, at one of its first PERIOD offsets, a position of the difference cover that is
-also one in any equal string, whatever the two alignments are. So it is enough to sort the suffixes at cover positions
-by their first WINDOW - PERIOD + 1 bytes, one bucket at a time, each in bounded memory: a string can be repeated only
-if one of its cover samples shares its rank with another. Ties that go on for longer are then resolved for the strings
-around such samples alone: they go to buckets by minimiser, packed as runs, and each bucket is sorted by full content.
-
-Suffixes are ordered by fingerprints of the prefix and not alphabetically, as only equality and the first place of each
-string matter here; cover ranks have 32 bits beside the bucket and only propose, 128-bit fingerprints decide.
+also one in any equal string, whatever the two alignments are. So suffixes at cover positions are ranked first, by their
+next WINDOW - PERIOD + 1 bytes and one bucket at a time: a string can be repeated only if one of its samples shares its
+rank with another.
+
+The suffixes that are left, and only these, are sorted by content. A suffix's bucket is its minimiser, the least hashed
+gram of its first WINDOW bytes, so equal strings meet and consecutive suffixes mostly travel as one packed string. In a
+block of buckets suffixes are sorted by their first 21 bytes; longer ties are resolved by ranks of the block's own cover
+samples, which are sorted before: two suffixes are compared by the ranks at the first offset where both have a sample.
+Equal strings are then neighbours, and neighbours are compared byte by byte. Memory is bounded by the block.
 """
 
 from __future__ import annotations
@@ -20,19 +22,43 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewise import pieces, release
+from docspark.llm.bytewise import chained, pieces, release, sliding_min
 from docspark.llm.sieve import sieve, thin
-from docspark.llm.staging import stage, table
-from docspark.llm.substring_dedup import CUT_SCHEMA, count, cut
+from docspark.llm.spans import CUT_SCHEMA, SPANS, blocks, cover, super_kmers, told
+from docspark.llm.staging import for_each_row, one_row_per_id, stage, table
 
 WINDOW = 100
 PERIOD = 57
 COVER = (0, 1, 3, 13, 32, 36, 43, 52)  # every difference modulo 57 occurs
+TIES = 21  # bytes sorted before ranks decide
+TIE_COVER = (0, 1, 4, 14, 16)  # every difference modulo 21 occurs
 GRAM = 20
-BUCKET_SAMPLES = 3_000_000  # sorted at once
+BUCKET_SAMPLES = 3_000_000  # ranked at once
+BLOCK_BYTES = 256 << 10  # of packed strings sorted at once
+CUT_BYTES = 512 << 10  # of documents
 PIECE = 1 << 20
 
 
+def _meeting() -> np.ndarray:
+    """For two residues modulo TIES, the first offset at which both have a cover sample."""
+    has = np.isin(np.arange(TIES), TIE_COVER)
+    k = (np.arange(TIES)[:, None] + np.arange(TIES)) % TIES  # residue, offset
+    return np.argmax(has[k][:, None, :] & has[k][None, :, :], axis=2)
+
+
+MEETING = _meeting()
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on; zeros follow the end."""
+    return np.ndarray((len(buf) + WINDOW,), np.uint64, np.concatenate([buf, np.zeros(WINDOW + 8, np.uint8)]), strides=(1,))
+
+
+def _steps(start: int, end: int) -> list[int]:
+    """Offsets of eight bytes each that cover start .. end."""
+    return [*range(start, end - 8, 8), max(end - 8, 0)]
+
+
 def _cover(piece, depth: int) -> np.ndarray:
     is_in = np.zeros(PERIOD, bool)
     is_in[list(COVER)] = True
@@ -41,6 +67,89 @@ def _cover(piece, depth: int) -> np.ndarray:
     return np.flatnonzero(is_in[place % PERIOD] & (place + depth <= np.repeat(size, size)))
 
 
+class Order:
+    """Suffixes `at` of a text in sorted order, refined step by step; `live` are the places still shared by a tie, `tie`
+    the first place of each one's tie."""
+
+    def __init__(self, eights: np.ndarray, at: np.ndarray):
+        self.eights, self.at = eights, at
+        self.order, self.live, self.tie = np.arange(len(at)), np.arange(len(at)), np.zeros(len(at), np.int64)
+
+    def _split(self, key: np.ndarray) -> np.ndarray:
+        """Sort each tie by `key` and split it; gives the keys in the new order."""
+        o = np.argsort(key) if self.tie[0] == self.tie[-1] else np.lexsort((key, self.tie))
+        self.order[self.live], key, g = self.order[self.live][o], key[o], self.tie[o]
+        new = np.ones(len(key), bool)
+        new[1:] = (g[1:] != g[:-1]) | (key[1:] != key[:-1])
+        self.tie = self.live[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        return key
+
+    def _shared(self, keep: np.ndarray) -> None:
+        self.live, self.tie = self.live[keep], self.tie[keep]
+        alone = np.ones(len(self.tie), bool)
+        alone[1:] &= self.tie[1:] != self.tie[:-1]
+        alone[:-1] &= self.tie[1:] != self.tie[:-1]
+        self.live, self.tie = self.live[~alone], self.tie[~alone]
+
+    def by_bytes(self, offsets: list[int]) -> None:
+        for k in offsets:
+            if not len(self.live):
+                return
+            self._split(self.eights[self.at[self.order[self.live]] + k].byteswap())
+            self.ranks[self.order[self.live]] = self.tie
+            self._shared(np.ones(len(self.live), bool))
+
+    @property
+    def ranks(self) -> np.ndarray:
+        """Of every suffix, the first place of its tie."""
+        if not hasattr(self, "_ranks"):
+            self._ranks = np.zeros(len(self.at), np.int64)
+        return self._ranks
+
+    def by_samples(self, rank: np.ndarray) -> None:
+        """Ties are split around a pivot each, by the ranks where both have a sample, until no tie has an unequal pair."""
+        while len(self.live):
+            heads = np.flatnonzero(np.append(True, self.tie[1:] != self.tie[:-1]))
+            sizes = np.diff(np.append(heads, len(self.tie)))
+            x = self.at[self.order[self.live]]
+            pivot = np.repeat(x[heads + sizes // 2], sizes)
+            k = MEETING[x % TIES, pivot % TIES]
+            side = self._split(np.sign(rank[x + k] - rank[pivot + k]))
+            self._shared(side != 0)
+
+
+def repeated(buf: np.ndarray, at: np.ndarray, window: int) -> np.ndarray:
+    """Which of the strings of `window` bytes at the ascending places `at` also start at an earlier one of them."""
+    late = np.zeros(len(at), bool)
+    eights = _eights(buf)
+    sorted_ = Order(eights, at)
+    sorted_.by_bytes(_steps(0, min(TIES, window)))
+    tied = sorted_.live.copy()
+    if not len(tied):
+        return late
+    x = at[sorted_.order[tied]]
+    if window > TIES:
+        near = np.zeros(len(buf) + TIES + 1, np.int32)
+        np.add.at(near, x, 1)
+        np.add.at(near, x + TIES, -1)
+        samples = np.flatnonzero(np.cumsum(near) > 0)
+        samples = samples[np.isin(samples % TIES, TIE_COVER)]
+        ranked = Order(eights, samples)
+        ranked.by_bytes(_steps(0, window))
+        rank = np.zeros(len(buf) + TIES + 1, np.int64)
+        rank[samples] = ranked.ranks
+        sorted_.by_samples(rank)
+        x = at[sorted_.order[tied]]
+    equal = np.ones(len(x) - 1, bool)
+    for k in _steps(0, window):  # neighbours, byte by byte
+        i = np.flatnonzero(equal)
+        equal[i] = eights[x[i] + k] == eights[x[i + 1] + k]
+    heads = np.flatnonzero(np.append(True, ~equal))
+    first = np.repeat(np.minimum.reduceat(x, heads), np.diff(np.append(heads, len(x))))
+    late[sorted_.order[tied]] = x > first
+    return late
+
+
 def _grouped(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """Documents and the list of places of each, both ascending."""
     heads = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, np.int64)
@@ -64,7 +173,8 @@ def _samples(buckets: int, depth: int, skip=None):
                 at = _cover(p, depth)
                 if not len(at):
                     continue
-                h = p.fingerprints(at, at + depth)
+                eights = _eights(p.buf)
+                h = chained([eights[at + k] for k in _steps(0, depth)], 5)
                 order = np.argsort(h, kind="stable")
                 same = h[order][1:] == h[order][:-1]
                 flagged, later = np.zeros(len(at), bool), np.zeros(len(at), bool)
@@ -124,20 +234,64 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     return pa.concat_tables(out)
 
 
-def _near_samples(window: int):
-    """Windows with a flagged sample among their first PERIOD bytes."""
+def _near_samples(batch, piece, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Strings with a flagged sample among their first PERIOD bytes: their places and documents."""
+    marks = np.zeros(len(piece.buf) + 1, np.int32)
+    for i in range(len(piece)):
+        q = np.unique(batch["flags"][piece.first + i].values.to_numpy()) + piece.offs[i]
+        np.add.at(marks, np.maximum(q - PERIOD + 1, piece.offs[i]), 1)
+        np.add.at(marks, q + 1, -1)
+    at = np.flatnonzero(np.cumsum(marks)[:-1] > 0)
+    doc = piece.doc_of(at)
+    fits = at + window <= piece.offs[doc + 1]
+    return at[fits], doc[fits]
 
-    def only(batch, piece, at, doc):
-        marks = np.zeros(len(piece.buf) + 1, np.int32)
-        flags = batch["flags"]
-        for i in range(len(piece)):
-            q = np.unique(flags[piece.first + i].values.to_numpy()) + piece.offs[i]
-            low = np.maximum(q - PERIOD + 1, piece.offs[i])
-            np.add.at(marks, low, 1)
-            np.add.at(marks, q + 1, -1)
-        return np.cumsum(marks)[at] > 0
 
-    return only
+def cut(window: int):
+    """The suffixes that can be repeated, packed for their buckets, and at once the intervals that a piece itself shows
+    to be repeated."""
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.take(pa.array(np.argsort(batch["doc_id"].to_numpy(), kind="stable")))  # the corpus's order
+            for p in pieces(batch, "doc_id", "text", CUT_BYTES):
+                at, doc = _near_samples(batch, p, window)
+                late = repeated(p.buf, at, window)
+                yield from told(p.ids, *cover(doc[late], at[late], p.offs, window))
+                at, doc = at[~late], doc[~late]
+                if len(at):
+                    eights, place = _eights(p.buf), np.arange(len(p.buf) - GRAM + 1)
+                    grams = chained([eights[place + k] for k in _steps(0, GRAM)], 3)
+                    every = np.arange(len(p.buf))
+                    yield super_kmers(p, sliding_min(grams, window - GRAM + 1)[at], at, doc, p.offs, every, every + 1, window)
+
+    return run
+
+
+def _count(window: int):
+    def settle(t: pa.Table):
+        # a string's place in the corpus is its document and start: rows are put in that order first
+        order = np.lexsort((t["first"].to_numpy(), t["doc_id"].to_numpy()))
+        t = t.take(pa.array(order))
+        ids, start = t["doc_id"].to_numpy(), t["first"].to_numpy()
+        packed = t["packed"].combine_chunks().cast(pa.large_binary())
+        offs = np.frombuffer(packed.buffers()[1], np.int64)[packed.offset : packed.offset + len(t) + 1]
+        buf = np.frombuffer(packed.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+        offs = offs - offs[0]
+        room = np.diff(offs) - window + 1
+        row = np.repeat(np.arange(len(t)), room)
+        at = np.arange(len(row)) + np.repeat(offs[:-1] - (np.cumsum(room) - room), room)
+        late = repeated(buf, at, window)
+        first = np.zeros(len(t), bool)
+        first[order[row[~late]]] = True
+        r, a, b = cover(row[late], at[late], offs, window)
+        return [pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(start[r] + a), pa.array(start[r] + b)], names=["doc_id", "first", "last"])], first
+
+    def run(batches):
+        yield from blocks(batches, BLOCK_BYTES, settle)
+        release()
+
+    return run
 
 
 def _remove(batches):
@@ -162,7 +316,7 @@ def _copies(docs: DataFrame) -> DataFrame:
     return named.join(first, ["sha", "n"]).where("doc_id > head").select("doc_id")
 
 
-def _prepared(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null")
 
 
@@ -176,7 +330,8 @@ def _removals(docs: DataFrame, copies: DataFrame, window: int) -> DataFrame:
     flagged = stage(samples.groupBy("bucket").applyInArrow(_sort_bucket, "doc_id long, flags array<int>"))
     flags = flagged.groupBy("doc_id").agg(F.flatten(F.collect_list("flags")).alias("flags"))
     near = thin(docs, sieve(flagged.select("doc_id")), "doc_id").join(copies, "doc_id", "left_anti").join(flags, "doc_id")
-    spans = stage(count(near.mapInArrow(cut(window, GRAM, "byte", _near_samples(window)), CUT_SCHEMA), window, "byte"))
+    packed = near.mapInArrow(cut(window), CUT_SCHEMA).repartition("minimiser").sortWithinPartitions("minimiser")
+    spans = stage(packed.mapInArrow(_count(window), SPANS))
     per_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
     hit = thin(docs, sieve(spans.select("doc_id")), "doc_id").join(per_doc, "doc_id")
     return hit.mapInArrow(_remove, "doc_id long, n_removed long, n_spans long, kept_sha256 string, kept binary")
@@ -187,26 +342,28 @@ def suffix_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     `window` bytes (over PERIOD) that also starts earlier, in a smaller id or before in the same document.
 
     Strings are judged on the input. A null or empty text, and any shorter than `window`, keeps everything. A later copy
-    of a whole text loses it all, in one span, if it has `window` bytes. Rows without an id are left out; ids are unique.
-    Other columns are ignored."""
-    docs = _prepared(docs, id_col, text_col)
+    of a whole text loses it all, in one span, if it has `window` bytes. Rows without an id are left out; of rows that share
+    an id, `one_row_per_id` names one for all. Other columns are ignored."""
+    rows = _rows(docs, id_col, text_col)
+    docs = one_row_per_id(rows)
     copies = stage(_copies(docs))
-    gone = _removals(docs, copies, window).drop("kept").dropDuplicates(["doc_id"])
+    gone = _removals(docs, copies, window).drop("kept")
     full = docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     found = full.join(copies.select("doc_id", F.lit(True).alias("copy")), "doc_id", "left").join(gone, "doc_id", "left")
     whole = F.col("copy") & (F.col("n_bytes") >= window)
-    return found.select(
+    found = found.select(
         "doc_id",
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
     )
+    return for_each_row(rows, docs, found)
 
 
 def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """(doc_id, kept): the remaining bytes of every document that loses some; later copies of whole texts keep none."""
-    docs = _prepared(docs, id_col, text_col)
+    docs = one_row_per_id(_rows(docs, id_col, text_col))
     copies = stage(_copies(docs))
     long_copies = docs.select("doc_id", F.octet_length("text").alias("n")).where(F.col("n") >= window).join(copies, "doc_id", "left_semi")
     return _removals(docs, copies, window).select("doc_id", "kept").unionByName(long_copies.select("doc_id", F.lit(b"").alias("kept")))

@@ -195,8 +195,8 @@ def brute_bytes(texts, window):
 def test_repeated_bytes(spark, piece, monkeypatch):
     texts = awkward(6) + [(80, "é" * 300), (81, "zé" * 200 + "q"), (82, "x" * 99), (83, "x" * 100)]
     if piece < 1000:
-        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
-        monkeypatch.setattr(substring_dedup, "CUT_BYTES", {"word": piece, "byte": piece})
+        for name in ("PIECE", "CUT_BYTES", "BLOCK_BYTES"):
+            monkeypatch.setattr(suffix_dedup, name, piece)
     got = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.suffix_digest(table(spark, texts).repartition(3)).collect()}
     assert got == brute_bytes(texts, 100)
 
@@ -231,8 +231,8 @@ def brute_words(texts, window=50):
 @pytest.mark.parametrize("piece", [2 << 20, 700], ids=["whole", "small pieces"])
 def test_repeated_words(spark, piece, monkeypatch):
     texts = awkward(7)
-    monkeypatch.setattr(substring_dedup, "CUT_BYTES", {"word": piece, "byte": piece})
-    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", {"word": piece, "byte": piece})
+    monkeypatch.setattr(substring_dedup, "CUT_BYTES", piece)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", piece)
     got = {r.doc_id: tuple(r)[1:] for r in substring_dedup.substring_digest(table(spark, texts).repartition(3)).collect()}
     assert got == brute_words(texts)
 
