@@ -5,12 +5,14 @@ evaluations; minimum and maximum agree for two sets with the probability of thei
 values find pairs of similarity 0.8 with probability 1 - (1 - 0.8^6)^40, over 0.999994.
 
 Documents with equal sets are one class and go on as their smallest id. In a bucket, members are compared with one
-representative, then with another; components follow, and only pairs that are still in different components are left.
-Of these, a pair is compared unless it provably can't be similar: its sizes differ too much, or the intersection would
-be too small even if it held every shingle that more than RARE of the documents left have (those that few have are
-counted, pair by pair). So a group of copies costs its size and not its square, while
-every candidate pair ends up linked, joined through others, measured or ruled out. All links are confirmed on the full
-sets.
+pivot, the one that shares most places in buckets, then with another of the farthest component; components follow, and
+only buckets that still hold more than one component are left. Their members are compared with a third pivot P, the
+best linked document of the bucket's largest component, which gives what each lacks of P and what it has besides. If x
+is not similar to P, then x and y can be similar only if they share more of these differences than
+(100 d + t a) / (100 + t), where y lacks d shingles of P, has a others, and t is the threshold in percent; so y is
+indexed by that many fewer of its differences, x looks all of its own up, and only documents with a difference in common
+meet. A group of copies costs its size and not its square, and no link between different components is lost. All links
+are confirmed on the full sets, of 128-bit fingerprints.
 """
 
 from __future__ import annotations
@@ -20,36 +22,44 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewise import mix64, pieces, seeded
+from docspark.llm.bytewise import STEP, Digests, mix64, pieces, seeded
 from docspark.llm.components import components
 from docspark.llm.sieve import sieve, thin
-from docspark.llm.staging import stage, table, without
+from docspark.llm.staging import for_each_row, one_row_per_id, stage, table, without
 
 BANDS, ROWS = 40, 3  # rows are permutations: two values each
 THRESHOLD = 80  # percent
-RARE = 8  # documents at most
-STARS = (("lo", "min"), ("hi", "max"))  # whose component gives the representative, and which member
+COMMON = 32  # a difference is common if one of so many of a pivot's documents has it
 
 
-def _shingles(piece, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Fingerprints of all word shingles, and where each document's begin (one more at the end)."""
-    begin, close, first = piece.words()
-    h = piece.fingerprints(begin, close, folded=True)
+def _shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all word shingles, in two columns, and where each document's begin (one more at the end)."""
     n = np.diff(first)
     count = np.where(n >= width, n - width + 1, np.minimum(n, 1))
     offs = np.concatenate([[0], np.cumsum(count)])
     at = np.repeat(first[:-1] - offs[:-1], count) + np.arange(offs[-1])
     size = np.repeat(np.minimum(n, width), count)
-    got = np.zeros(offs[-1], np.uint64)
+    got = np.zeros((2, offs[-1]), np.uint64)
     for k in range(width):
         has = size > k
-        got[has] = mix64(got[has] * np.uint64(0x9E3779B97F4A7C15) + h[at[has] + k] + np.uint64(k + 1))
+        for lane in range(2):
+            got[lane, has] = mix64(got[lane, has] * STEP + h[at[has] + k, lane] + np.uint64(k + 1))
     return got, offs
 
 
-def _distinct(got: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sets = [np.unique(got[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-    return np.concatenate(sets) if sets else got, np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+def _sets(docs: DataFrame, width: int, made, schema: str) -> DataFrame:
+    """Rows that `made(ids, sets, offs)` gives for the documents of a piece, whose distinct shingles are sorted."""
+
+    def run(batches):
+        digests = Digests(folded=True)
+        for batch in batches:
+            for p in pieces(batch, "doc_id", "text"):
+                got, offs = _shingles(*digests.of(p), width)
+                at = [a + np.unique(got[0, a:b], return_index=True)[1] for a, b in zip(offs[:-1], offs[1:], strict=True)]
+                offs = np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int64)
+                yield made(p.ids, got[:, np.concatenate(at)], offs)
+
+    return docs.mapInArrow(run, schema)
 
 
 def _per_doc(f, values: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -71,7 +81,7 @@ def _bands(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
         for p in range(band * ROWS, band * ROWS + ROWS):
             y = (x ^ flips[p]) * odd[p]
             for v in (_per_doc(np.minimum, y, offs), _per_doc(np.maximum, y, offs)):
-                k = mix64(k * np.uint64(0x9E3779B97F4A7C15) + v.astype(np.uint64))
+                k = mix64(k * STEP + v.astype(np.uint64))
         keys[:, band] = k
     return keys
 
@@ -79,59 +89,126 @@ def _bands(x: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """Per document: its set's size, a 128-bit fingerprint of the set, and its band keys."""
 
-    def run(batches):
-        for batch in batches:
-            for p in pieces(batch, "doc_id", "text"):
-                got, offs = _distinct(*_shingles(p, width))
-                sums = [_per_doc(np.add, v, offs).view(np.int64) for v in (got, mix64(got ^ np.uint64(0x5851F42D4C957F2D)))]
-                keys = pa.ListArray.from_arrays(np.arange(len(p) + 1, dtype=np.int32) * BANDS, pa.array(_bands(got, offs).ravel().view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(p.ids), pa.array(np.diff(offs)), *map(pa.array, sums), keys], names=["doc_id", "n", "f1", "f2", "bands"])
+    def made(ids, got, offs):
+        sums = [_per_doc(np.add, mix64(lane), offs).view(np.int64) for lane in got]
+        keys = pa.ListArray.from_arrays(np.arange(len(ids) + 1, dtype=np.int32) * BANDS, pa.array(_bands(got[0], offs).ravel().view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.diff(offs)), *map(pa.array, sums), keys], names=["doc_id", "n", "f1", "f2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, bands array<long>")
+    return _sets(docs, width, made, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
+def _packed(docs: DataFrame, width: int) -> DataFrame:
     """Per document its full set, sorted and packed."""
 
+    def made(ids, got, offs):
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([got[:, a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], names=["id", "packed"])
+
+    return _sets(docs, width, made, "id long, packed binary")
+
+
+def _compared(pairs: DataFrame, sets: DataFrame, made, schema: str) -> DataFrame:
+    """Rows that `made(batch, compared)` gives for pairs (u, v), where `compared` yields of each pair both sets' first
+    columns and the places of what they share."""
+
     def run(batches):
+        def compared(batch):
+            for x, y in zip(batch["a"], batch["b"], strict=True):
+                x, y = (np.frombuffer(z.as_buffer(), np.uint64).reshape(2, -1) for z in (x, y))
+                _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+                same = x[1][i] == y[1][j]
+                yield x[0], y[0], i[same], j[same]
+
         for batch in batches:
-            for p in pieces(batch, "doc_id", "text"):
-                got, offs = _distinct(*_shingles(p, width))
-                packed = [got[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(p.ids), pa.array(packed, pa.binary())], names=["id", "packed"])
+            yield made(batch, compared(batch))
 
-    return docs.mapInArrow(run, "id long, packed binary")
+    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("packed").alias("a")), "u")
+    return left.join(sets.select(F.col("id").alias("v"), F.col("packed").alias("b")), "v").mapInArrow(run, schema)
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Those of `pairs` (u, v) whose full sets are similar enough."""
 
-    def run(batches):
-        for batch in batches:
-            a, b = (batch.column(i).to_pylist() for i in (2, 3))
-            keep = []
-            for x, y in zip(a, b, strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= threshold * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    def made(batch, compared):
+        keep = [len(i) * (100 + threshold) >= threshold * (len(x) + len(y)) for x, y, i, _ in compared]
+        return batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("id").alias("u"), F.col("packed").alias("a")), "u")
-    full = left.join(sets.select(F.col("id").alias("v"), F.col("packed").alias("b")), "v").select("u", "v", "a", "b")
-    return full.mapInArrow(run, "u long, v long")
+    return _compared(pairs, sets, made, "u long, v long")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Of documents u and pivots v: whether they are similar; how many shingles v has, u lacks of them and has besides;
+    and these, first those that u has."""
+
+    def made(batch, compared):
+        out = []
+        for x, y, i, j in compared:
+            more, less = np.delete(x, i), np.delete(y, j)
+            out.append((len(i) * (100 + threshold) >= threshold * (len(x) + len(y)), len(y), len(less), len(more), np.concatenate([more, less]).view(np.int64)))
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        made = [pa.array(c, t) for c, t in zip(cols, (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch[k] for k in "uvce"), *made], names=[*"uvce", "similar", "m", "d", "a", "parts"])
 
+    return _compared(pairs, sets, made, "u long, v long, c long, e long, similar boolean, m long, d long, a long, parts array<long>")
 
-def _rare_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
-    """(shingle, doc_id): shingles that at most RARE of the documents in `ids` have."""
+
+def _common(against: DataFrame) -> DataFrame:
+    """Per pivot v the differences that many of its documents have, the most frequent last; at most COMMON times as many
+    as a document has on average. They only set the order in which differences are looked up."""
 
     def run(batches):
         for batch in batches:
-            for i, x in zip(batch["id"].to_pylist(), batch["packed"].to_pylist(), strict=True):
-                x = np.frombuffer(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int64)), pa.array(x)], names=["doc_id", "shingle"])
+            v = batch["v"].to_numpy()
+            size = np.diff(batch["parts"].offsets.to_numpy())
+            part, owner = batch["parts"].flatten().to_numpy(), np.repeat(v, size)
+            order = np.lexsort((part, owner))
+            part, owner = part[order], owner[order]
+            heads = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (owner[1:] != owner[:-1]))) if len(part) else np.zeros(0, np.int64)
+            n = np.diff(np.append(heads, len(part)))
+            pivots, rows = np.unique(v, return_counts=True)
+            often = (n > 1) & (n * COMMON >= rows[np.searchsorted(pivots, owner[heads])])
+            yield pa.RecordBatch.from_arrays([pa.array(x[often]) for x in (owner[heads], part[heads], n)], names=["v", "part", "n"])
+
+    found = against.mapInArrow(run, "v long, part long, n long").groupBy("v", "part").agg(F.sum("n").alias("n"))
+    sizes = against.groupBy("v").agg(F.count("*").alias("rows"))
+    often = found.join(sizes, "v").where(F.col("n") * COMMON >= F.col("rows"))
+    return often.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "part")))["part"].alias("common"))
+
+
+def _looked_up(rows: DataFrame, first: str, names: str) -> DataFrame:
+    """(pivot, part, and `names` for the document, its component, d, a and the part's place): the first differences of
+    documents, rare ones before common ones, as many as the expression `first` says."""
+    own = names.split()
 
-    found = stage(sets.join(ids.select(F.col("doc_id").alias("id")), "id", "left_semi").mapInArrow(run, "doc_id long, shingle long"))
-    return found.join(found.groupBy("shingle").count().where(F.col("count") <= RARE).select("shingle"), "shingle")
+    def run(batches):
+        for batch in batches:
+            row, part, place = [], [], []
+            for k, (x, common, n) in enumerate(zip(batch["parts"], batch["common"], batch["first"].to_pylist(), strict=True)):
+                x, common = (np.sort(x.values.to_numpy()), common.values.to_numpy() if common.is_valid else np.zeros(0, np.int64))
+                x = np.concatenate([x[~np.isin(x, common)], common[np.isin(common, x)]])[: max(n, 0)]
+                row.append(np.full(len(x), k))
+                part.append(x)
+                place.append(np.arange(len(x)))
+            row, part, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, part, place))
+            kept = batch.take(pa.array(row.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([kept["v"], pa.array(part), *(kept[c] for c in "ucda"), pa.array(place)], names=["pivot", "part", *own])
+
+    schema = "pivot long, part long, " + ", ".join(f"{x} long" for x in own)
+    return rows.withColumn("first", F.expr(first).cast("long")).mapInArrow(run, schema)
+
+
+def _sharing(against: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (u, v) of documents in different components that share enough differences from a pivot to be similar, of
+    which at least one is not similar to the pivot. `against` has _differences and the components c, e of u and v."""
+    t = threshold
+    rows = stage(against.join(_common(against), "v", "left"))
+    index = _looked_up(rows, f"d + a - floor((100 * d + {t} * a) / {100 + t})", "doc_id c d a at")
+    fewest = f"ceil(({t} * (2 * m - d + a) - {100 + t} * (m - d)) / 100)"  # differences that a document far from the pivot must share
+    asked = _looked_up(rows.where("NOT similar AND c <> e"), f"d + a - greatest({fewest}, 1) + 1", "other f k b place")
+    sizes = against.select(F.col("v").alias("pivot"), "m").distinct()
+    need = (2 * F.col("m") - F.col("d") - F.col("k") + F.col("a") + F.col("b")) * t - (F.col("m") - F.col("d") - F.col("k")) * (100 + t)
+    most = F.least(F.least("d", "k") + F.least("a", "b"), F.col("d") + F.col("a") - F.col("at"), F.col("k") + F.col("b") - F.col("place"))
+    met = index.join(asked.join(sizes, "pivot"), ["pivot", "part"]).where((F.col("doc_id") != F.col("other")) & (F.col("c") != F.col("f")) & (most * (100 + t) >= need))
+    return met.select(F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
@@ -139,18 +216,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Sets hold the distinct shingles of `width` lower-cased words, or the whole sequence where it is shorter; documents
     with a Jaccard similarity of `threshold` percent or more are linked, and component_id is the smallest id reachable.
-    A null or empty text has an empty set and is linked with nothing. Rows without an id are left out; rows that share
-    an id are one document, returned once each. Ids are long integers; other columns are ignored.
+    A null or empty text has an empty set and is linked with nothing; long texts are read whole. Rows without an id are
+    left out; rows that share an id are one document, the one that `one_row_per_id` names, and
+    are returned once each. Ids are long integers; other
+    columns are ignored.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    rows, docs = docs, one_row_per_id(docs)
     signed = stage(signatures(docs, width))
     classes = stage(signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id")))
     own = stage(signed.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
-    heads = signed.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    heads = signed.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     keys = heads.select(F.explode("bands").alias("key"), "doc_id", "n")
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1").select("key")
-    buckets = stage(keys.join(shared, "key"))
-    sets = stage(_sets(thin(docs, sieve(buckets.select("doc_id").distinct()), "doc_id"), width))
+    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    met = stage(keys.join(shared, "key"))
+    drawn = met.groupBy("doc_id").agg(F.sum("members").alias("pull"))
+    buckets = stage(met.drop("members").join(drawn, "doc_id"))
+    sets = stage(_packed(thin(docs, sieve(buckets.select("doc_id").distinct()), "doc_id"), width))
     similar = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
     pair = [F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")]
     tested, links, of = None, None, None
@@ -163,37 +245,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             known = known.withColumn("c", F.coalesce("component", "doc_id")).drop("component")
         return known.join(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi"), "key")
 
-    for component, member in (*STARS, (None, None)):
-        left = stage(apart())
-        if component:
-            best = left.where(F.col("c") == F.col(component)).groupBy("key").agg(getattr(F, member)(F.struct("doc_id", "n", "c")).alias("best"))
-            found = left.join(best, "key").select("doc_id", "n", "c", F.col("best.doc_id").alias("other"), F.col("best.n").alias("m"), F.col("best.c").alias("d")).where(similar)
-        else:
-            rare = stage(_rare_shingles(sets, left.select("doc_id").distinct()))
-            few = rare.groupBy("doc_id").agg(F.count("*").alias("few"))
-            left = left.join(few, "doc_id", "left").withColumn("e", F.col("n") - F.coalesce("few", F.lit(0)))
-            one = left.select("doc_id", "n", "c", "e")
-            two = one.toDF("other", "m", "d", "g")
-            enough = lambda shared: (F.least("e", "g") + shared) * (100 + threshold) >= (F.col("n") + F.col("m")) * threshold
-            known = (F.col("doc_id") < F.col("other")) & (F.col("c") != F.col("d")) & similar
-            right = left.select("key", "doc_id", "n", "c", "e").toDF("key", "other", "m", "d", "g")
-            common = left.select("key", *one.columns).alias("x").join(right.alias("y"), (F.col("x.key") == F.col("y.key")) & known & enough(F.lit(0))).drop("key")
-            sharing = rare.join(rare.toDF("shingle", "other"), "shingle").where("doc_id < other").groupBy("doc_id", "other").agg(F.count("*").alias("shared"))
-            sharing = sharing.join(one.distinct(), "doc_id").join(two.distinct(), "other").where(known & enough(F.col("shared")))
-            found = common.select("doc_id", "other", "c", "d").unionByName(sharing.select("doc_id", "other", "c", "d"))
-        pairs = found.where("c <> d").select(*pair).distinct()
+    def add(pairs: DataFrame, found: DataFrame | None = None) -> None:
+        """Confirm pairs not yet tested; their links, and those already found, join components."""
+        nonlocal tested, links, of
         pairs = stage(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        if pairs.isEmpty():
-            continue
-        confirmed = stage(_confirm(pairs, sets, threshold))
+        made = [x for x in (found, None if pairs.isEmpty() else stage(_confirm(pairs, sets, threshold))) if x is not None]
         tested = pairs if tested is None else tested.unionByName(pairs)
-        links = confirmed if links is None else links.unionByName(confirmed)
-        of = stage(components(links))
+        for x in made:
+            links = x if links is None else links.unionByName(x)
+        if made:
+            of = stage(components(links))
+
+    for whose in (None, "lo", "hi"):
+        left = stage(apart())
+        own_part = left if whose is None else left.where(F.col("c") == F.col(whose))
+        best = own_part.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "c"), F.struct("pull", F.bitwise_not("doc_id"))).alias("best"))
+        found = left.join(best, "key").select("doc_id", "n", "c", F.col("best.doc_id").alias("other"), F.col("best.n").alias("m"), F.col("best.c").alias("d"))
+        add(found.where(similar & (F.col("c") != F.col("d"))).select(*pair).distinct())
     if of is None:
         of = own.limit(0).select(F.col("doc_id").alias("u"), F.col("doc_id").alias("component"))
+    left = stage(apart())
+    largest = left.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", F.bitwise_not("c"))).alias("e"))
+    ends = [] if links is None else [links.select(F.col(x).alias("doc_id")) for x in "uv"]
+    centres = left.select(F.col("c").alias("e"), F.col("c").alias("pivot")).limit(0)
+    if ends:
+        degrees = ends[0].unionByName(ends[1]).groupBy("doc_id").agg(F.count("*").alias("links"))
+        centres = degrees.join(of.select(F.col("u").alias("doc_id"), F.col("component").alias("e")), "doc_id").groupBy("e").agg(F.max_by("doc_id", F.struct("links", F.bitwise_not("doc_id"))).alias("pivot"))
+    pivots = largest.join(centres, "e", "left").select("key", "e", F.coalesce("pivot", "e").alias("pivot"))
+    asked = stage(left.join(pivots, "key").where("doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"), "c", "e").distinct())
+    if not asked.isEmpty():
+        against = stage(_differences(asked, sets, threshold))
+        straight = against.where("similar").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+        add(_sharing(against, threshold), straight)
     found = own.join(of.withColumnRenamed("u", "class_id"), "class_id", "left")
     root = F.coalesce("component", "class_id")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc_id") == root).alias("kept"))
+    return for_each_row(rows, docs, found.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc_id") == root).alias("kept")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
