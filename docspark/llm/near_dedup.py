@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from docspark.llm.bytewise import STEP, Digests, mix64, pieces, seeded
 from docspark.llm.components import components
 from docspark.llm.sieve import sieve, thin
-from docspark.llm.staging import for_each_row, one_row_per_id, stage, table, without
+from docspark.llm.staging import drop_stage, for_each_row, one_row_per_id, stage, table, without
 
 BANDS, ROWS = 40, 3  # rows are permutations: two values each
 THRESHOLD = 80  # percent
+SET_ROWS = 256  # pairs of sets in a Python worker at once
 COMMON = 32  # a difference is common if one of so many of a pivot's documents has it
 
 
@@ -200,7 +201,7 @@ def _sharing(against: DataFrame, threshold: int) -> DataFrame:
     """Pairs (u, v) of documents in different components that share enough differences from a pivot to be similar, of
     which at least one is not similar to the pivot. `against` has _differences and the components c, e of u and v."""
     t = threshold
-    rows = stage(against.join(_common(against), "v", "left"))
+    rows = against.join(_common(against), "v", "left")
     index = _looked_up(rows, f"d + a - floor((100 * d + {t} * a) / {100 + t})", "doc_id c d a at")
     fewest = f"ceil(({t} * (2 * m - d + a) - {100 + t} * (m - d)) / 100)"  # differences that a document far from the pivot must share
     asked = _looked_up(rows.where("NOT similar AND c <> e"), f"d + a - greatest({fewest}, 1) + 1", "other f k b place")
@@ -232,10 +233,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = stage(keys.join(shared, "key"))
     drawn = met.groupBy("doc_id").agg(F.sum("members").alias("pull"))
     buckets = stage(met.drop("members").join(drawn, "doc_id"))
-    sets = stage(_packed(thin(docs, sieve(buckets.select("doc_id").distinct()), "doc_id"), width))
+    sets = stage(_packed(thin(docs, sieve(buckets.select("doc_id").distinct()), "doc_id"), width), 4 * SET_ROWS)
     similar = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
     pair = [F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")]
-    tested, links, of = None, None, None
+    tested, links, of, done = None, None, None, [signed, classes, met, buckets, sets]
+
+    def kept_for_now(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        done.append(stage(df, batch_rows))
+        return done[-1]
 
     def apart() -> DataFrame:
         """Members of the buckets that hold more than one component, with their component c and the bucket's extremes."""
@@ -243,13 +248,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if of is not None:
             known = buckets.join(of.select(F.col("u").alias("doc_id"), "component"), "doc_id", "left")
             known = known.withColumn("c", F.coalesce("component", "doc_id")).drop("component")
-        return known.join(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi"), "key")
+        return kept_for_now(known.join(known.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi"), "key"))
 
     def add(pairs: DataFrame, found: DataFrame | None = None) -> None:
         """Confirm pairs not yet tested; their links, and those already found, join components."""
         nonlocal tested, links, of
-        pairs = stage(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
-        made = [x for x in (found, None if pairs.isEmpty() else stage(_confirm(pairs, sets, threshold))) if x is not None]
+        pairs = kept_for_now(pairs if tested is None else pairs.join(tested, ["u", "v"], "left_anti"))
+        made = [x for x in (found, None if pairs.isEmpty() else kept_for_now(_confirm(pairs, sets, threshold), SET_ROWS)) if x is not None]
         tested = pairs if tested is None else tested.unionByName(pairs)
         for x in made:
             links = x if links is None else links.unionByName(x)
@@ -257,26 +262,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             of = stage(components(links))
 
     for whose in (None, "lo", "hi"):
-        left = stage(apart())
+        left = apart()
         own_part = left if whose is None else left.where(F.col("c") == F.col(whose))
         best = own_part.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "c"), F.struct("pull", F.bitwise_not("doc_id"))).alias("best"))
         found = left.join(best, "key").select("doc_id", "n", "c", F.col("best.doc_id").alias("other"), F.col("best.n").alias("m"), F.col("best.c").alias("d"))
         add(found.where(similar & (F.col("c") != F.col("d"))).select(*pair).distinct())
-    if of is None:
-        of = own.limit(0).select(F.col("doc_id").alias("u"), F.col("doc_id").alias("component"))
-    left = stage(apart())
-    largest = left.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", F.bitwise_not("c"))).alias("e"))
-    ends = [] if links is None else [links.select(F.col(x).alias("doc_id")) for x in "uv"]
-    centres = left.select(F.col("c").alias("e"), F.col("c").alias("pivot")).limit(0)
-    if ends:
-        degrees = ends[0].unionByName(ends[1]).groupBy("doc_id").agg(F.count("*").alias("links"))
-        centres = degrees.join(of.select(F.col("u").alias("doc_id"), F.col("component").alias("e")), "doc_id").groupBy("e").agg(F.max_by("doc_id", F.struct("links", F.bitwise_not("doc_id"))).alias("pivot"))
-    pivots = largest.join(centres, "e", "left").select("key", "e", F.coalesce("pivot", "e").alias("pivot"))
-    asked = stage(left.join(pivots, "key").where("doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"), "c", "e").distinct())
+    left = apart()
+    pivots = left.groupBy("key", "c").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("c", F.struct("size", F.bitwise_not("c"))).alias("e"))
+    if links is None:
+        pivots = pivots.withColumn("pivot", F.col("e"))
+    else:
+        ends = links.select(F.explode(F.array("u", "v")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("links"))
+        centres = ends.join(of.select(F.col("u").alias("doc_id"), F.col("component").alias("e")), "doc_id").groupBy("e").agg(F.max_by("doc_id", F.struct("links", F.bitwise_not("doc_id"))).alias("pivot"))
+        pivots = pivots.join(centres, "e", "left").select("key", "e", F.coalesce("pivot", "e").alias("pivot"))
+    asked = kept_for_now(left.join(pivots, "key").where("doc_id <> pivot").select(F.col("doc_id").alias("u"), F.col("pivot").alias("v"), "c", "e").distinct())
     if not asked.isEmpty():
-        against = stage(_differences(asked, sets, threshold))
+        against = kept_for_now(_differences(asked, sets, threshold), SET_ROWS)
         straight = against.where("similar").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
         add(_sharing(against, threshold), straight)
+    if of is None:
+        of = own.limit(0).select(F.col("doc_id").alias("u"), F.col("doc_id").alias("component"))
+    drop_stage(*done)
     found = own.join(of.withColumnRenamed("u", "class_id"), "class_id", "left")
     root = F.coalesce("component", "class_id")
     return for_each_row(rows, docs, found.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), (F.col("doc_id") == root).alias("kept")))

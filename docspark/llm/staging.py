@@ -23,22 +23,32 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared folder and read it back: later jobs neither recompute it nor need the executors
-    that made it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Delete the files of a staged table that no later plan reads."""
+def stage(df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: later jobs neither recompute it nor need the executors
+    that made it. `batch_rows` bounds the rows that Python workers get at once, for rows that are large."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
+    before = spark.conf.get(ARROW_ROWS)
+    if batch_rows:
+        spark.conf.set(ARROW_ROWS, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+def drop_stage(*made: DataFrame | None) -> None:
+    """Delete the files of staged tables that no later plan reads."""
+    for df in made:
+        if df is not None:
+            where = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 BROADCAST_ROWS = 1_000_000
