@@ -201,10 +201,12 @@ def _sharing(against: DataFrame, threshold: int) -> DataFrame:
     """Pairs (u, v) of documents in different components that share enough differences from a pivot to be similar, of
     which at least one is not similar to the pivot. `against` has _differences and the components c, e of u and v."""
     t = threshold
-    rows = against.join(_common(against), "v", "left")
+    rows = stage(against.join(stage(_common(against), SET_ROWS), "v", "left"))
     index = _looked_up(rows, f"d + a - floor((100 * d + {t} * a) / {100 + t})", "doc_id c d a at")
+    index = stage(index, SET_ROWS)
     fewest = f"ceil(({t} * (2 * m - d + a) - {100 + t} * (m - d)) / 100)"  # differences that a document far from the pivot must share
     asked = _looked_up(rows.where("NOT similar AND c <> e"), f"d + a - greatest({fewest}, 1) + 1", "other f k b place")
+    asked = stage(asked, SET_ROWS)
     sizes = against.select(F.col("v").alias("pivot"), "m").distinct()
     need = (2 * F.col("m") - F.col("d") - F.col("k") + F.col("a") + F.col("b")) * t - (F.col("m") - F.col("d") - F.col("k")) * (100 + t)
     most = F.least(F.least("d", "k") + F.least("a", "b"), F.col("d") + F.col("a") - F.col("at"), F.col("k") + F.col("b") - F.col("place"))
