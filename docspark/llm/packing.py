@@ -2,12 +2,14 @@
 
 Only the histogram of piece lengths goes to the driver, at most `limit` numbers whatever the corpus. A configuration is
 a multiset of lengths that fits a sequence. Multiplicative weights price the lengths: each round solves the knapsack
-over the prices by dynamic programming, takes for every length the best configuration that holds it, and lowers the
-prices of what came out over-covered. The mean of the rounds is a fractional solution; it is rounded to whole sequences
-within the demand, best filled first, and what is left is planned again as long as that halves it. The rest goes into
-sequences in bulk, longest first, and the last `limit` pieces best-fit decreasing. The plan, intervals of ranks per
-length, is broadcast; it and the driver's work depend on the lengths and rounds and not on the number of pieces. The
-pieces of a length are ranked in salted slices, so a length shared by a third of all rows spreads over the cluster.
+over the prices by dynamic programming and covers the demand, longest lengths first, by the configurations that the
+knapsack finds best among lengths which still lack cover; lengths that ended in poor ones get dearer in the next round.
+The round of the least mass is the fractional solution. It is rounded to whole sequences within the demand: each
+configuration is used as often as its mass says, rounded down, then once more as long as its lengths are left. What is
+left is priced and covered again in this way, until fewer pieces than lengths remain; these go best-fit decreasing. The
+plan, intervals of ranks per length, is broadcast; it and the driver's work depend on the lengths and rounds and not on
+the number of pieces. The pieces of a length are ranked in salted slices, so a length shared by a third of all rows
+spreads over the cluster.
 """
 
 from __future__ import annotations
@@ -23,18 +25,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
+from docspark.llm.bytewise import release
 from docspark.llm.staging import stage, table
 
 LIMIT = 4096
 END_ID = 1
-ROUNDS = 24
-CACHE_WORDS = 400_000
+ROUNDS = 8
+CACHE_BYTES = 48 << 20  # of words whose ids a task keeps
 SLICE_ROWS = 512  # texts held as Python strings at once
 TOKENIZER = "word_bpe_49k.json"
 
-_loaded: dict[str, tuple] = {}
-
-
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, others from U+0100 on."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -43,16 +43,15 @@ def _byte_letters() -> list[str]:
 
 
 def _encoder(path: str):
-    """Bytes of a text -> its ids as little-endian unsigned 32-bit numbers.
+    """Bytes of a text -> its ids as little-endian unsigned 32-bit numbers; the tokenizer and the words that it has
+    encoded live as long as the function, which is a task.
 
-    The tokenizer never joins ids over white space, nor a letter with a full stop or comma after it, so words are encoded
-    once and kept. A word of plain Latin letters is one pre-token and goes straight to the merges; any other takes the
-    tokenizer's whole way."""
-    if path not in _loaded:
-        from tokenizers import Tokenizer
+    The tokenizer never joins ids over white space, nor a Latin letter that stays one in lower case with a full stop or
+    comma after it, so words are encoded once and kept. A word of plain Latin letters is one pre-token and goes straight
+    to the merges; any other takes the tokenizer's whole way."""
+    from tokenizers import Tokenizer
 
-        _loaded[path] = Tokenizer.from_file(path), {}
-    tok, known = _loaded[path]
+    tok, known, size = Tokenizer.from_file(path), {}, 0
     merge, letters = tok.model.tokenize, _byte_letters()
 
     def one(word: str) -> bytes:
@@ -64,14 +63,18 @@ def _encoder(path: str):
         return np.array(ids, "<u4").tobytes()
 
     def miss(raw: bytes) -> bytes:
-        if len(known) >= CACHE_WORDS:
-            known.clear()
+        nonlocal size
         word = raw.decode("utf-8", "replace")
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha():
+        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < "\u0130":  # the next one splits in lower case
             got = (known.get(raw[:-1]) or one(word[:-1])) + one(word[-1])
         else:
             got = one(word)
-        known[raw] = got
+        size += len(raw) + len(got) + 160
+        if size > CACHE_BYTES:
+            known.clear()
+            size = len(raw) + len(got) + 160
+        if len(raw) <= 64:
+            known[raw] = got
         return got
 
     def encode(text: bytes) -> bytes:
@@ -99,90 +102,87 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             cols = list(zip(*out, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, kinds, strict=True))[: 6 if with_ids else 5]], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
+            del out, cols
+        del encode
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def knapsack(lens: np.ndarray, price: np.ndarray, limit: int) -> np.ndarray:
-    """For each room 0..limit, the index of the length that a best filling takes first, or -1 (unbounded knapsack)."""
-    best, take = np.zeros(limit + 1), np.full(limit + 1, -1)
+    """For each room 0..limit, the highest price of lengths that fit it (unbounded knapsack)."""
+    best = np.zeros(limit + 1)
     fit = np.searchsorted(lens, np.arange(limit + 1), "right")
     for room in range(int(lens[0]), limit + 1):
-        got = best[room - lens[: fit[room]]] + price[: fit[room]]
-        k = int(got.argmax())
-        if got[k] > best[room - 1]:
-            best[room], take[room] = got[k], k
-        else:
-            best[room], take[room] = best[room - 1], take[room - 1]
-    return take
-
-
-def _configurations(lens: np.ndarray, take: np.ndarray, limit: int) -> list[tuple[int, ...]]:
-    """For each length, the lengths (as indices, ascending) of the best configuration that holds it."""
-    room = limit - lens
-    held = [[i] for i in range(len(lens))]
-    live = np.arange(len(lens))
-    while len(live):
-        k = take[room[live]]
-        live, k = live[k >= 0], k[k >= 0]
-        for i, j in zip(live.tolist(), k.tolist(), strict=True):
-            held[i].append(j)
-        room[live] -= lens[k]
-    return [tuple(sorted(x)) for x in held]
-
-
-def fractional(lens: np.ndarray, demand: np.ndarray, limit: int, rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Configurations and their masses, by multiplicative weights; each round covers 1/rounds of the demand."""
-    price, mass = lens / limit, {}
-    for turn in range(rounds):
-        cover = np.zeros(len(lens))
-        for i, c in enumerate(_configurations(lens, knapsack(lens, price, limit), limit)):
-            x = demand[i] / rounds / c.count(i)
-            mass[c] = mass.get(c, 0.0) + x
-            np.add.at(cover, list(c), x)
-        over = cover * rounds / demand
-        price = price * np.exp(-0.25 / np.sqrt(turn + 1) * np.clip(over - over.mean(), -2, 2) / 2)
-        scale = sum(cover) and (demand * price).sum() / (demand * lens / limit).sum()
-        price /= scale or 1
-    return mass
-
-
-def _uses(lens: np.ndarray, left: np.ndarray, limit: int, mass: dict[tuple[int, ...], float], up: bool) -> list[tuple[list[tuple[int, int]], int]]:
-    """Whole configurations ((length, copies) pairs, longest first) and how often each is used, best filled first; what
-    they hold is taken from `left`, and mass that would cover more than is left is taken back."""
-    used, full = [], {c: int(lens[list(c)].sum()) for c in mass}
-    for c in sorted(mass, key=lambda c: (-full[c], -mass[c], c)):
-        kinds, copies = np.unique(c, return_counts=True)
-        times = min(int(mass[c] + (1 - 1e-9 if up else 0)), int((left[kinds] // copies).min()))
-        if times > 0:
-            used.append(([(int(lens[k]), int(n)) for k, n in zip(kinds[::-1], copies[::-1], strict=True)], times))
-            left[kinds] -= times * copies
-    return used
+        best[room] = max(best[room - 1], (best[room - lens[: fit[room]]] + price[: fit[room]]).max())
+    return best
 
 
-def _fitted(lens: np.ndarray, left: np.ndarray, limit: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Pieces in bulk, longest first: a sequence takes the longest that fit, as often as what is left allows. Each step
-    leaves fewer of a length than the sequence held, so the steps are bounded by the lengths and not by the pieces."""
-    used = []
-    live = np.flatnonzero(left)
-    while int(left.sum()) > limit:
-        room, config, at = limit, [], len(live)
-        while at and (at := min(at, int(np.searchsorted(lens[live], room, "right")))):
-            k = live[at := at - 1]
-            if n := min(int(left[k]), room // int(lens[k])):
-                config.append((k, n))
-                room -= n * int(lens[k])
-        times = min(int(left[k]) // n for k, n in config)
-        used.append(([(int(lens[k]), n) for k, n in config], times))
-        for k, n in config:
-            left[k] -= times * n
-        live = live[left[live] > 0]
+def _configuration(lens: np.ndarray, price: np.ndarray, best: np.ndarray, limit: int, first: int, lack: np.ndarray) -> tuple[list[int], list[int]]:
+    """A filling around a length, each step the best one by the knapsack among lengths that still lack cover: lengths (as
+    indices) and copies, as many as they lack for each that the first one lacks, or one."""
+    kinds, copies, room = [], [], limit
+    live, k = np.flatnonzero(lack > 1e-9), first
+    while True:
+        n = max(1, min(room // int(lens[k]), int(lack[k] / lack[first] + 1e-9)))
+        kinds.append(k)
+        copies.append(n)
+        room -= n * int(lens[k])
+        live = live[: np.searchsorted(lens[live], room, "right")]
+        live = live[live != k]
+        if not len(live):
+            return kinds, copies
+        worth = best[room - lens[live]] + price[live]
+        k = int(live[len(live) - 1 - int(worth[::-1].argmax())])  # of equal ones the longest
+
+
+def fractional(lens: np.ndarray, demand: np.ndarray, limit: int, rounds: int = ROUNDS, price: np.ndarray | None = None) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray]:
+    """Configurations, as (index, copies) pairs, with masses that cover the demand, and their prices: of all rounds those
+    with the least mass."""
+    price, kept = lens / limit if price is None else price, (np.inf, {}, None)
+    for turn in range(rounds):
+        best, lack, poor, mass = knapsack(lens, price, limit), demand.copy(), np.zeros(len(lens)), {}
+        for i in range(len(lens) - 1, -1, -1):
+            while lack[i] > 1e-9:
+                kinds, copies = _configuration(lens, price, best, limit, i, lack)
+                n = np.array(copies)
+                x = float((lack[kinds] / n).min())
+                c = tuple(sorted(zip(kinds, copies, strict=True)))
+                mass[c] = mass.get(c, 0.0) + x
+                lack[kinds] -= x * n
+                poor[kinds] += x * n * (1 - (price[kinds] * n).sum() / best[limit])
+        kept = min(kept, (sum(mass.values()), mass, price), key=lambda x: x[0])
+        loss = poor / demand  # lengths that ended in poor configurations get dearer
+        price = price * np.exp((loss - loss.mean()) / (2 * np.sqrt(turn + 1)))
+        price *= (demand * lens).sum() / limit / (demand * price).sum()
+    return kept[1:]
+
+
+def _rounded(lens: np.ndarray, left: np.ndarray, limit: int, rounds: int) -> list[tuple[list[tuple[int, int]], int]]:
+    """Whole configurations ((length, copies) pairs, longest first) and how often each is used, until fewer pieces than
+    lengths are left; what they hold is taken from `left`. A turn that takes away little lets the next one use emptier
+    configurations."""
+    used, room, price = [], limit / 1024, lens / limit
+    while (rest := int(left.sum())) > max(64, len(lens) // 8):
+        live = np.flatnonzero(left)
+        mass, price[live] = fractional(lens[live], left[live].astype(float), limit, 3 if used else rounds, price[live])
+        free = {c: limit - sum(int(lens[live[k]]) * n for k, n in c) for c in mass}
+        for up in (1e-6, 1 - 1e-6):  # rounded down, then what is left of each
+            for c in sorted((c for c in mass if free[c] <= room), key=lambda c: (free[c], -mass[c], c)):
+                kinds, copies = live[[k for k, _ in c]], np.array([n for _, n in c])
+                times = min(int(mass[c] + up), int((left[kinds] // copies).min()))
+                if times > 0:
+                    used.append(([(int(lens[k]), int(n)) for k, n in zip(kinds[::-1], copies[::-1], strict=True)], times))
+                    left[kinds] -= times * copies
+                    mass[c] -= times
+        if rest - int(left.sum()) < rest // 32 + 1:
+            room *= 2
     return used
 
 
 def _best_fit(lens: np.ndarray, left: np.ndarray, limit: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Piece by piece, longest first; for `limit` pieces at most."""
+    """Piece by piece, longest first; for no more pieces than there are lengths."""
     bins, free = [], []
     for k in range(len(lens) - 1, -1, -1):
         size = int(lens[k])
@@ -197,20 +197,6 @@ def _best_fit(lens: np.ndarray, left: np.ndarray, limit: int) -> list[tuple[list
     return [([(s, b.count(s)) for s in sorted(set(b), reverse=True)], 1) for b in bins]
 
 
-def _rounded(lens: np.ndarray, demand: np.ndarray, limit: int, mass: dict[tuple[int, ...], float], rounds: int, up: bool) -> list[tuple[list[tuple[int, int]], int]]:
-    """The fractional plan in whole sequences; what it leaves is planned again while that takes away half of it."""
-    left, used, before = demand.copy(), [], 2 * int(demand.sum())
-    while True:
-        used += _uses(lens, left, limit, mass, up)
-        rest = int(left.sum())
-        if rest <= limit or rest > before // 2:
-            break
-        before, live = rest, np.flatnonzero(left)
-        mass = {tuple(live[list(c)].tolist()): x for c, x in fractional(lens[live], left[live].astype(float), limit, max(1, rounds // 4)).items()}
-    used += _fitted(lens, left, limit)
-    return used + _best_fit(lens, left, limit)
-
-
 def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> tuple[np.ndarray, int]:
     """Intervals (length, first rank, end rank, copies in a sequence, first sequence, offset) that place every piece,
     sorted by length and rank, and the number of sequences."""
@@ -218,8 +204,8 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) ->
     lens = np.array(sorted(x for x in histogram if x < limit), np.int64)
     if len(lens):
         demand = np.array([histogram[int(x)] for x in lens], np.int64)
-        mass = fractional(lens, demand.astype(float), limit, rounds)
-        used += min((_rounded(lens, demand, limit, mass, rounds, up) for up in (False, True)), key=lambda u: sum(n for _, n in u))
+        used += _rounded(lens, demand, limit, rounds)
+        used += _best_fit(lens, demand, limit)
     rows, rank, sequences = [], dict.fromkeys(histogram, 0), 0
     for config, times in used:
         at = 0
