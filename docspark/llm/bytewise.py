@@ -16,7 +16,7 @@ import pyarrow as pa
 
 PIECE_BYTES = 2 << 20
 SLICE_ROWS = 1024
-KNOWN_BYTES = 24 << 20  # of words whose digests a task keeps
+KNOWN_BYTES = 8 << 20  # of words whose digests a task keeps
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 9, 10, 11, 12, 13]] = True
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewise import STEP, Digests, mix64, pieces, seeded
+from docspark.llm.bytewise import STEP, Digests, mix64, pieces, release, seeded
 from docspark.llm.components import components
 from docspark.llm.sieve import sieve, thin
 from docspark.llm.staging import drop_stage, for_each_row, one_row_per_id, stage, table, without
@@ -59,6 +59,8 @@ def _sets(docs: DataFrame, width: int, made, schema: str) -> DataFrame:
                 at = [a + np.unique(got[0, a:b], return_index=True)[1] for a, b in zip(offs[:-1], offs[1:], strict=True)]
                 offs = np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int64)
                 yield made(p.ids, got[:, np.concatenate(at)], offs)
+        del digests
+        release()
 
     return docs.mapInArrow(run, schema)
 
@@ -121,6 +123,7 @@ def _compared(pairs: DataFrame, sets: DataFrame, made, schema: str) -> DataFrame
 
         for batch in batches:
             yield made(batch, compared(batch))
+            release()
 
     left = pairs.join(sets.select(F.col("id").alias("u"), F.col("packed").alias("a")), "u")
     return left.join(sets.select(F.col("id").alias("v"), F.col("packed").alias("b")), "v").mapInArrow(run, schema)
@@ -226,7 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     rows, docs = docs, one_row_per_id(docs)
-    signed = stage(signatures(docs, width))
+    signed = stage(signatures(docs, width), 8 * SET_ROWS)
     classes = stage(signed.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("class_id")))
     own = stage(signed.select("doc_id", "n", "f1", "f2").join(classes, ["n", "f1", "f2"], "left").select("doc_id", "n", F.coalesce("class_id", "doc_id").alias("class_id")))
     heads = signed.where("n > 0").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
@@ -263,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if made:
             of = stage(components(links))
 
-    for whose in (None, "lo", "hi"):
+    for whose in (None, "hi"):
         left = apart()
         own_part = left if whose is None else left.where(F.col("c") == F.col(whose))
         best = own_part.groupBy("key").agg(F.max_by(F.struct("doc_id", "n", "c"), F.struct("pull", F.bitwise_not("doc_id"))).alias("best"))
