@@ -30,7 +30,7 @@ from docspark.llm.staging import stage, table
 
 LIMIT = 4096
 END_ID = 1
-ROUNDS = 8
+ROUNDS = 8  # at least; more where lengths are few
 CACHE_BYTES = 48 << 20  # of words whose ids a task keeps
 SLICE_ROWS = 512  # texts held as Python strings at once
 TOKENIZER = "word_bpe_49k.json"
@@ -166,7 +166,7 @@ def _rounded(lens: np.ndarray, left: np.ndarray, limit: int, rounds: int) -> lis
     used, room, price = [], limit / 1024, lens / limit
     while (rest := int(left.sum())) > max(64, len(lens) // 8):
         live = np.flatnonzero(left)
-        mass, price[live] = fractional(lens[live], left[live].astype(float), limit, 3 if used else rounds, price[live])
+        mass, price[live] = fractional(lens[live], left[live].astype(float), limit, max(2, rounds // 3) if used else rounds, price[live])
         free = {c: limit - sum(int(lens[live[k]]) * n for k, n in c) for c in mass}
         for up in (1e-6, 1 - 1e-6):  # rounded down, then what is left of each
             for c in sorted((c for c in mass if free[c] <= room), key=lambda c: (free[c], -mass[c], c)):
@@ -204,7 +204,7 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) ->
     lens = np.array(sorted(x for x in histogram if x < limit), np.int64)
     if len(lens):
         demand = np.array([histogram[int(x)] for x in lens], np.int64)
-        used += _rounded(lens, demand, limit, rounds)
+        used += _rounded(lens, demand, limit, max(rounds, min(64, 20_000 // len(lens))))
         used += _best_fit(lens, demand, limit)
     rows, rank, sequences = [], dict.fromkeys(histogram, 0), 0
     for config, times in used:
