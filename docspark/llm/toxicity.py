@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon of insulting words and word beginnings is learned from labelled rows; targets, threats, negations and reported
-speech are short word lists. Four small transducers read the word classes of a clause: insult and threat accumulate
-weights, target remembers an addressee, negation opens a scope of three words, reported speech lasts to the end of the
-clause. Their product is composed once; running it over a clause gives matches (kind, weight), where the kind tells how
-the insult or threat stood. A logistic regression over the matches of all clauses turns them into a score.
+A lexicon of insulting words and word beginnings is learned from labelled rows; threats, targets, negations and reported
+speech are word lists. Words become symbols with the lexicon's weights, and five transducers rewrite a clause's symbols:
+target marks insults and threats that are addressed, negation those within three words after a negation, reported speech
+those after a verb of saying, and insult and threat turn marked words into matches of a kind. An addressee may follow, so
+target reads the clause from both ends. Each arc has a weight, which adds to the word's; the arcs of matches get theirs
+from how often the kind stands in toxic documents. The transducers are composed once, into a table. A logistic regression
+over the best and total weights of matches, by kind, turns them into a score.
 
 Training reads a sample of at most SAMPLE_ROWS labelled rows, chosen by a hash of the id; everything is scored.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from itertools import product
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -22,60 +24,123 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.bytewise import release
-from docspark.llm.staging import table
+from docspark.llm.staging import stage, table
 
 SAMPLE_ROWS = 20_000
-LEXICON_ROWS = 20_000  # the most frequent candidates, a bound of the model's size
+BROADCAST_GRAMS = 500_000
 MIN_DOCS = 3
 MIN_WEIGHT = 2.5
-CACHE_WORDS = 150_000  # whose classes a worker keeps
+CACHE_BYTES = 12 << 20  # of words whose symbols a task keeps
 SLICE_ROWS = 512  # texts held as Python strings at once
 SHORTEST, LONGEST = 3, 8  # word beginnings
 SCOPE = 3
 
 # fixed values: words of each class, English, German, French and Spanish
-THREATS = "kill hurt murder strangle shoot stab beat destroy die töten umbringen schlagen erschießen tuer frapper crever matar golpear morir".split()
-TARGETS = "you your yours yourself u du dich dir dein deine ihr euch tu toi ton ta tes vous votre vos tú te ti tus usted ustedes vosotros".split()
-NEGATIONS = "not no never don't isn't aren't wasn't won't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco".split()
-REPORTED = "said says say told quoted quote allegedly reported sagte sagt gesagt zitiert dit disait déclaré dijo dice dicho según".split()
+THREATS = """
+kill kills killed killing murder murders murdered murdering hurt hurts hurting harm harms harming strangle strangling choke choking shoot
+shooting stab stabbing beat beating punch punching smash smashing crush crushing destroy destroying burn burning hang hanging drown
+drowning poison slaughter butcher attack attacking hunt hunting bury behead execute die dies torture maim
+töten tötet tötest umbringen umbringe ermorden erschießen erschieße erschlagen erstechen erwürgen schlagen schlage verprügeln vernichten
+zerstören verletzen verbrennen vergiften sterben stirb stirbst krepieren
+tuer tue tuerai tuerons tués assassiner égorger étrangler frapper frapperai abattre détruire écraser brûler crever crève mourir pendre blesser massacrer
+matar mataré mataremos mato asesinar estrangular apuñalar disparar golpear golpearé pegar destruir aplastar quemar ahogar morir muere herir degollar
+""".split()
+TARGETS = """
+you your yours yourself yourselves u ur ya thou thee y'all you're you'll you've you'd
+du dich dir dein deine deinen deinem deiner deines ihr euch euer eure euren eurem
+tu toi te ton ta tes tien tienne vous votre vos vôtre t'es
+tú ti contigo tuyo tuya tus usted ustedes vosotros vosotras vos os vuestro vuestra su sus eres sois
+""".split()
+NEGATIONS = """
+not no never none neither nor nobody nothing hardly cannot can't don't doesn't didn't isn't aren't wasn't weren't won't wouldn't shouldn't couldn't ain't without
+nicht nichts kein keine keinen keinem keiner keines nie niemals niemand weder ohne
+ne pas jamais aucun aucune rien personne ni sans point guère
+nunca jamás tampoco nada nadie ningún ninguno ninguna sin
+""".split()
+REPORTED = """
+said says say saying told tells tell quoted quote quotes allegedly reported reportedly reports claims claimed called stated states wrote writes according shouted
+sagte sagt sagten gesagt behauptet behauptete zitiert zitierte angeblich laut schrieb schreibt berichtet nannte genannt erklärte meinte
+dit disait disent déclaré déclare affirme affirmé prétend cité citait selon écrit écrivait raconte traité
+dijo dice dicen dicho decía según citó cita afirma afirmó declaró escribió supuestamente cuenta contó llamó
+""".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+ADDRESSED, NEGATED, QUOTED = 8, 16, 32  # marks that are added to an insult or threat
+MATCH = 64  # and the symbols of matches, by kind
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
 _EDGE = re.compile(r"^\W+|\W+$")
 _CLAUSE_END = ".!?;:"
 
+Step = Callable[[int, int], tuple[int, int, float]]  # (state, symbol) -> (state, symbol, weight)
 
-def _negation(state: int, word: int) -> int:
-    return SCOPE if word == NEGATION else max(0, state - 1)
 
+def _is_hit(symbol: int) -> bool:
+    return symbol < MATCH and symbol & 7 in (INSULT, THREAT)
 
-def _target(state: int, word: int) -> int:
-    return int(state or word == TARGET)
 
+def target(state: int, symbol: int) -> tuple[int, int, float]:
+    return int(state or symbol == TARGET), symbol | ADDRESSED if state and _is_hit(symbol) else symbol, 0.0
 
-def _reported(state: int, word: int) -> int:
-    return int(state or word == REPORT)
 
+def negation(state: int, symbol: int) -> tuple[int, int, float]:
+    return SCOPE if symbol == NEGATION else max(0, state - 1), symbol | NEGATED if state and _is_hit(symbol) else symbol, 0.0
 
-def _matched(negation: int, target: int, reported: int, word: int) -> int:
-    """The kind that an insult or threat gets in a state of the product, or -1."""
-    if word == THREAT:
-        return KINDS.index("threat") if target and not negation and not reported else -1
-    if word != INSULT:
-        return -1
-    return KINDS.index("reported" if reported else "negated" if negation else "targeted" if target else "plain")
 
+def reported(state: int, symbol: int) -> tuple[int, int, float]:
+    return int(state or symbol == REPORT), symbol | QUOTED if state and _is_hit(symbol) else symbol, 0.0
 
-def compose() -> tuple[dict, tuple[int, int, int]]:
-    """The product of the transducers: (state, class) -> (state, kind)."""
-    arcs = {}
-    for state in product(range(SCOPE + 1), (0, 1), (0, 1)):
-        for word in range(6):
-            arcs[state, word] = (_negation(state[0], word), _target(state[1], word), _reported(state[2], word)), _matched(*state, word)
-    return arcs, (0, 0, 0)
 
+def insult(weights: tuple[float, ...]) -> Step:
+    """Insults become matches, by their marks."""
 
-ARCS, START = compose()
+    def step(state: int, symbol: int) -> tuple[int, int, float]:
+        if symbol >= MATCH or symbol & 7 != INSULT:
+            return 0, symbol, 0.0
+        kind = KINDS.index("reported" if symbol & QUOTED else "negated" if symbol & NEGATED else "targeted" if symbol & ADDRESSED else "plain")
+        return 0, MATCH + kind, weights[kind]
+
+    return step
+
+
+def threat(weights: tuple[float, ...]) -> Step:
+    """Threats that are addressed, and neither negated nor reported, become matches."""
+    kind = KINDS.index("threat")
+
+    def step(state: int, symbol: int) -> tuple[int, int, float]:
+        if symbol >= MATCH or symbol & 7 != THREAT:
+            return 0, symbol, 0.0
+        return (0, MATCH + kind, weights[kind]) if symbol & (ADDRESSED | NEGATED | QUOTED) == ADDRESSED else (0, OTHER, 0.0)
+
+    return step
+
+
+def compose(steps: list[Step], symbols: Iterable[int]) -> list[dict[int, tuple[int, int, float]]]:
+    """The cascade of transducers, each reading what the one before it writes, as one: for each of its states, from the
+    start on, symbol -> (state, symbol, weight)."""
+    symbols = list(symbols)
+    number, arcs, start = {(0,) * len(steps): 0}, [], [(0,) * len(steps)]
+    for states in start:
+        arcs.append({})
+        for symbol in symbols:
+            read, weight, after = symbol, 0.0, []
+            for step, state in zip(steps, states, strict=True):
+                state, read, w = step(state, read)
+                after.append(state)
+                weight += w
+            if tuple(after) not in number:
+                number[tuple(after)] = len(number)
+                start.append(tuple(after))
+            arcs[-1][symbol] = number[tuple(after)], read, weight
+    return arcs
+
+
+def run(arcs: list[dict[int, tuple[int, int, float]]], symbols: list[int], weights: list[float]) -> tuple[list[int], list[float]]:
+    state, read, total = 0, [], []
+    for symbol, weight in zip(symbols, weights, strict=True):
+        state, symbol, w = arcs[state][symbol]
+        read.append(symbol)
+        total.append(weight + w)
+    return read, total
 
 
 def _bare(word: str) -> str:
@@ -87,27 +152,44 @@ def _beginnings(word: str) -> list[str]:
     return [word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1)] + [word + "$"] * (len(word) > 1)
 
 
+_NO = (OTHER, 1.0)
+
+
 class Grammar:
-    """The learned lexicon with the fixed lists, and the composed transducers over them."""
+    """The learned lexicon with the word lists, and the composed transducers with their weights: one that reads clauses
+    from their end, and one from their beginning."""
 
-    def __init__(self, lexicon: dict[str, float]):
-        self.lexicon = lexicon
+    def __init__(self, lexicon: dict[str, float], weights: tuple[float, ...] = (0.0,) * len(KINDS)):
+        self.lexicon, self.weights = lexicon, weights
         self.fixed = {w: k for k, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTED)) for w in words}
+        self.backward = compose([target], range(6))
+        self.forward = compose([target, negation, reported, insult(weights), threat(weights)], [*range(6), INSULT | ADDRESSED, THREAT | ADDRESSED])
         self.known: dict[str, tuple[int, float]] = {}
+        self.size = 0
+
+    def fresh(self) -> Grammar:
+        """The same for a task, whose words go with it."""
+        return Grammar(self.lexicon, self.weights)
 
     def classify(self, word: str) -> tuple[int, float]:
         got = self.known.get(word)
         if got is None:
-            if len(self.known) > CACHE_WORDS:
+            self.size += len(word) + 120
+            if self.size > CACHE_BYTES:
                 self.known.clear()
+                self.size = len(word) + 120
             bare = _bare(word)
-            weight = max((self.lexicon.get(x, 0.0) for x in _beginnings(bare)), default=0.0)
-            kind = self.fixed.get(bare, INSULT if weight else OTHER)
-            got = self.known[word] = (kind, weight if kind == INSULT else 1.0)
+            kind, weight = self.fixed.get(bare, OTHER), 1.0
+            if kind == OTHER:
+                found = max((self.lexicon.get(x, 0.0) for x in _beginnings(bare)), default=0.0)
+                kind, weight = (INSULT, found) if found else _NO
+            got = (kind, weight) if kind else _NO
+            if len(word) <= 64:
+                self.known[word] = got
         return got
 
     def matches(self, text: str) -> list[tuple[int, float]]:
-        """(kind, weight) of every insult or threat in the clauses of a text."""
+        """(kind, weight) of every match in the clauses of a text."""
         words = text.lower().replace("\n", " . ").split()
         classes = [self.classify(w) for w in words]
         hits = [i for i, c in enumerate(classes) if c[0] in (INSULT, THREAT)]
@@ -121,13 +203,10 @@ class Grammar:
             end = i
             while end < len(words) - 1 and words[end][-1] not in _CLAUSE_END:
                 end += 1
-            clause = classes[start : end + 1]
-            # an addressee anywhere in the clause counts: a first reading finds it, a second matches
-            state = START if not any(c[0] == TARGET for c in clause) else (0, 1, 0)
-            for kind, weight in clause:
-                state, match = ARCS[state, kind]
-                if match >= 0:
-                    found.append((match, weight))
+            symbols, weights = zip(*classes[start : end + 1], strict=True)
+            symbols, weights = run(self.backward, symbols[::-1], weights[::-1])
+            symbols, weights = run(self.forward, symbols[::-1], weights[::-1])
+            found += [(s - MATCH, w) for s, w in zip(symbols, weights, strict=True) if s >= MATCH]
             done = end
         return found
 
@@ -135,7 +214,7 @@ class Grammar:
         best, total = [0.0] * len(KINDS), [0.0] * len(KINDS)
         for kind, weight in self.matches(text):
             best[kind] = max(best[kind], weight)
-            total[kind] += weight
+            total[kind] += max(weight, 0.0)
         return best + [math.log1p(x) for x in total] + [max(best)]
 
 
@@ -146,50 +225,64 @@ def _fold_of(ids: Column) -> Column:
 def _sample(labels: DataFrame, rows: int) -> DataFrame:
     """Labelled rows outside the held-out fold, at most about `rows` of them, by a hash of the id."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
-    known = known.where(_fold_of(F.col("doc_id")) != 0).dropDuplicates(["doc_id"])
+    known = known.where(_fold_of(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = min(1.0, rows / n) if n else 0.0
     return known.where(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) < int(share * (1 << 30)))
 
 
+def _slices(batches):
+    for batch in batches:
+        for at in range(0, len(batch), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
 def _counted(only):
     """How many documents hold each word beginning (of those in `only`, if given)."""
 
-    def run(batches):
-        for batch in batches:
+    def count(batches):
+        for part in _slices(batches):
             found = Counter()
-            for text in (t for at in range(0, len(batch), SLICE_ROWS) for t in batch["text"].slice(at, SLICE_ROWS).to_pylist()):
+            for text in part["text"].to_pylist():
                 grams = {g for w in set((text or "").lower().split()) for g in _beginnings(_bare(w))}
                 found.update(grams if only is None else grams & only.value)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["gram", "n"])
 
-    return run
+    return count
 
 
 def learn_lexicon(train: DataFrame) -> dict[str, float]:
-    """Word beginnings that toxic documents hold much more often, with their log odds."""
-    spark = train.sparkSession
+    """Word beginnings that toxic documents hold much more often, with their log odds. Counts stay in Spark; what comes to
+    the driver is strong ones alone, of a bounded sample."""
     size = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
-    toxic = train.where("toxic = 1").select("text").mapInArrow(_counted(None), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
-    bad = {r["gram"]: r["n"] for r in toxic.orderBy(F.desc("n"), "gram").limit(10 * LEXICON_ROWS).toLocalIterator()}
-    only = spark.sparkContext.broadcast(frozenset(bad))
-    clean = train.where("toxic = 0").select("text").mapInArrow(_counted(only), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    good = {r["gram"]: r["n"] for r in clean.toLocalIterator()}
-    total, others = size.get(1, 0), size.get(0, 0)
+    counts = lambda toxic, only: train.where(f"toxic = {toxic}").select("text").mapInArrow(_counted(only), "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    bad = stage(counts(1, None).where(F.col("n") >= MIN_DOCS))
+    only = None
+    if bad.count() <= BROADCAST_GRAMS:  # clean documents then send these alone
+        only = train.sparkSession.sparkContext.broadcast(frozenset(r["gram"] for r in bad.toLocalIterator()))
+    good = counts(0, only).withColumnRenamed("n", "m")
+    n, m = F.col("n") + 0.5, F.coalesce("m", F.lit(0)) + 0.5
     # the lower end of the log odds: a few documents alone prove little
-    odds = lambda a, b: math.log((a + 0.5) / (total + 1)) - math.log((b + 0.5) / (others + 1)) - math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    weigh = {g: odds(n, good.get(g, 0)) for g, n in bad.items()}
-    strong = sorted((g for g, w in weigh.items() if w >= MIN_WEIGHT), key=lambda g: (-weigh[g] * math.sqrt(bad[g]), g))
-    return {g: weigh[g] for g in strong[:LEXICON_ROWS]}
+    odds = F.log(n / (size.get(1, 0) + 1)) - F.log(m / (size.get(0, 0) + 1)) - F.sqrt(1 / n + 1 / m)
+    strong = bad.join(good, "gram", "left").select("gram", odds.alias("weight")).where(F.col("weight") >= MIN_WEIGHT)
+    return {r["gram"]: r["weight"] for r in strong.toLocalIterator()}
 
 
 def _featured(grammar):
-    def run(batches):
-        for batch in batches:
-            x = [grammar.value.features(t or "") for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+    def features(batches):
+        own = grammar.value.fresh()
+        for part in _slices(batches):
+            x = [own.features(t or "") for t in part["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([part["toxic"], pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
+
+    return features
 
-    return run
+
+def _arc_weights(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """For each kind, the log odds of a document with such a match being toxic, against all."""
+    seen = x[:, : len(KINDS)] > 0
+    odds = lambda rows: math.log((y[rows].sum() + 0.5) / ((1 - y[rows]).sum() + 0.5))
+    return tuple(odds(seen[:, k]) - odds(np.ones(len(y), bool)) if seen[:, k].any() else 0.0 for k in range(len(KINDS)))
 
 
 def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
@@ -209,39 +302,51 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[Grammar, np.ndarray]:
     """The grammar and the weights of the regression. Without rows of both labels, every score is the share of toxic
     ones, or 0 without any."""
-    joined = docs.join(F.broadcast(_sample(labels, rows)), "doc_id").select("doc_id", "text", "toxic")  # `rows` rows at most
+    sample = F.broadcast(_sample(labels, rows))  # `rows` rows at most
+    joined = docs.join(sample, "doc_id").select("doc_id", "text", "toxic")
     grammar = Grammar(learn_lexicon(joined))
-    sent = docs.sparkSession.sparkContext.broadcast(grammar)
-    got = joined.select("text", "toxic").mapInArrow(_featured(sent), "toxic int, x array<double>").toArrow()  # `rows` short rows
-    width = len(grammar.features("")) + 1
-    if not len(got):
-        return grammar, np.append(np.zeros(width - 1), -30.0)
-    x, y = np.array(got["x"].to_pylist(), float), got["toxic"].to_numpy().astype(float)
-    return grammar, _fit(x, y)
 
+    def measured(g: Grammar) -> tuple[np.ndarray, np.ndarray]:
+        sent = docs.sparkSession.sparkContext.broadcast(g)
+        got = joined.select("text", "toxic").mapInArrow(_featured(sent), "toxic int, x array<double>").toArrow()  # short rows
+        return np.array(got["x"].to_pylist(), float).reshape(len(got), len(g.features(""))), got["toxic"].to_numpy().astype(float)
+
+    x, y = measured(grammar)
+    if not len(y):
+        return grammar, np.append(np.zeros(len(grammar.features(""))), -30.0)
+    weighted = Grammar(grammar.lexicon, _arc_weights(x, y))
+    return weighted, _fit(*measured(weighted))
+
+
+def _scorer(model):
+    """Scores of texts; what it keeps of words goes with the task."""
+    grammar, w = model.value[0].fresh(), model.value[1]
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        x = np.array([grammar.features(t or "") for t in texts.to_pylist()]).reshape(len(texts), len(w) - 1)
+        return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
-def _scores(model, texts: pa.Array) -> np.ndarray:
-    grammar, w = model.value
-    rows = [grammar.features(t or "") for at in range(0, len(texts), SLICE_ROWS) for t in texts.slice(at, SLICE_ROWS).to_pylist()]
-    release()
-    x = np.array(rows).reshape(len(texts), len(w) - 1)
-    return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+    return scores
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
     held_out tells whether crc32 of the id, as text, is divisible by 5; such rows teach nothing. Scores depend on the text
-    alone: a null or empty one has no matches and gets the intercept's score. Rows without an id are scored with a null
-    held_out. Labels may be missing, repeated or null. Other columns are ignored."""
+    alone, all of it however long: a null or empty one has no matches and gets the intercept's score. Rows without an id
+    are scored with a null held_out; repeated rows are scored each. Labels may be missing or null; a document with several
+    is toxic if one says so. Other columns are ignored."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, rows))
 
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_scores(model, batch["text"]))], names=["doc_id", "score"])
+    def score(batches):
+        scores = _scorer(model)
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(scores(part["text"]))], names=["doc_id", "score"])
+        del scores
+        release()
 
-    scored = docs.mapInArrow(run, "doc_id long, score double")
+    scored = docs.mapInArrow(score, "doc_id long, score double")
     return scored.select("doc_id", (_fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -249,11 +354,14 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """The documents that score below 0.5, with their own columns, in one pass over them."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), labels, rows))
 
-    def run(batches):
-        for batch in batches:
-            yield batch.filter(pa.array(_scores(model, batch[text_col]) < 0.5))
+    def keep(batches):
+        scores = _scorer(model)
+        for part in _slices(batches):
+            yield part.filter(pa.array(scores(part[text_col]) < 0.5))
+        del scores
+        release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

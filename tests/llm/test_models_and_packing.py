@@ -83,6 +83,34 @@ def test_plan_fills_and_covers():
         assert mine[0, 1] == 0 and mine[-1, 2] == n and (mine[1:, 1] == mine[:-1, 2]).all()
 
 
+def test_short_sequences_are_filled_too():
+    r = random.Random(2)
+    lens = Counter(r.randrange(1, 64) for _ in range(3000))
+    assert packing.plan(dict(lens), 64)[1] <= math.ceil(sum(k * n for k, n in lens.items()) / 64) * 1.01 + 1
+
+
+@pytest.mark.parametrize("times", [1, 10, 50])
+def test_sequences_come_from_configurations(times):
+    """What the rounding leaves to best fit is at most one piece for each length, however many there are."""
+    r = random.Random(8)
+    lens = Counter(min(999, int(r.lognormvariate(5, 1)) + 1) for _ in range(4000))
+    sizes, left = np.array(sorted(lens)), np.array([lens[k] * times for k in sorted(lens)])
+    pieces, total = int(left.sum()), int((left * sizes).sum())
+    used = packing._rounded(sizes, left, 1000, packing.ROUNDS)
+    assert left.min() >= 0 and left.sum() <= len(lens)
+    assert sum(n * t for c, t in used for _, n in c) + left.sum() == pieces
+    assert all(sum(k * n for k, n in c) <= 1000 for c, _ in used)
+    assert packing.plan({k: n * times for k, n in lens.items()}, 1000)[1] <= math.ceil(total / 1000) * 1.01 + 1
+
+
+def test_words_with_odd_stops_get_the_tokenizers_ids():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tok, encode, r = Tokenizer.from_file(path), packing._encoder(path), random.Random(6)
+    letters = "aBzéÉßİıĀŀǅª\u0307\u0301ſKΣς中ا9'.,-’\u200d"
+    for t in ["İ.", "İ,", "aİ. İ., b"] + ["".join(r.choice(letters) for _ in range(r.randrange(1, 7))) + r.choice(["", ".", ","]) for _ in range(4000)]:
+        assert np.frombuffer(encode(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_a_plan_does_not_grow_with_the_pieces():
     r = random.Random(4)
     lens = {k: r.randrange(1, 40) for k in range(1, 600, 7)}
@@ -137,6 +165,62 @@ def test_toxicity_learns_and_ignores_held_out_labels(spark):
     assert {x.doc_id for x in kept.collect()} == {i for i, x in got.items() if not x.predicted} and kept.columns == ["doc_id", "text", "lang", "length"]
 
 
+def test_the_composed_table_equals_the_cascade():
+    """Every clause of three words and random longer ones, transducer after transducer, against the one table."""
+    r, weights = random.Random(7), (0.5, 1.0, -2.0, -1.0, 2.0)
+    steps = [toxicity.target, toxicity.negation, toxicity.reported, toxicity.insult(weights), toxicity.threat(weights)]
+    arcs = toxicity.compose(steps, range(16))
+    clauses = [[a, b, c] for a in range(6) for b in range(6) for c in range(6)] + [[r.randrange(6) for _ in range(r.randrange(4, 12))] for _ in range(300)]
+    for clause in clauses:
+        symbols, total = clause, [1.0] * len(clause)
+        for step in steps:
+            state, read = 0, []
+            for k, x in enumerate(symbols):
+                state, x, w = step(state, x)
+                read.append(x)
+                total[k] += w
+            symbols = read
+        assert toxicity.run(arcs, clause, [1.0] * len(clause)) == (symbols, total)
+
+
+def brute_kinds(words, lexicon):
+    """Kinds of the insults and threats of one clause, by looking at the clause as a whole."""
+    found = []
+    for i, w in enumerate(words):
+        addressed = any(x in toxicity.TARGETS for x in words[:i] + words[i + 1 :])
+        negated = any(x in toxicity.NEGATIONS for x in words[max(0, i - 3) : i])
+        quoted = any(x in toxicity.REPORTED for x in words[:i])
+        if w in lexicon:
+            found.append(3 if quoted else 2 if negated else 1 if addressed else 0)
+        elif w in toxicity.THREATS and addressed and not negated and not quoted:
+            found.append(4)
+    return found
+
+
+def test_matches_equal_brute_force():
+    r = random.Random(12)
+    lexicon = {"scum": 3.0, "twit": 4.0}
+    g = toxicity.Grammar({f"{w}$": x for w, x in lexicon.items()})
+    for _ in range(2000):
+        words = [r.choice(["scum", "twit", "kill", "you", "dich", "not", "nie", "said", "dijo", "one", "two", "three"]) for _ in range(r.randrange(1, 14))]
+        assert [k for k, _ in g.matches(" ".join(words))] == brute_kinds(words, lexicon), words
+
+
+def test_scores_equal_a_loop_over_all_texts(spark):
+    """The model's score of every row, text by text in one place, and nulls as empty texts."""
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 50}" for k in range(20)) + (" grumf you" if i % 3 == 0 else "")) for i in range(120)] + [(500, None), (501, "grumf " * 3000)]
+    lab = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    grammar, w = toxicity.train(docs_of(spark, rows).select("doc_id", "text"), lab)
+    want = {i: 1 / (1 + math.exp(-max(-30, min(30, float(np.dot(grammar.features(t or ""), w[:-1]) + w[-1]))))) for i, t in rows}
+    assert {x.doc_id: pytest.approx(x.score) for x in toxicity.toxicity(docs_of(spark, rows), lab).collect()} == want
+
+
+def test_several_labels_of_a_document(spark):
+    lab = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity._sample(lab, 100).collect()}
+    assert got == {i: t for i, t in ((1, 1), (2, 0)) if zlib.crc32(str(i).encode()) % 5}
+
+
 def test_toxicity_without_labels(spark):
     none = spark.createDataFrame([(1, 0)], "doc_id long, toxic int").limit(0)
     assert [x.predicted for x in toxicity.toxicity(docs_of(spark, [(1, "a")]), none).collect()] == [0]
