@@ -1,8 +1,9 @@
 """Format-preserving pseudonyms for personal numbers and dates, by keyed Feistel networks.
 
 Found numbers are validated (Luhn, mod 97, octets, calendar, area codes) and permuted within their own format: a card
-number becomes another valid card number, a date another date in the same notation. Equal values get equal pseudonyms
-in every document, different ones stay different. Everything is an expression over the row; nothing is shuffled.
+number becomes another valid card number, a date another date in the same notation. Separators take no part: they are
+set aside and put back. So equal values get equal pseudonyms in every document and notation, different ones stay
+different. Everything is an expression over the row; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -12,13 +13,14 @@ from pyspark.sql import functions as F
 
 from docspark.llm.staging import table
 
-KEY = "docspark"
+KEY = "docspark"  # for tests: set KEY_SETTING or give a key of your own, as anybody can undo what this one does
+KEY_SETTING = "spark.docspark.pii.key"
 KINDS = ("email", "ip", "phone", "card", "ssn", "iban", "date")
 # fixed values: the notations looked for
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4})(?!\d)",
@@ -26,12 +28,14 @@ PATTERNS = {
 }
 ANY = "|".join(PATTERNS.values())
 MAYBE = r"\d[ .-]?\d|@"  # in every match of ANY; cheap to rule texts out by
+# fixed values: country codes of the international numbering plan with one and two digits; all others have three
+COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 DAYS = 146097  # of 400 years, 189 * 773
 FIRST_DAY = "1800-01-01"
 
 
-def _prf(key: str, *parts: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), *(p.cast("string") for p in parts)), 256)
+def _prf(key: str | Column, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key) if isinstance(key, str) else key, *(p.cast("string") for p in parts)), 256)
 
 
 def _number(digest: Column) -> Column:
@@ -51,7 +55,7 @@ def permute_number(value: Column, a: int, b: int, key: str, rounds: int = 6) ->
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), start, step, lambda s: s["x"] * b + s["y"])
 
 
-def permute_characters(text: Column, key: str, rounds: int = 4) -> Column:
+def permute_characters(text: Column, key: str | Column, rounds: int = 4) -> Column:
     """A keyed permutation of the strings with the same digits, capitals, small letters and other characters in the same
     places: each half is shifted, character by character, by what the other half gives."""
     half = F.floor(F.length(text) / 2).cast("int")
@@ -74,6 +78,15 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
+def refilled(text: Column, new: Column, other: str = r"\D") -> Column:
+    """`text` with its characters, but those that match `other`, replaced by those of `new` in turn."""
+
+    def place(c: Column, i: Column) -> Column:
+        return F.when(c.rlike(other), c).otherwise(F.substring(new, F.length(F.regexp_replace(F.substring(text, F.lit(1), i + 1), other, "")), F.lit(1)))
+
+    return F.array_join(F.transform(F.split(text, ""), place), "")
+
+
 def luhn_sum(digits: Column, doubled: int) -> Column:
     """The Luhn sum; the last digit counts double if `doubled` is 0, the one before it if 1."""
 
@@ -85,9 +98,10 @@ def luhn_sum(digits: Column, doubled: int) -> Column:
 
 
 def _card(x: Column, key: str) -> tuple[Column, Column]:
-    body = F.concat(F.substring(x, 1, 1), permute_characters(F.substring(x, F.lit(2), F.length(x) - 2), key))
-    check = F.pmod(F.lit(10) - luhn_sum(_digits(body), 0) % 10, F.lit(10))
-    return luhn_sum(_digits(x), 1) % 10 == 0, F.concat(body, check.cast("string"))
+    digits = _digits(x)
+    body = F.concat(F.substring(digits, 1, 1), permute_characters(F.substring(digits, F.lit(2), F.length(digits) - 2), key))
+    check = F.pmod(F.lit(10) - luhn_sum(body, 0) % 10, F.lit(10))
+    return luhn_sum(digits, 1) % 10 == 0, refilled(x, F.concat(body, check.cast("string")))
 
 
 def mod97(text: Column) -> Column:
@@ -100,10 +114,15 @@ def mod97(text: Column) -> Column:
 
 
 def _iban(x: Column, key: str) -> tuple[Column, Column]:
-    country, rest = F.substring(x, 1, 2), F.substring(x, F.lit(5), F.length(x))
+    """Of a spaced one the longest valid run of groups, as words in capitals may follow."""
+    plain = lambda n: F.translate(F.substring(x, F.lit(1), n), " ", "")
+    valid = lambda n: (F.length(plain(n)) >= 15) & (mod97(F.concat(F.substring(plain(n), F.lit(5), F.length(x)), F.substring(plain(n), 1, 4))) == 1)
+    ends = F.filter(F.sequence(F.lit(15), F.greatest(F.length(x), F.lit(15))), lambda n: ((n == F.length(x)) | (F.substring(x, n + 1, F.lit(1)) == " ")) & valid(n))
+    end = F.array_max(ends)
+    country, rest = F.substring(x, 1, 2), F.substring(plain(end), F.lit(5), F.length(x))
     new = permute_characters(rest, key)
     check = F.lpad((F.lit(98) - mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-    return mod97(F.concat(rest, F.substring(x, 1, 4))) == 1, F.concat(country, check, new)
+    return F.coalesce(F.size(ends) > 0, F.lit(False)), F.concat(refilled(F.substring(x, F.lit(1), end), F.concat(country, check, new), " "), F.substring(x, end + 1, F.length(x)))
 
 
 def _ip(x: Column, key: str) -> tuple[Column, Column]:
@@ -143,8 +162,12 @@ def _email(x: Column, key: str) -> tuple[Column, Column]:
 
 
 def _phone(x: Column, key: str) -> tuple[Column, Column]:
-    code = F.regexp_extract(x, r"^\+\d{1,3}", 0)
-    return F.length(_digits(x)).between(8, 15), F.concat(code, permute_characters(F.substring(x, F.length(code) + 1, F.length(x)), key))
+    """The country code stays; a number without one is written as in the numbering plan of code 1."""
+    digits = _digits(x)
+    code = F.when(x.startswith("+"), F.regexp_extract(digits, COUNTRY, 0)).otherwise("")
+    own = F.substring(digits, F.length(code) + 1, F.length(x))
+    keyed = F.concat(F.lit(f"{key}|"), F.when(code == "", "1").otherwise(code))
+    return F.length(digits).between(8, 15), refilled(x, F.concat(code, permute_characters(own, keyed)))
 
 
 RULES = {"email": _email, "ip": _ip, "phone": _phone, "card": _card, "ssn": _ssn, "iban": _iban, "date": _date}
@@ -159,12 +182,13 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     return out
 
 
-def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """One row per row: doc_id, text with pseudonyms, and n_<kind> for each of KINDS.
 
     Where notations overlap, the leftmost match wins, then the order of PATTERNS. A string that looks like a kind but is
-    not valid stays as it is. Null texts stay null and count nothing; repeated rows get the same result; ids may be null;
-    other columns are ignored."""
+    not valid stays as it is. The key is that of KEY_SETTING in the session if none is given. Null texts stay null and count
+    nothing; long texts are read whole; repeated rows get the same result; ids may be null; other columns are ignored."""
+    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     some = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     none = F.array().cast("array<struct<kind:string,value:string>>")

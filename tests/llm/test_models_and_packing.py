@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import math
 import random
 import re
@@ -360,6 +361,46 @@ def test_formats_stay_valid_and_equal_values_linked(spark):
     assert re.fullmatch(r"\d{4}-\d\d-\d\d", iso) and re.fullmatch(r"\d\d\.\d\d\.\d{4}", dotted) and slashed[:2] == dotted[3:5] and slashed[3:5] == dotted[:2]
 
 
+def test_values_are_linked_across_separators(spark):
+    cards = ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111-1111 11111111"]
+    phones = ["+1 988 555 2485", "+1-988-555-2485", "+1 (988) 555-2485", "(988) 555-2485", "+1.988.555.2485"]
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00 EUR", "BE68 5390 0754 7034 THIS", "BE68539007547034"]
+    got = pseudonyms(spark, cards + phones + ibans)
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert len(set(digits[:4])) == 1 and luhn(digits[0]) and digits[0] != cards[0]
+    assert len({x[-10:] for x in digits[4:9]}) == 1 and digits[4][-10:] != "9885552485"
+    assert [re.sub(r"\d", "0", x) for x in got[:9]] == [re.sub(r"\d", "0", x) for x in cards + phones]
+    iban = got[9]
+    assert iban != ibans[0] and got[10].replace(" ", "") == iban and got[11] == got[10] + " EUR"
+    assert got[12] == " ".join(re.findall(".{1,4}", got[13])) + " THIS" and got[13] != ibans[4]
+
+
+def brute_permuted(text, key, rounds=4):
+    """The character Feistel network in plain Python."""
+    left, right = text[: len(text) // 2], text[len(text) // 2 :]
+    for k in range(1, rounds + 1):
+        digest = hashlib.sha256(f"{key}|{k}|{right}".encode()).hexdigest()
+        turn = lambda c, j: next((chr(b + (ord(c) - b + int(digest[2 * (j % 32) : 2 * (j % 32) + 2], 16)) % n) for b, n, e in ((48, 10, "9"), (97, 26, "z"), (65, 26, "Z")) if chr(b) <= c <= e), c)  # noqa: E731, B023
+        left, right = right, "".join(turn(c, j) for j, c in enumerate(left))
+    return left + right
+
+
+def test_pseudonyms_equal_a_plain_network(spark):
+    r = random.Random(3)
+    texts = ["".join(r.choice("abcXYZ0123456789._") for _ in range(r.randrange(1, 20))) for _ in range(300)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pii.permute_characters(F.col("t"), "k").alias("p")).collect()
+    assert {x.i: x.p for x in got} == {i: brute_permuted(t, "k") for i, t in enumerate(texts)}
+    card = "4111 1111 1111 1111"
+    body = "4" + brute_permuted("11111111111111", f"{pii.KEY}|card")
+    check = next(d for d in "0123456789" if luhn(body + d))
+    assert pseudonyms(spark, [card]) == [" ".join(re.findall("....", body + check))]
+    spark.conf.set(pii.KEY_SETTING, "another")
+    try:
+        assert pseudonyms(spark, [card]) != [" ".join(re.findall("....", body + check))]
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_invalid_and_odd_texts_stay(spark):
     texts = ["4041894974608796", "999.1.1.1", "1985-02-30", "000-12-3456", "", None, "v1.2.3", "no 12 numbers @ all"]
     assert pseudonyms(spark, texts) == texts
