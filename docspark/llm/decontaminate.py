@@ -3,7 +3,8 @@
 An item's sketch is the bottom of one random order of its shingles. Items are partitioned by size class
 [2^c, 2^(c+1)), and a class takes floor((1 - t) * upper size) + 1 values: a document that holds the share t of an
 item's shingles misses at most floor((1 - t) * size) of them, so it holds at least one value of the sketch and no
-match is lost. Only documents with enough words for t are probed. Candidates are verified on their full shingle
+match is lost. Items alone are sketched, one bottom sketch each; of a long document every shingle is probed, as its
+own sketch would hold few of a short item's. Only documents with enough words for t are probed. Candidates are verified on their full shingle
 sets, as strings.
 """
 
@@ -55,7 +56,8 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", doc_
 
     A document contains an item when it holds `threshold` percent or more of the item's distinct shingles of `width`
     lower-cased words. A text of fewer words is one shingle, equal only to another text of just these words. Null and
-    empty texts hold nothing and are held by nothing; repeated rows count once; other columns are ignored.
+    empty texts hold nothing and are held by nothing; long texts are read whole; repeated rows count once; other columns
+    are ignored.
     """
     parts = stage(
         _shingles(_tokenised(items, item_id, item_text, "item_id"), width)

@@ -3,7 +3,8 @@
 Every map task first deduplicates its own rows (partial aggregation), the salted groups of a digest are merged next,
 and the salts' winners are combined last. The grouping key holds the full content beside its digest at each stage, so
 two different contents never merge even where their digests agree. A group of copies sends at most one row per map
-task and salt, whatever its size.
+task and salt, whatever its size. On the way back, winners of large groups are broadcast, which bounds their number, and
+their rows stay where they are; the rest meets its winners by digest.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from docspark.llm.staging import stage, table, without
 
 WHITE = " \t\n\x0b\f\r"
+LARGE = 10_000  # so many groups at most can hold a LARGE-th of all rows each; these are broadcast
 
 
 def sha256(content: Column) -> Column:
@@ -25,8 +27,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when identical without the white space in `WHITE`. The row with the most code points in the
     original text stays, then the one with the smallest id; a null id loses to any other. A null text is empty, and
-    empty texts form one group. Repeated rows count each in group_size and share their decision. Other columns are
-    ignored whatever their names.
+    empty texts form one group. Long texts are read whole. Repeated rows count each in group_size and share their
+    decision. Other columns are ignored whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("chars"), F.translate(text, WHITE, "").alias("content")).withColumn("digest", digest(F.col("content")))
@@ -44,9 +46,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             F.when(~alone, F.collect_list(F.struct("content", F.bitwise_not("best.inverse").alias("keep_id"), "n"))).alias("clash"),
         )
     )
-    plain = rows.select("doc_id", "digest", F.sha2("content", 256).alias("text_sha256")).join(winners.where("clash is null").drop("clash"), "digest")
+    total = winners.agg(F.sum("group_size")).first()[0] or 0
+    plain = winners.where("clash is null").drop("clash")
+    large = plain.where((F.col("group_size") > 1) & (F.col("group_size") * LARGE >= total))
+    small = plain.join(F.broadcast(large), "digest", "left_anti").withColumnRenamed("digest", "key")
+    known = F.broadcast(large.select("digest", F.col("keep_id").alias("large_id"), F.col("group_size").alias("large_size")))
+    told = rows.select("doc_id", "digest", F.sha2("content", 256).alias("text_sha256")).join(known, "digest", "left")
+    apart = F.when(F.col("large_size").isNull(), F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("doc_id").cast("string")))
+    met = told.withColumn("key", apart).join(small, "key", "left").where("coalesce(large_size, group_size) is not null")
     shape = ["doc_id", "digest", "text_sha256", "keep_id", "group_size"]
-    found = plain.select(*shape)
+    found = met.select("doc_id", "digest", "text_sha256", F.when(F.col("large_size").isNull(), F.col("keep_id")).otherwise(F.col("large_id")).alias("keep_id"), F.coalesce("large_size", "group_size").alias("group_size"))
     if not winners.where("clash is not null").isEmpty():
         found = found.unionByName(_told_apart(rows, winners).select(*shape))
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

@@ -89,7 +89,8 @@ def derive(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record per response record, in the columns of DERIVED_SCHEMA.
 
     The metadata block is JSON with the response's HTTP headers, title and resolved links; the conversion block is the
-    page's text. An empty payload gives an empty text. Nothing is dropped and no row needs another."""
+    page's text. An empty payload gives an empty text, a null address an empty one; pages of any length are read whole,
+    and repeated rows give repeated records. Nothing is dropped and no row needs another."""
 
     def run(batches):
         for batch in batches:
@@ -120,40 +121,57 @@ def serialise(records: DataFrame) -> DataFrame:
             rows = []
             for r in batch.to_pylist():
                 headers = [("WARC-Type", r["record_type"]), ("WARC-Record-ID", r["record_id"]), ("WARC-Refers-To", r["refers_to"]), ("WARC-Target-URI", r["target_uri"]), ("WARC-Date", r["date"])]
-                headers += [("WARC-Block-Digest", r["block_digest"]), ("WARC-Source-Payload-Digest", r["source_payload_digest"]), ("Content-Type", r["content_type"]), ("Content-Length", str(r["content_length"]))]
+                headers += [("WARC-Block-Digest", r["block_digest"]), ("WARC-Source-Block-Digest", r["source_block_digest"]), ("WARC-Source-Payload-Digest", r["source_payload_digest"])]
+                headers += [("WARC-Source-HTTP-Headers", json.dumps(r["source_headers"])), ("Content-Type", r["content_type"]), ("Content-Length", str(r["content_length"]))]
                 rows.append((r["record_id"], _member(headers, r["block"].encode())))
             yield _batch(rows, (pa.string(), pa.binary()), "record_id string, member binary")
 
     return records.mapInArrow(run, "record_id string, member binary")
 
 
+def _record(source) -> tuple[dict[str, str], bytes]:
+    """Headers up to the blank line, and the block that they announce."""
+    headers = {}
+    while line := source.readline().decode("utf-8", "replace").rstrip("\r\n"):
+        k, _, v = line.partition(":")
+        headers[k.strip().lower()] = v.strip()
+    return headers, source.read(int(headers.get("content-length", 0)))
+
+
 def parse(data: bytes):
     """(headers, block) of each record of a WARC file, gzipped or not."""
-    source = io.BytesIO(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data)
+    source = gzip.GzipFile(fileobj=io.BytesIO(data)) if data[:2] == b"\x1f\x8b" else io.BytesIO(data)
     while line := source.readline():
-        if not line.startswith(b"WARC/"):
-            continue
-        headers = {}
-        while (line := source.readline().decode("utf-8", "replace").rstrip("\r\n")):
-            k, _, v = line.partition(":")
-            headers[k.strip().lower()] = v.strip()
-        yield headers, source.read(int(headers.get("content-length", 0)))
+        if line.startswith(b"WARC/"):
+            yield _record(source)
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of the WARC files below `path`; page_id is null. A file is read by one task."""
+    """Response records of the WARC files below `path`; page_id is null. Spark's line reader streams and unpacks the files
+    and cuts them before each version line, so a task holds records and not files. A block that holds a version line
+    itself is joined again by its content length."""
 
     def run(batches):
-        for batch in batches:
-            for data in batch["content"].to_pylist():
-                rows = []
-                for h, block in parse(data):
-                    if h.get("warc-type") == "response":
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        rows.append((None, h.get("warc-record-id"), h.get("warc-target-uri", ""), h.get("warc-date"), head.decode("utf-8", "replace") + "\r\n\r\n", payload, h.get("warc-block-digest", digest(block)), h.get("warc-payload-digest", digest(payload))))
-                yield _batch(rows, (pa.int64(), *[pa.string()] * 4, pa.binary(), pa.string(), pa.string()), RESPONSE_SCHEMA)
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE_SCHEMA)
+        def whole():
+            held = b""
+            for batch in batches:
+                for raw in batch["value"].to_pylist():
+                    held += b"WARC/1.0\r\n" * bool(held) + raw
+                    headers, block = _record(io.BytesIO(held))
+                    if len(block) >= int(headers.get("content-length", 0)):
+                        yield headers, block
+                        held = b""
+            if held.strip():
+                yield _record(io.BytesIO(held))
+
+        for h, block in whole():
+            if h.get("warc-type") == "response":
+                head, _, payload = block.partition(b"\r\n\r\n")
+                row = (None, h.get("warc-record-id"), h.get("warc-target-uri", ""), h.get("warc-date"), head.decode("utf-8", "replace") + "\r\n\r\n", payload, h.get("warc-block-digest", digest(block)), h.get("warc-payload-digest", digest(payload)))
+                yield _batch([row], (pa.int64(), *[pa.string()] * 4, pa.binary(), pa.string(), pa.string()), RESPONSE_SCHEMA)
+
+    records = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).select(F.col("value").cast("binary").alias("value"))
+    return records.where(F.length("value") > 0).mapInArrow(run, RESPONSE_SCHEMA)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

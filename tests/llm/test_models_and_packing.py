@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import base64
 import gzip
 import hashlib
+import json
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
+from html.parser import HTMLParser
+from urllib.parse import urljoin
 
 import numpy as np
 import public_tokenizers
@@ -264,6 +269,60 @@ def test_records_round_trip_through_files(spark, tmp_path):
     assert head["warc-refers-to"] == r.record_id and body.decode() == "é" and gzip.decompress(bytes(out[1].member)).startswith(b"WARC/1.0")
 
 
+def test_blocks_that_hold_a_version_line(spark, tmp_path):
+    blocks = [b"HTTP/1.1 200 OK\r\nX: 1\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\n\xff\xfe\x00", b"HTTP/1.1 200 OK\r\n\r\n", b"HTTP/1.1 200 OK\r\n\r\nend"]
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(warc._member([("WARC-Type", "response"), ("WARC-Record-ID", f"<{k}>"), ("Content-Length", str(len(x)))], x) for k, x in enumerate(blocks)))
+    got = {r.record_id: r.http_headers.encode() + bytes(r.payload) for r in warc.read_responses(spark, str(tmp_path)).collect()}
+    assert got == {f"<{k}>": x for k, x in enumerate(blocks)}
+    assert [b for _, b in warc.parse((tmp_path / "b.warc.gz").read_bytes())] == blocks
+
+
+class Visible(HTMLParser):
+    """Title, links and lines of visible text, by the standard library's parser."""
+
+    BLOCKS = set("p div li ul ol h1 h2 h3 h4 h5 h6 br tr table article section nav footer header main aside blockquote pre title body html head hr dd dt dl form figure figcaption".split())
+
+    def __init__(self, markup):
+        super().__init__(convert_charrefs=True)
+        self.hidden, self.text, self.links = 0, "", []
+        self.feed(markup)
+        self.close()
+        lines = [" ".join(x.split()) for x in self.text.split("\n")]
+        self.lines = [x for x in lines if x]
+
+    def handle_starttag(self, tag, attrs):
+        self.hidden += tag in ("script", "style", "noscript", "template")
+        self.text += "\n" if tag in self.BLOCKS else ""
+        if tag == "a" and dict(attrs).get("href") is not None:
+            self.links.append(dict(attrs)["href"].strip())
+
+    def handle_endtag(self, tag):
+        self.hidden -= tag in ("script", "style", "noscript", "template")
+        self.text += "\n" if tag in self.BLOCKS else ""
+
+    def handle_data(self, data):
+        self.text += "" if self.hidden else data.replace("\n", " ")
+
+
+def test_records_of_the_pages_equal_a_plain_loop(spark, sf):
+    pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    rows = warc.op3_warc(spark, sf).collect()
+    assert Counter((r.page_id, r.record_type) for r in rows) == Counter((i, k) for i in pages for k in ("metadata", "conversion"))
+    for r in rows:
+        page = pages[r.page_id].html or ""
+        seen, payload = Visible(page), page.encode()
+        head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n"
+        sha1 = lambda x: "sha1:" + base64.b32encode(hashlib.sha1(x).digest()).decode()
+        source = f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(('response', pages[r.page_id].url or '', str(r.page_id), sha1(payload))))}>"
+        assert (r.refers_to, r.source_headers, r.source_payload_digest, r.source_block_digest) == (source, head, sha1(payload), sha1(head.encode() + payload))
+        assert (r.target_uri, r.content_length, r.block_digest) == (pages[r.page_id].url, len(r.block.encode()), sha1(r.block.encode()))
+        if r.record_type == "conversion":
+            assert r.block.split() == " ".join(seen.lines).split()
+        else:
+            known = json.loads(r.block)
+            assert known["links"] == [urljoin(pages[r.page_id].url, x) for x in seen.links] and known["headers"]["Content-Length"] == str(len(payload))
+
+
 # language model
 
 
