@@ -1,4 +1,10 @@
-"""A training corpus from raw documents: each stage reads what the one before it kept."""
+"""A training corpus from raw documents: each stage reads what the one before it kept.
+
+Rows keep all columns of `documents`, whatever others there are, up to the last stage. A null text counts as empty: it is
+kept by every stage but exact dedup, where all empty texts are one group, and is packed as the end id alone. Ties of equal
+texts go to the smallest id. Rows without an id are never dropped as copies or leaks, only as toxic. Rows that share an id
+stand or fall together. An empty table gives an empty result; texts of any length are read whole.
+"""
 
 from __future__ import annotations
 
