@@ -8,7 +8,7 @@ of 128-bit BLAKE2b digests.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -132,6 +132,23 @@ def release() -> None:
         _trim(0)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(owner: str, make: Callable[[], object]) -> object:
+    """What `make` gives, kept by a worker from task to task for one owner at a time: another one's work lets it go."""
+    if owner not in _kept:
+        forget()
+        _kept[owner] = make()
+    return _kept[owner]
+
+
+def forget() -> None:
+    if _kept:
+        _kept.clear()
+        release()
+
+
 try:
     _trim = ctypes.CDLL(None).malloc_trim
 except (AttributeError, OSError):  # another C library
@@ -140,6 +157,7 @@ except (AttributeError, OSError):  # another C library
 
 def pieces(batch: pa.RecordBatch, id_col: str, text_col: str, limit: int = PIECE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Piece]:
     """Documents of a batch, at most `limit` bytes and `rows` rows at a time but never less than one; null texts are empty."""
+    forget()
     ids = batch.column(id_col)
     for low in range(0, len(batch), rows):
         texts = batch.column(text_col).slice(low, rows)

@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from docspark.llm.bytewise import release
+from docspark.llm.bytewise import kept, release
 from docspark.llm.staging import stage, table
 
 LIMIT = 4096
 END_ID = 1
 ROUNDS = 8  # at least; more where lengths are few
-CACHE_BYTES = 48 << 20  # of words whose ids a task keeps
+CACHE_BYTES = 64 << 20  # of words whose ids a worker keeps
 SLICE_ROWS = 512  # texts held as Python strings at once
 TOKENIZER = "word_bpe_49k.json"
 
@@ -44,7 +44,7 @@ def _byte_letters() -> list[str]:
 
 def _encoder(path: str):
     """Bytes of a text -> its ids as little-endian unsigned 32-bit numbers; the tokenizer and the words that it has
-    encoded live as long as the function, which is a task.
+    encoded live as long as the function.
 
     The tokenizer never joins ids over white space, nor a Latin letter that stays one in lower case with a full stop or
     comma after it, so words are encoded once and kept. A word of plain Latin letters is one pre-token and goes straight
@@ -88,7 +88,7 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches):
-        encode = _encoder(path)
+        encode = kept(f"ids by {path}", lambda: _encoder(path))
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
@@ -103,7 +103,6 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in list(zip(cols, kinds, strict=True))[: 6 if with_ids else 5]], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if with_ids else 5])
             del out, cols
-        del encode
         release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewise import release
+from docspark.llm.bytewise import forget, release
 from docspark.llm.staging import stage, table
 
 SAMPLE_ROWS = 20_000
@@ -232,6 +232,7 @@ def _sample(labels: DataFrame, rows: int) -> DataFrame:
 
 
 def _slices(batches):
+    forget()
     for batch in batches:
         for at in range(0, len(batch), SLICE_ROWS):
             yield batch.slice(at, SLICE_ROWS)
