@@ -39,10 +39,11 @@ def lead_sentences(texts: list, n: int = 3) -> list:
 
 
 def rule_label(texts: list) -> list:
-    from docspark.operators.sections import KEYWORDS
+    from docspark.operators.sections import KEYWORDS, phrases
 
+    found = {k: re.compile(phrases(k, r"\b")) for k in KEYWORDS}
     plain = [" ".join((t or "").lower().split()) for t in texts]
-    return [next((k for k, p in KEYWORDS.items() if re.search(p, t)), "other") for t in plain]
+    return [next((k for k, p in found.items() if p.search(t)), "other") for t in plain]
 
 
 register("embedder", hash_embedding)

@@ -2,27 +2,305 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docspark.functions import strings
+from docspark.functions import models, strings
 
-# fixed values: section labels in the order in which their patterns are tried, with the phrases that give them
+# fixed values: section labels in the order in which they are tried, with the phrases that give them, a pattern a line
 KEYWORDS = {
-    "front_matter": r"\btable of contents\b|^contents$|\blist of (figures|tables)\b|\backnowledge?ments?\b|\bforeword\b|\bpreface\b|\bdisclaimer\b|\bcopyright\b|\bsommaire\b|\bremerciements\b|\bavant-propos\b|\b[ií]ndice\b|\bagradecimientos\b",
-    "acronyms": r"\bacronyms\b|\babbreviations\b|\bglossary\b|\bsigles\b|\bglossaire\b|\bglosario\b",
-    "executive_summary": r"\bexecutive summary\b|\bevaluation brief\b|^summary$|\br[eé]sum[eé] ex[eé]cutif\b|\bresumen ejecutivo\b",
-    "recommendations": r"\brecommendations?\b|\bmanagement response\b|\bway forward\b|\bnext steps\b|\brecommandations?\b|\brecomendaciones\b",
-    "conclusions": r"\bconclusions?\b|\blessons learned\b|\bconclusiones\b",
-    "annexes": r"\bannex(es)?\b|\bannexes?\b|\banexos?\b",
-    "appendix": r"\bappendi(x|ces)\b",
-    "bibliography": r"\bbibliography\b|\breferences\b|\bbibliographie\b|\bbibliograf[ií]a\b",
-    "methodology": r"\bmethodology\b|\bmethods?\b|\bapproach\b|\bm[eé]thodologie\b|\bmetodolog[ií]a\b",
-    "findings": r"\bfindings\b|\bresults\b|\bconstatations\b|\bhallazgos\b|\bresultados\b",
-    "introduction": r"\bintroduction\b|\bintroducci[oó]n\b",
-    "context": r"\bcontext\b|\bbackground\b|\btheory of change\b|\bcontexte\b|\bcontexto\b",
+    "front_matter": r"""
+table\s+of\s+contents
+^\s*contents\s*$
+sommaire
+table\s+des\s+mati[eè]res
+[ií]ndice
+lista\s+de\s+figuras
+lista\s+de\s+tablas
+lista\s+de\s+gr[aá]ficos
+lista\s+de\s+mapas
+lista\s+de\s+cuadros
+list\s+of\s+figures
+list\s+of\s+tables
+liste\s+des\s+figures
+liste\s+des\s+tableaux
+acknowledg(e)?ments
+remerciements
+agradecimientos
+foreword
+avant[-\s]?propos
+preface
+disclaimer
+descargo\s+de\s+responsabilidad
+exenci[oó]n\s+de\s+responsabilidad
+personal\s+clave
+cr[eé]ditos?\s+fotogr[aá]ficos
+copyright
+""",
+    "acronyms": r"""
+acronyms
+abbreviations
+glossary
+glossaire
+glosario
+sigles
+abr[eé]viations
+""",
+    "executive_summary": r"""
+executive\s+summary
+evaluation\s+brief
+^\s*summary\s*$
+r[eé]sum[eé]\s+ex[eé]cutif
+note\s+d['’]?évaluation
+note\s+d['’]?evaluation
+resumen\s+ejecutivo
+nota\s+de\s+evaluaci[oó]n
+исполнительное\s+резюме
+कार्यकारी\s+सारांश
+ملخص\s+تنفيذي
+resumo\s+executivo
+nota\s+de\s+avalia[çc][aã]o
+exekutive\s+zusammenfassung
+riassunto\s+esecutivo
+""",
+    "recommendations": r"""
+recommendations?
+management\s+response
+way\s+forward
+next\s+steps
+considerations?
+action\s+plan
+priority\s+actions?
+recommandations?
+recomendaciones?
+рекомендации
+सिफारिशें
+التوصيات
+recomenda[çc][oõ]es
+empfehlungen
+raccomandazioni
+""",
+    "conclusions": r"""
+conclusions?
+conclusiones?
+выводы
+заключение
+निष्कर्ष
+الاستنتاجات
+الخلاصة
+conclus[oõ]es
+schlussfolgerungen
+conclusioni
+""",
+    "methodology": r"""
+methodology
+methods?
+approach
+data\s+collection
+limitations?
+evaluation\s+design
+research\s+design
+m[eé]thodologie
+m[eé]thodes
+metodolog[ií]a
+m[eé]todos
+методология
+методы
+कार्यप्रणाली
+विधि
+منهجية
+طرق
+methodik
+methoden
+metodi
+""",
+    "introduction": r"""
+introduction
+purpose
+scope
+object\s+of\s+evaluation
+objectives?\s+of\s+the\s+evaluation
+evaluation\s+objectives?
+evaluation\s+aims?
+evaluation\s+questions?
+evaluation\s+features
+evaluation\s+strategy
+objectifs?\s+de\s+l'?évaluation
+port[ée]e
+objet\s+de\s+l'?évaluation
+introducci[oó]n
+objetivos?\s+de\s+la\s+evaluaci[oó]n
+alcance
+objeto\s+de\s+la\s+evaluaci[oó]n
+введение
+цели\s+оценки
+задачи
+объект\s+оценки
+परिचय
+मूल्यांकन\s+के\s+उद्देश्य
+परिधि
+مقدمة
+أهداف\s+التقييم
+نطاق
+introdu[çc][aã]o
+objetivos?\s+da\s+avalia[çc][aã]o
+escopo
+einf[üu]hrung
+ziele\s+der\s+bewertung
+umfang
+introduzione
+obiettivi\s+della\s+valutazione
+ambito
+""",
+    "context": r"""
+overview
+background
+context
+project\s+description
+theory\s+of\s+change
+intervention
+strategic\s+plan
+contexte
+vue\s+d'ensemble
+description\s+du\s+projet
+contexto
+descripci[oó]n\s+del\s+proyecto
+обзор
+контекст
+описание\s+проекта
+पृष्ठभूमि
+प्रसंग
+خلفية
+سياق
+descri[çc][aã]o\s+do\s+projeto
+kontext
+projektbeschreibung
+contesto
+descrizione\s+del\s+progetto
+""",
+    "appendix": r"""
+appendix
+appendices
+appendice
+ap[eé]ndice
+ap[eé]ndices
+приложение
+приложения
+परिशिष्ट
+ملحق
+ملاحق
+ap[eê]ndice
+ap[eê]ndices
+anhang
+anh[aä]nge
+appendici
+""",
+    "findings": r"""
+findings?
+results?
+observations?
+analysis
+hallazgos
+r[eé]sultats?
+constatations?
+выводы
+результаты
+наблюдения
+निष्कर्ष
+परिणाम
+النتائج
+الاستنتاجات
+resultados
+observa[çc][oõ]es
+ergebnisse
+beobachtungen
+risultati
+osservazioni
+relevance
+effectiveness
+efficiency
+impact
+sustainability
+coherence
+pertinence
+efficacit[eé]
+efficience
+durabilit[eé]
+coh[eé]rence
+""",
+    "bibliography": r"""
+bibliography
+works\s+cited
+references
+bibliographie
+r[eé]f[eé]rences
+bibliograf[ií]a
+referencias
+библиография
+ссылки
+литература
+ग्रंथ\s+सूची
+संदर्भ
+المراجع
+قائمة\s+المراجع
+refer[eê]ncias
+referenzen
+referenze
+""",
+    "annexes": r"""
+annex(es)?
+annexure(s)?
+appendix
+appendices
+attachments?
+annexe(s)?
+appendice(s)?
+termes\s+de\s+r[eé]f[eé]rence
+tdr
+anexo(s)?
+ap[eé]ndice(s)?
+adjuntos?
+приложение
+приложения
+अनुलग्नक
+ملحق
+ملاحق
+ap[eê]ndice(s)?
+termos\s+de\s+refer[eê]ncia
+anhang
+anh[aä]nge
+allegato(s)?
+附录
+附件
+terms\s+of\s+reference
+tor
+anex
+apend
+""",
 }
+# fixed values: what makes a title an annex after all other rules
+ANNEX_TITLE = r"annex(es)?|annexe(s)?|anexo(s)?|annexure(s)?|appendix|appendices|attachment(s)?"
+# fixed values: the only labels on roman pages
+ROMAN_LABELS = ("front_matter", "executive_summary", "acronyms")
+_WORD = r"[\p{L}\p{N}_]"
+_EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"  # between a letter, digit or underscore and anything else
+
+
+def phrases(label: str, edge: str = _EDGE) -> str:
+    """One pattern for the phrases of a label; they stand between word edges, but for anchored and Chinese ones."""
+    loose = ("^", "附")
+    return "|".join(x if x.startswith(loose) else f"{edge}(?:{x}){edge}" for x in KEYWORDS[label].split("\n") if x)
+
+
+def _names(title: Column, label: str) -> Column:
+    return F.coalesce(title.rlike(f"(?iu){phrases(label)}"), F.lit(False))
+
+
+# fixed values: labels that their parts inherit, the labels that may stand below one, and those that none follows an annex
+LEVELS = 6
 STRONG = ("executive_summary", "findings", "methodology", "recommendations", "introduction", "context", "annexes", "appendix", "bibliography", "acronyms")
 OVERRIDES = {
     "findings": ("recommendations", "conclusions", "annexes", "appendix", "bibliography"),
@@ -51,11 +329,11 @@ def render_toc(toc: DataFrame, label: str | None = None) -> DataFrame:
 
 
 def lock_label(title: Column) -> Column:
-    """The first label whose phrases the title holds, else null; one chain of patterns."""
+    """The first label with a phrase in the title, else null; one chain of patterns."""
     t = strings.normalize_title(title)
     out = F.lit(None).cast("string")
-    for label, pattern in reversed(KEYWORDS.items()):
-        out = F.when(t.rlike(pattern), label).otherwise(out)
+    for label in reversed(KEYWORDS):
+        out = F.when(_names(t, label), label).otherwise(out)
     return out
 
 
@@ -74,24 +352,35 @@ def parent_of(toc: DataFrame, levels: int = 6) -> DataFrame:
     return got.withColumn("parent_idx", parent).drop(*(f"__l{k}" for k in last))
 
 
-def propagate_labels(toc: DataFrame) -> DataFrame:
-    """Labels follow the parent's final label: always below strong sections, but for overrides that the title itself
-    asks for; elsewhere `other` takes the parent's. A fold over each document's entries with its open ancestors."""
-    rows = F.array_sort(F.collect_list(F.struct("idx", "level", "label", F.coalesce(lock_label(F.col("title")) == F.col("label"), F.lit(False)).alias("named"))))
-    start = F.struct(F.create_map().cast("map<int,string>").alias("open"), F.array().cast("array<struct<idx:int,label:string>>").alias("done"))
+def _level_by_level(toc: DataFrame, first: Column, rule: Callable[[Column], Column], name: str) -> DataFrame:
+    """Column `name`: `first` at the top level, below it rule(the parent's value), where the parent is the nearest earlier
+    entry of a smaller level. A window a level, all over one sort."""
+    before = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
+    level = F.least(F.col("level"), F.lit(LEVELS))
+    got = toc.withColumn(name, F.when(level == 1, first))
+    for k in range(2, LEVELS + 1):
+        got = got.withColumn("__parent", F.last(F.when(level < k, F.col(name)), True).over(before))
+        got = got.withColumn(name, F.when(level == k, rule(F.col("__parent"))).otherwise(F.col(name)))
+    return got.drop("__parent")
 
-    def step(s: Column, e: Column) -> Column:
-        above = F.map_filter(s["open"], lambda k, v: k < e["level"])
-        parent = F.try_element_at(above, F.array_max(F.map_keys(above)))
+
+def propagate_labels(toc: DataFrame) -> DataFrame:
+    """(doc_id, idx, label, and the other columns): labels follow the parent's final label, always below strong sections,
+    but for overrides that the title itself asks for; elsewhere `other` takes the parent's."""
+    title = F.lower(F.trim("title"))
+    named = F.lit(False)
+    for label in sorted({x for labels in OVERRIDES.values() for x in labels}):
+        named = named | ((F.col("label") == label) & _names(title, label))
+
+    def rule(parent: Column) -> Column:
         may = F.lit(False)
         for p, labels in OVERRIDES.items():
-            may = may | ((parent == p) & e["label"].isin(*labels))
+            may = may | ((parent == p) & F.col("label").isin(*labels))
         strong = F.coalesce(parent.isin(*STRONG), F.lit(False))
-        label = F.when(strong, F.when(may & e["named"], e["label"]).otherwise(parent)).when((e["label"] == "other") & parent.isNotNull(), parent).otherwise(e["label"])
-        return F.struct(F.map_concat(above, F.create_map(e["level"], label)).alias("open"), F.concat(s["done"], F.array(F.struct(e["idx"].alias("idx"), label.alias("label")))).alias("done"))
+        return F.when(strong, F.when(may & F.col("__named"), F.col("label")).otherwise(parent)).when((F.col("label") == "other") & parent.isNotNull(), parent).otherwise(F.col("label"))
 
-    folded = toc.groupBy("doc_id").agg(F.aggregate(rows, start, step, lambda s: s["done"]).alias("done"))  # one document
-    return folded.select("doc_id", F.inline("done"))
+    done = _level_by_level(toc.withColumn("__named", named), F.col("label"), rule, "__final")
+    return done.withColumn("label", F.col("__final")).drop("__final", "__named")
 
 
 def rule_short_doc(toc: DataFrame) -> DataFrame:
@@ -102,13 +391,56 @@ def rule_short_doc(toc: DataFrame) -> DataFrame:
 def rule_front(toc: DataFrame) -> DataFrame:
     """Front matter only in the first third; an annex title there belongs to it."""
     late = F.col("page") > F.col("total_pages") / 3
-    label = F.when(late & (F.col("label") == "front_matter"), "other").when(~late & strings.normalize_title(F.col("title")).rlike(KEYWORDS["annexes"]), "front_matter").otherwise(F.col("label"))
+    label = F.when(late & (F.col("label") == "front_matter"), "other").when(~late & _names(strings.normalize_title(F.col("title")), "annexes"), "front_matter").otherwise(F.col("label"))
     return toc.withColumn("label", F.when(F.col("total_pages") > 0, label).otherwise(F.col("label")))
 
 
+def rule_front_pages(toc: DataFrame) -> DataFrame:
+    """In the end front matter must be marked as such, or be named so in the first third; else it is `other`."""
+    early = (F.col("page") <= F.col("total_pages") / 3) & (F.col("total_pages") > 0) & _names(F.lower(F.trim("title")), "front_matter")
+    keeps = F.coalesce("fm", F.lit(False)) | F.coalesce(early, F.lit(False))
+    return toc.withColumn("label", F.when((F.col("label") == "front_matter") & ~keeps, "other").otherwise(F.col("label")))
+
+
+def _roman_pages(toc: DataFrame) -> DataFrame:
+    """With the first and last page of entries marked as front matter, as __start and __end."""
+    page, doc = F.when(F.col("fm") & (F.col("page") != 0), F.col("page")), Window.partitionBy("doc_id")
+    return toc.withColumns({"__start": F.min(page).over(doc), "__end": F.max(page).over(doc)})
+
+
+def rule_roman(toc: DataFrame) -> DataFrame:
+    """Up to the last roman page only ROMAN_LABELS stand; anything else is front matter."""
+    inside = (F.col("page") <= F.col("__end")) & ~F.col("label").isin(*ROMAN_LABELS)
+    return _roman_pages(toc).withColumn("label", F.when(inside, "front_matter").otherwise(F.col("label"))).drop("__start", "__end")
+
+
+def rule_roman_reset(toc: DataFrame) -> DataFrame:
+    """After the last roman page, summaries are what stands below one or is named so, acronyms what is named so, and other
+    ROMAN_LABELS become `other`. Documents without roman pages stay as they are."""
+    title = F.lower(F.trim("title"))
+    after = F.coalesce(F.col("page") > F.col("__end"), F.lit(False))
+    own = F.when(_names(title, "executive_summary"), "executive_summary").when(_names(title, "acronyms"), "acronyms").when(F.col("label").isin(*ROMAN_LABELS), "other").otherwise(F.col("label"))
+    rule = lambda parent: F.when(~after, F.col("label")).when(parent == "executive_summary", parent).otherwise(own)
+    done = _level_by_level(_roman_pages(toc), F.when(after, own).otherwise(F.col("label")), rule, "__final")
+    return done.withColumn("label", F.col("__final")).drop("__final", "__start", "__end")
+
+
+def rule_exec_dominance(toc: DataFrame) -> DataFrame:
+    """From the first summary on roman pages on, entries on these pages are part of it, but for those named as front matter
+    or acronyms."""
+    title = F.lower(F.trim("title"))
+    inside = F.col("page").between(F.col("__start"), F.col("__end"))
+    is_exec = (F.col("label") == "executive_summary") | _names(title, "executive_summary")
+    first = F.min(F.when(inside & is_exec, F.col("idx"))).over(Window.partitionBy("doc_id"))
+    found = _roman_pages(toc).withColumn("__first", first)
+    block = F.when(_names(title, "front_matter"), "front_matter").when(_names(title, "acronyms"), "acronyms").otherwise("executive_summary")
+    label = F.when(F.col("idx") == F.col("__first"), "executive_summary").when(inside & (F.col("idx") > F.col("__first")), block).otherwise(F.col("label"))
+    return found.withColumn("label", label).drop("__first", "__start", "__end")
+
+
 def rule_annex(toc: DataFrame) -> DataFrame:
     """Annex titles are annexes unless front matter; after the first annex the earlier kinds are too."""
-    named = F.lower("title").rlike(r"\bannex(es|ure|ures)?\b|\bannexes?\b|\banexos?\b|\bappendix\b|\bappendices\b|\battachments?\b")
+    named = F.coalesce(F.col("title").rlike(f"(?iu){_EDGE}(?:{ANNEX_TITLE}){_EDGE}"), F.lit(False))
     first = toc.withColumn("label", F.when(named & (F.col("label") != "front_matter"), "annexes").otherwise(F.col("label")))
     start = F.min(F.when(F.col("label") == "annexes", F.col("idx"))).over(Window.partitionBy("doc_id"))
     return first.withColumn("__start", start).withColumn("label", F.when((F.col("idx") > F.col("__start")) & F.col("label").isin(*BEFORE_ANNEX), "annexes").otherwise(F.col("label"))).drop("__start")
@@ -123,10 +455,32 @@ def rule_exec_unique(toc: DataFrame) -> DataFrame:
 
 
 def sequence_rules(toc: DataFrame) -> DataFrame:
-    """The rules in their order; short documents stop at the first."""
+    """The rules in their order; short documents stop at the first. Needs label, title, page, fm and total_pages."""
     short = rule_short_doc(toc.where("coalesce(total_pages, 0) BETWEEN 1 AND 3"))
     rest = toc.where("NOT coalesce(total_pages, 0) BETWEEN 1 AND 3")
-    return short.unionByName(rule_exec_unique(rule_annex(rule_front(rest))))
+    for rule in (rule_front, rule_roman, rule_roman_reset, rule_exec_dominance, rule_roman, rule_annex, rule_exec_unique, rule_front_pages):
+        rest = rule(rest)
+    return short.unionByName(rest)
+
+
+def label_sections(toc: DataFrame, model: str = "labeller") -> DataFrame:
+    """Labels of contents from end to end: phrases, the model for entries without any, unknown labels as `other`, then
+    inheritance and the sequence rules."""
+    locked = toc.withColumn("label", lock_label(F.col("title")))
+    asked = models.apply(locked.where("label is null").select("doc_id", "idx", "title"), model, "title", "guess string").drop("title")
+    guess = F.when(F.col("guess").isin(*KEYWORDS), F.col("guess")).otherwise("other")
+    merged = locked.join(asked, ["doc_id", "idx"], "left").withColumn("label", F.coalesce("label", guess)).drop("guess")
+    return sequence_rules(propagate_labels(merged))
+
+
+def tag_sections(chunks: DataFrame, toc: DataFrame, model: str = "labeller") -> DataFrame:
+    """(chunk_id, section): by the chunk's page if it has one and an entry starts at or before it, else by its headings,
+    else `other`. `chunks` has chunk_id, doc_id, page_num and headings."""
+    labels = label_sections(toc, model)
+    by_page = asof_section(chunks.where("page_num is not null"), labels, None).select("chunk_id", F.col("section").alias("by_page"))
+    by_heading = heading_section(chunks, labels, None).select("chunk_id", F.col("section").alias("by_heading"))
+    found = chunks.select("chunk_id").join(by_page, "chunk_id", "left").join(by_heading, "chunk_id", "left")
+    return found.select("chunk_id", F.coalesce("by_page", "by_heading", F.lit("other")).alias("section"))
 
 
 def drop_majors(toc: DataFrame) -> DataFrame:
@@ -149,23 +503,23 @@ def toc_features(toc: DataFrame) -> DataFrame:
     return toc.select("doc_id", "idx", F.round(F.coalesce(F.try_divide(F.col("idx"), n - 1), F.lit(0.0)), 6).alias("position"), F.round(F.coalesce(F.try_divide(F.col("page"), pages), F.lit(0.0)), 6).alias("page_norm"), F.round(F.col("level") / 6, 6).alias("level_norm"), F.col("page").isNotNull().alias("has_page"))
 
 
-def asof_section(chunks: DataFrame, toc: DataFrame) -> DataFrame:
+def asof_section(chunks: DataFrame, toc: DataFrame, missing: str | None = "other") -> DataFrame:
     """The label of the last entry at or before each chunk's page, ties to the larger idx: one ordered pass over both
     tables, instead of a range join that grows with the table of contents."""
     entries = toc.where("page is not null").select("doc_id", F.col("page").alias("p"), F.lit(0).alias("side"), "idx", "label", F.lit(None).cast("string").alias("chunk_id"))
     rows = chunks.select("doc_id", F.col("page_num").alias("p"), F.lit(1).alias("side"), F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("label"), "chunk_id")
     w = Window.partitionBy("doc_id").orderBy("p", "side", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    return entries.unionByName(rows).withColumn("section", F.last("label", True).over(w)).where("side = 1").select("chunk_id", "doc_id", F.coalesce("section", F.lit("other")).alias("section"))
+    return entries.unionByName(rows).withColumn("section", F.last("label", True).over(w)).where("side = 1").select("chunk_id", "doc_id", F.coalesce("section", F.lit(missing)).alias("section"))
 
 
-def heading_section(chunks: DataFrame, toc: DataFrame) -> DataFrame:
+def heading_section(chunks: DataFrame, toc: DataFrame, missing: str | None = "other") -> DataFrame:
     """The label of the last heading that matches a title; of several entries the best page at or before the chunk's,
     else the largest idx; `other` without a match."""
     heads = chunks.select("chunk_id", "doc_id", "page_num", F.posexplode("headings").alias("h", "heading"))
     j = heads.withColumn("t", strings.normalize_title(F.col("heading"))).join(toc.select("doc_id", F.lower("title").alias("t"), "page", "idx", "label"), ["doc_id", "t"])
     before = F.when(F.col("page") <= F.col("page_num"), F.col("page")).otherwise(-1)
     best = j.groupBy("chunk_id").agg(F.max_by("label", F.struct("h", before.alias("b"), "idx")).alias("section"))
-    return chunks.select("chunk_id").join(best, "chunk_id", "left").select("chunk_id", F.coalesce("section", F.lit("other")).alias("section"))
+    return chunks.select("chunk_id").join(best, "chunk_id", "left").select("chunk_id", F.coalesce("section", F.lit(missing)).alias("section"))
 
 
 def choose_toc(toc: DataFrame) -> DataFrame:

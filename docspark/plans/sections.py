@@ -33,7 +33,7 @@ _RULE = f"CASE WHEN p.label IN ({_STRONG}) THEN CASE WHEN {_MAY} THEN t.label EL
 l2 AS (SELECT t.doc_id, t.idx, {_RULE} AS label FROM t LEFT JOIN l1 p ON p.doc_id = t.doc_id AND p.idx = t.parent_idx WHERE level = 2), l12 AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2)
 SELECT * FROM l12 UNION ALL SELECT t.doc_id, t.idx, {_RULE} AS label FROM t LEFT JOIN l12 p ON p.doc_id = t.doc_id AND p.idx = t.parent_idx WHERE level = 3""")
 def e08(spark, sf):
-    return se.propagate_labels(se.lock_labels(toc(spark, sf)))
+    return se.propagate_labels(se.lock_labels(toc(spark, sf))).select("doc_id", "idx", "label")
 
 
 TOTAL = f"(SELECT *, {LABELS} AS label, CAST(doc_id AS INT) % 12 AS total_pages FROM v_toc)"
@@ -48,7 +48,7 @@ def e09(spark, sf):
     return se.rule_short_doc(labelled(spark, sf)).select("doc_id", "idx", "label")
 
 
-FRONT = f"(SELECT doc_id, idx, title, page, total_pages, CASE WHEN total_pages > 0 AND page > total_pages / 3 AND label = 'front_matter' THEN 'other' WHEN total_pages > 0 AND page <= total_pages / 3 AND title = 'Annex A' THEN 'front_matter' ELSE label END AS label FROM {TOTAL} q)"
+FRONT = f"(SELECT * REPLACE (CASE WHEN total_pages > 0 AND page > total_pages / 3 AND label = 'front_matter' THEN 'other' WHEN total_pages > 0 AND page <= total_pages / 3 AND title = 'Annex A' THEN 'front_matter' ELSE label END AS label) FROM {TOTAL} q)"
 
 
 @query("e10_rule_front", f"SELECT doc_id, idx, label FROM {FRONT} f")
@@ -58,11 +58,11 @@ def e10(spark, sf):
 
 def _annex(source):
     before = ", ".join(map(repr, se.BEFORE_ANNEX))
-    return f"(SELECT *  REPLACE (CASE WHEN idx > start AND label IN ({before}) THEN 'annexes' ELSE label END AS label) FROM (SELECT *, min(CASE WHEN label = 'annexes' THEN idx END) OVER (PARTITION BY doc_id) AS start FROM (SELECT * REPLACE (CASE WHEN title = 'Annex A' AND label <> 'front_matter' THEN 'annexes' ELSE label END AS label) FROM {source} a) b) c)"
+    return f"(SELECT * EXCLUDE (start) REPLACE (CASE WHEN idx > start AND label IN ({before}) THEN 'annexes' ELSE label END AS label) FROM (SELECT *, min(CASE WHEN label = 'annexes' THEN idx END) OVER (PARTITION BY doc_id) AS start FROM (SELECT * REPLACE (CASE WHEN title = 'Annex A' AND label <> 'front_matter' THEN 'annexes' ELSE label END AS label) FROM {source} a) b) c)"
 
 
 def _unique(source):
-    return f"(SELECT doc_id, idx, CASE WHEN label = 'executive_summary' AND sum(s) OVER (PARTITION BY doc_id ORDER BY idx) > 1 THEN 'findings' ELSE label END AS label FROM (SELECT *, CASE WHEN label = 'executive_summary' AND coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY idx), '') <> 'executive_summary' THEN 1 ELSE 0 END AS s FROM {source} u) v)"
+    return f"(SELECT * EXCLUDE (s) REPLACE (CASE WHEN label = 'executive_summary' AND sum(s) OVER (PARTITION BY doc_id ORDER BY idx) > 1 THEN 'findings' ELSE label END AS label) FROM (SELECT *, CASE WHEN label = 'executive_summary' AND coalesce(lag(label) OVER (PARTITION BY doc_id ORDER BY idx), '') <> 'executive_summary' THEN 1 ELSE 0 END AS s FROM {source} u) v)"
 
 
 @query("e13_rule_annex", f"SELECT doc_id, idx, label FROM {_annex(TOTAL)} z")
@@ -75,11 +75,100 @@ def e14(spark, sf):
     return se.rule_exec_unique(labelled(spark, sf)).select("doc_id", "idx", "label")
 
 
-@query("e15_sequence_rules", f"SELECT doc_id, idx, 'executive_summary' AS label FROM {TOTAL} q WHERE total_pages BETWEEN 1 AND 3 UNION ALL SELECT doc_id, idx, label FROM {_unique(_annex(FRONT))} z WHERE CAST(doc_id AS INT) % 12 NOT BETWEEN 1 AND 3")
+ROMAN = ", ".join(map(repr, ("front_matter", "executive_summary", "acronyms")))
+
+
+def _pages(source):
+    return f"(SELECT *, min(page) FILTER (WHERE fm) OVER d AS p0, max(page) FILTER (WHERE fm) OVER d AS p1 FROM {source} r WINDOW d AS (PARTITION BY doc_id))"
+
+
+def _roman(source):
+    return f"(SELECT * EXCLUDE (p0, p1) REPLACE (CASE WHEN page <= p1 AND label NOT IN ({ROMAN}) THEN 'front_matter' ELSE label END AS label) FROM {_pages(source)} y)"
+
+
+def _reset(source):
+    own = f"CASE WHEN title = 'Executive Summary' THEN 'executive_summary' WHEN title = 'Acronyms' THEN 'acronyms' WHEN label IN ({ROMAN}) THEN 'other' ELSE label END"
+    before = "(PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    below = lambda p: f"CASE WHEN NOT late THEN label WHEN {p} = 'executive_summary' THEN {p} ELSE own END"
+    first = f"(SELECT *, CASE WHEN late THEN own ELSE label END AS f1 FROM (SELECT *, coalesce(page > p1, false) AS late, {own} AS own FROM {_pages(source)} o) o1)"
+    second = f"(SELECT *, {below('up2')} AS f2 FROM (SELECT *, last_value(CASE WHEN level = 1 THEN f1 END IGNORE NULLS) OVER {before} AS up2 FROM {first} s1) s2)"
+    third = f"(SELECT *, {below('up3')} AS f3 FROM (SELECT *, last_value(CASE level WHEN 1 THEN f1 WHEN 2 THEN f2 END IGNORE NULLS) OVER {before} AS up3 FROM {second} s3) s4)"
+    return f"(SELECT * EXCLUDE (p0, p1, late, own, f1, f2, f3, up2, up3) REPLACE (CASE level WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END AS label) FROM {third} s5)"
+
+
+def _dominance(source):
+    block = "CASE title WHEN 'Table of Contents' THEN 'front_matter' WHEN 'Acronyms' THEN 'acronyms' ELSE 'executive_summary' END"
+    first = f"(SELECT *, min(CASE WHEN page BETWEEN p0 AND p1 AND (label = 'executive_summary' OR title = 'Executive Summary') THEN idx END) OVER (PARTITION BY doc_id) AS i0 FROM {_pages(source)} k)"
+    return f"(SELECT * EXCLUDE (p0, p1, i0) REPLACE (CASE WHEN idx = i0 THEN 'executive_summary' WHEN page BETWEEN p0 AND p1 AND idx > i0 THEN {block} ELSE label END AS label) FROM {first} k2)"
+
+
+def _front_pages(source):
+    return f"(SELECT * REPLACE (CASE WHEN label = 'front_matter' AND NOT fm AND NOT coalesce(total_pages > 0 AND page <= total_pages / 3 AND title = 'Table of Contents', false) THEN 'other' ELSE label END AS label) FROM {source} fp)"
+
+
+@query("e10b_rule_front_pages", f"SELECT doc_id, idx, label FROM {_front_pages(FRONT)} z")
+def e10b(spark, sf):
+    return se.rule_front_pages(se.rule_front(labelled(spark, sf))).select("doc_id", "idx", "label")
+
+
+@query("e11_rule_roman", f"SELECT doc_id, idx, label FROM {_reset(_roman(TOTAL))} z")
+def e11(spark, sf):
+    return se.rule_roman_reset(se.rule_roman(labelled(spark, sf))).select("doc_id", "idx", "label")
+
+
+@query("e12_rule_exec_dominance", f"SELECT doc_id, idx, label FROM {_dominance(TOTAL)} z")
+def e12(spark, sf):
+    return se.rule_exec_dominance(labelled(spark, sf)).select("doc_id", "idx", "label")
+
+
+def _rules(source):
+    """The whole order, for documents of more than three pages or of an unknown number."""
+    front = FRONT.replace(TOTAL, source)
+    rest = _front_pages(_unique(_annex(_roman(_dominance(_reset(_roman(front)))))))
+    return f"(SELECT doc_id, idx, page, title, 'executive_summary' AS label FROM {source} q WHERE total_pages BETWEEN 1 AND 3 UNION ALL SELECT doc_id, idx, page, title, label FROM {rest} z WHERE total_pages NOT BETWEEN 1 AND 3)"
+
+
+@query("e15_sequence_rules", f"SELECT doc_id, idx, label FROM {_rules(TOTAL)} z")
 def e15(spark, sf):
     return se.sequence_rules(labelled(spark, sf)).select("doc_id", "idx", "label")
 
 
+FINAL = f"""{PARENTS}, l1 AS (SELECT doc_id, idx, label FROM t WHERE level = 1),
+l2 AS (SELECT t.doc_id, t.idx, {_RULE} AS label FROM t LEFT JOIN l1 p ON p.doc_id = t.doc_id AND p.idx = t.parent_idx WHERE level = 2), l12 AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2),
+l123 AS (SELECT * FROM l12 UNION ALL SELECT t.doc_id, t.idx, {_RULE} AS label FROM t LEFT JOIN l12 p ON p.doc_id = t.doc_id AND p.idx = t.parent_idx WHERE level = 3),
+given AS (SELECT t.* EXCLUDE (label, parent_idx), l123.label, CAST(t.doc_id AS INT) % 12 AS total_pages FROM t JOIN l123 USING (doc_id, idx)), final AS (SELECT * FROM {_rules('given')} g)"""
+
+
+@query("t20_label_sections", f"WITH {FINAL} SELECT doc_id, idx, label FROM final")
+def t20(spark, sf):
+    return se.label_sections(toc(spark, sf).withColumn("total_pages", F.col("doc_id").cast("int") % 12)).select("doc_id", "idx", "label")
+
+
+@query("t20b_tag_sections", f"""WITH {FINAL} SELECT chunk_id, coalesce(CASE WHEN pos % 4 > 0 THEN (SELECT label FROM final f WHERE f.doc_id = c.doc_id AND f.page <= c.page_num ORDER BY page DESC, idx DESC LIMIT 1) END,
+(SELECT label FROM final f WHERE f.doc_id = c.doc_id AND f.title = CASE c.pos % 3 WHEN 0 THEN 'Findings' WHEN 1 THEN 'Methodology' ELSE 'None' END ORDER BY CASE WHEN pos % 4 > 0 AND page <= c.page_num THEN page ELSE -1 END DESC, idx DESC LIMIT 1), 'other') AS section FROM v_chunks c""")
+def t20b(spark, sf):
+    h = F.when(F.col("pos") % 3 == 0, "FINDINGS ").when(F.col("pos") % 3 == 1, " Methodology").otherwise("None")
+    c = view(spark, sf, "v_chunks").withColumn("headings", F.array(h)).withColumn("page_num", F.when(F.col("pos") % 4 > 0, F.col("page_num")))
+    return se.tag_sections(c, toc(spark, sf).withColumn("total_pages", F.col("doc_id").cast("int") % 12))
+
+
+# titles whose labels were read off the rules by hand; the order of the rules decides where several fit
+GOLDEN = (
+    ("Annex 3: methodology", "methodology"), ("Context and findings", "context"), ("Appendix B. Results", "appendix"), ("Annexe 2", "annexes"),
+    ("References", "bibliography"), ("Terms of Reference", "annexes"), ("Introduction and recommendations", "recommendations"), ("3.2 Effectiveness", "findings"),
+    ("Summary", "executive_summary"), ("Summary of findings", "findings"), ("Scope of work", "introduction"), ("Limitations", "methodology"),
+    ("Management response", "recommendations"), ("Выводы", "conclusions"), ("LISTE DES TABLEAUX", "front_matter"), ("Índice", "front_matter"),
+    ("Conclusions and way forward", "recommendations"), ("Overview", "context"), ("Storage of records", "other"), ("Torque", "other"),
+)
+_GOLD = " ".join(f"WHEN {k} THEN '{label}'" for k, (_, label) in enumerate(GOLDEN))
+
+
+@query("t19b_lock_golden", f"SELECT doc_id, idx, CASE (CAST(doc_id AS INT) + idx) % {len(GOLDEN)} {_GOLD} END AS label FROM v_toc")
+def t19b(spark, sf):
+    title = F.array(*(F.lit(t) for t, _ in GOLDEN))[(F.col("doc_id").cast("int") + F.col("idx")) % len(GOLDEN)]
+    return se.lock_labels(toc(spark, sf).withColumn("title", title)).select("doc_id", "idx", "label")
+
+
 @query("e17_drop_majors", """WITH RECURSIVE n AS (SELECT doc_id, idx, 1 + page % 5 AS n FROM v_toc), r AS (SELECT doc_id, -1 AS idx, 0 AS last, false AS ok FROM (SELECT DISTINCT doc_id FROM n) q UNION ALL
 SELECT n.doc_id, n.idx, CASE WHEN n <= last + 1 THEN n ELSE last END, n <= last + 1 FROM r JOIN n ON n.doc_id = r.doc_id AND n.idx = r.idx + 1) SELECT doc_id, idx FROM r WHERE ok""")
 def e17(spark, sf):
