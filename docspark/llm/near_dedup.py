@@ -29,8 +29,8 @@ from docspark.llm.staging import drop_stage, for_each_row, one_row_per_id, stage
 
 BANDS, ROWS = 40, 3  # rows are permutations: two values each
 THRESHOLD = 80  # percent
-SET_ROWS = 256  # pairs of sets in a Python worker at once
-COMMON = 32  # a difference is common if one of so many of a pivot's documents has it
+SET_ROWS = 128  # pairs of sets in a Python worker at once
+COMMON, RARE = 8, 16  # a difference is common if one of COMMON of a pivot's documents has it, RARE documents at least
 
 
 def _shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -174,21 +174,23 @@ def _common(against: DataFrame) -> DataFrame:
 
     found = against.mapInArrow(run, "v long, part long, n long").groupBy("v", "part").agg(F.sum("n").alias("n"))
     sizes = against.groupBy("v").agg(F.count("*").alias("rows"))
-    often = found.join(sizes, "v").where(F.col("n") * COMMON >= F.col("rows"))
+    often = found.join(sizes, "v").where((F.col("n") >= RARE) & (F.col("n") * COMMON >= F.col("rows")))
     return often.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("n", "part")))["part"].alias("common"))
 
 
 def _looked_up(rows: DataFrame, first: str, names: str) -> DataFrame:
     """(pivot, part, and `names` for the document, its component, d, a and the part's place): the first differences of
-    documents, rare ones before common ones, as many as the expression `first` says."""
+    documents, as many as the expression `first` says: rare ones that the document has, rare ones that it lacks, and
+    common ones."""
     own = names.split()
 
     def run(batches):
         for batch in batches:
             row, part, place = [], [], []
-            for k, (x, common, n) in enumerate(zip(batch["parts"], batch["common"], batch["first"].to_pylist(), strict=True)):
-                x, common = (np.sort(x.values.to_numpy()), common.values.to_numpy() if common.is_valid else np.zeros(0, np.int64))
-                x = np.concatenate([x[~np.isin(x, common)], common[np.isin(common, x)]])[: max(n, 0)]
+            for k, (x, common, a, n) in enumerate(zip(batch["parts"], batch["common"], batch["a"].to_pylist(), batch["first"].to_pylist(), strict=True)):
+                x, common = x.values.to_numpy(), common.values.to_numpy() if common.is_valid else np.zeros(0, np.int64)
+                rare = ~np.isin(x, common)
+                x = np.concatenate([np.sort(x[:a][rare[:a]]), np.sort(x[a:][rare[a:]]), common[np.isin(common, x)]])[: max(n, 0)]
                 row.append(np.full(len(x), k))
                 part.append(x)
                 place.append(np.arange(len(x)))
