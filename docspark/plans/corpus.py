@@ -28,16 +28,14 @@ def a14(spark, sf):
     return files.log_timeline(files.scan_logs(e.select(line.alias("value")))).select("doc_id", "events")
 
 
-@query("a04_resolve_content", """SELECT 'm/' || doc_id || '.json' AS path, CASE WHEN CAST(doc_id AS INT) % 3 = 0 THEN 'm/' || doc_id || '.pdf' WHEN CAST(doc_id AS INT) % 3 = 1 THEN 'm/' || doc_id || '.doc' ELSE 'm/other' || doc_id || '.pdf' END AS content FROM v_docs""")
+@query("a04_resolve_content", """SELECT 'm/' || doc_id || '.json' AS path, CASE CAST(doc_id AS INT) % 4 WHEN 0 THEN 'm/' || doc_id || '.pdf' WHEN 1 THEN 'm/' || doc_id || '.DOC' WHEN 2 THEN 'm/other' || doc_id || '.pdf' END AS content FROM v_docs""")
 def a04(spark, sf):
+    """All files in one flat folder."""
     d = view(spark, sf, "v_docs")
-    k = F.col("doc_id").cast("int") % 3
-    # a folder per document, so that the join on folders stays narrow
-    meta = d.select(F.concat(F.lit("m"), "doc_id", F.lit("/x.json")).alias("path"), F.when(k == 2, "other.pdf").alias("filename"))
-    content = d.select(F.concat(F.lit("m"), "doc_id", F.when(k == 0, "/x.pdf").when(k == 1, "/x.doc").otherwise("/other.pdf")).alias("path"))
-    got = files.resolve_content(meta, content)
-    back = lambda c: F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"^m(\d+)/x", "m/$1"), r"^m(\d+)/other", "m/other$1"), "$", "")
-    return got.select(back("path").alias("path"), back("content").alias("content"))
+    k = F.col("doc_id").cast("int") % 4
+    meta = d.select(F.concat(F.lit("m/"), "doc_id", F.lit(".json")).alias("path"), F.when(k == 2, F.concat(F.lit("other"), "doc_id", F.lit(".pdf"))).alias("filename"))
+    name = F.when(k == 0, F.concat("doc_id", F.lit(".pdf"))).when(k == 1, F.concat("doc_id", F.lit(".DOC"))).when(k == 2, F.concat(F.lit("other"), "doc_id", F.lit(".pdf"))).otherwise(F.concat("doc_id", F.lit(".txt")))
+    return files.resolve_content(meta, d.select(F.concat(F.lit("m/"), name).alias("path")))
 
 
 @query("a05_file_status", """SELECT doc_id, CASE WHEN CAST(doc_id AS INT) % 3 = 0 THEN 'downloaded' ELSE 'download_error' END AS status FROM v_docs WHERE CAST(doc_id AS INT) % 3 < 2""")

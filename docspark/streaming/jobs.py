@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StringType, StructField, StructType
+
+from docspark.operators import repairs
 
 LATE = "1 hour"
 
@@ -35,22 +38,44 @@ def sessions(events: DataFrame, minutes: int = 30, late: str = LATE) -> DataFram
 
 
 def stage_timeouts(events: DataFrame, seconds: int = 7200, late: str = LATE) -> DataFrame:
-    """(doc_id, status): the last stage of documents that finish, `stopped` for those without a result in time."""
+    """(doc_id, status): `stopped` for documents whose last stage has no result within `seconds`. A finished stage clears
+    the document, so only what is open when its time is up comes out."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             yield pd.DataFrame({"doc_id": [key[0]], "status": ["stopped"]})
             return
-        last = max(t for b in batches for t in b["ts"])
-        if state.exists:
-            last = max(last, pd.Timestamp(state.get[0], unit="us", tz=last.tz))
-        state.update((int(last.value // 1000),))
-        state.setTimeoutTimestamp(int(last.value // 1_000_000) + seconds * 1000)
-        yield from ()
-
-    open_stages = events.withWatermark("ts", late).where("NOT finished")
-    return open_stages.groupBy("doc_id").applyInPandasWithState(step, "doc_id string, status string", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+        rows = pd.concat(list(batches))
+        at = rows["ts"].map(lambda t: int(t.value // 1000))
+        last, finished = (state.get if state.exists else (-1, False))
+        newest = int(at.max())
+        if newest >= last:
+            last, finished = newest, bool(rows.loc[at == newest, "finished"].any())
+        if finished:
+            if state.exists:
+                state.remove()
+            return
+        state.update((last, finished))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    return events.withWatermark("ts", late).groupBy("doc_id").applyInPandasWithState(step, "doc_id string, status string", "last long, finished boolean", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def ingest(scans: DataFrame, path: str, checkpoint: str, key: str = "doc_id") -> StreamingQuery:
+    """Keeps a table of documents up to date with scanned ones (doc_id, sys_status, the three checksums and `ts`): each
+    batch's last scan of a document is compared with the table, and new, changed and failed ones are written over it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        rest = [c for c in batch.columns if c != key]
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), "ts").alias("r")).select(key, "r.*")
+        shape = StructType([*batch.drop("ts").schema, StructField("change", StringType())])
+        old = batch.sparkSession.read.schema(shape).parquet(f"{path}/v={number - 1}") if number else batch.sparkSession.createDataFrame([], shape)
+        diff = repairs.change_type(last.drop("ts"), old.drop("change"), key).where("change <> 'unchanged'")
+        new = diff.withColumn("sys_status", F.col("effective_status")).drop("effective_status").select(*shape.names)
+        old.join(new.select(key), key, "left_anti").unionByName(new).write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    return scans.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def lockouts(events: DataFrame, limit: int = 5, late: str = LATE) -> DataFrame:

@@ -187,6 +187,69 @@ def test_streamed_upsert_keeps_the_last_row(spark, tmp_path):
     assert [r.score for r in spark.read.parquet(str(tmp_path / "out" / "v=0")).collect()] == [3]
 
 
+def stages_stream(spark, tmp_path, rows):
+    return events_stream(spark, tmp_path, rows, "doc_id string, ts string, finished boolean")
+
+
+def test_only_open_stages_time_out(spark, tmp_path):
+    """One document never ends, one ends, one ends and opens another stage; the clock goes on with a fourth."""
+    for k, (rows) in enumerate(([("a", "2024-01-01 00:00:00", False), ("b", "2024-01-01 00:00:00", False), ("c", "2024-01-01 00:00:00", False)], [("b", "2024-01-01 00:10:00", True), ("c", "2024-01-01 00:10:00", True)], [("c", "2024-01-01 00:20:00", False)], [("z", "2024-01-01 09:00:00", True)], [("z", "2024-01-01 09:00:01", True)])):
+        spark.createDataFrame(rows, "doc_id string, ts string, finished boolean").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("doc_id string, ts timestamp, finished boolean").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = jobs.stage_timeouts(s).writeStream.format("memory").queryName("timeouts").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination()
+    assert sorted(tuple(r) for r in spark.table("timeouts").collect()) == [("a", "stopped"), ("c", "stopped")]
+
+
+def test_streamed_duplicates_rates_and_sessions_equal_the_batch(spark, tmp_path):
+    rows = [(i, i % 2, f"2024-01-01 0{i // 20}:{i % 20:02d}:00", str(i % 7)) for i in range(60)] + [(100 + i, 9, f"2024-01-02 00:00:{i:02d}", f"u{i}") for i in range(14)]
+    s = events_stream(spark, tmp_path, rows, "event_id int, user_id long, ts string, sys_file_checksum string")
+    e = spark.read.parquet(str(tmp_path / "in"))
+    jobs.run_once(jobs.mark_duplicates(s, "2 days"), "firsts")
+    assert spark.table("firsts").count() == e.select("sys_file_checksum").distinct().count()
+    jobs.run_once(jobs.rate_breaches(s), "breaches", "complete")
+    got = {(r.user_id, r.attempts) for r in spark.table("breaches").collect()}
+    want = {(r.user_id, r.attempts) for r in usage.rate_breaches(e).collect()}
+    assert want and {u for u, _ in got} == {u for u, _ in want} and max(n for _, n in got) == max(n for _, n in want)
+    jobs.run_once(jobs.sessions(s), "visits", "complete")
+    assert {tuple(r) for r in spark.table("visits").collect()} == {(r.user_id, r.start_at, r.events) for r in usage.sessions(e).collect()}
+
+
+def test_ingest_follows_scans(spark, tmp_path):
+    shape = "doc_id string, sys_status string, sys_file_checksum string, sys_metadata_checksum string, sys_error_checksum string, ts string"
+    for rows in ([("a", "downloaded", "1", "m", None, "2024-01-01 00:00:00"), ("b", "download_error", None, "m", "e", "2024-01-01 00:00:00")], [("a", "downloaded", "2", "m", None, "2024-01-01 00:01:00"), ("b", "downloaded", "9", "m", None, "2024-01-01 00:01:00"), ("c", "downloaded", "3", "m", None, "2024-01-01 00:01:00")]):
+        spark.createDataFrame(rows, shape).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(shape.replace("ts string", "ts timestamp")).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.ingest(s, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = {(r.doc_id, r.sys_status, r.sys_file_checksum, r.change) for r in spark.read.parquet(str(tmp_path / "out" / "v=1")).collect()}
+    assert got == {("a", "downloaded", "2", "file"), ("b", "downloaded", "9", "status_change"), ("c", "downloaded", "3", "new")}
+
+
+def test_texts_are_repaired(spark):
+    from docspark.operators import texts
+
+    given = ["Mee\ufffdng D\ufffdmo cr\ufffdque \uf0b7", "[3] note\n[^4]: kept ^5", "D a t a   s o u r c e s of a b", "plain"]
+    want = ["Meeting Démo cratique •", "[^3]: note\n[^4]: kept [^5]", "Data sources of a b", "plain"]
+    rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", texts.repair_chunk_text(F.col("t")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in rows] == want
+
+
+def test_balanced_parts_end_at_blank_lines(spark):
+    from docspark.operators import texts
+
+    text = "a" * 950 + "\n\n" + "b" * 1000 + "c" * 100
+    got = spark.createDataFrame([(text,)], "t string").select(texts.split_balanced(F.col("t"), 1100).alias("p")).first().p
+    assert "".join(got) == text and got[0] == "a" * 950 + "\n\n"
+
+
+def test_flat_folders_and_accents_are_resolved(spark):
+    from docspark.sources import files
+
+    meta = spark.createDataFrame([("d/e\u0301.json", None), ("d/x.json", "gone.pdf"), ("d/y.json", "named.docx")], "path string, filename string")
+    there = spark.createDataFrame([("d/\u00e9.pdf",), ("d/x.doc",), ("d/named.docx",), ("d/y.pdf",), ("e/x.pdf",)], "path string")
+    assert {(r.path, r.content) for r in files.resolve_content(meta, there).collect()} == {("d/e\u0301.json", "d/\u00e9.pdf"), ("d/x.json", "d/x.doc"), ("d/y.json", "d/named.docx")}
+
+
 def test_plans_of_relational_operators_stay_native(spark, sf):
     from docspark.plans import registry
 
