@@ -46,6 +46,16 @@ def rule_label(texts: list) -> list:
     return [next((k for k, p in found.items() if p.search(t)), "other") for t in plain]
 
 
+def word_overlap(pairs: list) -> list:
+    """For (query, text): the share of the query's distinct words that the text holds."""
+    out = []
+    for pair in pairs:
+        want, have = ({*re.findall(r"\w+", (pair[k] or "").lower())} for k in ("query", "text"))
+        out.append(len(want & have) / len(want) if want else 0.0)
+    return out
+
+
+register("scorer", word_overlap)
 register("embedder", hash_embedding)
 register("summariser", lead_sentences)
 register("labeller", rule_label)

@@ -142,15 +142,47 @@ def f02(spark, sf):
     return search.bm25_search(c.select("chunk_id", F.filter(F.split("text", r"\s+"), lambda x: x != "").alias("tokens")), text_queries(spark), 20)
 
 
-@query("f03_hybrid_search", f"""WITH s AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS ord FROM {HITS} z WHERE vec_id % 3 = 0 AND ord <= 60), d AS (SELECT query_id, doc_id, ord FROM {HITS} z WHERE ord <= 30),
-j AS (SELECT query_id, doc_id, d.ord AS a, s.ord AS b, round(coalesce(0.7 / (d.ord + 60), 0) + coalesce(0.3 / (s.ord + 60), 0), 9) AS score FROM d FULL JOIN s USING (query_id, doc_id))
+BM25_DOCS = r"""w AS (SELECT doc_id, list_filter(string_split_regex(regexp_replace(lower(sys_full_summary), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda x: x <> '') AS w FROM v_docs), l AS (SELECT doc_id, len(w) AS n FROM w WHERE len(w) > 0),
+s AS (SELECT count(*) AS docs, avg(n) AS avg_len FROM l), p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM w) u WHERE term IN ('the', 'et', 'der') GROUP BY 1, 2),
+c AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+q AS (SELECT label AS query_id, CASE label % 3 WHEN 0 THEN 'the' WHEN 1 THEN 'et' ELSE 'der' END AS term FROM (SELECT DISTINCT label FROM embeddings) e),
+b AS (SELECT query_id, doc_id, round(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * n / avg_len)), 6) AS score FROM p JOIN c USING (term) JOIN q USING (term) JOIN l USING (doc_id), s)"""
+
+
+@query("f03_hybrid_search", f"""WITH {BM25_DOCS}, s2 AS (SELECT query_id, doc_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS ord FROM b WHERE score > 0) z WHERE ord <= 30), d AS (SELECT query_id, doc_id, ord FROM {HITS} z WHERE ord <= 30),
+j AS (SELECT query_id, doc_id, d.ord AS a, s2.ord AS b, round(coalesce(0.7 / (d.ord + 60), 0) + coalesce(0.3 / (s2.ord + 60), 0), 9) AS score FROM d FULL JOIN s2 USING (query_id, doc_id))
 SELECT query_id, doc_id, score::DOUBLE AS score, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, a NULLS LAST, b) AS ord FROM j) z WHERE ord <= 20""")
 def f03(spark, sf):
-    from pyspark.sql.window import Window
+    plain = F.regexp_replace(F.lower("sys_full_summary"), r"[^\p{L}\p{N}_\s]", "")
+    tokens = view(spark, sf, "v_docs").select("doc_id", F.filter(F.split(plain, r"\s+"), lambda x: x != "").alias("tokens"))
+    k = F.col("query_id") % 3
+    queries = query_vectors(spark, sf).withColumn("query", F.when(k == 0, "the").when(k == 1, "et").otherwise("der"))
+    return search.hybrid(embeddings(spark, sf), tokens, queries, 0.7, 20, 30)
 
-    h = hits(spark, sf)
-    sparse = h.where("vec_id % 3 = 0 AND ord <= 60").withColumn("ord", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
-    return search.hybrid_search(h.where("ord <= 30"), sparse, 0.7, 20)
+
+@query("f01b_dense_search_all", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 0), h AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 6) AS score FROM embeddings, q)
+SELECT query_id, vec_id, score, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS ord FROM h) z WHERE ord <= 10""")
+def f01b(spark, sf):
+    """Every vector whose id is divisible by 50 asks all."""
+    e = embeddings(spark, sf)
+    return search.dense_search(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10)
+
+
+@query("f17_ann_search")
+def f17(spark, sf):
+    e = embeddings(spark, sf)
+    return search.ann_search(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10)
+
+
+@query("f11_post_search", f"""WITH h AS (SELECT query_id, h.doc_id, score, ord, map_title AS text, coalesce(map_published_year, '') AS year, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS o2 FROM {HITS} h JOIN v_docs d USING (doc_id) WHERE length(trim(map_title)) >= 20),
+r AS (SELECT *, round(score * 0.7 + 0.3 * coalesce(exp(-0.5 * pow(greatest(DATE '2024-06-30' - make_date(TRY_CAST(year AS INT), 12, 31), 0) / 365.0, 2)), 0.5), 9) AS s FROM h),
+l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, o2) AS o3 FROM r) z WHERE o3 <= 40),
+t AS (SELECT *, row_number() OVER (PARTITION BY query_id, trim(text) ORDER BY coalesce(TRY_CAST(year AS INT), 0) DESC, s DESC, o3) AS turn, min(o3) OVER (PARTITION BY query_id, trim(text)) AS place FROM l)
+SELECT query_id, doc_id, s AS score, row_number() OVER (PARTITION BY query_id ORDER BY place) AS ord FROM t WHERE turn = 1""")
+def f11(spark, sf):
+    h = hits(spark, sf).join(view(spark, sf, "v_docs").select("doc_id", F.col("map_title").alias("text"), F.coalesce("map_published_year", F.lit("")).alias("year")), "doc_id")
+    queries = h.select("query_id").distinct().withColumn("query", F.lit("any"))
+    return search.post_search(h, queries, min_chars=20, recency=(0.3, 365.0, "2024-06-30"), limit=40, deduplicate=True, id_col="doc_id").select("query_id", "doc_id", "score", "ord")
 
 
 @query("f04_resolve_weight", """SELECT event_id, CASE WHEN w >= 0.99 THEN 1.0 WHEN w <= 0.01 THEN 0.0 WHEN event_id % 3 < 2 THEN 0.25 ELSE w END::DOUBLE AS weight FROM (SELECT event_id, (event_id % 101) / 100.0 AS w FROM events) q""")

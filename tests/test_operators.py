@@ -229,7 +229,7 @@ def test_texts_are_repaired(spark):
     from docspark.operators import texts
 
     given = ["Mee\ufffdng D\ufffdmo cr\ufffdque \uf0b7", "[3] note\n[^4]: kept ^5", "D a t a   s o u r c e s of a b", "plain"]
-    want = ["Meeting Démo cratique •", "[^3]: note\n[^4]: kept [^5]", "Data sources of a b", "plain"]
+    want = ["Meeting Démo cratique •", "[[^3]] note\n[[^4]]: kept [^5]", "Data sources of a b", "plain"]
     rows = spark.createDataFrame(list(enumerate(given)), "i int, t string").select("i", texts.repair_chunk_text(F.col("t")).alias("t")).orderBy("i").collect()
     assert [r.t for r in rows] == want
 
@@ -250,6 +250,28 @@ def test_flat_folders_and_accents_are_resolved(spark):
     assert {(r.path, r.content) for r in files.resolve_content(meta, there).collect()} == {("d/e\u0301.json", "d/\u00e9.pdf"), ("d/x.json", "d/x.doc"), ("d/y.json", "d/named.docx")}
 
 
+def test_approximate_search_finds_the_neighbours(spark, sf):
+    """Recall against brute force, of every vector whose id is divisible by 50."""
+    from docspark.operators import search
+
+    e = spark.read.parquet(f"{sf}/embeddings.parquet")
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    found = search.ann_search(e, q, 10).select("query_id", "vec_id")
+    exact = search.dense_search(e, q, 10).select("query_id", "vec_id")
+    assert found.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
+
+
+def test_results_are_shaped_in_order(spark):
+    """Size, re-ranking, recency, limit, boost and duplicates, one after the other."""
+    from docspark.operators import search
+
+    hits = [(1, f"c{i}", "d", 1.0 - i / 10, i + 1, "x" * (5 if i == 0 else 50) + (" match" if i == 3 else ""), "2024", "unit") for i in range(6)]
+    h = spark.createDataFrame(hits, "query_id int, chunk_id string, doc_id string, score double, ord int, text string, year string, org string")
+    queries = spark.createDataFrame([(1, "match")], "query_id int, query string")
+    got = search.post_search(h, queries, min_chars=10, scorer="scorer", rerank_first=4, limit=4, deduplicate=True).orderBy("ord").collect()
+    assert [r.chunk_id for r in got] == ["c3", "c1"]  # the scorer likes the word; the others have one text
+
+
 def test_plans_of_relational_operators_stay_native(spark, sf):
     from docspark.plans import registry
 
