@@ -214,5 +214,7 @@ def crosstab_from_counts(df: DataFrame, col: str = "counts") -> DataFrame:
 
 
 def tree_nodes(df: DataFrame, col: str) -> DataFrame:
-    """One and the descendants of a tree kept as JSON: each node but the root stands in a list of children."""
-    return df.withColumn("nodes", F.regexp_count(col, F.lit(r'"id"\s*:')))
+    """One and the descendants of a tree kept as JSON: nodes are objects with an id. String values are blanked first, so
+    what they quote counts for nothing."""
+    keys = F.regexp_replace(col, r'([:,\[]\s*)"(?:[^"\\]|\\.)*"(?=\s*[,\]}])', "$10")
+    return df.withColumn("nodes", F.regexp_count(keys, F.lit(r'"id"\s*:')))

@@ -104,17 +104,23 @@ def t41(spark, sf):
     return ch.citations(view(spark, sf, "v_docs").select(F.col("doc_id").alias("answer_id"), text.alias("text"), F.lit(9).alias("n_hits"))).withColumn("number", F.col("number").cast("long"))
 
 
-@query("t44_redundant_with_table", """SELECT chunk_id, true AS redundant FROM v_chunks WHERE length(text) > 60""")
+@query("t44_redundant_with_table", r"""WITH t AS (SELECT doc_id, string_agg(text, ' ' ORDER BY pos) AS tab FROM v_chunks WHERE pos < 3 GROUP BY 1), w AS (SELECT chunk_id, lower(tab) AS tab, list_filter(regexp_extract_all(lower(text), '\w+'), lambda x: length(x) > 3) AS w FROM v_chunks c JOIN t ON c.doc_id = t.doc_id)
+SELECT chunk_id, coalesce(len(list_filter(w, lambda x: contains(tab, x))) / nullif(len(w), 0) > 0.8, false) AS redundant FROM w""")
 def t44(spark, sf):
-    c = chunks(spark, sf).where("length(text) > 60")
-    return c.select("chunk_id", (ch.redundant_with_table(F.lit("alpha beta12 gamma"), F.concat(F.lit("ALPHA beta12 gamma "), "text"))).alias("redundant"))
+    """Every chunk against the first lines of its document."""
+    c = chunks(spark, sf)
+    table = c.where("pos < 3").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ").alias("tab"))
+    return c.join(table, "doc_id").select("chunk_id", ch.redundant_with_table(F.col("text"), F.col("tab")).alias("redundant"))
 
 
-@query("t45_image_mentions", """SELECT chunk_id, doc_id, '2.1' AS number, 'image_2.1.png' AS file FROM v_chunks WHERE pos = 0""")
+@query("t45_image_mentions", r"""WITH m AS (SELECT chunk_id, doc_id, 'see Figure ' || CAST(pos % 4 AS STRING) || '.1, TABLE  ' || CAST(pos % 3 AS STRING) || ', ' || text AS t, pos FROM v_chunks)
+SELECT DISTINCT chunk_id, m.doc_id, number, 'image_' || number || '.png' AS file FROM (SELECT chunk_id, doc_id, unnest(regexp_extract_all(lower(t), '\b(?:figure|table|graph|map)\s+(\d+(?:\.\d+)?)', 1)) AS number FROM m) m WHERE number IN ('1.1', '2', CAST(CAST(m.doc_id AS INT) % 4 AS STRING) || '.1')""")
 def t45(spark, sf):
-    c = chunks(spark, sf).where("pos = 0")
-    text = c.withColumn("text", F.concat(F.lit("see Figure 2.1, figure 2.1 and map 4: "), "doc_id"))
-    return ch.image_mentions(text, c.select("doc_id", F.lit("2.1").alias("number"), F.lit("image_2.1.png").alias("file")))
+    c = chunks(spark, sf)
+    text = F.concat(F.lit("see Figure "), (F.col("pos") % 4).cast("string"), F.lit(".1, TABLE  "), (F.col("pos") % 3).cast("string"), F.lit(", "), "text")
+    own = F.concat((F.col("doc_id").cast("int") % 4).cast("string"), F.lit(".1"))
+    images = c.select("doc_id", F.explode(F.array(F.lit("1.1"), F.lit("2"), own)).alias("number")).distinct()
+    return ch.image_mentions(c.withColumn("text", text), images.withColumn("file", F.concat(F.lit("image_"), "number", F.lit(".png"))))
 
 
 @query("f01_dense_search", """SELECT query_id, vec_id, score, ord FROM v_hits WHERE ord <= 10""")

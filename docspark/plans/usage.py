@@ -73,10 +73,15 @@ def d36(spark, sf):
     return stats.mean_relevance(events(spark, sf).select(F.col("event_type").alias("config"), F.col("user_id").alias("query_id"), F.col("value").alias("score")))
 
 
-@query("d38_tree_nodes", """SELECT event_id, 3 AS nodes FROM events""")
+@query("d38_tree_nodes", """SELECT event_id, 1 + event_id % 5 + CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS nodes FROM events""")
 def d38(spark, sf):
-    tree = F.concat(F.lit('{"id": 1, "children": [{"id": '), F.col("event_id").cast("string"), F.lit('}, {"id": 3}]}'))
-    return stats.tree_nodes(events(spark, sf).withColumn("tree", tree), "tree").select("event_id", "nodes")
+    """A root with up to four children, some with a grandchild, and texts that look like nodes."""
+    note = F.lit(', "text": "see \\"id\\": 7, {\\"id\\": 8}", "tags": ["id", "\\"id\\":"]')
+    leaf = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), note, F.lit("}"))
+    below = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(', "more": ['), leaf, F.lit("]"))).otherwise("")
+    children = F.array_join(F.array_repeat(leaf, (F.col("event_id") % 5).cast("int")), ", ")
+    tree = F.concat(F.lit('{"id": "root"'), note, F.lit(', "children": ['), children, F.lit("]"), below, F.lit("}"))
+    return stats.tree_nodes(events(spark, sf).withColumn("tree", tree), "tree").select("event_id", F.col("nodes").cast("long").alias("nodes"))
 
 
 @query("i02_tumbling_batch", """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
