@@ -128,6 +128,89 @@ def test_near_duplicates_of_an_empty_table_and_rows_without_ids(spark):
     assert [(r.doc_id, r.component_id) for r in got] == [(2, 2), (2, 2)]
 
 
+def test_words_that_fool_polynomial_sums_are_told_apart(spark):
+    """A Thue-Morse word and its complement have equal sums of letters times powers modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    texts = [(1, f"{one} {one}x {one}y"), (2, f"{two} {two}x {two}y")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, texts), width=2).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_a_large_group_around_a_base_is_compared_by_differences(spark):
+    """Members lie around the threshold from their base and below it from each other; some are linked by shared changes
+    alone, which only the last stage can find."""
+    r = random.Random(21)
+    base = [f"b{i}" for i in range(80)]
+    texts = [(500, " ".join(base))]
+    for k in range(150):
+        w = list(base)
+        for i in r.sample(range(80), r.choice([3, 5, 8, 9, 10])):
+            w[i] = f"v{k}_{i}"
+        texts.append((k, " ".join(w)))
+    far = list(base)
+    for i in r.sample(range(80), 12):
+        far[i] = f"far{i}"
+    for k in range(6):
+        w = list(far)
+        w[k] = f"own{k}"
+        texts.append((200 + k, " ".join(w)))
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in near_dedup.near_duplicates(table(spark, texts), width=2).collect()}
+    assert got == brute_near(texts, 2)
+
+
+def test_large_groups_of_copies_meet_broadcast_winners(spark, monkeypatch):
+    texts = [(i, "hot copy") for i in range(60)] + [(100 + i, f"text {i // 2}") for i in range(20)]
+    for large in (10_000, 2):
+        monkeypatch.setattr(exact_dedup, "LARGE", large)
+        got = {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_groups(table(spark, texts)).collect()}
+        assert got == brute_exact(texts)
+
+
+def test_rows_that_share_an_id_are_one_document(spark):
+    texts = [(1, "zz " * 60), (1, "aa " * 60), (2, "aa " * 60), (3, "zz " * 60)]
+    first = min(("zz " * 60, "aa " * 60), key=lambda t: hashlib.sha256(t.encode()).hexdigest())
+    single = [(1, first), *texts[2:]]
+    for f, brute in ((lambda t: near_dedup.near_duplicates(t, width=2), lambda x: brute_near(x, 2)), (suffix_dedup.suffix_digest, lambda x: brute_bytes(x, 100)), (substring_dedup.substring_digest, brute_words)):
+        got = [(r.doc_id, tuple(r)[1:]) for r in f(table(spark, texts)).collect()]
+        want = brute(single)
+        assert sorted(got) == sorted([(i, want[i]) for i in (1, 1, 2, 3)])
+
+
+def test_staging_refuses_local_folders_on_a_cluster(spark, monkeypatch):
+    from docspark.llm import staging
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        staging.shared_dir(Session())
+
+
+def test_suffixes_are_sorted_by_content():
+    import numpy as np
+
+    r = random.Random(1)
+    for _ in range(60):
+        window, letters = r.choice([24, 57, 100]), r.choice([b"ab", b"abcdefgh", b"a"])
+        base = bytes(r.choice(letters) for _ in range(r.randrange(window, 300)))
+        data = base + b"".join(base[i : i + r.randrange(1, 150)] for i in (r.randrange(len(base)) for _ in range(5))) + base
+        at = np.arange(len(data) - window + 1)
+        seen, want = set(), []
+        for i in at:
+            want.append(data[i : i + window] in seen)
+            seen.add(data[i : i + window])
+        assert suffix_dedup.repeated(np.frombuffer(data, np.uint8), at, window).tolist() == want
+    assert {(a - b) % suffix_dedup.TIES for a in suffix_dedup.TIE_COVER for b in suffix_dedup.TIE_COVER} == set(range(suffix_dedup.TIES))
+
+
 def test_components_of_paths_and_stars(spark):
     r = random.Random(4)
     edges = [(r.randrange(60), r.randrange(60)) for _ in range(45)] + [(7, 7)]
