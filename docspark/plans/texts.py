@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from docspark.functions import models
 from docspark.operators import chunks as ch
 from docspark.operators import elements as el
-from docspark.operators import repairs, texts
+from docspark.operators import layout, repairs, texts
 from docspark.plans.registry import query
 from docspark.plans.views import view
 
@@ -166,3 +166,61 @@ def c06(spark, sf):
 def f16(spark, sf):
     c = chunks(spark, sf).select("doc_id", "pos", F.col("text").alias("sentence"))
     return ch.centroid_summary(models.apply(c, "embedder", "sentence", "vector array<float>"))
+
+
+@query("e18_normalize_levels")
+def e18(spark, sf):
+    t = view(spark, sf, "v_toc")
+    number = F.when(F.col("idx") % 2 == 0, F.concat(F.floor(F.col("idx") / 2 + 1).cast("string"), F.when(F.col("level") > 1, ".1 ").otherwise(". "))).otherwise("")
+    return layout.normalize_levels(t.withColumn("title", F.concat(number, "title"))).select("doc_id", "idx", "level")
+
+
+@query("t17_annotate_front", """WITH l AS (SELECT DISTINCT doc_id, page FROM v_toc WHERE page <= 5), e AS (SELECT doc_id, max(page) AS p FROM (SELECT doc_id, page, page - row_number() OVER (PARTITION BY doc_id ORDER BY page) * 2 AS g FROM l) q GROUP BY 1)
+SELECT t.doc_id, idx, CASE t.page WHEN 1 THEN 'i' WHEN 3 THEN 'iii' WHEN 5 THEN 'v' END AS roman, t.page <= 5 AS fm FROM v_toc t""")
+def t17(spark, sf):
+    t = view(spark, sf, "v_toc")
+    ids = t.select("doc_id").distinct()
+    labels = ids.select("doc_id", F.explode(F.array(*(F.struct(F.lit(i + 1).alias("page"), F.lit(r).alias("label")) for i, r in enumerate(("i", "ii", "iii", "iv", "v"))))).alias("l")).select("doc_id", "l.*")
+    return layout.annotate_front(t, labels, ids.withColumn("total_pages", F.lit(60))).select("doc_id", "idx", "roman", "fm")
+
+
+@query("t24_superscripts", """SELECT chunk_id AS line_id, 2 AS pos, CAST(pos % 1000 AS STRING) AS token FROM v_chunks WHERE pos % 3 = 0""")
+def t24(spark, sf):
+    """Three spans a line, of which the last is a small number, raised in every third."""
+    c = chunks(spark, sf)
+    raised = F.when(F.col("pos") % 3 == 0, 90.0).when(F.col("pos") % 3 == 1, 99.5).otherwise(100.0)
+    number = F.struct(F.lit(2).alias("pos"), (F.col("pos") % 1000).cast("string").alias("text"), F.when(F.col("pos") % 3 == 2, 10.0).otherwise(6.0).alias("size"), raised.alias("origin"))
+    body = [F.struct(F.lit(i).alias("pos"), F.col("text").alias("text"), F.lit(10.0).alias("size"), F.lit(100.0).alias("origin")) for i in range(2)]
+    spans = c.select(F.col("chunk_id").alias("line_id"), F.explode(F.array(*body, number)).alias("s")).select("line_id", "s.*").withColumns({"top": F.col("origin") - F.col("size"), "bottom": F.col("origin")})
+    return layout.superscripts(spans)
+
+
+@query("e19_infer_paragraphs")
+def e19(spark, sf):
+    boxes = F.array(*(F.array(*map(F.lit, b)) for b in ([0.0, 0.0, 9.0, 10.0], [0.0, 11.0, 9.0, 20.0], [0.0, 21.0, 9.0, 30.0], [0.0, 31.0, 9.0, 40.0], [0.0, 41.0, 9.0, 50.0], [0.0, 90.0, 9.0, 99.0])))
+    return chunks(spark, sf).select("chunk_id", layout.infer_paragraphs(F.col("text"), boxes).alias("text"))
+
+
+@query("t34_expand_phrases", r"""SELECT chunk_id, CAST(length(text) + 2 AS INT) AS start, CAST(length(text) + 15 AS INT) AS "end", 'some ' || CAST(pos % 10 AS STRING) || ' words!' AS phrase FROM v_chunks""")
+def t34(spark, sf):
+    n = F.length("text")
+    c = chunks(spark, sf).select("chunk_id", F.concat("text", F.lit(". some "), (F.col("pos") % 10).cast("string"), F.lit(" words! More")).alias("text"), F.explode(F.array(n + 4, n + 9)).alias("start"))
+    return layout.expand_phrases(c.withColumn("end", F.col("start") + 2))
+
+
+@query("t25_vote_language")
+def t25(spark, sf):
+    return layout.vote_language(chunks(spark, sf).groupBy("doc_id", (F.col("page_num") - 1).alias("page")).agg(F.array_join(F.collect_list("text"), " ").alias("text")))
+
+
+@query("k07_changed_languages")
+def k07(spark, sf):
+    noted = docs(spark, sf).withColumn("map_language", F.when(F.col("doc_id").cast("int") % 3 == 0, "xx").otherwise(F.col("map_language")))
+    return layout.changed_languages(noted, t25(spark, sf))
+
+
+@query("k04_repair_elements", """SELECT chunk_id, 'it’s “' || doc_id || '”' AS text FROM v_chunks WHERE pos % 2 = 0 AND NOT regexp_matches(text, '[ÕÒÓÐÑ]')""")
+def k04(spark, sf):
+    c = chunks(spark, sf).where(~F.col("text").rlike("[ÕÒÓÐÑ]"))
+    marked = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("itÕs Ò"), "doc_id", F.lit("Ó"))).otherwise("plain")
+    return layout.repair_elements(c.select("chunk_id", "text", F.array(F.struct(F.lit("text").alias("label"), marked.alias("text"))).alias("elements"))).select("chunk_id", F.col("elements")[0]["text"].alias("text"))

@@ -272,6 +272,57 @@ def test_results_are_shaped_in_order(spark):
     assert [r.chunk_id for r in got] == ["c3", "c1"]  # the scorer likes the word; the others have one text
 
 
+def test_levels_equal_a_stack(spark):
+    import random
+    import re as regex
+
+    from docspark.operators import layout
+
+    r, rows, want = random.Random(5), [], {}
+    for d in range(60):
+        entries = [(f"d{d}", i, r.randrange(2, 6), r.choice(["", "", f"{r.randrange(1, 5)}. ", f"{r.randrange(1, 5)}.{r.randrange(1, 4)} ", f"{r.randrange(1, 4)}.1.2 "]) + r.choice(["Text", "Text", "Text", "Annex"] if i > 6 else ["Text"]), r.random() < 0.1) for i in range(12)]
+        rows += entries
+        base, stack, last, back, levels = min(e[2] for e in entries), [], None, False, []
+        for _, _, level, title, front in entries:
+            while stack and level <= stack[-1][0]:
+                stack.pop()
+            back = back or "Annex" in title
+            number = regex.match(r"[\d.]*\d", title)
+            depth = number[0].count(".") + 1 if number else 0
+            if depth and (front or back):
+                levels.append(level)
+                continue
+            if depth and (last is None or int(number[0].split(".")[0]) >= last):
+                last = int(number[0].split(".")[0])
+                levels.append(base + depth - 1)
+                stack.append((level, levels[-1] - level))
+            else:
+                levels.append(max(1, level + stack[-1][1]) if stack else level)
+        want |= {(f"d{d}", i): max(1, x - min(levels) + 1) for i, x in enumerate(levels)}
+    got = layout.normalize_levels(spark.createDataFrame(rows, "doc_id string, idx int, level int, title string, fm boolean"))
+    assert {(x.doc_id, x.idx): x.level for x in got.collect()} == want
+
+
+def test_languages_are_voted(spark):
+    from docspark.operators import layout
+
+    en, fr = "the cat and the dog of this house is in " * 8, "le chat et les chiens dans une maison que pour la " * 8
+    rows = [("a", p, fr if p < 1 else en) for p in range(30)] + [("b", 0, fr), ("b", 1, fr), ("c", 0, "the")]
+    got = layout.vote_language(spark.createDataFrame(rows, "doc_id string, page int, text string"))
+    assert {r.doc_id: r.language for r in got.collect()} == {"a": "en", "b": "fr", "c": "Unknown"}
+    noted = spark.createDataFrame([("a", "en"), ("b", "de"), ("c", "en")], "doc_id string, map_language string")
+    assert [tuple(r) for r in layout.changed_languages(noted, got).collect()] == [("b", "de", "fr")]
+
+
+def test_paragraphs_follow_large_gaps(spark):
+    from docspark.operators import layout
+
+    text = "A a. b. Bb. c. Cc. d. Dd. e. Ee. f. Ff. g."
+    boxes = [[0.0, 10.0 * k, 9.0, 10.0 * k + 9] for k in range(5)] + [[0.0, 200.0, 9.0, 209.0]]
+    got = spark.createDataFrame([(text, boxes), (text, boxes[:2])], "t string, b array<array<double>>").select(layout.infer_paragraphs(F.col("t"), F.col("b")).alias("p")).collect()
+    assert got[1].p == text and got[0].p.replace("\n\n", "") == text
+
+
 def test_plans_of_relational_operators_stay_native(spark, sf):
     from docspark.plans import registry
 
