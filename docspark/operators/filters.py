@@ -130,3 +130,13 @@ def select_for_stage(docs: DataFrame, skips: set[str], agency: str | None = None
 
 def find_stuck(docs: DataFrame) -> DataFrame:
     return docs.where(F.col("sys_status").isin("indexing", "summarizing", "pending"))
+
+
+def restrict_by_title(chunks: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """Chunks of documents whose title holds the text, in any case."""
+    return chunks.join(docs.where(F.col("map_title").ilike(f"%{text}%")).select("doc_id"), "doc_id", "left_semi")
+
+
+def indexed_only(chunks: DataFrame, docs: DataFrame) -> DataFrame:
+    """Chunks of documents that are indexed."""
+    return chunks.join(docs.where("sys_status = 'indexed'").select("doc_id"), "doc_id", "left_semi")

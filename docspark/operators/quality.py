@@ -176,7 +176,7 @@ def recent_first(docs: DataFrame) -> DataFrame:
 
 def merge_codes(rows: DataFrame, names: DataFrame) -> DataFrame:
     """The first row of each (doc, code) with the code's name; unknown codes drop."""
-    return rows.groupBy("doc_id", "code").agg(F.min_by("reason", "ord").alias("reason")).join(F.broadcast(names), "code")
+    return rows.groupBy("doc_id", "code").agg(F.min_by("reason", "ord").alias("reason")).join(names, "code")
 
 
 def field_page(df: DataFrame, keys: list, size: int, page: int) -> DataFrame:
@@ -185,3 +185,36 @@ def field_page(df: DataFrame, keys: list, size: int, page: int) -> DataFrame:
 
 def countries_fixed(df: DataFrame) -> DataFrame:
     return df.withColumn("concatenated", strings.looks_concatenated(F.col("map_country")))
+
+
+def lookup(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows whose key (id, checksum, path or source id) is among the wanted ones."""
+    return table.join(wanted.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
+
+
+def partition_slice(df: DataFrame, workers: int, order: str, within: str) -> DataFrame:
+    """Column `slice`: contiguous, near-equal slices of each group's rows in order, one for a worker."""
+    return df.withColumn("slice", F.ntile(workers).over(Window.partitionBy(within).orderBy(F.col(order).cast("long"))))
+
+
+def compare_keys(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """(key, side): whether a key is in the old snapshot alone, the new one alone, or both."""
+    marks = old.select(key, F.lit(1).alias("old"), F.lit(0).alias("new")).unionByName(new.select(key, F.lit(0).alias("old"), F.lit(1).alias("new")))
+    both = marks.groupBy(key).agg(F.max("old").alias("old"), F.max("new").alias("new"))
+    return both.select(key, F.when(F.col("new") == 0, "only_old").when(F.col("old") == 0, "only_new").otherwise("shared").alias("side"))
+
+
+def union_stages(docs: DataFrame, stages: list[str]) -> DataFrame:
+    """Documents in any of the stages, with the stage's place; one pass."""
+    place = F.array_position(F.array(*map(F.lit, stages)), F.col("sys_status")).cast("int")
+    return docs.where(F.col("sys_status").isin(*stages)).withColumn("ord", place)
+
+
+def clear_fields(df: DataFrame, prefix: str) -> DataFrame:
+    """All columns that begin with the prefix set to null, their types kept."""
+    return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in df.columns if c.startswith(prefix)})
+
+
+def taxonomy_storage(df: DataFrame, field: str) -> DataFrame:
+    """One row: how many rows have a value and how many have none."""
+    return df.agg(F.count_if(F.col(field).isNotNull()).alias("with_tags"), F.count_if(F.col(field).isNull()).alias("without_tags"))

@@ -94,6 +94,12 @@ def ann_search(embeddings: DataFrame, queries: DataFrame, k: int, lists: int = 3
     return top_k(pairs.select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("qv")), 6).alias("score")), k, "vec_id")
 
 
+def more_like_this(embeddings: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """The k vectors nearest to each of the wanted ones (vec_id), itself among them."""
+    own = embeddings.join(wanted.select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return dense_search(embeddings, own, k)
+
+
 def bm25_tokens(col: Column) -> Column:
     plain = F.regexp_replace(F.lower(col), r"[^\w\s]", "")
     return F.filter(F.split(plain, r"\s+"), lambda x: x != "")

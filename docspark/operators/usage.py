@@ -31,6 +31,11 @@ def page_activity(df: DataFrame, key: str, descending: bool, size: int) -> DataF
     return df.orderBy(order, "id").limit(size)
 
 
+def hourly_counts(events: DataFrame) -> DataFrame:
+    """Events by hour and type."""
+    return events.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+
+
 def rate_breaches(events: DataFrame, user: str = "user_id", at: str = "ts", limit: int = 10, seconds: int = 60) -> DataFrame:
     """Attempts with more than `limit` attempts of the user in the window that ends with them."""
     t = F.unix_micros(F.col(at).cast("timestamp"))

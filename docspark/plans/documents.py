@@ -287,9 +287,7 @@ def e04(spark, sf):
 
 @query("e05_partition_slice", """SELECT doc_id, ntile(7) OVER (PARTITION BY map_organization ORDER BY CAST(doc_id AS INT)) AS slice FROM v_docs""")
 def e05(spark, sf):
-    from pyspark.sql.window import Window
-
-    return docs(spark, sf).select("doc_id", F.ntile(7).over(Window.partitionBy("map_organization").orderBy(F.col("doc_id").cast("int"))).cast("long").alias("slice"))
+    return quality.partition_slice(docs(spark, sf), 7, "doc_id", "map_organization").select("doc_id", F.col("slice").cast("long").alias("slice"))
 
 
 @query("e06_recent_first", """SELECT doc_id, coalesce(TRY_CAST(map_published_year AS INT), 0) AS sort_year, row_number() OVER (PARTITION BY map_organization ORDER BY coalesce(TRY_CAST(map_published_year AS INT), 0) DESC, doc_id) AS place FROM v_docs""")
@@ -310,8 +308,7 @@ def f13(spark, sf):
 @query("a07_lookup", """SELECT d.doc_id, d.sys_filepath FROM v_docs d JOIN (SELECT DISTINCT sys_file_checksum AS c FROM v_docs WHERE map_organization = 'src2') q ON d.sys_file_checksum = q.c""")
 def a07(spark, sf):
     d = docs(spark, sf)
-    wanted = d.where("map_organization = 'src2'").select("sys_file_checksum").distinct()
-    return d.join(wanted, "sys_file_checksum", "left_semi").select("doc_id", "sys_filepath")
+    return quality.lookup(d, d.where("map_organization = 'src2'"), "sys_file_checksum").select("doc_id", "sys_filepath")
 
 
 @query("a08_upsert", """WITH u AS (SELECT node_id, arg_max(agency, CAST(node_id AS INT)) AS agency, arg_max(md5, CAST(node_id AS INT)) AS md5 FROM v_files_new GROUP BY 1)
@@ -365,7 +362,7 @@ def g02(spark, sf):
 @query("g01_shared_nodes", """SELECT node_id, 'only_old' AS side FROM v_files_old WHERE node_id NOT IN (SELECT node_id FROM v_files_new) UNION ALL SELECT node_id, 'only_new' FROM v_files_new WHERE node_id NOT IN (SELECT node_id FROM v_files_old) UNION ALL SELECT node_id, 'shared' FROM v_files_old WHERE node_id IN (SELECT node_id FROM v_files_new)""")
 def g01(spark, sf):
     o, n = (view(spark, sf, v).select("node_id") for v in ("v_files_old", "v_files_new"))
-    return o.exceptAll(n).withColumn("side", F.lit("only_old")).unionByName(n.exceptAll(o).withColumn("side", F.lit("only_new"))).unionByName(o.intersect(n).withColumn("side", F.lit("shared")))
+    return quality.compare_keys(o, n, "node_id")
 
 
 @query("c11_compare_checksums", """SELECT o.node_id, CASE WHEN n.node_id IS NULL THEN 'missing' WHEN o.md5 IS NOT DISTINCT FROM n.md5 THEN 'ok' ELSE 'mismatch' END AS status FROM v_files_old o LEFT JOIN v_files_new n ON o.node_id = n.node_id""")
@@ -523,12 +520,12 @@ def k06(spark, sf):
 
 @query("k13_clear_taxonomies", """SELECT doc_id, CAST(NULL AS STRING) AS map_country FROM v_docs""")
 def k13(spark, sf):
-    return docs(spark, sf).select("doc_id", F.lit(None).cast("string").alias("map_country"))
+    return quality.clear_fields(docs(spark, sf), "map_country").select("doc_id", "map_country")
 
 
 @query("k16_taxonomy_storage", """SELECT count(*) FILTER (map_country IS NOT NULL) AS with_tags, count(*) FILTER (map_country IS NULL) AS without_tags FROM v_docs""")
 def k16(spark, sf):
-    return docs(spark, sf).agg(F.count_if(F.col("map_country").isNotNull()).alias("with_tags"), F.count_if(F.col("map_country").isNull()).alias("without_tags"))
+    return quality.taxonomy_storage(docs(spark, sf), "map_country")
 
 
 @query("g04_merge_codes", """SELECT doc_id, 'c' || CAST(CAST(doc_id AS INT) % 3 AS STRING) AS code, 'first' AS reason, 'name' || CAST(CAST(doc_id AS INT) % 3 AS STRING) AS name FROM v_docs""")
@@ -559,6 +556,4 @@ def h21(spark, sf):
 
 @query("g03_union_stage_docs", """SELECT doc_id, CASE sys_status WHEN 'tagged' THEN 1 WHEN 'summarized' THEN 2 ELSE 3 END AS ord FROM v_docs WHERE sys_status IN ('tagged', 'summarized', 'parsed')""")
 def g03(spark, sf):
-    d = docs(spark, sf)
-    parts = [d.where(F.col("sys_status") == s).select("doc_id", F.lit(i).alias("ord")) for i, s in enumerate(("tagged", "summarized", "parsed"), 1)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return quality.union_stages(docs(spark, sf), ["tagged", "summarized", "parsed"]).select("doc_id", "ord")

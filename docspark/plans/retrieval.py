@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import chunks as ch
 from docspark.operators import elements as el
-from docspark.operators import facets, search, stats
+from docspark.operators import facets, filters, search, stats
 from docspark.plans.registry import query
 from docspark.plans.views import view
 
@@ -303,12 +303,12 @@ def c02(spark, sf):
 
 @query("c14_restrict_by_title", """SELECT chunk_id FROM v_chunks WHERE doc_id IN (SELECT doc_id FROM v_docs WHERE map_title ILIKE '%the%')""")
 def c14(spark, sf):
-    return chunks(spark, sf).join(view(spark, sf, "v_docs").where(F.col("map_title").ilike("%the%")), "doc_id", "left_semi").select("chunk_id")
+    return filters.restrict_by_title(chunks(spark, sf), view(spark, sf, "v_docs"), "the").select("chunk_id")
 
 
 @query("c15_indexed_only", """SELECT chunk_id FROM v_chunks WHERE doc_id IN (SELECT doc_id FROM v_docs WHERE sys_status = 'indexed')""")
 def c15(spark, sf):
-    return chunks(spark, sf).join(view(spark, sf, "v_docs").where("sys_status = 'indexed'"), "doc_id", "left_semi").select("chunk_id")
+    return filters.indexed_only(chunks(spark, sf), view(spark, sf, "v_docs")).select("chunk_id")
 
 
 @query("t39_answer_context", f"""SELECT query_id, string_agg('[' || CAST(ord AS STRING) || '] ' || map_title, chr(10) ORDER BY ord) AS context FROM {HITS} z JOIN v_docs USING (doc_id) WHERE ord <= 20 GROUP BY 1""")
@@ -316,11 +316,11 @@ def t39(spark, sf):
     return search.answer_context(hits(spark, sf).join(view(spark, sf, "v_docs").select("doc_id", F.col("map_title").alias("text")), "doc_id"))
 
 
-@query("f19_more_like_this", """SELECT vec_id, score FROM v_hits WHERE query_id = 3 AND ord <= 6""")
+@query("f19_more_like_this", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % 50 = 7), h AS (SELECT query_id, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 6) AS score FROM embeddings, q)
+SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS ord FROM h) z WHERE ord <= 6""")
 def f19(spark, sf):
     e = embeddings(spark, sf)
-    one = query_vectors(spark, sf).where("query_id = 3")
-    return search.dense_search(e, one, 6).select("vec_id", "score")
+    return search.more_like_this(e, e.where("vec_id % 50 = 7"), 6).select("query_id", "vec_id", "score")
 
 
 @query("h17_vectors", """SELECT vec_id, round(list_dot_product(e, e), 6) AS dot, round(list_dot_product(e, e) / greatest(sqrt(list_dot_product(e, e)), 1e-8) / greatest(sqrt(list_dot_product(e, e)), 1e-8), 6) AS unit FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings) q""")

@@ -86,7 +86,7 @@ def d38(spark, sf):
 
 @query("i02_tumbling_batch", """SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def i02(spark, sf):
-    return events(spark, sf).groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"))
+    return usage.hourly_counts(events(spark, sf))
 
 
 @query("i05_rate_breaches_batch", """SELECT event_id, attempts FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86400 SECONDS PRECEDING AND CURRENT ROW) AS attempts FROM events) q WHERE attempts > 4""")
