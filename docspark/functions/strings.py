@@ -141,14 +141,15 @@ def roman_to_int(col: Column) -> Column:
     return F.when(valid, total)
 
 
-# fixed values: what the bytes of an old Macintosh encoding become when read as Latin-1 or Windows text
-MOJIBAKE = {"Õ": "’", "Ò": "“", "Ó": "”", "Ð": "–", "Ñ": "—"}
+# fixed values: what the bytes of an old Macintosh encoding become when read as Windows text
+MOJIBAKE = {"ˆ": "à", "Ž": "é", "ž": "û", "Š": "ä", "š": "ö"}
 
 
 def fix_mojibake(col: Column) -> Column:
-    """Only where two or more marks stand; an apostrophe between letters first."""
-    fixed = F.translate(F.regexp_replace(col, r"(?<=\w)Õ(?=\w)", "’"), "".join(MOJIBAKE), "".join(MOJIBAKE.values()))
-    return F.when(F.regexp_count(col, F.lit("[ÕÒÓÐÑ]")) >= 2, fixed).otherwise(col)
+    """Only where two or more marks stand; then an `Õ` between word characters is an apostrophe, too."""
+    fixed = F.translate(col, "".join(MOJIBAKE), "".join(MOJIBAKE.values()))
+    fixed = F.regexp_replace(fixed, r"(?<=[\p{L}\p{N}_])Õ(?=[\p{L}\p{N}_])", "’")
+    return F.when(F.regexp_count(col, F.lit(f"[{''.join(MOJIBAKE)}]")) >= 2, fixed).otherwise(col)
 
 
 def position_hint(top: Column, height: float = 842.0) -> Column:

@@ -135,6 +135,7 @@ def changed_languages(docs: DataFrame, voted: DataFrame) -> DataFrame:
 
 def repair_elements(chunks: DataFrame) -> DataFrame:
     """Chunks with repaired text and element texts, those alone that hold a mark of the old encoding; the scan drops others."""
-    held = chunks.where(F.col("text").rlike("[ÕÒÓÐÑ]") | F.exists("elements", lambda e: e["text"].rlike("[ÕÒÓÐÑ]")))
+    marks = f"[{''.join(strings.MOJIBAKE)}]"
+    held = chunks.where(F.col("text").rlike(marks) | F.exists("elements", lambda e: e["text"].rlike(marks)))
     fixed = F.transform("elements", lambda e: e.withField("text", strings.fix_mojibake(e["text"])))
     return held.withColumn("text", strings.fix_mojibake(F.col("text"))).withColumn("elements", fixed)

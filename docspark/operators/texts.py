@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions import strings
+from docspark.functions.unicode import normalized
 from docspark.operators.sections import KEYWORDS
 
 # fixed values: what stands for a lost character, longer ones first, and a bullet of a symbol font
@@ -29,6 +30,109 @@ CAPITALS = "A-ZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
 NUMBERED = rf"^(\d+(?:\.\d+)*)\s*\.?\s+([{CAPITALS}][^\n]{{3,80}})$"
 
 
+# fixed values: words with a lost ligature and what they were, tried in this order in any case
+LIGATURES = r"""
+Na�onal National
+na�onal national
+Informa�on Information
+informa�on information
+Organiza�on Organization
+organiza�on organization
+Evalua�on Evaluation
+evalua�on evaluation
+Situa�on Situation
+situa�on situation
+Funcon Function
+Func�on Function
+funcon function
+func�on function
+Forma�ve Formative
+forma�ve formative
+Acon Action
+Ac�on Action
+acon action
+ac�on action
+Popula�on Population
+popula�on population
+Idenfy Identify
+Iden�fy Identify
+iden�fy identify
+Nofy Notify
+No�fy Notify
+no�fy notify
+Effecve Effective
+Effec�ve Effective
+effec�ve effective
+Opera�on Operational
+opera�on operational
+Nutri�on Nutrition
+nutri�on nutrition
+Educa�on Education
+educa�on education
+Loca�on Location
+loca�on location
+Protec�on Protection
+protec�on protection
+Sec�on Section
+sec�on section
+Communica�on Communication
+communica�on communication
+Descrip�on Description
+descrip�on description
+Bulle�n Bulletin
+bulle�n bulletin
+Solu�on Solution
+�on\b tion
+�ve\b tive
+"""
+# fixed values: words whose ligature is gone altogether, tried in this order in any case
+DROPPED = r"""
+Naonal National
+Formave Formative
+evaluaon evaluation
+situaon situation
+Organizaon Organization
+Bullen Bulletin
+funcon function
+acon action
+populaon population
+idenfy identify
+nofy notify
+effecve effective
+Descripon Description
+descripon description
+pracce practice
+parcipant participant
+mul\b multi
+addional additional
+operaonal operational
+nutrion nutrition
+educaon education
+locaon location
+protecon protection
+secon section
+Soluon Solution
+informon information
+communicaon communication
+"""
+
+
+def _replaced(col: Column, table: str) -> Column:
+    for pattern, by in (line.split(" ") for line in table.split("\n") if line):
+        edged = pattern.removesuffix(r"\b") + r"(?![\p{L}\p{N}_])" if pattern.endswith(r"\b") else pattern
+        col = F.regexp_replace(col, f"(?iu){edged}", by)
+    return col
+
+
+def clean_text(df: DataFrame, col: str, dropped: bool = True) -> DataFrame:
+    """With a text column repaired: old encodings, then Unicode's compatible form, then lost ligatures; where `dropped`, words
+    that lost them without a trace, too, which also changes words that hold such letters (`bacon`)."""
+    df = normalized(df.withColumn(col, strings.fix_mojibake(F.col(col))), col, "NFKC")
+    lost = F.regexp_replace(_replaced(F.col(col), LIGATURES), r"(?i)([a-z])�([a-z])", "$1ti$2")
+    df = df.withColumn(col, F.when(F.contains(F.col(col), F.lit("�")), lost).otherwise(F.col(col)))
+    return df.withColumn(col, _replaced(F.col(col), DROPPED)) if dropped else df
+
+
 def repair_chunk_text(col: Column) -> Column:
     """Lost characters back, footnote marks as `[^n]` and at a line's start `[^n]:`, letter-spaced words closed up."""
     col = strings.fix_mojibake(col)

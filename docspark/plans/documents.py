@@ -489,9 +489,9 @@ def h23(spark, sf):
     return docs(spark, sf).select("doc_id", strings.language_name(F.col("map_language")).alias("language"))
 
 
-@query("h07_fix_mojibake", """SELECT doc_id, '“' || map_organization || '” – it’s' AS text FROM v_docs""")
+@query("h07_fix_mojibake", """SELECT doc_id, CASE CAST(doc_id AS INT) % 3 WHEN 0 THEN 'é' || map_organization || 'à l’ö' WHEN 1 THEN 'Ž' || map_organization || ' lÕo' ELSE map_organization END AS text FROM v_docs""")
 def h07(spark, sf):
-    return docs(spark, sf).select("doc_id", strings.fix_mojibake(F.concat(F.lit("Ò"), "map_organization", F.lit("Ó Ð itÕs"))).alias("text"))
+    return docs(spark, sf).select("doc_id", strings.fix_mojibake(F.when(F.col("doc_id").cast("int") % 3 == 0, F.concat(F.lit("Ž"), "map_organization", F.lit("ˆ lÕš"))).when(F.col("doc_id").cast("int") % 3 == 1, F.concat(F.lit("Ž"), "map_organization", F.lit(" lÕo"))).otherwise(F.col("map_organization"))).alias("text"))
 
 
 @query("h20_boost_fields", """SELECT doc_id, 0.25::DOUBLE AS a, 0.5::DOUBLE AS b, 0.5::DOUBLE AS c FROM v_docs""")

@@ -219,8 +219,15 @@ def k07(spark, sf):
     return layout.changed_languages(noted, t25(spark, sf))
 
 
-@query("k04_repair_elements", """SELECT chunk_id, 'it’s “' || doc_id || '”' AS text FROM v_chunks WHERE pos % 2 = 0 AND NOT regexp_matches(text, '[ÕÒÓÐÑ]')""")
+@query("k04_repair_elements", """SELECT chunk_id, 'é' || doc_id || ' l’ö' AS text FROM v_chunks WHERE pos % 2 = 0 AND NOT regexp_matches(text, '[ˆŽžŠš]')""")
 def k04(spark, sf):
-    c = chunks(spark, sf).where(~F.col("text").rlike("[ÕÒÓÐÑ]"))
-    marked = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("itÕs Ò"), "doc_id", F.lit("Ó"))).otherwise("plain")
+    c = chunks(spark, sf).where(~F.col("text").rlike("[ˆŽžŠš]"))
+    marked = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("Ž"), "doc_id", F.lit(" lÕš"))).otherwise("plain")
     return layout.repair_elements(c.select("chunk_id", "text", F.array(F.struct(F.lit("text").alias("label"), marked.alias("text"))).alias("elements"))).select("chunk_id", F.col("elements")[0]["text"].alias("text"))
+
+
+@query("h06_clean_text", r"""SELECT chunk_id, text || ' National ' || doc_id || ' multiple evaluation fi section' AS text FROM v_chunks WHERE NOT regexp_matches(text, '(?i)[^\x00-\x7f]|naonal|formave|evaluaon|situaon|organizaon|bullen|funcon|acon|populaon|idenfy|nofy|effecve|descripon|pracce|parcipant|mul\b|addional|operaonal|nutrion|educaon|locaon|protecon|secon|soluon|informon|communicaon')""")
+def h06(spark, sf):
+    plain = r"(?i)[^\x00-\x7f]|naonal|formave|evaluaon|situaon|organizaon|bullen|funcon|acon|populaon|idenfy|nofy|effecve|descripon|pracce|parcipant|mul\b|addional|operaonal|nutrion|educaon|locaon|protecon|secon|soluon|informon|communicaon"
+    c = chunks(spark, sf).where(~F.col("text").rlike(plain))
+    return texts.clean_text(c.select("chunk_id", F.concat("text", F.lit(" Na\ufffdonal "), "doc_id", F.lit(" mul\ufffdple evaluaon \ufb01 secon")).alias("text")), "text")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docspark.functions.unicode import normalized
+
 SKIPPED = r"/(parsed|cache)/"
 
 
@@ -35,17 +36,6 @@ def _parts(df: DataFrame, col: str) -> DataFrame:
     return df.withColumns({"dir": F.regexp_extract(col, r"^(.*)/[^/]*$", 1), "stem": F.regexp_extract(col, r"([^/]*?)(\.[^./]*)?$", 1), "ext": F.lower(F.regexp_extract(col, r"(\.[^./]*)$", 1))})
 
 
-def _composed(df: DataFrame, col: str) -> DataFrame:
-    """With `col` in Unicode's composed form, as file systems write accents in different ways."""
-
-    def run(batches):
-        for batch in batches:
-            at = batch.schema.get_field_index(col)
-            yield batch.set_column(at, col, pc.utf8_normalize(batch.column(at), form="NFC"))
-
-    return df.mapInArrow(run, df.schema)
-
-
 def resolve_content(meta: DataFrame, files: DataFrame) -> DataFrame:
     """The content file of each metadata row: the declared name, else the same stem as .pdf, .docx or .doc, accents written
     either way. A metadata row goes to its four candidate names, so the join's key is folder and name."""
@@ -56,7 +46,7 @@ def resolve_content(meta: DataFrame, files: DataFrame) -> DataFrame:
     there = f.select("file", "dir", F.regexp_extract("file", r"([^/]*)$", 1).alias("name"), "stem", "ext")
     exact = there.select("file", "dir", "name", F.lit(True).alias("whole"))
     folded = there.where("ext in ('.pdf', '.docx', '.doc')").select("file", "dir", F.concat("stem", "ext").alias("name"), F.lit(False).alias("whole"))
-    found = _composed(wanted, "name").join(_composed(exact.unionByName(folded), "name"), ["dir", "name"]).where("whole OR rank > 0")
+    found = normalized(wanted, "name").join(normalized(exact.unionByName(folded), "name"), ["dir", "name"]).where("whole OR rank > 0")
     best = found.groupBy("path").agg(F.min_by("file", F.struct("rank", "file")).alias("content"))
     return meta.select("path").join(best, "path", "left")
 
