@@ -180,6 +180,15 @@ def f17(spark, sf):
     return search.ann_search(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10)
 
 
+@query("f06_rerank", f"""WITH h AS (SELECT query_id, doc_id, ord, len(list_intersect(list_distinct(regexp_extract_all(lower(map_title), '[\\p{{L}}\\p{{N}}_]+')), ['the', 'et'])) / 2.0 AS s FROM {HITS} h JOIN v_docs d USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN ord <= 60 THEN 0 ELSE 1 END, CASE WHEN ord <= 60 THEN s END DESC, ord) AS place FROM h) SELECT query_id, doc_id, place AS ord FROM r WHERE place <= 50""")
+def f06(spark, sf):
+    """The first sixty hits by the share of the query's words in their titles."""
+    h = hits(spark, sf).join(view(spark, sf, "v_docs").select("doc_id", F.col("map_title").alias("text")), "doc_id")
+    queries = h.select("query_id").distinct().withColumn("query", F.lit("the et"))
+    return search.rerank(h, search.score_hits(h, queries, 60, "scorer", "doc_id"), 60, 50, "doc_id").select("query_id", "doc_id", "ord")
+
+
 @query("f11_post_search", f"""WITH h AS (SELECT query_id, h.doc_id, score, ord, map_title AS text, coalesce(map_published_year, '') AS year, row_number() OVER (PARTITION BY query_id ORDER BY ord) AS o2 FROM {HITS} h JOIN v_docs d USING (doc_id) WHERE length(trim(map_title)) >= 20),
 r AS (SELECT *, round(score * 0.7 + 0.3 * coalesce(exp(-0.5 * pow(greatest(DATE '2024-06-30' - make_date(TRY_CAST(year AS INT), 12, 31), 0) / 365.0, 2)), 0.5), 9) AS s FROM h),
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, o2) AS o3 FROM r) z WHERE o3 <= 40),

@@ -231,3 +231,13 @@ def h06(spark, sf):
     plain = r"(?i)[^\x00-\x7f]|naonal|formave|evaluaon|situaon|organizaon|bullen|funcon|acon|populaon|idenfy|nofy|effecve|descripon|pracce|parcipant|mul\b|addional|operaonal|nutrion|educaon|locaon|protecon|secon|soluon|informon|communicaon"
     c = chunks(spark, sf).where(~F.col("text").rlike(plain))
     return texts.clean_text(c.select("chunk_id", F.concat("text", F.lit(" Na\ufffdonal "), "doc_id", F.lit(" mul\ufffdple evaluaon \ufb01 secon")).alias("text")), "text")
+
+
+@query("c08_fix_captions", """SELECT chunk_id AS text_id, CASE WHEN pos % 3 = 0 AND pos % 2 = 0 AND CAST(doc_id AS INT) % 2 = 0 THEN 'caption' WHEN pos % 3 < 2 THEN 'section_header' ELSE 'text' END AS label FROM v_chunks""")
+def c08(spark, sf):
+    """Every second text is below a picture, every third begins like a figure in even documents."""
+    c = chunks(spark, sf)
+    text = F.when((F.col("pos") % 3 == 0) & (F.col("doc_id").cast("int") % 2 == 0), F.concat(F.lit("Figure 2: "), "text")).otherwise(F.concat(F.lit("On "), "text"))
+    texts_ = c.select(F.col("chunk_id").alias("text_id"), F.when(F.col("pos") % 3 < 2, "section_header").otherwise("text").alias("label"), text.alias("text"))
+    pictures = c.where("pos % 2 = 0").groupBy("doc_id").agg(F.collect_list("chunk_id").alias("children"))
+    return el.fix_captions(pictures, texts_).select("text_id", "label")
