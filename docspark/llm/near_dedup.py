@@ -195,7 +195,7 @@ def _looked_up(rows: DataFrame, first: str, names: str) -> DataFrame:
                 part.append(x)
                 place.append(np.arange(len(x)))
             row, part, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (row, part, place))
-            kept = batch.take(pa.array(row.astype(np.int64)))
+            kept = batch.select([*"vucda"]).take(pa.array(row.astype(np.int64)))
             yield pa.RecordBatch.from_arrays([kept["v"], pa.array(part), *(kept[c] for c in "ucda"), pa.array(place)], names=["pivot", "part", *own])
 
     schema = "pivot long, part long, " + ", ".join(f"{x} long" for x in own)
