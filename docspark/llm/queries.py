@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import bloom_lm, decontaminate, exact_dedup, near_dedup, packing, pii, substring_dedup, suffix_dedup, toxicity, warc
+from docspark.llm import bloom_lm, decontaminate, exact_dedup, factor_machine, near_dedup, packing, periodic_runs, pii, resampling, substring_dedup, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.op1_packing,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_pii": pii.op9_pii,
     "op10_substring_dedup": substring_dedup.op10_substring_dedup,
+    "op11_quality": factor_machine.op11_quality,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_resampling": resampling.op13_resampling,
 }
 
 SQL = {
