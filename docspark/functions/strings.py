@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 NAMESPACE_URL = "6ba7b8119dad11d180b400c04fd430c8"
 NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
+WHITE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"  # a pattern of white space, beyond ASCII too
 
 
 def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:

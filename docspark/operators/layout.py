@@ -88,10 +88,9 @@ def expand_phrases(spans: DataFrame) -> DataFrame:
     """(chunk_id, start, end, phrase): spans of a text grown to the sentence, clause or double space around them, and joined
     where they come within two characters. spans: chunk_id, text, start, end, counted from 0, the end behind."""
     head, tail = F.substring(F.col("text"), F.lit(1), F.col("start")), F.substring(F.col("text"), F.col("end") + 1, F.length("text"))
-    left = F.regexp_extract(head, r"(?s)((?:(?<!  )[^.!?;:\n])*)$", 1)
-    left = F.ltrim(F.when(head.rlike(r"(?s)  [^.!?;:\n]*$"), F.substring_index(left, "  ", -1)).otherwise(left))
-    right = F.rtrim(F.regexp_extract(tail, r"(?s)^((?:(?!  )[^.!?;:\n])*[.!?;:\n]?)", 1))
-    right = F.regexp_replace(right, r"\s+$", "")
+    left = F.substring_index(F.regexp_extract(head, r"([^.!?;:\n]*)\z", 1), "  ", -1)  # what follows the last two spaces
+    left = F.regexp_replace(left, f"^{strings.WHITE}+", "")
+    right = F.regexp_replace(F.regexp_extract(tail, r"^((?:(?!  )[^.!?;:\n])*[.!?;:\n]?)", 1), f"{strings.WHITE}+\\z", "")
     grown = spans.select("chunk_id", "text", (F.col("start") - F.length(left)).alias("start"), (F.col("end") + F.length(right)).alias("end")).where("start < end")
     w = Window.partitionBy("chunk_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))

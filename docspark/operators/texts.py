@@ -223,8 +223,3 @@ def toc_from_text(docs: DataFrame, col: str = "text") -> DataFrame:
     turn = F.row_number().over(Window.partitionBy("doc_id", F.lower("title")).orderBy("pos"))
     return fits.withColumn("turn", turn).where("turn = 1").select("doc_id", "pos", "level", F.substring("title", 1, 80).alias("title"), "page")
 
-
-def highlight(text: Column, phrase: Column) -> Column:
-    """The text with whole occurrences of a phrase, in any case, in `<em>`; not inside words."""
-    quoted = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}_])("), F.regexp_replace(F.trim(phrase), r"([\\.\[\]{}()*+?^$|\-])", r"\\\\$1"), F.lit(r")(?![\p{L}\p{N}_])"))
-    return F.when(F.trim(phrase) != "", F.regexp_replace(text, quoted, F.lit("<em>$1</em>"))).otherwise(text)

@@ -82,12 +82,6 @@ def t14(spark, sf):
     return texts.toc_from_text(whole).where("length(title) < 80 OR title = 'Methodology'").select("doc_id", "title", "level", "page")
 
 
-@query("t33_highlight", r"""SELECT chunk_id, regexp_replace(text, '\bthe\b', '<em>the</em>', 'g') AS text FROM v_chunks WHERE doc_id IN (SELECT doc_id FROM v_docs WHERE map_language = 'en') AND NOT regexp_matches(text, '[^\x00-\x7f]|THE|The|tHe|thE|THe|tHE|ThE')""")
-def t33(spark, sf):
-    c = chunks(spark, sf).join(docs(spark, sf).where("map_language = 'en'").select("doc_id"), "doc_id", "left_semi").where(~F.col("text").rlike(r"[^\x00-\x7f]|THE|The|tHe|thE|THe|tHE|ThE"))
-    return c.select("chunk_id", texts.highlight(F.col("text"), F.lit("the")).alias("text"))
-
-
 @query("k03_fix_taxonomy_labels", """SELECT doc_id, CASE CAST(doc_id AS INT) % 3 WHEN 0 THEN 'sdg1 - No Poverty' WHEN 1 THEN 'sdg2 - Zero Hunger' ELSE 'sdg99 - ' || map_language END AS tag FROM v_docs""")
 def k03(spark, sf):
     k = F.col("doc_id").cast("int") % 3
@@ -201,13 +195,6 @@ def e19(spark, sf):
     return chunks(spark, sf).select("chunk_id", layout.infer_paragraphs(F.col("text"), boxes).alias("text"))
 
 
-@query("t34_expand_phrases", r"""SELECT chunk_id, CAST(length(text) + 2 AS INT) AS start, CAST(length(text) + 15 AS INT) AS "end", 'some ' || CAST(pos % 10 AS STRING) || ' words!' AS phrase FROM v_chunks""")
-def t34(spark, sf):
-    n = F.length("text")
-    c = chunks(spark, sf).select("chunk_id", F.concat("text", F.lit(". some "), (F.col("pos") % 10).cast("string"), F.lit(" words! More")).alias("text"), F.explode(F.array(n + 4, n + 9)).alias("start"))
-    return layout.expand_phrases(c.withColumn("end", F.col("start") + 2))
-
-
 @query("t25_vote_language")
 def t25(spark, sf):
     return layout.vote_language(chunks(spark, sf).groupBy("doc_id", (F.col("page_num") - 1).alias("page")).agg(F.array_join(F.collect_list("text"), " ").alias("text")))
