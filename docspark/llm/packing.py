@@ -1,21 +1,24 @@
 """Packing of tokenised documents into fixed sequences by a configuration linear program.
 
 Only the histogram of piece lengths goes to the driver, at most `limit` numbers whatever the corpus. A configuration is
-a multiset of lengths that fits a sequence. Multiplicative weights price the lengths: each round solves the knapsack
-over the prices by dynamic programming and covers the demand, longest lengths first, by the configurations that the
-knapsack finds best among lengths which still lack cover; lengths that ended in poor ones get dearer in the next round.
-The round of the least mass is the fractional solution. It is rounded to whole sequences within the demand: each
-configuration is used as often as its mass says, rounded down, then once more as long as its lengths are left. What is
-left is priced and covered again in this way, until fewer pieces than lengths remain; these go best-fit decreasing. The
-plan, intervals of ranks per length, is broadcast; it and the driver's work depend on the lengths and rounds and not on
-the number of pieces. The pieces of a length are ranked in salted slices, so a length shared by a third of all rows
+a multiset of lengths that fits a sequence; the program covers all pieces by the least mass of configurations.
+Multiplicative weights price the lengths: each round solves the knapsack over the prices by dynamic programming, covers the
+demand by the configurations that the knapsack finds best around each length, and makes lengths dearer by a factor that
+ended in poor ones. Where lengths are few, the configurations of all rounds are also averaged by weights of their own, and
+priced again. The demand's price over that of the dearest configuration is a lower bound, which the log tells. The cover
+of the least mass is rounded to whole sequences within the demand: each configuration is used as often as its mass says,
+rounded down, then once more as long as its lengths are left. What is left is priced and covered again in this way, until
+fewer pieces than lengths remain; these go best-fit decreasing. Where best fit alone needs fewer sequences, its plan is
+taken. The plan, intervals of ranks per length, is broadcast; it and the driver's work depend on the lengths and rounds and
+not on the number of pieces. The pieces of a length are ranked in salted slices, so a length shared by a third of all rows
 spreads over the cluster.
 """
 
 from __future__ import annotations
 
+import logging
+import math
 import zlib
-from bisect import bisect_left, insort
 
 import numpy as np
 import public_tokenizers
@@ -30,10 +33,14 @@ from docspark.llm.staging import stage, table
 
 LIMIT = 4096
 END_ID = 1
-ROUNDS = 8  # at least; more where lengths are few
+ROUNDS = 8
+FEW = 48  # lengths whose configurations are averaged over rounds
+TURNS, RATES, GAP = 6000, (0.3, 0.1, 0.03, 0.01), 1e-4  # of an average; of its weights; between mass and bound, where rounds end
 CACHE_BYTES = 64 << 20  # of words whose ids a worker keeps
 SLICE_ROWS = 512  # texts held as Python strings at once
 TOKENIZER = "word_bpe_49k.json"
+LOG = logging.getLogger(__name__)
+
 
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte in a byte-level vocabulary: printable bytes themselves, others from U+0100 on."""
@@ -110,65 +117,141 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 
 def knapsack(lens: np.ndarray, price: np.ndarray, limit: int) -> np.ndarray:
-    """For each room 0..limit, the highest price of lengths that fit it (unbounded knapsack)."""
+    """For each room 0..limit, the highest price of lengths that fit it, each as often as one likes. A length is added to
+    all rooms at once: in steps of its own size, the best so far or a copy more than at the step before."""
     best = np.zeros(limit + 1)
-    fit = np.searchsorted(lens, np.arange(limit + 1), "right")
-    for room in range(int(lens[0]), limit + 1):
-        best[room] = max(best[room - 1], (best[room - lens[: fit[room]]] + price[: fit[room]]).max())
+    for size, worth in zip(lens.tolist(), price.tolist(), strict=True):
+        steps = -(-(limit + 1) // size)
+        at = np.full(steps * size, -np.inf)
+        at[: limit + 1] = best
+        ladder = np.arange(steps)[:, None] * worth
+        best = (np.maximum.accumulate(at.reshape(steps, size) - ladder, axis=0) + ladder).ravel()[: limit + 1]
     return best
 
 
-def _configuration(lens: np.ndarray, price: np.ndarray, best: np.ndarray, limit: int, first: int, lack: np.ndarray) -> tuple[list[int], list[int]]:
-    """A filling around a length, each step the best one by the knapsack among lengths that still lack cover: lengths (as
-    indices) and copies, as many as they lack for each that the first one lacks, or one."""
-    kinds, copies, room = [], [], limit
-    live, k = np.flatnonzero(lack > 1e-9), first
+def _configuration(lens: np.ndarray, price: np.ndarray, best: np.ndarray, limit: int, first: int, lack: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A filling around a length, each step the best one by the knapsack among lengths that still lack as many pieces:
+    lengths (as indices) and copies."""
+    copies, room, k = {first: 1}, limit - int(lens[first]), first
+    live = np.flatnonzero(lack > 1e-9)
     while True:
-        n = max(1, min(room // int(lens[k]), int(lack[k] / lack[first] + 1e-9)))
-        kinds.append(k)
-        copies.append(n)
-        room -= n * int(lens[k])
         live = live[: np.searchsorted(lens[live], room, "right")]
-        live = live[live != k]
+        if copies[k] + 1 > max(lack[k], 1):
+            live = live[live != k]
         if not len(live):
-            return kinds, copies
+            return np.array(list(copies)), np.array(list(copies.values()))
         worth = best[room - lens[live]] + price[live]
         k = int(live[len(live) - 1 - int(worth[::-1].argmax())])  # of equal ones the longest
-
-
-def fractional(lens: np.ndarray, demand: np.ndarray, limit: int, rounds: int = ROUNDS, price: np.ndarray | None = None) -> tuple[dict[tuple[tuple[int, int], ...], float], np.ndarray]:
-    """Configurations, as (index, copies) pairs, with masses that cover the demand, and their prices: of all rounds those
-    with the least mass."""
-    price, kept = lens / limit if price is None else price, (np.inf, {}, None)
-    for turn in range(rounds):
+        copies[k] = copies.get(k, 0) + 1
+        room -= int(lens[k])
+
+
+Mass = dict[tuple[tuple[int, int], ...], float]  # configurations, as (index, copies) pairs, and how often each is used
+
+
+def _averaged(share: np.ndarray, turns: int) -> tuple[np.ndarray, np.ndarray]:
+    """Masses of configurations that cover each length's demand once, and the lengths' weights. `share` is the part of a
+    length's demand (row) that a configuration (column) covers. Each turn takes the configuration of the highest weight, as
+    much of it as covers its tightest length, and lengths lose weight by what is covered; the masses are the average."""
+    weight, columns, most = np.ones(len(share)), np.ascontiguousarray(share.T), share.max(0)
+    best = (np.inf, np.zeros(share.shape[1]), weight)
+    for rate in RATES:  # ever smaller steps, and averages that forget the larger ones
+        x, covered = np.zeros(share.shape[1]), np.zeros(len(share))
+        for _ in range(turns // len(RATES)):
+            j = int((columns @ weight).argmax())
+            part = columns[j] / most[j]
+            x[j] += 1 / most[j]
+            covered += part
+            weight = weight * np.exp(-rate * part)
+        weight /= weight.max()
+        if (least := covered.min()) > 0:
+            best = min(best, (x.sum() / least, x / least, weight), key=lambda k: k[0])
+    return best[1], best[2]
+
+
+def _basic(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The same cover from no more columns than rows: while there are more, a change that covers the same and adds no mass
+    is followed until a column is empty."""
+    x = np.where(x > 1e-9 * x.sum(), x, 0.0)
+    while len(live := np.flatnonzero(x)) > len(a):
+        live = live[np.argsort(x[live])][: len(a) + 1]
+        move = np.linalg.svd(a[:, live])[2][-1]
+        move = move if move.sum() < 0 else -move
+        if move.min() > -1e-9:
+            break
+        steps = np.where(move < -1e-12, x[live] / np.maximum(-move, 1e-12), np.inf)
+        x[live] = np.maximum(x[live] + steps.min() * move, 0)
+        x[live[steps.argmin()]] = 0
+    return x
+
+
+def fractional(lens: np.ndarray, demand: np.ndarray, limit: int, rounds: int = ROUNDS, price: np.ndarray | None = None) -> tuple[Mass, np.ndarray, float]:
+    """Configurations with masses that cover the demand, the prices of the lengths, and a lower bound of the mass: the
+    demand's price over the dearest configuration's, which no cover can be below.
+
+    Each round covers the whole demand at its prices, and lengths that ended in poor configurations get dearer by a factor
+    in the next. Where lengths are few, all configurations so far are averaged by their weights every few rounds, and these
+    weights are the next prices. Of all covers the one with the least mass counts."""
+    price = lens / limit if price is None else price
+    kept, bound, pool = (np.inf, {}, price), 0.0, {}
+
+    def cover(price: np.ndarray) -> np.ndarray:
+        nonlocal kept, bound
         best, lack, poor, mass = knapsack(lens, price, limit), demand.copy(), np.zeros(len(lens)), {}
+        bound = max(bound, float(demand @ price / best[limit]))
         for i in range(len(lens) - 1, -1, -1):
             while lack[i] > 1e-9:
-                kinds, copies = _configuration(lens, price, best, limit, i, lack)
-                n = np.array(copies)
+                kinds, n = _configuration(lens, price, best, limit, i, lack)
                 x = float((lack[kinds] / n).min())
-                c = tuple(sorted(zip(kinds, copies, strict=True)))
+                c = tuple(sorted(zip(kinds.tolist(), n.tolist(), strict=True)))
                 mass[c] = mass.get(c, 0.0) + x
                 lack[kinds] -= x * n
                 poor[kinds] += x * n * (1 - (price[kinds] * n).sum() / best[limit])
         kept = min(kept, (sum(mass.values()), mass, price), key=lambda x: x[0])
-        loss = poor / demand  # lengths that ended in poor configurations get dearer
+        pool.update(dict.fromkeys(mass))
+        return poor / demand
+
+    def average() -> np.ndarray:
+        nonlocal kept
+        counts = np.zeros((len(lens), len(pool)))
+        for j, c in enumerate(pool):
+            counts[[i for i, _ in c], j] = [n for _, n in c]
+        x, weight = _averaged(counts / demand[:, None], TURNS)
+        x = _basic(counts, x)
+        kept = min(kept, (float(x.sum()), {c: float(v) for c, v in zip(pool, x, strict=True) if v}, weight / demand), key=lambda x: x[0])
+        best = knapsack(lens, weight / demand, limit)
+        for i in range(len(lens)):
+            kinds, n = _configuration(lens, weight / demand, best, limit, i, demand)
+            pool[tuple(sorted(zip(kinds.tolist(), n.tolist(), strict=True)))] = None
+        return weight / demand
+
+    for turn in range(rounds):
+        loss = cover(price)
         price = price * np.exp((loss - loss.mean()) / (2 * np.sqrt(turn + 1)))
         price *= (demand * lens).sum() / limit / (demand * price).sum()
-    return kept[1:]
+        if len(lens) <= FEW and turn % 8 == 7:
+            cover(average())
+        if kept[0] <= bound * (1 + GAP):
+            break
+    if len(lens) <= FEW and kept[0] > bound * (1 + GAP):
+        average()
+    return kept[1], kept[2], bound
+
+
+Uses = list[tuple[list[tuple[int, int]], int]]  # whole configurations ((length, copies) pairs, longest first) and how often each is used
 
 
-def _rounded(lens: np.ndarray, left: np.ndarray, limit: int, rounds: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Whole configurations ((length, copies) pairs, longest first) and how often each is used, until fewer pieces than
-    lengths are left; what they hold is taken from `left`. A turn that takes away little lets the next one use emptier
-    configurations."""
-    used, room, price = [], limit / 1024, lens / limit
+def _rounded(lens: np.ndarray, left: np.ndarray, limit: int, rounds: int, bounds: list[float] | None = None) -> Uses:
+    """Whole configurations, until fewer pieces than lengths are left; what they hold is taken from `left`. A turn that
+    takes away little lets the next one use emptier configurations. Each turn's dual bound goes to `bounds`."""
+    used, room, price, bounds = [], limit / 1024, lens / limit, [] if bounds is None else bounds
     while (rest := int(left.sum())) > max(64, len(lens) // 8):
         live = np.flatnonzero(left)
-        mass, price[live] = fractional(lens[live], left[live].astype(float), limit, max(2, rounds // 3) if used else rounds, price[live])
+        mass, price[live], low = fractional(lens[live], left[live].astype(float), limit, max(2, rounds // 3) if used else rounds, price[live])
+        bounds.append(low)
         free = {c: limit - sum(int(lens[live[k]]) * n for k, n in c) for c in mass}
         for up in (1e-6, 1 - 1e-6):  # rounded down, then what is left of each
-            for c in sorted((c for c in mass if free[c] <= room), key=lambda c: (free[c], -mass[c], c)):
+            for c in sorted((c for c in mass if free[c] <= room or len(live) <= FEW and up < 0.5), key=lambda c: (free[c], -mass[c], c)):
                 kinds, copies = live[[k for k, _ in c]], np.array([n for _, n in c])
                 times = min(int(mass[c] + up), int((left[kinds] // copies).min()))
                 if times > 0:
@@ -177,23 +260,39 @@ def _rounded(lens: np.ndarray, left: np.ndarray, limit: int, rounds: int) -> lis
                     mass[c] -= times
         if rest - int(left.sum()) < rest // 32 + 1:
             room *= 2
+            if room > 2 * limit:
+                break
     return used
 
 
-def _best_fit(lens: np.ndarray, left: np.ndarray, limit: int) -> list[tuple[list[tuple[int, int]], int]]:
-    """Piece by piece, longest first; for no more pieces than there are lengths."""
-    bins, free = [], []
+def best_fit(lens: np.ndarray, left: np.ndarray, limit: int) -> Uses:
+    """Best fit by decreasing length. Sequences that are alike are one entry, (room, what they hold) and how many, and a
+    length fills the tightest entries first, each of their sequences as far as it goes, so work follows the lengths and not the pieces."""
+    held: dict[tuple[int, tuple[tuple[int, int], ...]], int] = {}
+
+    def put(room: int, what: tuple[tuple[int, int], ...], times: int) -> None:
+        if times:
+            held[room, what] = held.get((room, what), 0) + times
+
     for k in range(len(lens) - 1, -1, -1):
-        size = int(lens[k])
-        for _ in range(int(left[k])):
-            at = bisect_left(free, (size, -1))
-            room, b = free.pop(at) if at < len(free) else (limit, len(bins))
-            if b == len(bins):
-                bins.append([])
-            bins[b].append(size)
-            if room > size:
-                insort(free, (room - size, b))
-    return [([(s, b.count(s)) for s in sorted(set(b), reverse=True)], 1) for b in bins]
+        size, n = int(lens[k]), int(left[k])
+        for key in sorted(x for x in held if x[0] >= size):
+            if not n:
+                break
+            (room, what), times = key, held.pop(key)
+            each = room // size
+            full = min(times, n // each)
+            put(room - each * size, (*what, (size, each)), full)
+            n -= full * each
+            if full < times and 0 < n < each:
+                put(room - n * size, (*what, (size, n)), 1)
+                full, n = full + 1, 0
+            put(room, what, times - full)
+        each = limit // size
+        put(limit - each * size, ((size, each),), n // each)
+        if n % each:
+            put(limit - n % each * size, ((size, n % each),), 1)
+    return [(list(what), times) for (_, what), times in held.items()]
 
 
 def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) -> tuple[np.ndarray, int]:
@@ -203,8 +302,12 @@ def plan(histogram: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS) ->
     lens = np.array(sorted(x for x in histogram if x < limit), np.int64)
     if len(lens):
         demand = np.array([histogram[int(x)] for x in lens], np.int64)
-        used += _rounded(lens, demand, limit, max(rounds, min(64, 20_000 // len(lens))))
-        used += _best_fit(lens, demand, limit)
+        plain, left, bounds = best_fit(lens, demand, limit), demand.copy(), [0.0]
+        program = _rounded(lens, left, limit, max(rounds, min(32, 3000 // len(lens))), bounds) + best_fit(lens, left, limit)
+        whole = max(-(-int(demand @ lens) // limit), math.ceil(bounds[min(1, len(bounds) - 1)] - 1e-6))
+        count = lambda uses: sum(times for _, times in uses)
+        LOG.info("%d pieces of %d lengths: %d sequences by the program, %d by best fit, at least %d", demand.sum(), len(lens), count(program), count(plain), whole)
+        used += min(program, plain, key=count)
     rows, rank, sequences = [], dict.fromkeys(histogram, 0), 0
     for config, times in used:
         at = 0

@@ -9,6 +9,7 @@ import json
 import math
 import random
 import re
+import time
 import uuid
 import zlib
 from collections import Counter
@@ -109,6 +110,63 @@ def test_sequences_come_from_configurations(times):
     assert packing.plan({k: n * times for k, n in lens.items()}, 1000)[1] <= math.ceil(total / 1000) * 1.01 + 1
 
 
+def plain_best_fit(lens, limit):
+    free = []
+    for size in sorted(lens, reverse=True):
+        fits = [r for r in free if r >= size]
+        room = min(fits) if fits else limit
+        if fits:
+            free.remove(room)
+        free.append(room - size)
+    return len(free)
+
+
+@pytest.mark.parametrize(
+    ("lens", "most"),
+    [
+        ({2048: 100, 1024: 333, 512: 77}, 143), ({2000: 1000, 1500: 1000, 900: 777, 333: 500}, 1104), ({700: 1000, 1300: 500}, 350), ({2500: 300, 1500: 300, 800: 900}, 480),
+        ({3000: 500, 1000: 600, 100: 700}, 543), ({1366: 999}, 500), ({1365: 999, 1366: 5}, 335), ({4090: 777, 5: 1000, 3: 22}, 779), ({4000: 1, 96: 1}, 1), ({1: 5}, 1),
+    ],
+)
+def test_few_lengths_are_packed_as_well_as_best_fit_and_better(lens, most):
+    began = time.process_time()
+    plan, used = packing.plan(lens)
+    assert time.process_time() - began < 3
+    assert used <= most and used <= plain_best_fit([k for k, n in lens.items() for _ in range(n)], 4096)
+    placed = Counter()
+    for size, first, end, *_ in plan.tolist():
+        placed[size] += end - first
+    assert placed == Counter(lens)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plans_of_two_to_ten_lengths(seed):
+    r = random.Random(seed)
+    lens = {r.randrange(40, 2100): r.randrange(1, 120) for _ in range(r.randrange(2, 11))}
+    sizes, n = np.array(sorted(lens)), np.array([lens[k] for k in sorted(lens)])
+    mass, _, bound = packing.fractional(sizes, n.astype(float), 4096, 16)
+    covered = np.zeros(len(n))
+    for config, x in mass.items():
+        assert sum(sizes[k] * c for k, c in config) <= 4096
+        for k, c in config:
+            covered[k] += c * x
+    assert (covered >= n - 1e-6).all() and bound <= sum(mass.values()) + 1e-6 <= 1.03 * bound + 1
+    used = packing.plan(lens)[1]
+    assert bound - 1e-6 <= used <= plain_best_fit([k for k, m in lens.items() for _ in range(m)], 4096)
+    by_counts = packing.best_fit(sizes, n, 4096)
+    assert sum(t for _, t in by_counts) == plain_best_fit([k for k, m in lens.items() for _ in range(m)], 4096)
+
+
+def test_the_knapsack_is_exact():
+    r = random.Random(5)
+    for _ in range(20):
+        lens = np.array(sorted(r.sample(range(1, 60), r.randrange(1, 7))))
+        price, want = np.array([r.random() for _ in lens]), np.zeros(101)
+        for room in range(1, 101):
+            want[room] = max([want[room - 1]] + [want[room - s] + p for s, p in zip(lens, price, strict=True) if s <= room])
+        assert packing.knapsack(lens, price, 100) == pytest.approx(want)
+
+
 def test_words_with_odd_stops_get_the_tokenizers_ids():
     path = public_tokenizers.path(packing.TOKENIZER)
     tok, encode, r = Tokenizer.from_file(path), packing._encoder(path), random.Random(6)
