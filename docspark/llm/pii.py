@@ -8,12 +8,14 @@ different. Everything is an expression over the row; nothing is shuffled.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.llm.staging import table
 
-KEY = "docspark"  # for tests: set KEY_SETTING or give a key of your own, as anybody can undo what this one does
+KEY = "docspark"  # for tests and the registered query: anybody can undo what this one does
 KEY_SETTING = "spark.docspark.pii.key"
 KINDS = ("email", "ip", "phone", "card", "ssn", "iban", "date")
 # fixed values: the notations looked for
@@ -23,7 +25,7 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,4})?)(?![A-Za-z0-9])",
     "date": r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?!\d)",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4})(?!\d)",
+    "phone": r"(?<!\d)(?:\+\d{1,3}[ .-]?(?:\(\d{2,4}\)|\d{2,4})(?:[ .-]?\d{2,4}){2,3}|\(\d{3}\) ?\d{3}-\d{4}|(?<![\d.-])(?:\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4})(?![.-]?\d))(?!\d)",
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(PATTERNS.values())
@@ -182,13 +184,22 @@ def pseudonym(x: Column, key: str = KEY) -> Column:
     return out
 
 
+def own_key(spark: SparkSession) -> str:
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key and not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError(f"{KEY_SETTING} must hold a key: pseudonyms by a published one can be undone")
+    return key or KEY
+
+
 def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str | None = None) -> DataFrame:
     """One row per row: doc_id, text with pseudonyms, and n_<kind> for each of KINDS.
 
     Where notations overlap, the leftmost match wins, then the order of PATTERNS. A string that looks like a kind but is
-    not valid stays as it is. The key is that of KEY_SETTING in the session if none is given. Null texts stay null and count
+    not valid stays as it is, and so do names, postal addresses, the domains of mail addresses and the country codes of
+    phone numbers. The key is that of KEY_SETTING in the session if none is given; without either a local session, as in
+    tests, takes KEY, and a cluster is refused. A local part of one letter is shifted by a keyed amount. Null texts stay null and count
     nothing; long texts are read whole; repeated rows get the same result; ids may be null; other columns are ignored."""
-    key = key or docs.sparkSession.conf.get(KEY_SETTING, KEY)
+    key = key or own_key(docs.sparkSession)
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     some = F.coalesce(F.col("text").rlike(MAYBE), F.lit(False)) & F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     none = F.array().cast("array<struct<kind:string,value:string>>")
@@ -201,4 +212,4 @@ def pseudonymise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents"))
+    return pseudonymise(table(spark, sf_dir, "documents"), key=spark.conf.get(KEY_SETTING, KEY))

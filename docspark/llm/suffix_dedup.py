@@ -156,12 +156,23 @@ def _grouped(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     return doc[heads], pa.ListArray.from_arrays(pa.array(np.append(heads, len(doc)).astype(np.int32)), pa.array(place.astype(np.int32)))
 
 
-SAMPLE_SCHEMA = "bucket int, docs binary, samples binary, doc_id long, flags array<int>"
-_SAMPLES = pa.schema([("bucket", pa.int32()), ("docs", pa.binary()), ("samples", pa.binary()), ("doc_id", pa.int64()), ("flags", pa.list_(pa.int32()))])
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte of their places, which packs tighter: upper bytes are mostly alike."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _whole(raw: bytes, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+SAMPLE_BYTES = 16  # a rank, a document and a place
+SAMPLE_SCHEMA = "bucket int, samples binary, doc_id long, flags array<int>"
+_SAMPLES = pa.schema([("bucket", pa.int32()), ("samples", pa.binary()), ("doc_id", pa.int64()), ("flags", pa.list_(pa.int32()))])
 
 
 def _samples(buckets: int, depth: int, skip=None):
-    """Cover samples of each piece: per bucket, packed ranks and places. Of equal ones in a piece one goes on, and all
+    """Cover samples of each piece: per bucket, packed ranks, documents and places, so what is sent follows the samples,
+    whatever the number of buckets. Of equal ones in a piece one goes on, and all
     are flagged at once. Documents that the sieve `skip` may hold are left to another reader."""
 
     def run(batches):
@@ -183,18 +194,17 @@ def _samples(buckets: int, depth: int, skip=None):
                 d, flags = _grouped(doc, at[flagged] - p.offs[doc])
                 if len(d):
                     own = (d % buckets).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(d), pa.binary()), pa.nulls(len(d), pa.binary()), pa.array(p.ids[d]), flags], schema=_SAMPLES)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.nulls(len(d), pa.binary()), pa.array(p.ids[d]), flags], schema=_SAMPLES)
                 at, h = at[~later], h[~later]
                 bucket = ((h & np.uint64(0xFFFFFFFF)) % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 at, rank, bucket = at[order], (h[order] >> np.uint64(32)).astype(np.uint32), bucket[order]
                 heads = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
-                docs = z.compress(np.diff(p.ids, prepend=0).astype(np.int64).tobytes() + np.diff(p.offs).astype(np.int64).tobytes())
-                packed = [z.compress(rank[a:b].tobytes() + np.diff(at[a:b], prepend=0).astype(np.uint32).tobytes()) for a, b in zip(heads, np.append(heads[1:], len(at)), strict=True)]
+                ends, doc = np.append(heads[1:], len(at)), p.doc_of(at)
+                ids, place = p.ids[doc].astype(np.int64), (at - p.offs[doc]).astype(np.uint32)
+                packed = [z.compress(b"".join([rank[a:b].tobytes(), _planes(np.diff(ids[a:b], prepend=0)), _planes(np.diff(place[a:b], prepend=np.uint32(0)))])) for a, b in zip(heads, ends, strict=True)]
                 n = len(heads)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[heads]), pa.array([docs] * n, pa.binary()), pa.array(packed, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], schema=_SAMPLES
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[heads]), pa.array(packed, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int32()))], schema=_SAMPLES)
 
     return run
 
@@ -204,8 +214,11 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
     z = zstandard.ZstdDecompressor()
     told = t.filter(t["samples"].is_null()).select(["doc_id", "flags"])
     t = t.filter(t["samples"].is_valid())
-    ranks = [np.frombuffer(z.decompress(x), np.uint32) for x in t["samples"].to_pylist()]
-    ranks = [x[: len(x) // 2].copy() for x in ranks]
+
+    def of(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw, np.uint32, len(raw) // SAMPLE_BYTES).copy()
+
+    ranks = [of(z.decompress(x)) for x in t["samples"].to_pylist()]
     if not ranks:
         return told
     sizes = np.array([len(r) for r in ranks])
@@ -220,16 +233,16 @@ def _sort_bucket(t: pa.Table) -> pa.Table:
         flagged[(keys[at] & np.uint64(0xFFFFFFFF)).astype(np.int64)] = True
     del keys, same
     out, begin = [told], 0
-    for packed, samples, n in zip(t["docs"].to_pylist(), t["samples"], sizes, strict=True):
+    for samples, n in zip(t["samples"], sizes, strict=True):
         mark = flagged[begin : begin + n]
         begin += n
         if mark.any():
-            place = np.cumsum(np.frombuffer(z.decompress(samples.as_py()), np.uint32)[n:], dtype=np.int64)[mark]
-            x = np.frombuffer(z.decompress(packed), np.int64)
-            ids, offs = np.cumsum(x[: len(x) // 2]), np.concatenate([[0], np.cumsum(x[len(x) // 2 :])])
-            doc = np.searchsorted(offs, place, "right") - 1
-            d, flags = _grouped(doc, place - offs[doc])
-            out.append(pa.table([pa.array(ids[d]), flags], schema=told.schema))
+            raw = z.decompress(samples.as_py())
+            ids, place = np.cumsum(_whole(raw[4 * n : 12 * n], np.int64)), np.cumsum(_whole(raw[12 * n :], np.uint32), dtype=np.uint32)
+            doc, place = ids[mark], place[mark].astype(np.int64)
+            order = np.lexsort((place, doc))
+            d, flags = _grouped(doc[order], place[order])
+            out.append(pa.table([pa.array(d), flags], schema=told.schema))
     release()
     return pa.concat_tables(out)
 

@@ -1,10 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 A lexicon of insulting words and word beginnings is learned from labelled rows; threats, targets, negations and reported
-speech are word lists. Words become symbols with the lexicon's weights, and five transducers rewrite a clause's symbols:
-target marks insults and threats that are addressed, negation those within three words after a negation, reported speech
-those after a verb of saying, and insult and threat turn marked words into matches of a kind. An addressee may follow, so
-target reads the clause from both ends. Each arc has a weight, which adds to the word's; the arcs of matches get theirs
+speech are word lists. Words become symbols with the lexicon's weights, and transducers rewrite a clause's symbols: target
+marks insults and threats that are addressed, negation those within three words after a negation, reported speech those
+after a verb of saying, colons included, and insult and threat turn marked words into matches of a kind. An addressee may
+follow, and so may a verb of saying after a comma or closing mark, so these two read the clause from its end as well. Each arc has a weight, which adds to the word's; the arcs of matches get theirs
 from how often the kind stands in toxic documents. The transducers are composed once, into a table. A logistic regression
 over the best and total weights of matches, by kind, turns them into a score.
 
@@ -64,12 +64,13 @@ dit disait disent déclaré déclare affirme affirmé prétend cité citait selo
 dijo dice dicen dicho decía según citó cita afirma afirmó declaró escribió supuestamente cuenta contó llamó
 """.split()
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, COMMA = range(7)  # a comma or closing mark is a symbol after its word
 ADDRESSED, NEGATED, QUOTED = 8, 16, 32  # marks that are added to an insult or threat
 MATCH = 64  # and the symbols of matches, by kind
 KINDS = ("plain", "targeted", "negated", "reported", "threat")
 _EDGE = re.compile(r"^\W+|\W+$")
-_CLAUSE_END = ".!?;:"
+_CLAUSE_END = ".!?;"
+_COMMA = re.compile(r"[,\"'“”’»«‹›]$")
 
 Step = Callable[[int, int], tuple[int, int, float]]  # (state, symbol) -> (state, symbol, weight)
 
@@ -83,13 +84,19 @@ def target(state: int, symbol: int) -> tuple[int, int, float]:
 
 
 def negation(state: int, symbol: int) -> tuple[int, int, float]:
-    return SCOPE if symbol == NEGATION else max(0, state - 1), symbol | NEGATED if state and _is_hit(symbol) else symbol, 0.0
+    return SCOPE if symbol == NEGATION else state if symbol == COMMA else max(0, state - 1), symbol | NEGATED if state and _is_hit(symbol) else symbol, 0.0
 
 
 def reported(state: int, symbol: int) -> tuple[int, int, float]:
     return int(state or symbol == REPORT), symbol | QUOTED if state and _is_hit(symbol) else symbol, 0.0
 
 
+def reported_after(state: int, symbol: int) -> tuple[int, int, float]:
+    """From a clause's end: what stands before a verb of saying is reported, if a comma or closing mark parts them."""
+    state = 2 if state == 2 or (state == 1 and symbol == COMMA) else int(state == 1 or symbol == REPORT)
+    return state, symbol | QUOTED if state == 2 and _is_hit(symbol) else symbol, 0.0
+
+
 def insult(weights: tuple[float, ...]) -> Step:
     """Insults become matches, by their marks."""
 
@@ -162,8 +169,9 @@ class Grammar:
     def __init__(self, lexicon: dict[str, float], weights: tuple[float, ...] = (0.0,) * len(KINDS)):
         self.lexicon, self.weights = lexicon, weights
         self.fixed = {w: k for k, words in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTED)) for w in words}
-        self.backward = compose([target], range(6))
-        self.forward = compose([target, negation, reported, insult(weights), threat(weights)], [*range(6), INSULT | ADDRESSED, THREAT | ADDRESSED])
+        self.backward = compose([target, reported_after], range(7))
+        read = [hit | marks for hit in (INSULT, THREAT) for marks in (ADDRESSED, QUOTED, ADDRESSED | QUOTED)]
+        self.forward = compose([target, negation, reported, insult(weights), threat(weights)], [*range(7), *read])
         self.known: dict[str, tuple[int, float]] = {}
         self.size = 0
 
@@ -188,6 +196,17 @@ class Grammar:
                 self.known[word] = got
         return got
 
+    @staticmethod
+    def _closed(words: list[str], classes: list[tuple[int, float]], at: int) -> bool:
+        """Whether a colon ends a clause: not after a verb of saying, whose speech it opens."""
+        if words[at][-1] != ":":
+            return False
+        while classes[at][0] != REPORT:
+            at -= 1
+            if at < 0 or words[at][-1] in _CLAUSE_END:
+                return True
+        return False
+
     def matches(self, text: str) -> list[tuple[int, float]]:
         """(kind, weight) of every match in the clauses of a text."""
         words = text.lower().replace("\n", " . ").split()
@@ -198,12 +217,13 @@ class Grammar:
             if i <= done:
                 continue
             start = i
-            while start > 0 and words[start - 1][-1] not in _CLAUSE_END:
+            while start > 0 and words[start - 1][-1] not in _CLAUSE_END and not self._closed(words, classes, start - 1):
                 start -= 1
             end = i
-            while end < len(words) - 1 and words[end][-1] not in _CLAUSE_END:
+            while end < len(words) - 1 and words[end][-1] not in _CLAUSE_END and not self._closed(words, classes, end):
                 end += 1
-            symbols, weights = zip(*classes[start : end + 1], strict=True)
+            part = [x for k in range(start, end + 1) for x in ([classes[k], (COMMA, 1.0)] if _COMMA.search(words[k]) else [classes[k]])]
+            symbols, weights = zip(*part, strict=True)
             symbols, weights = run(self.backward, symbols[::-1], weights[::-1])
             symbols, weights = run(self.forward, symbols[::-1], weights[::-1])
             found += [(s - MATCH, w) for s, w in zip(symbols, weights, strict=True) if s >= MATCH]

@@ -146,23 +146,31 @@ def parse(data: bytes):
             yield _record(source)
 
 
+BETWEEN = b"\r\n\r\nWARC/"  # the end of a record and the version line of the next
+VERSIONS = (b"WARC/1.0", b"WARC/1.1", b"1.0", b"1.1")  # whole in the first line of a file, else without what the reader cut at
+
+
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of the WARC files below `path`; page_id is null. Spark's line reader streams and unpacks the files
-    and cuts them before each version line, so a task holds records and not files. A block that holds a version line
-    itself is joined again by its content length."""
+    """Response records of the WARC files, of version 1.0 or 1.1, below `path`; page_id is null, and a record without an id
+    keeps a null one. Spark's line reader streams and unpacks the files and cuts them before each version line, so a task
+    holds records and not files. A block that holds a version line itself is joined again by its content length. Files that
+    begin otherwise, and records of another version, are an error."""
 
     def run(batches):
         def whole():
             held = b""
             for batch in batches:
                 for raw in batch["value"].to_pylist():
-                    held += b"WARC/1.0\r\n" * bool(held) + raw
-                    headers, block = _record(io.BytesIO(held))
+                    held = held + BETWEEN + raw if held else raw.lstrip(b"\r\n")
+                    line, _, rest = held.partition(b"\r\n")
+                    if line not in VERSIONS:
+                        raise ValueError(f"not a record of WARC 1.0 or 1.1: {line[:40]!r}")
+                    headers, block = _record(io.BytesIO(rest))
                     if len(block) >= int(headers.get("content-length", 0)):
                         yield headers, block
                         held = b""
-            if held.strip():
-                yield _record(io.BytesIO(held))
+            if held:
+                yield _record(io.BytesIO(held.partition(b"\r\n")[2]))
 
         for h, block in whole():
             if h.get("warc-type") == "response":
@@ -170,8 +178,8 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 row = (None, h.get("warc-record-id"), h.get("warc-target-uri", ""), h.get("warc-date"), head.decode("utf-8", "replace") + "\r\n\r\n", payload, h.get("warc-block-digest", digest(block)), h.get("warc-payload-digest", digest(payload)))
                 yield _batch([row], (pa.int64(), *[pa.string()] * 4, pa.binary(), pa.string(), pa.string()), RESPONSE_SCHEMA)
 
-    records = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).select(F.col("value").cast("binary").alias("value"))
-    return records.where(F.length("value") > 0).mapInArrow(run, RESPONSE_SCHEMA)
+    records = spark.read.option("lineSep", BETWEEN.decode()).text(path).select(F.col("value").cast("binary").alias("value"))
+    return records.where(F.trim(F.col("value").cast("string"), F.lit("\r\n")) != "").mapInArrow(run, RESPONSE_SCHEMA)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

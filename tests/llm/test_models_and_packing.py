@@ -207,6 +207,18 @@ def test_transducers_tell_kinds_apart():
     assert g.matches("kill time") == [] and g.matches("") == []
 
 
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("she said you are an idiot", "reported"), ("she said: you are an idiot", "reported"), ('he said: "you are an idiot"', "reported"), ("he said to me again: you idiot", "reported"),
+        ("you are an idiot, he said", "reported"), ('"you are an idiot" he said', "reported"), ("“you idiot”, wrote the man", "reported"), ("listen: you are an idiot", "targeted"),
+        ("he said it. listen: you are an idiot", "targeted"), ("you are an idiot. he said", "targeted"), ("you are an idiot and said so", "targeted"), ("you, idiot, never came", "targeted"), ("you are no, idiot", "negated"),
+    ],
+)
+def test_reported_speech_with_colons_and_behind(text, kind):
+    assert [toxicity.KINDS[k] for k, _ in toxicity.Grammar({"idio": 3.0}).matches(text)] == [kind]
+
+
 def test_toxicity_learns_and_ignores_held_out_labels(spark):
     r = random.Random(3)
     rows, labels = [], []
@@ -362,6 +374,27 @@ class Visible(HTMLParser):
         self.text += "" if self.hidden else data.replace("\n", " ")
 
 
+def a_record(version, i, kind="response", block=b"HTTP/1.1 200 OK\r\n\r\nbody"):
+    own = f"WARC-Record-ID: <{i}>\r\n" if i is not None else ""
+    return f"WARC/{version}\r\nWARC-Type: {kind}\r\n{own}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_files_of_both_versions_are_read_and_others_refused(spark, tmp_path):
+    good, bad = tmp_path / "good", tmp_path / "bad"
+    good.mkdir(), bad.mkdir()
+    (good / "a.warc").write_bytes(b"".join(a_record("1.1", i) for i in range(5)))
+    (good / "b.warc.gz").write_bytes(b"".join(gzip.compress(a_record("1.0", i)) for i in range(5, 8)))
+    (good / "c.warc").write_bytes(a_record("1.1", 8, "request") + a_record("1.0", None) + a_record("1.1", 9, block=b"HTTP/1.1 200 OK\r\n\r\nx\r\n\r\nWARC/1.0\r\nWARC-Type: response\r\n\r\n"))
+    got = warc.read_responses(spark, str(good)).collect()
+    assert sorted(str(r.record_id) for r in got) == sorted([*(f"<{i}>" for i in range(8)), "None", "<9>"])
+    assert {bytes(r.payload) for r in got if r.record_id != "<9>"} == {b"body"}
+    (bad / "d.warc").write_bytes(a_record("1.0", 1) + a_record("2.0", 2))
+    (bad / "e.warc").write_bytes(a_record("2.0", 3))
+    for name in ("d.warc", "e.warc"):
+        with pytest.raises(Exception, match="not a record of WARC"):
+            warc.read_responses(spark, str(bad / name)).collect()
+
+
 def test_records_of_the_pages_equal_a_plain_loop(spark, sf):
     pages = {r.page_id: r for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = warc.op3_warc(spark, sf).collect()
@@ -530,6 +563,13 @@ def test_values_without_two_digits_in_a_row_are_found_alone(spark):
     assert got[0].text != "8.8.8.8" and got[1].text == f"{got[0].text} of 1999" and luhn(got[2].text)
 
 
+def test_national_phones_are_linked_in_all_notations(spark):
+    got = pseudonyms(spark, ["988-555-2485", "988.555.2485", "(988) 555-2485", "+1 988 555 2485", "1-988-555-2485-1", "123-45-6789"])
+    digits = [re.sub(r"\D", "", x) for x in got]
+    assert digits[0] == digits[1] == digits[2] == digits[3][1:] != "9885552485" and got[4] == "1-988-555-2485-1"
+    assert re.fullmatch(r"\d{3}-\d{3}-\d{4}", got[0]) and re.fullmatch(r"\d{3}\.\d{3}\.\d{4}", got[1])
+
+
 def test_permutations_are_one_to_one(spark):
     n = spark.range(189 * 773).select(pii.permute_number(F.col("id"), 189, 773, "k").alias("p"))
     x = n.agg(F.count_distinct("p"), F.min("p"), F.max("p")).first()
