@@ -36,7 +36,7 @@ END_ID = 1
 ROUNDS = 8
 FEW = 48  # lengths whose configurations are averaged over rounds
 TURNS, RATES, GAP = 6000, (0.3, 0.1, 0.03, 0.01), 1e-4  # of an average; of its weights; between mass and bound, where rounds end
-CACHE_BYTES = 64 << 20  # of words whose ids a worker keeps
+CACHE_BYTES = 160 << 20  # of words whose ids a worker keeps, in two generations
 SLICE_ROWS = 512  # texts held as Python strings at once
 TOKENIZER = "word_bpe_49k.json"
 LOG = logging.getLogger(__name__)
@@ -58,7 +58,7 @@ def _encoder(path: str):
     to the merges; any other takes the tokenizer's whole way."""
     from tokenizers import Tokenizer
 
-    tok, known, size = Tokenizer.from_file(path), {}, 0
+    tok, known, old, size = Tokenizer.from_file(path), {}, {}, 0
     merge, letters = tok.model.tokenize, _byte_letters()
 
     def one(word: str) -> bytes:
@@ -70,22 +70,25 @@ def _encoder(path: str):
         return np.array(ids, "<u4").tobytes()
 
     def miss(raw: bytes) -> bytes:
-        nonlocal size
-        word = raw.decode("utf-8", "replace")
-        if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < "\u0130":  # the next one splits in lower case
-            got = (known.get(raw[:-1]) or one(word[:-1])) + one(word[-1])
-        else:
-            got = one(word)
-        size += len(raw) + len(got) + 160
-        if size > CACHE_BYTES:
-            known.clear()
-            size = len(raw) + len(got) + 160
+        """Words come in two generations: a full one becomes the old one, and words of the old one that occur return."""
+        nonlocal known, old, size
+        got = old.get(raw)
+        if got is None:
+            word = raw.decode("utf-8", "replace")
+            if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < "\u0130":  # the next one splits in lower case
+                body = raw[:-1]
+                got = (known.get(body) or old.get(body) or one(word[:-1])) + one(word[-1])
+            else:
+                got = one(word)
         if len(raw) <= 64:
+            size += len(raw) + len(got) + 160
+            if size > CACHE_BYTES // 2:
+                known, old, size = {}, known, len(raw) + len(got) + 160
             known[raw] = got
         return got
 
     def encode(text: bytes) -> bytes:
-        return b"".join([known.get(w) or miss(w) for w in text.split()])
+        return b"".join([known.get(w) or miss(w) for w in text.split()])  # `known` changes while this runs
 
     return encode
 
