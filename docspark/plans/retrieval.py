@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import chunks as ch
 from docspark.operators import elements as el
-from docspark.operators import facets, filters, search, stats
+from docspark.operators import facets, filters, search, similar, stats
 from docspark.plans.registry import query
 from docspark.plans.views import view
 
@@ -53,6 +53,22 @@ def d25(spark, sf):
     return stats.duplicate_groups(chunks(spark, sf))
 
 
+SETS = r"""w AS (SELECT chunk_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM v_chunks),
+s AS (SELECT chunk_id, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS s FROM w WHERE len(w) > 0),
+c AS (SELECT chunk_id, s, min(chunk_id) OVER (PARTITION BY s) AS class_id FROM s)"""
+
+
+@query("c17_near_duplicate_pairs", f"""WITH {SETS}, h AS (SELECT chunk_id, len(s) AS n, unnest(s) AS x FROM c WHERE chunk_id = class_id), p AS (SELECT a.chunk_id AS u, b.chunk_id AS v, a.n AS un, b.n AS vn, count(*) AS shared FROM h a JOIN h b ON a.x = b.x AND a.chunk_id < b.chunk_id GROUP BY ALL)
+SELECT u, v, shared, un + vn - shared AS total FROM p WHERE shared * 100 >= (un + vn - shared) * 80""")
+def c17(spark, sf):
+    return similar.near_duplicate_chunks(chunks(spark, sf)).select("u", "v", F.col("shared").cast("long").alias("shared"), F.col("total").cast("long").alias("total"))
+
+
+@query("c17b_equal_sets", f"""WITH {SETS} SELECT v.chunk_id, coalesce(class_id, v.chunk_id) AS class_id, coalesce(len(s), 0) AS n FROM v_chunks v LEFT JOIN c ON v.chunk_id = c.chunk_id""")
+def c17b(spark, sf):
+    return similar.equal_sets(chunks(spark, sf)).withColumn("n", F.col("n").cast("long"))
+
+
 @query("d26_top_duplicated", """WITH g AS (SELECT doc_id, count(*) - 1 AS e FROM v_chunks GROUP BY doc_id, md5(text) HAVING count(*) > 1), t AS (SELECT doc_id, sum(e)::BIGINT AS extras FROM g GROUP BY 1 ORDER BY extras DESC, doc_id LIMIT 10) SELECT t.doc_id, extras, map_title FROM t LEFT JOIN v_docs d ON t.doc_id = d.doc_id""")
 def d26(spark, sf):
     return stats.top_duplicated_docs(chunks(spark, sf), view(spark, sf, "v_docs"))
