@@ -10,8 +10,6 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -75,25 +73,6 @@ def dense_search(embeddings: DataFrame, queries: DataFrame, k: int, metric: str
     return top_k(embeddings.select("vec_id", "embedding").mapInArrow(run, schema), k, "vec_id")
 
 
-def ann_search(embeddings: DataFrame, queries: DataFrame, k: int, lists: int = 32, probes: int = 20, sample: int = 20_000) -> DataFrame:
-    """The k nearest vectors by cosine among those in the `probes` lists nearest to a query, scored exactly.
-
-    The lists' centres are fitted on a sample of about `sample` vectors at most; every vector is in the list of its nearest
-    centre. Vectors meet the queries that probe their list, so a query reads probes / lists of the index; 20 of 32 reach a
-    recall of 0.97 on vectors with little structure, fewer are enough where there is more."""
-    unit = embeddings.select("vec_id", "embedding", array_to_vector(vectors.l2_normalize(F.col("embedding"))).alias("features"))
-    n = embeddings.count()
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) < int(min(1.0, sample / max(n, 1)) * (1 << 20))
-    model = KMeans(k=max(1, min(lists, n)), seed=7, maxIter=10, featuresCol="features", predictionCol="list").fit(unit.where(share))
-    index = model.transform(unit).select("vec_id", "embedding", "list")
-    centres = np.array(model.clusterCenters())
-    near = F.array(*(vectors.dot(F.col("qv"), F.array(*map(F.lit, c.tolist()))) - float(c @ c) * vectors.norm(F.col("qv")) / 2 for c in centres))
-    first = F.slice(F.sort_array(F.transform(near, lambda x, i: F.struct(-x, i.alias("list")))), 1, probes)
-    probed = queries.select("query_id", "qv", F.explode(F.transform(first, lambda s: s["list"])).alias("list"))
-    pairs = index.join(_few(probed), "list")
-    return top_k(pairs.select("query_id", "vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("qv")), 6).alias("score")), k, "vec_id")
-
-
 def more_like_this(embeddings: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The k vectors nearest to each of the wanted ones (vec_id), itself among them."""
     own = embeddings.join(wanted.select("vec_id").distinct(), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))

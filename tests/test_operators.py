@@ -250,17 +250,6 @@ def test_flat_folders_and_accents_are_resolved(spark):
     assert {(r.path, r.content) for r in files.resolve_content(meta, there).collect()} == {("d/e\u0301.json", "d/\u00e9.pdf"), ("d/x.json", "d/x.doc"), ("d/y.json", "d/named.docx")}
 
 
-def test_approximate_search_finds_the_neighbours(spark, sf):
-    """Recall against brute force, of every vector whose id is divisible by 50."""
-    from docspark.operators import search
-
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    found = search.ann_search(e, q, 10).select("query_id", "vec_id")
-    exact = search.dense_search(e, q, 10).select("query_id", "vec_id")
-    assert found.join(exact, ["query_id", "vec_id"]).count() >= 0.9 * exact.count()
-
-
 def test_results_are_shaped_in_order(spark):
     """Size, re-ranking, recency, limit, boost and duplicates, one after the other."""
     from docspark.operators import search
