@@ -17,7 +17,7 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    return F.try_divide(dot(a, b), norm(a) * norm(b))  # null where one is zero
 
 
 def l2_normalize(a: Column) -> Column:
