@@ -5,6 +5,7 @@ A function takes a list of texts and returns a list of values; it is loaded once
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Callable
@@ -55,6 +56,17 @@ def word_overlap(pairs: list) -> list:
     return out
 
 
+def named_values(prompts: list) -> list:
+    """For JSON {values: [{code, name}], text}: a JSON array of the values whose name stands in the text, with a reason."""
+    out = []
+    for prompt in prompts:
+        asked = json.loads(prompt)
+        text = asked["text"].lower()
+        found = [v for v in asked["values"] if v.get("name") and v["name"].lower() in text]
+        out.append(json.dumps([{"code": v["code"], "reason": f"the text names {v['name']}"} for v in found]))
+    return out
+
+
 # fixed values: frequent words of each language
 FREQUENT = {"en": "the of and to in is that for with this", "fr": "le la les des et en dans que pour une", "es": "el la los de que en y las por una", "de": "der die und das den von zu mit ist nicht"}
 
@@ -75,6 +87,7 @@ register("scorer", word_overlap)
 register("embedder", hash_embedding)
 register("summariser", lead_sentences)
 register("labeller", rule_label)
+register("classifier", named_values)
 
 
 def apply(df: DataFrame, name: str, col: str, made: str) -> DataFrame:

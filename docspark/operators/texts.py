@@ -178,7 +178,7 @@ def inline_refs(elements: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return known.groupBy(id_col, "number", "position").agg(F.min_by("pattern", "turn").alias("pattern"))
 
 
-def split_balanced(text: Column, most: int, reach: int = 200) -> Column:
+def split_balanced(text: Column, most: int | Column, reach: int = 200) -> Column:
     """Near-equal parts of at most about `most` characters, each cut after the last blank line within `reach` of its end."""
     n = F.length(text)
     parts = F.ceil(n / most).cast("int")

@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import the modules that register queries."""
-    from docspark.plans import corpus, documents, highlights, retrieval, sections, texts, usage  # noqa: F401
+    from docspark.plans import corpus, documents, highlights, retrieval, sections, summaries, texts, usage  # noqa: F401

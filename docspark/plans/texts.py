@@ -55,13 +55,6 @@ def t04(spark, sf):
     return texts.inline_refs(c)
 
 
-@query("t29_split_balanced", r"""WITH t AS (SELECT doc_id, sys_full_summary AS t, length(sys_full_summary) AS n, CAST(ceil(length(sys_full_summary) / 3000.0) AS INT) AS k FROM v_docs WHERE length(sys_full_summary) > 0 AND NOT contains(sys_full_summary, chr(10) || chr(10)))
-SELECT doc_id, unnest(range(0, k)) AS part, unnest(list_transform(range(0, k), lambda i: CASE WHEN i = k - 1 THEN n - (k - 1) * (n // k) ELSE n // k END)) AS size FROM t""")
-def t29(spark, sf):
-    d = docs(spark, sf).where("length(sys_full_summary) > 0 AND NOT contains(sys_full_summary, '\n\n')")
-    return d.select("doc_id", F.posexplode(texts.split_balanced(F.col("sys_full_summary"), 3000)).alias("part", "text")).select("doc_id", F.col("part").cast("long").alias("part"), F.length("text").cast("long").alias("size"))
-
-
 @query("t32_parse_labels", """SELECT doc_id, idx, label FROM (SELECT doc_id, idx, CASE idx % 3 WHEN 0 THEN 'findings' WHEN 1 THEN 'other' END AS label FROM v_toc) q WHERE label IS NOT NULL""")
 def t32(spark, sf):
     label = F.when(F.col("idx") % 3 == 0, "findings").when(F.col("idx") % 3 == 1, " other ").otherwise("nonsense")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,3 +27,12 @@ def fingerprint(table: DataFrame) -> str:
     files = table.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     both = files.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("*")).alias("x")).first()
     return f"{both['n']}-{(both['x'] or 0) & (1 << 64) - 1:016x}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """`df`, written to the shared folder and read back: what follows neither computes it again nor needs the executors
+    that made it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
