@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.operators import stats, usage
+from docspark.operators import attempts, stats, usage
 from docspark.plans.registry import query
 from docspark.plans.views import view
 
@@ -99,6 +99,28 @@ def i06(spark, sf):
     return usage.lockouts(events(spark, sf).withColumn("failed", F.col("event_id") % 4 != 0))
 
 
+ATTEMPTS = "a AS (SELECT event_id, user_id, ts, epoch_us(ts) AS at_us, event_id % 4 <> 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)"
+
+
+@query("i05b_rate_limit", f"""WITH RECURSIVE {ATTEMPTS}, z AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, []::BIGINT[] AS log, '' AS outcome FROM a WHERE n = 1 UNION ALL
+SELECT a.user_id, a.n, a.event_id, CASE WHEN len(list_filter(log, lambda t: t > at_us - 86400000000)) >= 3 THEN list_filter(log, lambda t: t > at_us - 86400000000) ELSE list_append(list_filter(log, lambda t: t > at_us - 86400000000), at_us) END,
+CASE WHEN len(list_filter(log, lambda t: t > at_us - 86400000000)) >= 3 THEN 'blocked' ELSE 'passed' END FROM z JOIN a ON a.user_id = z.user_id AND a.n = z.n + 1)
+SELECT event_id, user_id, outcome FROM z WHERE n > 0""")
+def i05b(spark, sf):
+    """Three attempts in a day."""
+    return attempts.in_turn(events(spark, sf), attempts.limiter(3, 86400)).drop("ts")
+
+
+@query("i06b_locks", f"""WITH RECURSIVE {ATTEMPTS}, z AS (SELECT user_id, 0::BIGINT AS n, NULL::BIGINT AS event_id, 0::BIGINT AS k, 0::BIGINT AS till, '' AS outcome FROM a WHERE n = 1 UNION ALL
+SELECT a.user_id, a.n, a.event_id, CASE WHEN till > at_us THEN k WHEN NOT failed THEN 0 ELSE k + 1 END, CASE WHEN till > at_us THEN till WHEN failed AND k + 1 >= 5 THEN at_us + 3000 * 60000000::BIGINT ELSE 0 END,
+CASE WHEN till > at_us THEN 'locked' WHEN NOT failed THEN 'success' WHEN k + 1 >= 5 THEN 'lock' ELSE 'failure' END FROM z JOIN a ON a.user_id = z.user_id AND a.n = z.n + 1)
+SELECT event_id, user_id, outcome FROM z WHERE n > 0""")
+def i06b(spark, sf):
+    """Five failures in a row lock for fifty hours."""
+    e = events(spark, sf).withColumn("failed", F.col("event_id") % 4 != 0)
+    return attempts.in_turn(e, attempts.locker(5, 3000), flag="failed").drop("ts")
+
+
 @query("i07_sessions_batch", """WITH g AS (SELECT *, CASE WHEN coalesce(epoch_us(ts) - epoch_us(lag(ts) OVER w) >= 43200000000, true) THEN 1 ELSE 0 END AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g)
 SELECT user_id, min(ts) AS start_at, max(ts) AS end_at, count(*) AS events FROM s GROUP BY user_id, s""")
 def i07(spark, sf):
