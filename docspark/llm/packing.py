@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import logging
 import math
+import struct
 import zlib
 
 import numpy as np
@@ -36,7 +37,7 @@ END_ID = 1
 ROUNDS = 8
 FEW = 48  # lengths whose configurations are averaged over rounds
 TURNS, RATES, GAP = 6000, (0.3, 0.1, 0.03, 0.01), 1e-4  # of an average; of its weights; between mass and bound, where rounds end
-CACHE_BYTES = 160 << 20  # of words whose ids a worker keeps, in two generations
+CACHE_BYTES = 64 << 20  # of words whose ids a worker keeps, in two generations
 SLICE_ROWS = 512  # texts held as Python strings at once
 TOKENIZER = "word_bpe_49k.json"
 LOG = logging.getLogger(__name__)
@@ -67,19 +68,18 @@ def _encoder(path: str):
             ids = [t.id for t in merge(low if low.isascii() else "".join([letters[b] for b in low.encode()]))]
         else:
             ids = tok.encode(word, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    marks = {x.encode(): one(x) for x in ".,"}
 
     def miss(raw: bytes) -> bytes:
-        """Words come in two generations: a full one becomes the old one, and words of the old one that occur return."""
+        """Words come in two generations: a full one becomes the old one, and words of the old one that occur return. A word
+        with a stop behind is not kept, as the two are joined at once: the next one splits in lower case."""
         nonlocal known, old, size
-        got = old.get(raw)
-        if got is None:
-            word = raw.decode("utf-8", "replace")
-            if len(word) > 1 and word[-1] in ".," and word[-2].isalpha() and word[-2] < "\u0130":  # the next one splits in lower case
-                body = raw[:-1]
-                got = (known.get(body) or old.get(body) or one(word[:-1])) + one(word[-1])
-            else:
-                got = one(word)
+        if (mark := marks.get(raw[-1:])) and len(raw) > 1 and (last := raw.decode("utf-8", "replace")[-2]).isalpha() and last < "\u0130":
+            body = raw[:-1]
+            return (known.get(body) or miss(body)) + mark
+        got = old.get(raw) or one(raw.decode("utf-8", "replace"))
         if len(raw) <= 64:
             size += len(raw) + len(got) + 160
             if size > CACHE_BYTES // 2:
