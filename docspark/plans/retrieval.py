@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from docspark.operators import chunker
 from docspark.operators import chunks as ch
 from docspark.operators import elements as el
 from docspark.operators import facets, filters, search, similar, stats, vector_index
@@ -75,9 +76,36 @@ def d26(spark, sf):
     return stats.top_duplicated_docs(chunks(spark, sf), view(spark, sf, "v_docs"))
 
 
-@query("t01_build_chunks")
+# lines as blocks: short ones are headers of three levels, some are list items, and some have no box
+BLOCKS = "SELECT doc_id, pos, text, page_num, CASE WHEN length(text) <= 90 AND pos % 4 = 0 THEN 'section_header' WHEN pos % 7 = 3 THEN 'list_item' WHEN pos % 11 = 6 THEN 'caption' ELSE 'text' END AS label, CASE WHEN length(text) <= 90 AND pos % 4 = 0 THEN 1 + length(text) % 3 END AS level, CASE WHEN pos % 5 <> 2 THEN concat('[', CAST(pos AS STRING), ', ', CAST(length(text) AS STRING), ']') END AS box FROM {v_chunks}"
+_OPEN = ", ".join(f"last_value(CASE WHEN level = {k} THEN {c} END IGNORE NULLS) OVER w AS {c[0]}{k}" for k in (1, 2, 3) for c in ("pos", "text"))
+CHUNKS = rf"""b AS ({BLOCKS.format(v_chunks="v_chunks")}), h AS (SELECT *, {_OPEN} FROM b WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT *, list_filter([t1, CASE WHEN p2 > coalesce(p1, -1) THEN t2 END, CASE WHEN p3 > greatest(coalesce(p1, -1), coalesce(p2, -1)) THEN t3 END], lambda x: x IS NOT NULL) AS path FROM h),
+x AS (SELECT *, string_split_regex(trim(text), '\s+') AS w, CASE WHEN path IS NOT DISTINCT FROM lag(path) OVER (PARTITION BY doc_id ORDER BY pos) AND row_number() OVER (PARTITION BY doc_id ORDER BY pos) > 1 THEN 0 ELSE 1 END AS fresh FROM a WHERE label <> 'section_header'),
+r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM x),
+p AS (SELECT doc_id, run, path, pos, label, page_num, box, unnest(range(0, CAST(ceil(len(w) / 80.0) AS BIGINT))) AS part, w, text FROM r),
+o AS (SELECT doc_id, run, path, pos, part, label, page_num, box, CASE WHEN len(w) > 80 THEN array_to_string(w[part * 80 + 1:part * 80 + 80], ' ') ELSE text END AS piece, CAST(least(80, len(w) - part * 80) AS INT) AS n, row_number() OVER (PARTITION BY doc_id, run ORDER BY pos, part) AS k FROM p),
+z AS (SELECT doc_id, run, k, n AS used, 0 AS id FROM o WHERE k = 1 UNION ALL SELECT o.doc_id, o.run, o.k, CASE WHEN used + n > 80 THEN n ELSE used + n END, CASE WHEN used + n > 80 THEN id + 1 ELSE id END FROM z JOIN o ON o.doc_id = z.doc_id AND o.run = z.run AND o.k = z.k + 1),
+g AS (SELECT o.doc_id, o.run, id, any_value(path) AS path, string_agg(piece, chr(10) || chr(10) ORDER BY o.k) AS text, CAST(sum(n) AS INT) AS tokens, min(page_num) AS page_num, list_sort(list(DISTINCT label)) AS types, string_agg(box, ';' ORDER BY o.k) FILTER (WHERE NOT again) AS boxes FROM (SELECT o.*, id, lag(pos) OVER (PARTITION BY o.doc_id, o.run, id ORDER BY o.k) IS NOT DISTINCT FROM pos AS again FROM o JOIN z USING (doc_id, run, k)) o GROUP BY o.doc_id, o.run, id)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run, id) - 1 AS INT) AS chunk, array_to_string(path, ' > ') AS headings, text, tokens, page_num, array_to_string(types, ',') AS item_types, coalesce(boxes, '') AS boxes FROM g WHERE length(trim(text)) >= 100 OR list_has_any(types, ['list_item', 'section_header', 'caption', 'table_caption'])"""
+
+
+def _told(made):
+    joined = lambda c, by: F.array_join(c, by).alias(c)
+    return made.select("doc_id", "chunk", joined("headings", " > "), "text", "tokens", "page_num", joined("item_types", ","), joined("boxes", ";"))
+
+
+@query("t01_build_chunks", f"""WITH RECURSIVE {CHUNKS}""")
 def t01(spark, sf):
-    return ch.build_chunks(chunks(spark, sf), 200)
+    return _told(chunker.chunk_blocks(spark.sql(BLOCKS, v_chunks=chunks(spark, sf)), 80))
+
+
+@query("j08_chunk_function", f"""WITH RECURSIVE {CHUNKS}""")
+def j08(spark, sf):
+    """The same by the table function, of one array of blocks a document."""
+    blocks = spark.sql(BLOCKS, v_chunks=chunks(spark, sf))
+    docs = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "text", "label", "level", "page_num", "box")).alias("blocks"))
+    return _told(chunker.chunk_documents(docs, 80))
 
 
 @query("t02_drop_small", """SELECT chunk_id FROM v_chunks WHERE length(trim(text)) >= 100""")
