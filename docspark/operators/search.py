@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from pyspark.sql.window import Window
 
 from docspark.functions import models, vectors
+from docspark.sources.shared import once, staged
 
 QUERY_ROWS = 100_000  # queries sent to every task at most
 
@@ -94,14 +95,20 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
 def bm25_search(tokens: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """Scores over 0, best k per query; a term that stands twice in a query counts twice.
 
-    tokens: the id and its `tokens`. Only the queries' terms are counted, right after they are read."""
-    tokens = tokens.where(F.size("tokens") > 0)
-    sizes = tokens.agg(F.count("*").alias("docs"), F.avg(F.size("tokens")).alias("avg_len"))
+    tokens: the id and its `tokens`. Texts are read once: of each one its length and the queries' terms that it holds are
+    staged, and counts of documents and terms are made from these."""
     terms = queries.select("query_id", F.explode(bm25_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    read = tokens.select(id_col, F.size("tokens").alias("len"), F.explode("tokens").alias("term"))
-    kept = read.join(_few(terms.select("term").distinct()), "term", "left_semi").groupBy(id_col, "len", "term").agg(F.count("*").alias("tf"))
+    known = terms.select("term").distinct()
+    few = known.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
+    sent = lambda df: F.broadcast(df) if few else df  # noqa: E731  a row a term at most
+    own = F.concat(F.array(F.lit(None).cast("string")), F.col("tokens"))  # a text's own row has no term
+    read = once(tokens.select(id_col, "tokens"), "tokens").where(F.size("tokens") > 0).select(id_col, F.size("tokens").alias("len"), F.explode(own).alias("term"))
+    asked = read.join(sent(known.withColumn("asked", F.lit(True))), "term", "left").where("asked OR term IS NULL")
+    counted = staged(asked.groupBy(id_col, "len", "term").agg(F.count("*").alias("tf")))
+    sizes = counted.where("term IS NULL").agg(F.sum("tf").alias("docs"), (F.sum(F.col("len") * F.col("tf")) / F.sum("tf")).alias("avg_len"))
+    kept = counted.where("term IS NOT NULL")
     df = kept.groupBy("term").agg(F.count("*").alias("df"))
-    hit = kept.join(_few(df), "term").join(_few(terms), "term").join(F.broadcast(sizes))  # the last is one row
+    hit = kept.join(sent(df), "term").join(_few(terms), "term").join(F.broadcast(sizes))  # the last is one row
     idf = F.ln((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len"))) * F.col("times")
     return top_k(hit.groupBy("query_id", id_col).agg(F.round(F.sum(part), 6).alias("score")).where("score > 0"), k, id_col)

@@ -290,9 +290,12 @@ _EDGE = rf"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"  # between a let
 
 
 def phrases(label: str, edge: str = _EDGE) -> str:
-    """One pattern for the phrases of a label; they stand between word edges, but for anchored and Chinese ones."""
-    loose = ("^", "附")
-    return "|".join(x if x.startswith(loose) else f"{edge}(?:{x}){edge}" for x in KEYWORDS[label].split("\n") if x)
+    """One pattern for the phrases of a label; they stand between word edges, which are looked for once for all of them,
+    but for anchored and Chinese ones."""
+    every = [x for x in KEYWORDS[label].split("\n") if x]
+    loose = [x for x in every if x.startswith(("^", "附"))]
+    between = f"{edge}(?:{'|'.join(x for x in every if x not in loose)}){edge}"
+    return "|".join([between, *loose])
 
 
 def _names(title: Column, label: str) -> Column:
@@ -337,8 +340,17 @@ def lock_label(title: Column) -> Column:
     return out
 
 
+TITLES = 100_000  # different ones that are labelled apart and sent to every task
+
+
 def lock_labels(toc: DataFrame) -> DataFrame:
-    return toc.withColumn("label", F.coalesce(lock_label(F.col("title")), F.lit("other")))
+    """`label` by the title's phrases, `other` without any. Where no more than TITLES differ, each is labelled once."""
+    label = F.coalesce(lock_label(F.col("title")), F.lit("other"))
+    titles = toc.select("title").distinct().limit(TITLES + 1)
+    if titles.count() > TITLES:
+        return toc.withColumn("label", label)
+    known = titles.select(F.col("title").alias("__title"), label.alias("label"))
+    return toc.drop("label").join(F.broadcast(known), F.col("title").eqNullSafe(F.col("__title")), "left").drop("__title")
 
 
 def parent_of(toc: DataFrame, levels: int = 6) -> DataFrame:

@@ -13,21 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from docspark.sources.shared import once, staged
+
 BLOCK = 1000  # heads under one shingle that one task compares
 
 
-def shingles(text: Column, width: int) -> Column:
-    """The distinct runs of `width` lower-cased words, in order of their letters; a shorter text is one run, and a text
-    without words has none."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1))), lambda i: F.array_join(F.slice(words, i, width), " "))
-    return F.when(F.size(words) > 0, F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<string>"))
+def with_shingles(df: DataFrame, width: int, col: str = "text", made: str = "set") -> DataFrame:
+    """`df` with the distinct runs of `width` lower-cased words of a text, in order of their letters; a shorter text is one
+    run, and a text without words has none. Words are split once a row, as a function over runs would do it for each."""
+    text = F.regexp_replace(F.lower(F.coalesce(F.col(col), F.lit(""))), r"\s+", " ")
+    rows = once(df.withColumn("__words", F.split(F.trim(text), " ")), "__words")
+    starts = F.sequence(F.lit(1), F.greatest(F.size("__words") - (width - 1), F.lit(1)))
+    runs = F.transform(starts, lambda i: F.array_join(F.slice("__words", i, F.lit(width)), " "))
+    found = F.when(F.get("__words", 0) != "", F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<string>"))
+    return once(rows.withColumn(made, found), made).drop("__words")
 
 
 def equal_sets(chunks: DataFrame, width: int = 5) -> DataFrame:
     """(chunk_id, class_id, n): for each chunk the smallest id among those with the same shingles, and their number. A chunk
     without words is a class of its own."""
-    sets = chunks.select("chunk_id", shingles(F.col("text"), width).alias("set"))
+    sets = with_shingles(chunks.select("chunk_id", "text"), width)
     keyed = sets.select("chunk_id", F.size("set").alias("n"), F.sha2(F.array_join("set", "\n"), 256).alias("key"))
     heads = keyed.where("n > 0").groupBy("key").agg(F.min("chunk_id").alias("class_id"))
     return keyed.join(heads, "key", "left").select("chunk_id", F.coalesce("class_id", "chunk_id").alias("class_id"), "n")
@@ -35,7 +40,7 @@ def equal_sets(chunks: DataFrame, width: int = 5) -> DataFrame:
 
 def _prefixes(heads: DataFrame, width: int, percent: int) -> DataFrame:
     """(chunk_id, n, shingle, place): each head's shingles within its prefix that other heads hold too."""
-    each = heads.select("chunk_id", "n", F.explode(F.transform(shingles(F.col("text"), width), lambda x: F.xxhash64(x))).alias("shingle"))
+    each = with_shingles(heads, width).select("chunk_id", "n", F.explode("set").alias("shingle")).withColumn("shingle", F.xxhash64("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("chunk_id")
     alone = F.col("n") - F.count("*").over(own)  # shingles of no other head are the rarest
@@ -62,9 +67,10 @@ def near_duplicate_chunks(chunks: DataFrame, width: int = 5, percent: int = 80,
     with the numbers of common ones and of all. With `equal_sets`, every pair of chunks follows."""
     classes = equal_sets(chunks, width).where("n > 0 AND chunk_id = class_id").select("chunk_id", "n")
     heads = chunks.select("chunk_id", "text").join(classes, "chunk_id")
-    pairs = _meeting(_prefixes(heads, width, percent), percent, block)
-    texts = heads.select("chunk_id", "n", "text")
-    both = pairs.join(texts.toDF("u", "u_n", "u_text"), "u").join(texts.toDF("v", "v_n", "v_text"), "v")
-    shared = F.size(F.array_intersect(shingles(F.col("u_text"), width), shingles(F.col("v_text"), width)))
+    pairs = staged(_meeting(staged(_prefixes(heads, width, percent)), percent, block))
+    texts = heads.join(pairs.select(F.explode(F.array("u", "v")).alias("chunk_id")).distinct(), "chunk_id", "left_semi")
+    sets = staged(with_shingles(texts, width).select("chunk_id", "n", "set"))  # of those alone that meet another
+    both = pairs.join(sets.toDF("u", "u_n", "u_set"), "u").join(sets.toDF("v", "v_n", "v_set"), "v")
+    shared = F.size(F.array_intersect("u_set", "v_set"))
     total = F.col("u_n") + F.col("v_n") - F.col("shared")
-    return both.withColumn("shared", shared).withColumn("total", total).where(F.col("shared") * 100 >= F.col("total") * percent).select("u", "v", "shared", "total")
+    return once(both.select("u", "v", "u_n", "v_n", shared.alias("shared")), "shared").withColumn("total", total).where(F.col("shared") * 100 >= F.col("total") * percent).select("u", "v", "shared", "total")

@@ -9,7 +9,7 @@ from docspark.operators import chunks as ch
 from docspark.operators import elements as el
 from docspark.operators import facets, filters, search, similar, stats, vector_index
 from docspark.plans.registry import query
-from docspark.plans.views import view
+from docspark.plans.views import spread, view
 from docspark.sources.shared import fingerprint, shared_folder
 
 
@@ -205,7 +205,7 @@ j AS (SELECT query_id, doc_id, d.ord AS a, s2.ord AS b, round(coalesce(0.7 / (d.
 SELECT query_id, doc_id, score::DOUBLE AS score, ord FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, a NULLS LAST, b) AS ord FROM j) z WHERE ord <= 20""")
 def f03(spark, sf):
     plain = F.regexp_replace(F.lower("sys_full_summary"), r"[^\p{L}\p{N}_\s]", "")
-    tokens = view(spark, sf, "v_docs").select("doc_id", F.filter(F.split(plain, r"\s+"), lambda x: x != "").alias("tokens"))
+    tokens = spread(view(spark, sf, "v_docs").select("doc_id", "sys_full_summary")).select("doc_id", F.filter(F.split(plain, r"\s+"), lambda x: x != "").alias("tokens"))
     k = F.col("query_id") % 3
     queries = query_vectors(spark, sf).withColumn("query", F.when(k == 0, "the").when(k == 1, "et").otherwise("der"))
     return search.hybrid(embeddings(spark, sf), tokens, queries, 0.7, 20, 30)

@@ -92,9 +92,18 @@ SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION
 _TABLES = ("documents", "events", "lineitem", "labels", "customer", "conversations", "embeddings", "pages", "orders", "part", "supplier", "nation", "region", "benchmark")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table whose files make fewer partitions than there are cores, dealt over them: what is done with its texts costs
+    more than sending them. Larger ones stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = (VIEWS | SPARK_VIEWS)[name]
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b{t}\b", sql)}
+    if name == "v_chunks":
+        used["documents"] = spread(used["documents"].select("doc_id", "text"))
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **used)

@@ -36,3 +36,10 @@ def staged(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def once(df: DataFrame, *names: str) -> DataFrame:
+    """`df` with columns that are computed once a row, however often later plans name them: Catalyst would put a column's
+    expression wherever it is used, but doesn't look through a generator."""
+    row = F.explode(F.array(F.struct(*names))).alias("__once")
+    return df.select(*[c for c in df.columns if c not in names], row).select(*[F.col(f"__once.{c}") if c in names else F.col(c) for c in df.columns])
