@@ -381,18 +381,20 @@ def k01(spark, sf):
     return quality.split_countries(docs(spark, sf))
 
 
-@query("k05_glyph_contamination", """SELECT doc_id, sys_status FROM v_docs WHERE CAST(doc_id AS INT) % 7 = 3 AND length(sys_full_summary) >= 200 AND length(sys_full_summary) + 400 <= 4000""")
+@query("k05_glyph_contamination", r"""WITH t AS (SELECT doc_id, sys_status, sys_full_summary || CASE CAST(doc_id AS INT) % 7 WHEN 3 THEN repeat('GLYPH<23>.', 40) ELSE '' END AS text FROM v_docs)
+SELECT doc_id, sys_status FROM t WHERE (9 * len(regexp_extract_all(text, '/gid\d{5}')) + length(array_to_string(regexp_extract_all(text, 'GLYPH<[^>]*>'), ''))) / nullif(length(text), 0) >= 0.10""")
 def k05(spark, sf):
-    marked = F.when(F.col("doc_id").cast("int") % 7 == 3, F.concat("sys_full_summary", F.repeat(F.lit("GLYPH<23>."), 40))).otherwise(F.col("sys_full_summary"))
-    d = docs(spark, sf).where("length(sys_full_summary) >= 200 AND length(sys_full_summary) + 400 <= 4000").withColumn("text", marked)
-    return d.where(quality.glyph_ratio(F.col("text")) >= 0.09).select("doc_id", "sys_status")
+    """Every document's whole text; what counts is the share of its characters that are marks."""
+    marks = F.when(F.col("doc_id").cast("int") % 7 == 3, F.repeat(F.lit("GLYPH<23>."), 40)).otherwise("")
+    d = docs(spark, sf).withColumn("text", F.concat("sys_full_summary", marks))
+    return d.where(quality.glyph_ratio(F.col("text")) >= 0.10).select("doc_id", "sys_status")
 
 
 @query("k05b_glyph_reset", r"""WITH t AS (SELECT doc_id, sys_full_summary || CASE CAST(doc_id AS INT) % 7 WHEN 3 THEN repeat('GLYPH<23>.', 40) WHEN 5 THEN repeat('/gid00023 ', 40) ELSE '' END AS text FROM v_docs)
 SELECT doc_id, 'downloaded' AS sys_status, 'Reset: glyph contamination in parsed output' AS sys_error_message FROM t WHERE length(text) >= 200 AND
 (9 * len(regexp_extract_all(text, '/gid\d{5}')) + length(array_to_string(regexp_extract_all(text, 'GLYPH<[^>]*>'), ''))) / length(text) >= 0.10""")
 def k05b(spark, sf):
-    """Every document's whole text; k05 looks at some lengths alone."""
+    """The new status and message of such documents."""
     k = F.col("doc_id").cast("int") % 7
     marks = F.when(k == 3, F.repeat(F.lit("GLYPH<23>."), 40)).when(k == 5, F.repeat(F.lit("/gid00023 "), 40)).otherwise("")
     d = docs(spark, sf).withColumn("text", F.concat("sys_full_summary", marks))

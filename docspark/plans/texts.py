@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docspark.functions import models
+from docspark.functions import models, strings
 from docspark.operators import chunks as ch
 from docspark.operators import elements as el
 from docspark.operators import layout, repairs, texts
@@ -120,10 +120,10 @@ def d11(spark, sf):
     return repairs.build_facets(docs(spark, sf), c, ["title", "map_language", "map_published_year", "map_document_type", "tag_page"])
 
 
-@query("j06_translate", """SELECT chunk_id, CASE WHEN map_language = 'en' THEN text ELSE upper(text) END AS translated FROM v_chunks c JOIN v_docs d ON c.doc_id = d.doc_id WHERE NOT regexp_matches(text, '[^\\x00-\\x7f]')""")
+@query("j06_translate", """SELECT chunk_id, CASE WHEN map_language = 'en' THEN text ELSE '[en] ' || text END AS translated FROM v_chunks c JOIN v_docs d ON c.doc_id = d.doc_id""")
 def j06(spark, sf):
-    models.register("translator", lambda values: [(x or "").upper() for x in values])
-    c = chunks(spark, sf).where(~F.col("text").rlike(r"[^\x00-\x7f]")).join(docs(spark, sf).select("doc_id", "map_language"), "doc_id")
+    models.register("translator", lambda values: [f"[en] {x or ''}" for x in values])
+    c = chunks(spark, sf).join(docs(spark, sf).select("doc_id", "map_language"), "doc_id")
     return repairs.translate(c, "en").select("chunk_id", "translated")
 
 
@@ -199,11 +199,11 @@ def k07(spark, sf):
     return layout.changed_languages(noted, t25(spark, sf))
 
 
-@query("k04_repair_elements", """SELECT chunk_id, 'é' || doc_id || ' l’ö' AS text FROM v_chunks WHERE pos % 2 = 0 AND NOT regexp_matches(text, '[ˆŽžŠš]')""")
+@query("k04_repair_elements", """SELECT chunk_id, CASE WHEN pos % 2 = 0 THEN 'é' || doc_id || ' l’ö' ELSE 'plain' END AS text FROM v_chunks WHERE pos % 2 = 0 OR regexp_matches(text, '[{marks}]')""".format(marks="".join(strings.MOJIBAKE)))
 def k04(spark, sf):
-    c = chunks(spark, sf).where(~F.col("text").rlike("[ˆŽžŠš]"))
+    """Chunks with a mark of the old encoding in their own text come out too."""
     marked = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("Ž"), "doc_id", F.lit(" lÕš"))).otherwise("plain")
-    return layout.repair_elements(c.select("chunk_id", "text", F.array(F.struct(F.lit("text").alias("label"), marked.alias("text"))).alias("elements"))).select("chunk_id", F.col("elements")[0]["text"].alias("text"))
+    return layout.repair_elements(chunks(spark, sf).select("chunk_id", "text", F.array(F.struct(F.lit("text").alias("label"), marked.alias("text"))).alias("elements"))).select("chunk_id", F.col("elements")[0]["text"].alias("text"))
 
 
 @query("h06_clean_text", r"""SELECT chunk_id, text || ' National ' || doc_id || ' multiple evaluation fi section' AS text FROM v_chunks WHERE NOT regexp_matches(text, '(?i)[^\x00-\x7f]|naonal|formave|evaluaon|situaon|organizaon|bullen|funcon|acon|populaon|idenfy|nofy|effecve|descripon|pracce|parcipant|mul\b|addional|operaonal|nutrion|educaon|locaon|protecon|secon|soluon|informon|communicaon')""")
