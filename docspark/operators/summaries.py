@@ -126,3 +126,20 @@ def tag_taxonomies(docs: DataFrame, taxonomies: DataFrame, model: str = "classif
     codes = F.transform("rows", lambda r: F.struct(r["code"].alias("code"), r["name"].alias("name"), r["reason"].alias("reason")))
     tags = F.transform("rows", lambda r: F.when(F.coalesce(r["name"], F.lit("")) != "", F.concat(r["code"], F.lit(" - "), r["name"])).otherwise(r["code"]))
     return listed.select("doc_id", "taxonomy", codes.alias("codes"), tags.alias("tags"))
+
+
+def renew_summaries(docs: DataFrame, wanted: Column, **settings) -> DataFrame:
+    """(doc_id, summary, sys_status, renewed) of all documents (doc_id, text, summary, sys_status): those that are wanted are
+    summarised again, and the new summary replaces the old one if there is no error and it is shorter, or if there was none.
+    The status stays what it was. `settings` go to `summarise`."""
+    new = summarise(docs.where(F.coalesce(wanted, F.lit(False))).select("doc_id", "text"), **settings).where("status = 'summarized'").select("doc_id", F.col("summary").alias("__new"))
+    better = F.col("__new").isNotNull() & F.coalesce(F.length("__new") < F.length("summary"), F.lit(True))
+    rows = docs.join(new, "doc_id", "left").withColumn("renewed", better)
+    return rows.select("doc_id", F.when(F.col("renewed"), F.col("__new")).otherwise(F.col("summary")).alias("summary"), "sys_status", "renewed")
+
+
+def renew_tags(docs: DataFrame, tags: DataFrame, taxonomies: DataFrame, wanted: Column, **settings) -> DataFrame:
+    """(doc_id, taxonomy, codes, tags): of documents (doc_id, summary) that are wanted and have a summary, new tags in place of
+    all old ones; of others the old ones."""
+    again = docs.where(F.coalesce(wanted, F.lit(False)) & (F.coalesce("summary", F.lit("")) != "")).select("doc_id", "summary")
+    return tags.join(again.select("doc_id"), "doc_id", "left_anti").unionByName(tag_taxonomies(again, taxonomies, **settings))

@@ -39,9 +39,12 @@ for _pattern, _by in summaries.CLEANED:
 _TURNS = ", ".join([_turn("c", "j0", 3100, 2300, 3100), *(_turn(f"j{i}", f"j{i + 1}", 3100, 2300, 3200) for i in range(3))])
 
 
-@query("t30_summarise", rf"""WITH c AS (SELECT doc_id, regexp_replace({_CLEAN}, '^\s+|\s+$', '', 'g') AS t FROM v_docs), {_TURNS},
-r AS (SELECT doc_id, CASE WHEN t <> '' THEN {_lead('t')} END AS summary, 0 AS turns, true AS once FROM c WHERE length(t) <= 3100 {' '.join(f"UNION ALL SELECT doc_id, {_lead('t')}, {i}, false FROM j{i} WHERE length(t) <= 3200" for i in range(4))} UNION ALL SELECT doc_id, t, 4, false FROM j3 WHERE length(t) > 3200)
-SELECT doc_id, CASE WHEN NOT once OR length(summary) >= 50 THEN summary END AS summary, 'llm_summary' AS method, CAST(turns AS INT) AS turns, CASE WHEN once AND coalesce(length(summary), 0) < 50 THEN 'summarize_failed' ELSE 'summarized' END AS status FROM r""")
+SUMMARIES = rf"""c AS (SELECT doc_id, regexp_replace({_CLEAN}, '^\s+|\s+$', '', 'g') AS t FROM v_docs), {_TURNS},
+r AS (SELECT doc_id, CASE WHEN t <> '' THEN {_lead('t')} END AS summary, 0 AS turns, true AS once FROM c WHERE length(t) <= 3100 {' '.join(f"UNION ALL SELECT doc_id, {_lead('t')}, {i}, false FROM j{i} WHERE length(t) <= 3200" for i in range(4))} UNION ALL SELECT doc_id, t, 4, false FROM j3 WHERE length(t) > 3200),
+made AS (SELECT doc_id, CASE WHEN NOT once OR length(summary) >= 50 THEN summary END AS summary, 'llm_summary' AS method, CAST(turns AS INT) AS turns, CASE WHEN once AND coalesce(length(summary), 0) < 50 THEN 'summarize_failed' ELSE 'summarized' END AS status FROM r)"""
+
+
+@query("t30_summarise", f"""WITH {SUMMARIES} SELECT * FROM made""")
 def t30(spark, sf):
     d = view(spark, sf, "v_docs").select("doc_id", F.col("sys_full_summary").alias("text"))
     return summaries.summarise(d, window=4000, reserve=800).select("doc_id", "summary", "method", "turns", "status")
@@ -60,3 +63,15 @@ def t31(spark, sf):
     d = view(spark, sf, "v_docs").select("doc_id", F.col("sys_full_summary").alias("summary"))
     got = summaries.tag_taxonomies(d, values, window=2500, reserve=500)
     return got.select("doc_id", "taxonomy", F.array_join("tags", "; ").alias("tags"), F.array_join(F.transform("codes", lambda c: c["reason"]), "; ").alias("reasons"))
+
+
+# what documents have for a summary: a part of their text, or none
+OLD_SUMMARY = "CASE WHEN CAST(doc_id AS INT) % 6 <> 5 THEN substr(sys_full_summary, 1, 100 + CAST(doc_id AS INT) % 5 * 90) END"
+
+
+@query("k10_renew_summaries", f"""WITH {SUMMARIES}, o AS (SELECT doc_id, sys_status, {OLD_SUMMARY} AS old FROM v_docs), n AS (SELECT o.doc_id, sys_status, old, CASE WHEN (old IS NULL OR length(old) > 250) AND status = 'summarized' THEN summary END AS new FROM o JOIN made USING (doc_id))
+SELECT doc_id, sys_status, new IS NOT NULL AND coalesce(length(new) < length(old), true) AS renewed, CASE WHEN new IS NOT NULL AND coalesce(length(new) < length(old), true) THEN new ELSE old END AS summary FROM n""")
+def k10(spark, sf):
+    """Documents without a summary and with one of over 250 characters."""
+    d = view(spark, sf, "v_docs").select("doc_id", "sys_status", F.col("sys_full_summary").alias("text"), F.expr(OLD_SUMMARY).alias("summary"))
+    return summaries.renew_summaries(d, F.col("summary").isNull() | (F.length("summary") > 250), window=4000, reserve=800)

@@ -111,3 +111,21 @@ def test_answers_of_a_model_are_read_with_care(spark):
     many = spark.range(summaries.TAXONOMY_ROWS + 1).selectExpr("'t' AS taxonomy", "'document' AS level", "CAST(id AS INT) AS ord", "CAST(id AS STRING) AS code", "'n' AS name")
     with pytest.raises(ValueError):
         summaries.tag_taxonomies(docs, many)
+
+
+def test_selected_documents_are_renewed(spark):
+    long_ = "This sentence has quite a few words in it. " * 6
+    rows = [(1, long_, "x" * 400, "indexed"), (2, long_, "short", "parsed"), (3, long_, None, "indexed"), (4, "tiny", "y" * 400, "indexed"), (5, long_, "z" * 400, "stopped")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, summary string, sys_status string")
+    got = {r.doc_id: r for r in summaries.renew_summaries(df, df["doc_id"] < 5).collect()}
+    new = " ".join(["This sentence has quite a few words in it."] * 3)
+    assert [(got[i].summary, got[i].renewed) for i in (1, 2, 3, 4, 5)] == [(new, True), ("short", False), (new, True), ("y" * 400, False), ("z" * 400, False)]
+    assert [got[i].sys_status for i in (1, 2, 3, 4, 5)] == [r[3] for r in rows]
+
+
+def test_tags_of_selected_documents_are_replaced(spark):
+    tax = spark.createDataFrame(TAXONOMY, "taxonomy string, level string, ord int, code string, name string")
+    docs = spark.createDataFrame([(1, "water"), (2, "hunger"), (3, None), (4, "hunger")], "doc_id int, summary string")
+    old = summaries.tag_taxonomies(spark.createDataFrame([(i, "hunger and water") for i in (1, 2, 3)], "doc_id int, summary string"), tax)
+    got = summaries.renew_tags(docs, old, tax, docs["doc_id"] != 2).collect()
+    assert sorted((r.doc_id, r.tags[0]) for r in got) == [(1, "a - Water"), (2, "a - Water"), (2, "s2 - Hunger"), (3, "a - Water"), (3, "s2 - Hunger"), (4, "s2 - Hunger")]
