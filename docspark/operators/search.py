@@ -272,3 +272,22 @@ def predict_centroid(df: DataFrame, centroids: DataFrame) -> DataFrame:
     scored = df.select("vec_id", "label", "embedding").join(_few(vec)).select("vec_id", "label", "predicted", F.round(vectors.dot(F.col("embedding"), F.col("c")), 6).alias("score"))
     best = scored.groupBy("vec_id", "label").agg(F.max(F.struct("score", (-F.col("predicted")).alias("p"))).alias("b"))
     return best.select("vec_id", "label", (-F.col("b.p")).alias("predicted"), F.col("b.score").alias("score"))
+
+
+def batch_research(runs: DataFrame, hits: DataFrame, queries: int = 4, fetch: int = 20, cards: int = 10, id_col: str = "vec_id") -> DataFrame:
+    """(run_id, query_id, n_hits, cards): what each query of a run found, for all runs in one plan.
+
+    runs: run_id, query_id, turn; only the first `queries` of a run count. hits: query_id, id, score, ord, of which `fetch` a
+    query count. A card is (number, id, score), at most `cards` a query, best first; numbers are those of the run's list of
+    different results, by the query and the place where each came first. A query without hits has none and no cards."""
+    turn = F.row_number().over(Window.partitionBy("run_id").orderBy("turn", "query_id"))
+    asked = runs.select("run_id", "query_id", "turn").withColumn("turn", turn).where(F.col("turn") <= queries)
+    found = asked.join(hits.where(F.col("ord") <= fetch).select("query_id", id_col, "score", "ord"), "query_id")
+    first = found.groupBy("run_id", id_col).agg(F.min(F.struct("turn", "ord")).alias("first"))
+    number = F.row_number().over(Window.partitionBy("run_id").orderBy("first"))  # at most queries * fetch rows
+    numbered = found.join(first.select("run_id", id_col, number.alias("number")), ["run_id", id_col])
+    card = F.struct("ord", "number", F.col(id_col), "score")
+    listed = numbered.groupBy("run_id", "query_id").agg(F.count("*").alias("n_hits"), F.array_sort(F.collect_list(F.when(F.col("ord") <= cards, card))).alias("cards"))
+    rows = asked.join(listed, ["run_id", "query_id"], "left")
+    plain = F.transform(F.coalesce("cards", F.array().cast(listed.schema["cards"].dataType)), lambda c: F.struct(c["number"].alias("number"), c[id_col].alias(id_col), c["score"].alias("score")))
+    return rows.select("run_id", "query_id", F.coalesce("n_hits", F.lit(0)).alias("n_hits"), plain.alias("cards"))

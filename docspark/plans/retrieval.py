@@ -219,6 +219,19 @@ def f01b(spark, sf):
     return search.dense_search(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv")), 10)
 
 
+@query("t37_batch_research", """WITH q AS (SELECT vec_id AS query_id, CAST(embedding AS DOUBLE[]) AS qv, vec_id // 250 AS run_id, row_number() OVER (PARTITION BY vec_id // 250 ORDER BY vec_id) AS turn FROM embeddings WHERE vec_id % 50 = 0),
+h AS (SELECT run_id, query_id, turn, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 6) AS score FROM embeddings, q WHERE turn <= 4),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS ord FROM h) z WHERE ord <= 20),
+f AS (SELECT run_id, vec_id, row_number() OVER (PARTITION BY run_id ORDER BY min(turn * 100 + ord)) AS number FROM o GROUP BY 1, 2)
+SELECT run_id, query_id, count(*) AS n_hits, string_agg(number || ':' || vec_id, ' ' ORDER BY ord) FILTER (WHERE ord <= 10) AS cards FROM o JOIN f USING (run_id, vec_id) GROUP BY 1, 2""")
+def t37(spark, sf):
+    """Vectors whose id is divisible by 50 ask, five a run, of which four count."""
+    e = embeddings(spark, sf)
+    asking = e.where("vec_id % 50 = 0").select(F.expr("vec_id div 250").alias("run_id"), F.col("vec_id").alias("query_id"), F.col("vec_id").alias("turn"), F.col("embedding").alias("qv"))
+    got = search.batch_research(asking, search.dense_search(e, asking, 20))
+    return got.select("run_id", "query_id", "n_hits", F.array_join(F.transform("cards", lambda c: F.concat(c["number"], F.lit(":"), c["vec_id"])), " ").alias("cards"))
+
+
 @query("f17_ann_search")
 def f17(spark, sf):
     """Every vector whose id is divisible by 50 asks the index of all, which is made once for each state of the table."""

@@ -61,3 +61,14 @@ def test_codes_are_close_and_odd_rows_harmless(spark, tmp_path):
     none = vector_index.build(e.limit(0), str(tmp_path / "none"))
     assert none.search(e.limit(0), q, 2).count() == 0
     assert none.search(e, q.limit(0), 2).count() == 0
+
+
+def test_runs_of_queries_share_their_numbers(spark):
+    hits = [(q, d, 1.0 - o / 100, o) for q, found in {1: "abc", 2: "cda", 3: "x", 5: "zz"}.items() for o, d in enumerate(found, 1)]
+    h = spark.createDataFrame(hits, "query_id int, vec_id string, score double, ord int")
+    runs = spark.createDataFrame([("r", 2, 1), ("r", 1, 0), ("r", 4, 2), ("s", 3, 0), ("r", 5, 9), ("r", 6, 3)], "run_id string, query_id int, turn int")
+    got = {(r.run_id, r.query_id): r for r in search.batch_research(runs, h, fetch=3, cards=2).collect()}
+    cards = lambda k: [(c.number, c.vec_id) for c in got[k].cards]
+    assert set(got) == {("r", 1), ("r", 2), ("r", 4), ("r", 6), ("s", 3)}
+    assert cards(("r", 1)) == [(1, "a"), (2, "b")] and cards(("r", 2)) == [(3, "c"), (4, "d")] and cards(("s", 3)) == [(1, "x")]
+    assert (got["r", 2].n_hits, got["r", 4].n_hits, cards(("r", 4))) == (3, 0, [])
