@@ -51,10 +51,20 @@ def drop_small(chunks: DataFrame, n: int = 100, items: str | None = None) -> Dat
     return chunks.where(keep | F.arrays_overlap(items, F.array(*map(F.lit, KEPT_ITEMS))) if items else keep)
 
 
-def limit_tokens(chunks: DataFrame, n: int) -> DataFrame:
-    """Blank chunks dropped, others cut after n tokens."""
-    toks = F.split(F.trim("text"), r"\s+")
-    return chunks.where(F.trim("text") != "").withColumn("text", F.when(F.size(toks) > n, F.array_join(F.slice(toks, 1, n), " ")).otherwise(F.col("text")))
+def limit_tokens(chunks: DataFrame, n: int, mode: str = "truncate", words: bool = True) -> DataFrame:
+    """Blank chunks dropped, others cut after n tokens; in the mode `stop` an error names the first ten that are longer. A token
+    is a word, or, where there is no tokenizer, four characters."""
+    if mode not in ("truncate", "stop"):
+        raise ValueError(f"no such mode: {mode}")
+    rows, toks = chunks.where(F.trim("text") != ""), F.split(F.trim("text"), r"\s+")
+    count = F.size(toks) if words else F.floor(F.length("text") / 4)
+    if mode == "stop":
+        long_ = [r["chunk_id"] for r in rows.where(count > n).select("chunk_id").orderBy("chunk_id").limit(10).collect()]
+        if long_:
+            raise ValueError(f"chunks of more than {n} tokens: {', '.join(map(str, long_))}")
+        return rows
+    cut = F.array_join(F.slice(toks, 1, n), " ") if words else F.substring("text", 1, 4 * n)
+    return rows.withColumn("text", F.when(count > n, cut).otherwise(F.col("text")))
 
 
 def hierarchy_prefix(headings: Column) -> Column:

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.operators import chunker
+from docspark.operators import chunker, chunks
 
 BLOCK = "pos int, text string, label string, level int, page_num int, box string"
 
@@ -47,3 +47,15 @@ def test_headings_close_deeper_ones(spark):
     got = chunker.chunk_blocks(df, 50, 0).orderBy("chunk").collect()
     assert [(r.headings, r.text) for r in got] == [([], "before"), (["A", "B"], "in b"), (["A", "B", "C"], "in c"), (["A", "D"], "in d"), (["E"], "in e")]
     assert chunker.chunk_blocks(df.limit(0), 50).count() == 0
+
+
+def test_long_chunks_are_cut_or_stop(spark):
+    df = spark.createDataFrame([("a", "one two three"), ("b", " "), ("c", None), ("d", "x" * 13), ("e", "one  two")], "chunk_id string, text string")
+    texts = lambda got: {r.chunk_id: r.text for r in got.collect()}
+    assert texts(chunks.limit_tokens(df, 2)) == {"a": "one two", "d": "x" * 13, "e": "one  two"}
+    assert texts(chunks.limit_tokens(df, 2, words=False)) == {"a": "one two ", "d": "x" * 8, "e": "one  two"}
+    with pytest.raises(ValueError, match="2 tokens: a$"):
+        chunks.limit_tokens(df, 2, "stop")
+    assert chunks.limit_tokens(df, 3, "stop").count() == 3
+    with pytest.raises(ValueError, match="2 tokens: a, d$"):
+        chunks.limit_tokens(df, 2, "stop", words=False)
