@@ -58,9 +58,9 @@ def plain_highlight(text, matches):
     return out
 
 
-SAMPLE = "The Ministry of Health leads reforms. Other ministries support health efforts."
+SAMPLE = "The Council of Elders opened the well. Later councils thanked the elders for it."
 CASES = [
-    (SAMPLE, "Ministry of Health"), (SAMPLE, "health ministries"), (SAMPLE, "the"), (SAMPLE, "about it"), (SAMPLE, "  "), ("", "x"), (None, "x"), (SAMPLE, None), ("aaaa aaa", "aa"),
+    (SAMPLE, "council of elders"), (SAMPLE, "elders councils"), (SAMPLE, "the"), (SAMPLE, "about it"), (SAMPLE, "  "), ("", "x"), (None, "x"), (SAMPLE, None), ("aaaa aaa", "aa"),
     ("In the U.S. it costs $5 (sat) a.b [x] a+b \\E done", "u.s."), ("it costs $5 (sat)", "$5 (SAT)"), ("axb a.b", "a.b"), ("back\\slash \\E end", "\\e"), ("<b>bo</b>ld te<i>xt bold</i> text", "bold text"),
     ("<p class='x'>Water and <em>sanitation</em> in water</p> < 3 unclosed", "water sanitation"), ("5 < 6 and 7 > 3 yes", "7"), ("<a><b></b></a>", "a"), ("foo-bar foo foo_bar", "bar foo-bar foo"), ("Émile émile ÉMILE émiles", "émile x"), ("abab abab", "abab"),
 ]
