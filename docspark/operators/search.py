@@ -42,33 +42,67 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return dots / np.sqrt(a * b) if metric == "cosine" else -np.sqrt(np.maximum(a + b - 2 * dots, 0))
 
 
+VECTORS, ASKING = 2048, 1024  # that one product of matrices takes
+NONE = np.iinfo(np.int64).max  # stands where a query has found fewer
+
+
+def _keep_best(best: np.ndarray, held: np.ndarray, score: np.ndarray, vec: np.ndarray) -> None:
+    """Put what is better than the last of a query's `best` scores (`held`: of which vectors), a row a query, in its place.
+    Of equal scores the smaller id is better."""
+    k, n = best.shape[1], score.shape[1]
+    last = best[:, -1:]
+    better = (score > last) | ((score == last) & (vec < held[:, -1:]))
+    if n > k and not np.isfinite(last).all():
+        better &= score >= np.partition(score, n - k, axis=1)[:, n - k, None]
+    row, col = np.nonzero(better)
+    if not len(row):
+        return
+    some = np.unique(row)
+    at = np.concatenate([np.repeat(some, k), row])
+    both, ids = np.concatenate([best[some].ravel(), score[row, col]]), np.concatenate([held[some].ravel(), vec[col]])
+    order = np.lexsort((ids, -both, at))
+    at = at[order]
+    order = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+    best[some], held[some] = both[order].reshape(-1, k), ids[order].reshape(-1, k)
+
+
 def dense_search(embeddings: DataFrame, queries: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """The k nearest vectors of each query by cosine, dot product or (negative) Euclidean distance.
 
-    Blocks of vectors meet the matrix of the queries, which is sent to every task up to QUERY_ROWS rows, and each block
-    gives its k best of a query alone. More queries are joined in blocks of as many."""
+    Vectors meet the matrix of the queries, which is sent to every task up to QUERY_ROWS rows, in blocks of VECTORS by
+    ASKING scores, and a task holds and gives its k best of a query alone. More queries are joined in blocks of as many."""
     n = queries.count()
     if n > QUERY_ROWS:
         parts = -(-n // QUERY_ROWS)
         turns = [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) for i in range(parts)]
         return reduce(DataFrame.unionByName, (dense_search(embeddings, t, k, metric) for t in turns))
-    rows = queries.select("query_id", "qv").toArrow()
+    rows = queries.select("query_id", "qv").toArrow().combine_chunks()
     key = queries.schema["query_id"]
-    sent = embeddings.sparkSession.sparkContext.broadcast((rows["query_id"].to_pylist(), np.array(rows["qv"].to_pylist(), float)))
+    kind = to_arrow_type(key.dataType)
+    matrix = lambda col, n: col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
+    asked = pa.concat_arrays([pa.array([], rows["qv"].type), *rows["qv"].chunks])
+    sent = embeddings.sparkSession.sparkContext.broadcast((rows["query_id"].to_pylist(), matrix(asked, len(asked)) if len(asked) else None))
 
     def run(batches):
         ids, q = sent.value
+        if not len(ids):
+            return
+        best, held = np.full((len(ids), k), -np.inf), np.full((len(ids), k), NONE)
         for batch in batches:
-            if not len(batch) or not len(ids):
+            if not len(batch):
                 continue
-            x = batch["embedding"].flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
-            score = np.round(_scores(x, q, metric), 6)
-            vec = batch["vec_id"].to_numpy()
-            for at in range(0, len(ids), 256):
-                part = score[:, at : at + 256]
-                best = np.lexsort((np.broadcast_to(vec[:, None], part.shape), -part), axis=0)[:k]
-                found = [pa.array([ids[at + j] for j in range(part.shape[1]) for _ in range(len(best))]), pa.array(vec[best].T.ravel()), pa.array(np.take_along_axis(part, best, 0).T.ravel())]
-                yield pa.RecordBatch.from_arrays([found[0].cast(to_arrow_type(key.dataType)), *found[1:]], names=["query_id", "vec_id", "score"])
+            whole, vec = matrix(batch["embedding"], len(batch)), batch["vec_id"].to_numpy()
+            for low in range(0, len(batch), VECTORS):
+                x = whole[low : low + VECTORS]
+                for at in range(0, len(ids), ASKING):
+                    score = np.round(_scores(x, q[at : at + ASKING], metric), 6).T
+                    score[np.isnan(score)] = -np.inf
+                    _keep_best(best[at : at + ASKING], held[at : at + ASKING], score, vec[low : low + VECTORS])
+        for at in range(0, len(ids), ASKING):
+            query, place = np.nonzero(held[at : at + ASKING] != NONE)
+            score = best[at : at + ASKING][query, place]
+            found = [pa.array([ids[at + j] for j in query.tolist()], kind), pa.array(held[at : at + ASKING][query, place]), pa.array(np.where(np.isinf(score), np.nan, score))]
+            yield pa.RecordBatch.from_arrays(found, names=["query_id", "vec_id", "score"])
 
     schema = StructType([key, embeddings.schema["vec_id"], StructField("score", DoubleType())])
     return top_k(embeddings.select("vec_id", "embedding").mapInArrow(run, schema), k, "vec_id")

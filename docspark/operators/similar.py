@@ -4,7 +4,8 @@ A text's set holds its distinct shingles of lower-cased words. Chunks with equal
 smallest id, its head, takes part further. Shingles are ordered by how many heads hold them, rare ones first. Of two sets
 with a Jaccard similarity of t percent, the first n - ceil(t n / 100) + 1 shingles of each share one, so only these
 prefixes are indexed; sizes, and what can still follow the shared place, rule out most pairs that meet. Pairs that are
-left are confirmed on their full texts.
+left are confirmed on their full sets, in which the shingles of heads that meet another stand as numbers. Texts are cut into
+shingles once for the search and, of heads that meet another, once more for the numbers.
 """
 
 from __future__ import annotations
@@ -25,22 +26,33 @@ def with_shingles(df: DataFrame, width: int, col: str = "text", made: str = "set
     rows = once(df.withColumn("__words", F.split(F.trim(text), " ")), "__words")
     starts = F.sequence(F.lit(1), F.greatest(F.size("__words") - (width - 1), F.lit(1)))
     runs = F.transform(starts, lambda i: F.array_join(F.slice("__words", i, F.lit(width)), " "))
-    found = F.when(F.get("__words", 0) != "", F.array_sort(F.array_distinct(runs))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.get("__words", 0) != "", F.sort_array(F.array_distinct(runs))).otherwise(F.array().cast("array<string>"))
     return once(rows.withColumn(made, found), made).drop("__words")
 
 
-def equal_sets(chunks: DataFrame, width: int = 5) -> DataFrame:
-    """(chunk_id, class_id, n): for each chunk the smallest id among those with the same shingles, and their number. A chunk
-    without words is a class of its own."""
+def _keyed(chunks: DataFrame, width: int) -> DataFrame:
+    """(chunk_id, n, key, hashes): the number of a chunk's shingles, a digest of them all and a hash of each."""
     sets = with_shingles(chunks.select("chunk_id", "text"), width)
-    keyed = sets.select("chunk_id", F.size("set").alias("n"), F.sha2(F.array_join("set", "\n"), 256).alias("key"))
+    return sets.select("chunk_id", F.size("set").alias("n"), F.sha2(F.array_join("set", "\n"), 256).alias("key"), F.transform("set", lambda x: F.xxhash64(x)).alias("hashes"))
+
+
+def _with_class(keyed: DataFrame) -> DataFrame:
+    """`keyed` with the least id of those with the same digest as class_id; a chunk without words has none."""
     heads = keyed.where("n > 0").groupBy("key").agg(F.min("chunk_id").alias("class_id"))
-    return keyed.join(heads, "key", "left").select("chunk_id", F.coalesce("class_id", "chunk_id").alias("class_id"), "n")
+    return keyed.join(heads, "key", "left")
 
 
-def _prefixes(heads: DataFrame, width: int, percent: int) -> DataFrame:
+def equal_sets(chunks: DataFrame, width: int = 5) -> DataFrame:
+    """(chunk_id, class_id, n): for each chunk the smallest id among those with the same shingles, and their number. A chunk
+    without words is a class of its own. Digests are staged, as texts would be cut into shingles for either side of the
+    join."""
+    keyed = staged(_keyed(chunks, width).drop("hashes"))
+    return _with_class(keyed).select("chunk_id", F.coalesce("class_id", "chunk_id").alias("class_id"), "n")
+
+
+def _prefixes(heads: DataFrame, percent: int) -> DataFrame:
     """(chunk_id, n, shingle, place): each head's shingles within its prefix that other heads hold too."""
-    each = with_shingles(heads, width).select("chunk_id", "n", F.explode("set").alias("shingle")).withColumn("shingle", F.xxhash64("shingle"))
+    each = heads.select("chunk_id", "n", F.explode("hashes").alias("shingle"))
     often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     own = Window.partitionBy("chunk_id")
     alone = F.col("n") - F.count("*").over(own)  # shingles of no other head are the rarest
@@ -62,15 +74,22 @@ def _meeting(index: DataFrame, percent: int, block: int) -> DataFrame:
     return met.where(fits & (most * (100 + percent) >= (F.col("u_n") + F.col("v_n")) * percent)).select("u", "v").distinct()
 
 
+def _numbered(texts: DataFrame, width: int) -> DataFrame:
+    """(chunk_id, set): the texts' shingles as numbers, equal ones for equal shingles; those of one text alone are left out."""
+    each = staged(with_shingles(texts, width).select("chunk_id", F.explode("set").alias("shingle")))
+    often = each.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    numbers = staged(often.select("shingle", F.monotonically_increasing_id().alias("number")))
+    return each.join(numbers, "shingle").groupBy("chunk_id").agg(F.collect_list("number").alias("set"))
+
+
 def near_duplicate_chunks(chunks: DataFrame, width: int = 5, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """(u, v, shared, total): pairs of heads, u < v, whose sets have at least `percent` of all their shingles in common,
     with the numbers of common ones and of all. With `equal_sets`, every pair of chunks follows."""
-    classes = equal_sets(chunks, width).where("n > 0 AND chunk_id = class_id").select("chunk_id", "n")
-    heads = chunks.select("chunk_id", "text").join(classes, "chunk_id")
-    pairs = staged(_meeting(staged(_prefixes(heads, width, percent)), percent, block))
-    texts = heads.join(pairs.select(F.explode(F.array("u", "v")).alias("chunk_id")).distinct(), "chunk_id", "left_semi")
-    sets = staged(with_shingles(texts, width).select("chunk_id", "n", "set"))  # of those alone that meet another
-    both = pairs.join(sets.toDF("u", "u_n", "u_set"), "u").join(sets.toDF("v", "v_n", "v_set"), "v")
+    heads = staged(_with_class(staged(_keyed(chunks, width))).where("chunk_id = class_id").select("chunk_id", "n", "hashes"))
+    pairs = staged(_meeting(staged(_prefixes(heads, percent)), percent, block))
+    meet = pairs.select(F.explode(F.array("u", "v")).alias("chunk_id")).distinct()
+    sets = staged(_numbered(chunks.select("chunk_id", "text").join(meet, "chunk_id", "left_semi"), width).join(heads.select("chunk_id", "n"), "chunk_id"))
+    both = pairs.join(sets.select(F.col("chunk_id").alias("u"), F.col("n").alias("u_n"), F.col("set").alias("u_set")), "u").join(sets.select(F.col("chunk_id").alias("v"), F.col("n").alias("v_n"), F.col("set").alias("v_set")), "v")
     shared = F.size(F.array_intersect("u_set", "v_set"))
     total = F.col("u_n") + F.col("v_n") - F.col("shared")
     return once(both.select("u", "v", "u_n", "v_n", shared.alias("shared")), "shared").withColumn("total", total).where(F.col("shared") * 100 >= F.col("total") * percent).select("u", "v", "shared", "total")

@@ -52,3 +52,20 @@ def test_pairs_equal_all_pairs(spark, width, percent, block):
 def test_an_empty_table_has_no_pairs(spark):
     df = spark.createDataFrame([], "chunk_id string, text string")
     assert similar.near_duplicate_chunks(df).collect() == [] and similar.equal_sets(df).collect() == []
+
+
+def test_texts_are_cut_into_shingles_once(spark):
+    """Once for the classes, and in the search once more for heads that meet another."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(len(batch))
+            yield batch
+
+    rows = [(f"c{i:02}", f"w{i} x{i} y{i} z{i} a{i} b{i} c{i}") for i in range(30)] + [("d1", "a b c d e f g h i j k l"), ("d2", "a b c d e f g h i j k l m")]
+    df = spark.createDataFrame(rows, "chunk_id string, text string").mapInArrow(seen, "chunk_id string, text string")
+    assert len(similar.equal_sets(df).collect()) == 32 and read.value == 32
+    read.value = 0
+    assert [tuple(r) for r in similar.near_duplicate_chunks(df).collect()] == [("d1", "d2", 8, 9)]
+    assert read.value <= 2 * 32
