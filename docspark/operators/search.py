@@ -78,7 +78,7 @@ def dense_search(embeddings: DataFrame, queries: DataFrame, k: int, metric: str
         return reduce(DataFrame.unionByName, (dense_search(embeddings, t, k, metric) for t in turns))
     rows = queries.select("query_id", "qv").toArrow().combine_chunks()
     key = queries.schema["query_id"]
-    kind = to_arrow_type(key.dataType)
+    kind, vec_kind = to_arrow_type(key.dataType), to_arrow_type(embeddings.schema["vec_id"].dataType)
     matrix = lambda col, n: col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, -1)
     asked = pa.concat_arrays([pa.array([], rows["qv"].type), *rows["qv"].chunks])
     sent = embeddings.sparkSession.sparkContext.broadcast((rows["query_id"].to_pylist(), matrix(asked, len(asked)) if len(asked) else None))
@@ -95,13 +95,13 @@ def dense_search(embeddings: DataFrame, queries: DataFrame, k: int, metric: str
             for low in range(0, len(batch), VECTORS):
                 x = whole[low : low + VECTORS]
                 for at in range(0, len(ids), ASKING):
-                    score = np.round(_scores(x, q[at : at + ASKING], metric), 6).T
+                    score = np.round(_scores(q[at : at + ASKING], x, metric), 6)
                     score[np.isnan(score)] = -np.inf
                     _keep_best(best[at : at + ASKING], held[at : at + ASKING], score, vec[low : low + VECTORS])
         for at in range(0, len(ids), ASKING):
             query, place = np.nonzero(held[at : at + ASKING] != NONE)
             score = best[at : at + ASKING][query, place]
-            found = [pa.array([ids[at + j] for j in query.tolist()], kind), pa.array(held[at : at + ASKING][query, place]), pa.array(np.where(np.isinf(score), np.nan, score))]
+            found = [pa.array([ids[at + j] for j in query.tolist()], kind), pa.array(held[at : at + ASKING][query, place]).cast(vec_kind), pa.array(np.where(np.isneginf(score), np.nan, score))]
             yield pa.RecordBatch.from_arrays(found, names=["query_id", "vec_id", "score"])
 
     schema = StructType([key, embeddings.schema["vec_id"], StructField("score", DoubleType())])

@@ -72,3 +72,34 @@ def test_runs_of_queries_share_their_numbers(spark):
     assert set(got) == {("r", 1), ("r", 2), ("r", 4), ("r", 6), ("s", 3)}
     assert cards(("r", 1)) == [(1, "a"), (2, "b")] and cards(("r", 2)) == [(3, "c"), (4, "d")] and cards(("s", 3)) == [(1, "x")]
     assert (got["r", 2].n_hits, got["r", 4].n_hits, cards(("r", 4))) == (3, 0, [])
+
+
+def test_blocks_keep_the_best_of_all():
+    """Blocks in any order give what a sort of all gives, with ties, fewer vectors than asked for and infinite scores."""
+    rng = np.random.default_rng(3)
+    for n in (3, 40, 400):
+        score = rng.integers(-3, 4, (7, n)).astype(float)
+        score[rng.random((7, n)) < 0.1] = -np.inf
+        vec = rng.permutation(n)
+        best, held = np.full((7, 5), -np.inf), np.full((7, 5), search.NONE)
+        for at in range(0, n, 16):
+            search._keep_best(best, held, score[:, at : at + 16], vec[at : at + 16])
+        order = [sorted(zip(-s, vec, strict=True))[:5] for s in score]
+        assert [[v for v in h if v != search.NONE] for h in held.tolist()] == [[int(v) for _, v in o] for o in order]
+
+
+def test_scores_are_made_in_blocks(spark, monkeypatch):
+    """No matrix is larger than a block, whatever the numbers of vectors and queries; results are those of all at once."""
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").coalesce(1)
+    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    whole = sorted(map(tuple, search.dense_search(e, q, 7).collect()))
+    monkeypatch.setattr(search, "VECTORS", 96)
+    monkeypatch.setattr(search, "ASKING", 64)
+    scores = search._scores
+
+    def bounded(x, y, metric):
+        assert x.shape[0] * y.shape[0] <= 96 * 64
+        return scores(x, y, metric)
+
+    monkeypatch.setattr(search, "_scores", bounded)
+    assert sorted(map(tuple, search.dense_search(e, q, 7).collect())) == whole and len(whole) == 7 * 400
