@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,12 @@ NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
 WHITE = r"[\s\p{Z}\x{85}\x{1c}-\x{1f}]"  # a pattern of white space, beyond ASCII too
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a value that is computed once a row, however often `f` names it, in functions over arrays too. Columns of a
+    table have `sources.shared.once`; this is for parts of one expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def uuid5(name: Column, namespace: str = NAMESPACE_URL) -> Column:
     """Name-based UUID (version 5) by SHA-1, as a Catalyst expression."""
     h = F.sha1(F.concat(F.unhex(F.lit(namespace)), F.encode(name, "UTF-8")))

@@ -118,8 +118,9 @@ def drop_repeats(messages: DataFrame) -> DataFrame:
 def redundant_with_table(text: Column, table: Column, share: float = 0.8) -> Column:
     """More than the share of the words over three characters stand in the table's text."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"\w+"), F.lit(0)), lambda w: F.length(w) > 3)
-    held = F.filter(words, lambda w: F.lower(table).contains(w))
-    return F.coalesce(F.size(held) / F.nullif(F.size(words), F.lit(0)) > share, F.lit(False))
+    held = lambda low, words: F.size(F.filter(words, lambda w: low.contains(w))) / F.nullif(F.size(words), F.lit(0))
+    part = strings.let(F.lower(table), lambda low: strings.let(words, lambda found: held(low, found)))
+    return F.coalesce(part > share, F.lit(False))
 
 
 def citations(answers: DataFrame, limit: str = "n_hits") -> DataFrame:
