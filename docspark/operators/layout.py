@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from docspark.functions import models, strings
 from docspark.operators.elements import front_run_end
+from docspark.sources.shared import dealt, once
 
 LEVELS = 9
 # fixed values: titles after which numbers no longer set levels
@@ -20,6 +21,7 @@ def normalize_levels(toc: DataFrame) -> DataFrame:
     """Levels by numbering: `2.1` stands one below the least level, what follows below a numbered entry moves with it, and
     the least level becomes 1. Numbers count neither in front matter nor after an annex, nor where the major number falls.
     The open numbered entry of each level is looked up by windows over one sort."""
+    toc = dealt(toc, "doc_id")
     doc = Window.partitionBy("doc_id")
     before = doc.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     number = F.regexp_extract("title", r"^\s*(\d+(?:\.\d+)*)", 1)
@@ -72,26 +74,34 @@ def superscripts(spans: DataFrame) -> DataFrame:
 def infer_paragraphs(text: Column, boxes: Column) -> Column:
     """Blank lines after every so many sentences, as often as the gaps between boxes (arrays of four numbers) are over two
     and a half times the gap at three quarters; fewer than three boxes change nothing."""
+    let = strings.let
     ordered = F.transform(F.sort_array(F.transform(boxes, lambda b, i: F.struct(F.get(b, 1).alias("y"), i.alias("i"), b.alias("b")))), lambda s: s["b"])
-    gaps = F.transform(F.slice(ordered, 1, F.size(ordered) - 1), lambda b, i: F.abs(F.get(b, 3) - F.get(F.get(ordered, i + 1), 1)))
-    base = F.get(F.sort_array(gaps), F.floor(F.size(gaps) * 0.75).cast("int"))
-    large = F.size(F.filter(gaps, lambda g: g > base * 2.5))
+    gaps = let(ordered, lambda o: F.transform(F.slice(o, 1, F.size(o) - 1), lambda b, i: F.abs(F.get(b, 3) - F.get(F.get(o, i + 1), 1))))
+    over = lambda g: let(F.get(F.sort_array(g), F.floor(F.size(g) * 0.75).cast("int")), lambda base: F.size(F.filter(g, lambda x: x > base * 2.5)))
     end = r"\.\s+(?=[A-ZÁÉÍÓÚÑ])"
-    sentences, marks = F.split(text, end, -1), F.regexp_extract_all(text, F.lit(end), F.lit(0))
-    every = F.greatest(F.lit(2), F.floor((2 * F.size(sentences) - 1) / (large + 1)).cast("int"))
-    broken = lambda s, j: F.concat(s, F.when((j > 0) & (j % every == 0) & s.contains(". "), "\n\n").otherwise(""), F.coalesce(F.get(marks, j), F.lit("")))
-    made = F.array_join(F.transform(sentences, broken), "")
-    return F.when((F.size(boxes) >= 3) & (large > 0) & (F.size(sentences) > 1), made).otherwise(text)
+    parts = F.struct(F.split(text, end, -1).alias("sentences"), F.regexp_extract_all(text, F.lit(end), F.lit(0)).alias("marks"))
+
+    def made(large: Column, p: Column) -> Column:
+        every = F.greatest(F.lit(2), F.floor((2 * F.size(p["sentences"]) - 1) / (large + 1)).cast("int"))
+        broken = lambda n: F.transform(p["sentences"], lambda s, j: F.concat(s, F.when((j > 0) & (j % n == 0) & s.contains(". "), "\n\n").otherwise(""), F.coalesce(F.get(p["marks"], j), F.lit(""))))
+        return F.when(F.size(p["sentences"]) > 1, F.array_join(let(every, broken), "")).otherwise(text)
+
+    found = F.when(F.size(boxes) >= 3, let(gaps, over))
+    return let(found, lambda large: F.when(large > 0, let(parts, lambda p: made(large, p))).otherwise(text))
 
 
 def expand_phrases(spans: DataFrame) -> DataFrame:
     """(chunk_id, start, end, phrase): spans of a text grown to the sentence, clause or double space around them, and joined
     where they come within two characters. spans: chunk_id, text, start, end, counted from 0, the end behind."""
     head, tail = F.substring(F.col("text"), F.lit(1), F.col("start")), F.substring(F.col("text"), F.col("end") + 1, F.length("text"))
-    left = F.substring_index(F.regexp_extract(head, r"([^.!?;:\n]*)\z", 1), "  ", -1)  # what follows the last two spaces
+    ends = lambda x: F.translate(x, ".!?;:\n", "\n" * 6)
+    left = F.substring_index(F.substring_index(ends(head), "\n", -1), "  ", -1)  # what follows the last end or two spaces
     left = F.regexp_replace(left, f"^{strings.WHITE}+", "")
-    right = F.regexp_replace(F.regexp_extract(tail, r"^((?:(?!  )[^.!?;:\n])*[.!?;:\n]?)", 1), f"{strings.WHITE}+\\z", "")
-    grown = spans.select("chunk_id", "text", (F.col("start") - F.length(left)).alias("start"), (F.col("end") + F.length(right)).alias("end")).where("start < end")
+    stop = lambda x: F.struct(x.alias("x"), F.locate("\n", ends(x)).alias("end"), F.locate("  ", x).alias("gap"))
+    upto = lambda s: F.when((s["end"] > 0) & ((s["gap"] == 0) | (s["end"] < s["gap"])), s["end"]).when(s["gap"] > 0, s["gap"] - 1).otherwise(F.length(s["x"]))
+    right = strings.let(tail, lambda x: strings.let(stop(x), lambda s: F.substring(s["x"], F.lit(1), upto(s))))
+    right = F.regexp_replace(right, f"{strings.WHITE}+\\z", "")
+    grown = once(spans.select("chunk_id", "text", (F.col("start") - F.length(left)).alias("start"), (F.col("end") + F.length(right)).alias("end")), "start", "end").where("start < end")
     w = Window.partitionBy("chunk_id").orderBy("start", "end")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.coalesce(F.col("start") <= reach + 2, F.lit(False)), 0).otherwise(1)

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from docspark.sources.shared import dealt
+
 VIEWS = {
     "v_docs": """
 SELECT CAST(doc_id AS STRING) AS doc_id, substr(split_part(text, chr(10), 1), 1, 80) AS map_title,
@@ -104,6 +106,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     used = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if re.search(rf"\b{t}\b", sql)}
     if name == "v_chunks":
         used["documents"] = spread(used["documents"].select("doc_id", "text"))
+    if name == "v_toc":
+        used["lineitem"] = dealt(used["lineitem"], "l_orderkey")
     for t in used:
         sql = re.sub(rf"\b(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
     return spark.sql(sql, **used)

@@ -38,6 +38,17 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+ROWS_A_TASK = 1_000_000
+
+
+def dealt(table: DataFrame, *keys: str) -> DataFrame:
+    """A table that is too large for Spark's number of shuffle partitions, dealt by its keys into more, of about ROWS_A_TASK
+    rows each: what a task sorts doesn't grow with the table. Others stay as they are."""
+    own = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = -(-table.count() // ROWS_A_TASK)
+    return table.repartition(parts, *keys) if parts > own else table
+
+
 def once(df: DataFrame, *names: str) -> DataFrame:
     """`df` with columns that are computed once a row, however often later plans name them: Catalyst would put a column's
     expression wherever it is used, but doesn't look through a generator."""

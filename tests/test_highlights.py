@@ -143,3 +143,24 @@ def test_phrases_stop_after_double_spaces(spark):
         while z > end and text[z - 1].isspace():
             z -= 1
         assert (got[i].start, got[i].end, got[i].phrase) == (a, z, text[a:z]), text
+
+
+def test_parts_of_an_expression_are_computed_once(spark):
+    """However often a function over an array names them; before, once for each element."""
+    from pyspark.sql import functions as F
+
+    from docspark.functions import strings
+
+    df = spark.createDataFrame([("a b c d e f g h",)], "t string")
+    drawn = lambda words: F.transform(words, lambda w, i: F.concat(F.get(words, i), F.lit("")))
+    assert strings.let and df.select(F.array_join(strings.let(F.split("t", " "), drawn), "").alias("x")).first().x == "abcdefgh"
+    once = df.select(strings.let(F.rand(), lambda r: F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(50)), lambda i: r + i * 0)))).alias("n"))
+    assert once.first().n == 1
+
+
+def test_long_texts_without_ends_grow_in_one_pass(spark):
+    """Phrases beside a hundred thousand characters without an end: the patterns before tried every place."""
+    text = "word " * 20000
+    df = spark.createDataFrame([("a", text, 50000, 50004), ("b", "x. yy  zz aa. b", 7, 9)], "chunk_id string, text string, start int, end int")
+    got = {r.chunk_id: (r.start, r.end, len(r.phrase)) for r in layout.expand_phrases(df).collect()}
+    assert got == {"a": (0, 99999, 99999), "b": (7, 13, 6)}
