@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docspark.functions import models, strings
+from docspark.sources.shared import once, staged
 
 # fixed values: section labels in the order in which they are tried, with the phrases that give them, a pattern a line
 KEYWORDS = {
@@ -343,14 +344,30 @@ def lock_label(title: Column) -> Column:
 TITLES = 100_000  # different ones that are labelled apart and sent to every task
 
 
+def _by_title(toc: DataFrame, made: dict[str, Column]) -> DataFrame:
+    """With columns that follow from `title` alone. Where no more than TITLES differ, they are computed once a title."""
+    titles = staged(toc.select("title").distinct().limit(TITLES + 1))
+    if titles.count() > TITLES:
+        return once(toc.withColumns(made), *made)
+    known = titles.select(F.col("title").alias("__title"), *(c.alias(name) for name, c in made.items()))
+    return toc.drop(*made).join(F.broadcast(known), F.col("title").eqNullSafe(F.col("__title")), "left").drop("__title")
+
+
 def lock_labels(toc: DataFrame) -> DataFrame:
     """`label` by the title's phrases, `other` without any. Where no more than TITLES differ, each is labelled once."""
-    label = F.coalesce(lock_label(F.col("title")), F.lit("other"))
-    titles = toc.select("title").distinct().limit(TITLES + 1)
-    if titles.count() > TITLES:
-        return toc.withColumn("label", label)
-    known = titles.select(F.col("title").alias("__title"), label.alias("label"))
-    return toc.drop("label").join(F.broadcast(known), F.col("title").eqNullSafe(F.col("__title")), "left").drop("__title")
+    return _by_title(toc, {"label": F.coalesce(lock_label(F.col("title")), F.lit("other"))})
+
+
+def _title_rules() -> dict[str, Column]:
+    """What the rules ask of titles, by the name of the column that holds it where it was computed before."""
+    plain = F.lower(F.trim("title"))
+    labels = ("executive_summary", "acronyms", "front_matter", *sorted({x for own in OVERRIDES.values() for x in own}))
+    annex = F.coalesce(F.col("title").rlike(f"(?iu){_EDGE}(?:{ANNEX_TITLE}){_EDGE}"), F.lit(False))
+    return {f"__is_{x}": _names(plain, x) for x in labels} | {"__front_annex": _names(strings.normalize_title(F.col("title")), "annexes"), "__annex": annex}
+
+
+def _title(toc: DataFrame, name: str) -> Column:
+    return F.col(name) if name in toc.columns else _title_rules()[name]
 
 
 def parent_of(toc: DataFrame, levels: int = 6) -> DataFrame:
@@ -379,10 +396,9 @@ def _level_by_level(toc: DataFrame, first: Column, rule: Callable[[Column], Colu
 def propagate_labels(toc: DataFrame) -> DataFrame:
     """(doc_id, idx, label, and the other columns): labels follow the parent's final label, always below strong sections,
     but for overrides that the title itself asks for; elsewhere `other` takes the parent's."""
-    title = F.lower(F.trim("title"))
     named = F.lit(False)
     for label in sorted({x for labels in OVERRIDES.values() for x in labels}):
-        named = named | ((F.col("label") == label) & _names(title, label))
+        named = named | ((F.col("label") == label) & _title(toc, f"__is_{label}"))
 
     def rule(parent: Column) -> Column:
         may = F.lit(False)
@@ -403,13 +419,13 @@ def rule_short_doc(toc: DataFrame) -> DataFrame:
 def rule_front(toc: DataFrame) -> DataFrame:
     """Front matter only in the first third; an annex title there belongs to it."""
     late = F.col("page") > F.col("total_pages") / 3
-    label = F.when(late & (F.col("label") == "front_matter"), "other").when(~late & _names(strings.normalize_title(F.col("title")), "annexes"), "front_matter").otherwise(F.col("label"))
+    label = F.when(late & (F.col("label") == "front_matter"), "other").when(~late & _title(toc, "__front_annex"), "front_matter").otherwise(F.col("label"))
     return toc.withColumn("label", F.when(F.col("total_pages") > 0, label).otherwise(F.col("label")))
 
 
 def rule_front_pages(toc: DataFrame) -> DataFrame:
     """In the end front matter must be marked as such, or be named so in the first third; else it is `other`."""
-    early = (F.col("page") <= F.col("total_pages") / 3) & (F.col("total_pages") > 0) & _names(F.lower(F.trim("title")), "front_matter")
+    early = (F.col("page") <= F.col("total_pages") / 3) & (F.col("total_pages") > 0) & _title(toc, "__is_front_matter")
     keeps = F.coalesce("fm", F.lit(False)) | F.coalesce(early, F.lit(False))
     return toc.withColumn("label", F.when((F.col("label") == "front_matter") & ~keeps, "other").otherwise(F.col("label")))
 
@@ -429,9 +445,8 @@ def rule_roman(toc: DataFrame) -> DataFrame:
 def rule_roman_reset(toc: DataFrame) -> DataFrame:
     """After the last roman page, summaries are what stands below one or is named so, acronyms what is named so, and other
     ROMAN_LABELS become `other`. Documents without roman pages stay as they are."""
-    title = F.lower(F.trim("title"))
     after = F.coalesce(F.col("page") > F.col("__end"), F.lit(False))
-    own = F.when(_names(title, "executive_summary"), "executive_summary").when(_names(title, "acronyms"), "acronyms").when(F.col("label").isin(*ROMAN_LABELS), "other").otherwise(F.col("label"))
+    own = F.when(_title(toc, "__is_executive_summary"), "executive_summary").when(_title(toc, "__is_acronyms"), "acronyms").when(F.col("label").isin(*ROMAN_LABELS), "other").otherwise(F.col("label"))
     rule = lambda parent: F.when(~after, F.col("label")).when(parent == "executive_summary", parent).otherwise(own)
     done = _level_by_level(_roman_pages(toc), F.when(after, own).otherwise(F.col("label")), rule, "__final")
     return done.withColumn("label", F.col("__final")).drop("__final", "__start", "__end")
@@ -440,20 +455,18 @@ def rule_roman_reset(toc: DataFrame) -> DataFrame:
 def rule_exec_dominance(toc: DataFrame) -> DataFrame:
     """From the first summary on roman pages on, entries on these pages are part of it, but for those named as front matter
     or acronyms."""
-    title = F.lower(F.trim("title"))
     inside = F.col("page").between(F.col("__start"), F.col("__end"))
-    is_exec = (F.col("label") == "executive_summary") | _names(title, "executive_summary")
+    is_exec = (F.col("label") == "executive_summary") | _title(toc, "__is_executive_summary")
     first = F.min(F.when(inside & is_exec, F.col("idx"))).over(Window.partitionBy("doc_id"))
     found = _roman_pages(toc).withColumn("__first", first)
-    block = F.when(_names(title, "front_matter"), "front_matter").when(_names(title, "acronyms"), "acronyms").otherwise("executive_summary")
+    block = F.when(_title(toc, "__is_front_matter"), "front_matter").when(_title(toc, "__is_acronyms"), "acronyms").otherwise("executive_summary")
     label = F.when(F.col("idx") == F.col("__first"), "executive_summary").when(inside & (F.col("idx") > F.col("__first")), block).otherwise(F.col("label"))
     return found.withColumn("label", label).drop("__first", "__start", "__end")
 
 
 def rule_annex(toc: DataFrame) -> DataFrame:
     """Annex titles are annexes unless front matter; after the first annex the earlier kinds are too."""
-    named = F.coalesce(F.col("title").rlike(f"(?iu){_EDGE}(?:{ANNEX_TITLE}){_EDGE}"), F.lit(False))
-    first = toc.withColumn("label", F.when(named & (F.col("label") != "front_matter"), "annexes").otherwise(F.col("label")))
+    first = toc.withColumn("label", F.when(_title(toc, "__annex") & (F.col("label") != "front_matter"), "annexes").otherwise(F.col("label")))
     start = F.min(F.when(F.col("label") == "annexes", F.col("idx"))).over(Window.partitionBy("doc_id"))
     return first.withColumn("__start", start).withColumn("label", F.when((F.col("idx") > F.col("__start")) & F.col("label").isin(*BEFORE_ANNEX), "annexes").otherwise(F.col("label"))).drop("__start")
 
@@ -467,28 +480,30 @@ def rule_exec_unique(toc: DataFrame) -> DataFrame:
 
 
 def sequence_rules(toc: DataFrame) -> DataFrame:
-    """The rules in their order; short documents stop at the first. Needs label, title, page, fm and total_pages."""
-    short = rule_short_doc(toc.where("coalesce(total_pages, 0) BETWEEN 1 AND 3"))
-    rest = toc.where("NOT coalesce(total_pages, 0) BETWEEN 1 AND 3")
+    """The rules in their order; short documents stop at the first, so it is put over the others in the end. Needs label,
+    title, page, fm and total_pages."""
     for rule in (rule_front, rule_roman, rule_roman_reset, rule_exec_dominance, rule_roman, rule_annex, rule_exec_unique, rule_front_pages):
-        rest = rule(rest)
-    return short.unionByName(rest)
+        toc = rule(toc)
+    return rule_short_doc(toc)
 
 
 def label_sections(toc: DataFrame, model: str = "labeller") -> DataFrame:
-    """Labels of contents from end to end: phrases, the model for entries without any, unknown labels as `other`, then
-    inheritance and the sequence rules."""
-    locked = toc.withColumn("label", lock_label(F.col("title")))
-    asked = models.apply(locked.where("label is null").select("doc_id", "idx", "title"), model, "title", "guess string").drop("title")
+    """Labels of contents from end to end: phrases, the model for titles without any, unknown labels as `other`, then
+    inheritance and the sequence rules. Patterns and model read each different title once."""
+    asked = _title_rules()
+    locked = _by_title(toc, {"label": lock_label(F.col("title")), **asked})
+    titles = models.apply(locked.where("label is null").select("title").distinct(), model, "title", "guess string")
     guess = F.when(F.col("guess").isin(*KEYWORDS), F.col("guess")).otherwise("other")
-    merged = locked.join(asked, ["doc_id", "idx"], "left").withColumn("label", F.coalesce("label", guess)).drop("guess")
-    return sequence_rules(propagate_labels(merged))
+    guessed = staged(titles.select(F.col("title").alias("__title"), guess.alias("__guess")))
+    few = F.broadcast(guessed) if guessed.limit(TITLES + 1).count() <= TITLES else guessed
+    merged = locked.join(few, F.col("title").eqNullSafe(F.col("__title")), "left").withColumn("label", F.coalesce("label", "__guess")).drop("__title", "__guess")
+    return sequence_rules(propagate_labels(merged)).drop(*asked)
 
 
 def tag_sections(chunks: DataFrame, toc: DataFrame, model: str = "labeller") -> DataFrame:
     """(chunk_id, section): by the chunk's page if it has one and an entry starts at or before it, else by its headings,
     else `other`. `chunks` has chunk_id, doc_id, page_num and headings."""
-    labels = label_sections(toc, model)
+    labels = staged(label_sections(toc, model).select("doc_id", "idx", "page", "title", "label"))
     by_page = asof_section(chunks.where("page_num is not null"), labels, None).select("chunk_id", F.col("section").alias("by_page"))
     by_heading = heading_section(chunks, labels, None).select("chunk_id", F.col("section").alias("by_heading"))
     found = chunks.select("chunk_id").join(by_page, "chunk_id", "left").join(by_heading, "chunk_id", "left")
