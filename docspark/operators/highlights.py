@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from docspark.functions.strings import WHITE
 from docspark.operators import repairs
+from docspark.sources.shared import once
 
 TAG = r"<[^>]*>"
 IN_WORD = r"[\p{L}\p{N}_]"
@@ -173,7 +174,7 @@ def highlight_boxes(chunks: DataFrame, page: Column | None = None, text: Column
     of one of three forms, with a page of its own in the first, four numbers or named sides in the others. Boxes without
     all four sides are left out; texts are cut to `most` characters."""
     rows = chunks.select("chunk_id", "text", "page_num", F.explode("boxes").alias("box"), *[c.alias(n) for c, n in ((page, "__page"), (text, "__text")) if c is not None])
-    rows = rows.withColumn("box", repairs.bbox(F.col("box"), F.col("page_num")))
+    rows = once(rows.withColumn("box", repairs.bbox(F.col("box"), F.col("page_num"))), "box")
     sides = [F.col(f"box.{s}") for s in "ltrb"]
     rows = rows.where(F.col("box").isNotNull() & F.greatest(*[s.isNull() for s in sides]).eqNullSafe(False))
     if page is not None:

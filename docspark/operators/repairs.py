@@ -70,9 +70,10 @@ def bbox(record: Column, page: Column) -> Column:
     number = lambda path: F.get_json_object(record, path).try_cast("double")
     pair = (F.json_array_length(record) == 2) & (F.json_array_length(F.get_json_object(record, "$[1]")) >= 4)
     four, named = F.json_array_length(record) >= 4, F.trim(record).startswith("{")
-    side = lambda i, name: F.when(pair, number(f"$[1][{i}]")).when(four, number(f"$[{i}]")).when(named, number(f"$.{name}")).alias(name)
-    made = F.struct(F.when(pair, number("$[0]").cast("int")).otherwise(page).alias("page"), side(0, "l"), side(1, "b"), side(2, "r"), side(3, "t"))
-    return F.when(F.coalesce(pair | four | named, F.lit(False)), made)
+    form = F.when(pair, 1).when(four, 2).when(named, 3)
+    side = lambda f, i, name: F.when(f == 1, number(f"$[1][{i}]")).when(f == 2, number(f"$[{i}]")).when(f == 3, number(f"$.{name}")).alias(name)
+    made = lambda f: F.struct(F.when(f == 1, number("$[0]").cast("int")).otherwise(page).alias("page"), side(f, 0, "l"), side(f, 1, "b"), side(f, 2, "r"), side(f, 3, "t"))
+    return strings.let(form, lambda f: F.when(f.isNotNull(), made(f)))
 
 
 def translate(df: DataFrame, target: str, text: str = "text", language: str = "map_language", model: str = "translator") -> DataFrame:
