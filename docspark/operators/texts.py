@@ -117,11 +117,21 @@ communicaon communication
 """
 
 
+def _folded(col: Column) -> Column:
+    """Equal for letters that a pattern takes as equal in any case, over ASCII too."""
+    return F.lower(F.upper(F.translate(col, "\u0130", "i")))
+
+
 def _replaced(col: Column, table: str) -> Column:
+    """Rules in turn. A pattern is only tried where its letters stand in the folded text as it is by then."""
+    rules = []
     for pattern, by in (line.split(" ") for line in table.split("\n") if line):
-        edged = pattern.removesuffix(r"\b") + r"(?![\p{L}\p{N}_])" if pattern.endswith(r"\b") else pattern
-        col = F.regexp_replace(col, f"(?iu){edged}", by)
-    return col
+        held = pattern.removesuffix(r"\b")
+        edged = held + r"(?![\p{L}\p{N}_])" if pattern.endswith(r"\b") else pattern
+        rules.append(F.struct(F.lit(held.lower()).alias("held"), F.lit(f"(?iu){edged}").alias("pattern"), F.lit(by).alias("by")))
+    both = lambda text: F.struct(text.alias("text"), _folded(text).alias("low"))
+    step = lambda s, r: F.when(F.contains(s["low"], r["held"]), strings.let(F.regexp_replace(s["text"], r["pattern"], r["by"]), both)).otherwise(s)
+    return F.aggregate(F.array(*rules), strings.let(col, both), step, lambda s: s["text"])
 
 
 def clean_text(df: DataFrame, col: str, dropped: bool = True) -> DataFrame:
@@ -164,16 +174,22 @@ def clean_elements(elements: DataFrame) -> DataFrame:
 def inline_refs(elements: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(id, number, position, pattern): numbers of the column `notes` where they stand like references in `text`; a number
     at a place counts once, by the first pattern that finds it there. Positions count from 0."""
-    rows = None
+    every = "array<struct<turn:int,pattern:string,number:int,position:int>>"
+
+    def places(p: Column, turn: int, name: str) -> Column:
+        step = lambda s, i: F.struct((s["p"] + F.length(F.get(p["cut"], i)) + F.length(F.get(p["whole"], i))).alias("p"), F.concat(s["at"], F.array(s["p"] + F.length(F.get(p["cut"], i)) + F.length(F.get(p["head"], i)))).alias("at"))
+        start = F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("at"))
+        at = F.aggregate(F.sequence(F.lit(0), F.size(p["number"]) - 1), start, step, lambda s: s["at"])
+        return F.zip_with(p["number"], at, lambda n, x: F.struct(F.lit(turn).alias("turn"), F.lit(name).alias("pattern"), n.cast("int").alias("number"), x.alias("position")))
+
+    found = []
     for turn, (name, pattern) in enumerate(REFERENCES):
         head, tail = pattern.split(r"(\d{1,3})")
-        cut = F.split("text", pattern, -1)
-        at = F.regexp_extract_all("text", F.lit(f"({head})" + r"\d{1,3}" + tail), F.lit(1))  # what stands before the number
-        whole, number = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), F.regexp_extract_all("text", F.lit(pattern), F.lit(1))
-        before = F.aggregate(F.sequence(F.lit(0), F.size(number) - 1), F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("at")), lambda s, i: F.struct((s["p"] + F.length(F.get(cut, i)) + F.length(F.get(whole, i))).alias("p"), F.concat(s["at"], F.array(s["p"] + F.length(F.get(cut, i)) + F.length(F.get(at, i)))).alias("at")), lambda s: s["at"])  # noqa: B023
-        one = elements.where(F.col("text").rlike(pattern)).select(id_col, "notes", F.lit(turn).alias("turn"), F.lit(name).alias("pattern"), F.explode(F.arrays_zip(number.alias("number"), before.alias("position"))).alias("r"))
-        one = one.select(id_col, "notes", "turn", "pattern", F.col("r.number").cast("int").alias("number"), F.col("r.position").alias("position"))
-        rows = one if rows is None else rows.unionByName(one)
+        all_ = lambda p, k: F.regexp_extract_all("text", F.lit(p), F.lit(k))
+        parts = F.struct(F.split("text", pattern, -1).alias("cut"), all_(f"({head})" + r"\d{1,3}" + tail, 1).alias("head"), all_(pattern, 0).alias("whole"), all_(pattern, 1).alias("number"))
+        own = strings.let(parts, lambda p: places(p, turn, name))  # noqa: B023
+        found.append(F.when(F.col("text").rlike(pattern), own.cast(every)).otherwise(F.array().cast(every)))
+    rows = elements.select(id_col, "notes", F.explode(F.concat(*found)).alias("r")).select(id_col, "notes", "r.*")
     known = rows.where(F.array_contains("notes", F.col("number")))
     return known.groupBy(id_col, "number", "position").agg(F.min_by("pattern", "turn").alias("pattern"))
 
