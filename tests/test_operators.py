@@ -325,3 +325,12 @@ def test_contaminated_documents_are_reset_whatever_their_length(spark):
     rows = [("a", "GLYPH<1>" * 1000 + "x" * 2000, "indexed"), ("b", "/gid00001" * 10 + "x" * 811, "indexed"), ("c", "/gid00001" * 10 + "x" * 810, "parsed"), ("d", "GLYPH<1>" * 24, "parsed"), ("e", None, "parsed")]
     got = quality.reset_contaminated(spark.createDataFrame(rows, "doc_id string, text string, sys_status string"), "text").collect()
     assert {(r.doc_id, r.sys_status, r.sys_error_message) for r in got} == {(k, "downloaded", "Reset: glyph contamination in parsed output") for k in "ac"}
+
+
+def test_large_tables_are_dealt_into_more_partitions(spark, monkeypatch):
+    from docspark.sources import shared
+
+    monkeypatch.setattr(shared, "ROWS_A_TASK", 10)
+    df = spark.range(100).select(F.col("id").alias("doc_id"))
+    assert shared.dealt(df, "doc_id").rdd.getNumPartitions() == 10 and shared.dealt(df, "doc_id").count() == 100
+    assert shared.dealt(df.where("doc_id < 30"), "doc_id").rdd.getNumPartitions() == df.rdd.getNumPartitions()
