@@ -24,6 +24,7 @@ IN_WORD = r"[\p{L}\p{N}_]"
 # fixed values: words that a query is not split into
 STOP_WORDS = "a an and are as at be by for from has he in is it its of on that the to was will with me about tell".split()
 LEAST_RATIO, WIDER = 0.75, 20
+BLOCK_ROWS, BLOCK_CHARS = 256, 1 << 18  # phrases whose windows are bounded at once, and characters of their texts
 MATCHES = "array<struct<start:int,end:int,text:string,match_type:string,similarity:double>>"
 
 
@@ -114,6 +115,45 @@ def parse_phrases(output: Column) -> Column:
     return F.coalesce(F.from_json(output, "phrases array<string>")["phrases"], F.array().cast("array<string>"))
 
 
+def _alike(phrase: str, window: str) -> float:
+    """SequenceMatcher's ratio. Below 200 characters it leaves out none, and its longest block, the first in the phrase and
+    then in the window, is found by growing what the window holds of each place."""
+    if len(window) >= 200:
+        return SequenceMatcher(None, phrase, window).ratio()
+    total, todo, find = 0, [(0, len(phrase), 0, len(window))], window.find
+    while todo:
+        low, high, left, right = todo.pop()
+        size = first = place = 0
+        for i in range(low, high):
+            if high - i <= size:
+                break
+            while i + size < high and (found := find(phrase[i : i + size + 1], left, right)) >= 0:
+                size, first, place = size + 1, i, found
+        if size:
+            total += size
+            if low < first and left < place:
+                todo.append((low, first, left, place))
+            if first + size < high and place + size < right:
+                todo.append((first + size, high, place + size, right))
+    return 2.0 * total / (len(phrase) + len(window))
+
+
+def _most_alike(text: str, phrase: str, windows, least: float) -> tuple[int, int, float] | None:
+    """windows: (bound, place, size) from the highest bound on."""
+    best = None
+    for bound, at, size in windows:
+        if bound <= least or best and bound < best[0]:
+            break
+        ratio = _alike(phrase, text[at : at + size])
+        if ratio > least and (best is None or (ratio, -at, -size) > best):
+            best = (ratio, -at, -size)
+    return best and (-best[1], -best[1] - best[2], best[0])
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
 def best_window(text: str, phrase: str, least: float = LEAST_RATIO, wider: int = WIDER) -> tuple[int, int, float] | None:
     """(start, end, ratio) of the window as long as the phrase, or `wider` longer, that starts with its first character and
     is most like it; of equal ones the first, and of one place the shorter. Ratios count above `least` alone.
@@ -123,8 +163,8 @@ def best_window(text: str, phrase: str, least: float = LEAST_RATIO, wider: int =
     n = len(phrase)
     if n > len(text):
         return None
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters, often = np.unique(np.frombuffer(phrase.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    codes = _codes(text)
+    letters, often = np.unique(_codes(phrase), return_counts=True)
     starts = np.flatnonzero(codes[: len(codes) - n + 1] == ord(phrase[0]))
     sizes = (n, n + wider)
     shared = [np.zeros(len(starts), np.int64) for _ in sizes]
@@ -134,38 +174,92 @@ def best_window(text: str, phrase: str, least: float = LEAST_RATIO, wider: int =
             total += np.minimum(before[np.minimum(starts + size, len(codes))] - before[starts], k)
     bounds = np.concatenate([np.where(starts + size <= len(codes), 2.0 * total / (n + size), 0.0) for size, total in zip(sizes, shared, strict=True)])
     order = np.lexsort((np.tile(starts, 2), -bounds))
-    best = None
-    for i in order.tolist():
-        if bounds[i] <= least or best and bounds[i] < best[0]:
-            break
-        at, size = int(starts[i % len(starts)]), sizes[i // len(starts)]
-        ratio = SequenceMatcher(None, phrase, text[at : at + size]).ratio()
-        if ratio > least and (best is None or (ratio, -at, -size) > best):
-            best = (ratio, -at, -size)
-    return best and (-best[1], -best[1] - best[2], best[0])
+    return _most_alike(text, phrase, ((bounds[i], int(starts[i % len(starts)]), sizes[i // len(starts)]) for i in order.tolist()), least)
+
+
+def best_windows(texts: list[str], phrases: list[str], least: float = LEAST_RATIO, wider: int = WIDER) -> list[tuple[int, int, float] | None]:
+    """`best_window` of each text and phrase. For phrases of up to 64 characters the bound is the longest common
+    subsequence, as matching blocks are one: it is counted for the windows of all texts at once, a character at a time,
+    with a bit for each place of the phrase."""
+    out: list[tuple[int, int, float] | None] = [None] * len(texts)
+    blocks, room = [[]], BLOCK_CHARS
+    for i, (text, phrase) in enumerate(zip(texts, phrases, strict=True)):
+        if len(phrase) > 64 or len(text) > BLOCK_CHARS:
+            out[i] = best_window(text, phrase, least, wider)
+        elif 0 < len(phrase) <= len(text):
+            if len(blocks[-1]) == BLOCK_ROWS or len(text) > room:
+                blocks.append([])
+                room = BLOCK_CHARS
+            blocks[-1].append(i)
+            room -= len(text)
+    for block in filter(None, blocks):
+        for i, found in zip(block, _short_windows([texts[i] for i in block], [phrases[i] for i in block], least, wider), strict=True):
+            out[i] = found
+    return out
+
+
+def _short_windows(texts: list[str], phrases: list[str], least: float, wider: int) -> list[tuple[int, int, float] | None]:
+    text, phrase = _codes("".join(texts)), _codes("".join(phrases))
+    ends, sizes = np.cumsum([len(t) for t in texts]), np.array([len(p) for p in phrases])
+    row, own = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.repeat(np.arange(len(texts)), sizes)
+    first = np.cumsum(sizes) - sizes
+    number = np.zeros(max(text.max(), phrase.max()) + 1, np.int32)  # of a phrase's letter, 0 for others
+    letters = np.unique(phrase)
+    number[letters] = np.arange(1, len(letters) + 1)
+    places = np.zeros((len(texts), len(letters) + 1), np.uint64)
+    np.bitwise_or.at(places, (own, number[phrase]), np.uint64(1) << (np.arange(len(phrase)) - first[own]).astype(np.uint64))
+    held = np.append(places[row, number[text]], np.zeros(64 + wider, np.uint64))
+    starts = np.flatnonzero((text == phrase[first][row]) & (np.arange(len(text)) + sizes[row] <= ends[row]))
+    starts = starts[np.argsort(-sizes[row[starts]], kind="stable")]
+    n = sizes[row[starts]]
+    state = np.full(len(starts), ~np.uint64(0))
+    exact = state.copy()
+    for k in range(int(n[0]) + wider if len(n) else 0):
+        a, b = np.searchsorted(-n, (-k, -k + 1))
+        exact[a:b] = state[a:b]
+        live = np.searchsorted(-n, wider - k)  # windows that end after k
+        v = state[:live]
+        u = v & held[starts[:live] + k]
+        state[:live] = (v + u) | (v - u)
+    if not wider:
+        exact = state
+    low = ~np.uint64(0) >> (64 - n).astype(np.uint64)
+    at, size = np.tile(starts, 2), np.concatenate([n, n + wider])
+    common = np.tile(n, 2) - np.bitwise_count(np.concatenate([exact, state]) & np.tile(low, 2)).astype(np.int64)
+    bounds = 2.0 * common / (np.tile(n, 2) + size)
+    kept = np.flatnonzero((bounds > least) & (at + size <= ends[row[at]]))
+    kept = kept[np.lexsort((at[kept], -bounds[kept], row[at[kept]]))]
+    windows: dict[int, list] = {}
+    for r, bound, place, long in zip(row[at[kept]].tolist(), bounds[kept].tolist(), (at - (ends - np.diff(ends, prepend=0))[row[at]])[kept].tolist(), size[kept].tolist(), strict=True):
+        windows.setdefault(r, []).append((bound, place, long))
+    return [_most_alike(t, p, windows[r], least) if r in windows else None for r, (t, p) in enumerate(zip(texts, phrases, strict=True))]
 
 
 def locate_phrases(chunks: DataFrame, phrases: DataFrame, id_col: str = "chunk_id", least: float = LEAST_RATIO) -> DataFrame:
     """(id, phrase, start, end, text, similarity): where in its chunk's text, without tags and in any case, each phrase is
     most alike. chunks: id, text; phrases: id, phrase, one row each. Phrases of fewer than three characters, and those
     that nothing is like, have no row. What stands in the text as it is is found by Spark; a task compares the others."""
-    bare = chunks.select(id_col, "text", F.regexp_replace("text", TAG, "").alias("bare"), _tags(F.col("text")).alias("tags"))
+    bare = chunks.select(id_col, "text", F.lower(F.regexp_replace("text", TAG, "")).alias("bare"), _tags(F.col("text")).alias("tags"))
     want = phrases.select(id_col, "phrase", F.lower(F.trim("phrase")).alias("low")).where(F.length("low") >= 3)
-    rows = want.join(bare, id_col).withColumn("bare", F.lower("bare")).withColumn("at", F.position("low", "bare") - 1)
-    exact = rows.where("at >= 0").select("*", (F.col("at") + F.length("low")).alias("to"), F.lit(1.0).alias("similarity"))
-    schema = exact.schema
+    rows = want.join(bare, id_col).withColumn("at", F.position("low", "bare") - 1).where("at >= 0 OR length(low) <= length(bare)")
+    schema = rows.select("*", F.col("at").alias("to"), F.lit(1.0).alias("similarity")).schema
 
     def run(batches):
         for batch in batches:
-            got = [best_window(t, p, least) for t, p in zip(batch["bare"].to_pylist(), batch["low"].to_pylist(), strict=True)]
+            low, at = batch["low"].to_pylist(), batch["at"].to_pylist()
+            got = [(a, a + len(p), 1.0) if a >= 0 else None for a, p in zip(at, low, strict=True)]
+            others = [i for i, g in enumerate(got) if g is None]
+            unlike = batch["bare"].take(pa.array(others, pa.int32())).to_pylist()
+            for i, found in zip(others, best_windows(unlike, [low[i] for i in others], least), strict=True):
+                got[i] = found
             held = batch.filter(pa.array([g is not None for g in got], pa.bool_()))
             at, to, ratio = (list(x) for x in zip(*[g for g in got if g], strict=True)) if len(held) else ([], [], [])
-            cols = [held[c] for c in batch.schema.names if c != "at"] + [pa.array(at, pa.int32()), pa.array(to, pa.int32()), pa.array(ratio, pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*[c for c in batch.schema.names if c != "at"], "at", "to", "similarity"])
+            made = {"at": pa.array(at, pa.int32()), "to": pa.array(to, pa.int32()), "similarity": pa.array(ratio, pa.float64())}
+            yield pa.RecordBatch.from_arrays([made[c] if c in made else held[c] for c in schema.names], names=schema.names)
 
-    fuzzy = rows.where("at < 0 AND length(low) <= length(bare)").mapInArrow(run, schema)
+    found = rows.mapInArrow(run, schema)
     start, end = _original(F.col("tags"), F.col("at")), _original(F.col("tags"), F.col("to") - 1) + 1
-    return exact.unionByName(fuzzy).select(id_col, "phrase", start.alias("start"), end.alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("found"), "similarity").withColumnRenamed("found", "text")
+    return found.select(id_col, "phrase", start.alias("start"), end.alias("end"), F.substring(F.col("text"), start + 1, end - start).alias("found"), "similarity").withColumnRenamed("found", "text")
 
 
 def highlight_boxes(chunks: DataFrame, page: Column | None = None, text: Column | None = None, most: int = 100) -> DataFrame:

@@ -164,3 +164,21 @@ def test_long_texts_without_ends_grow_in_one_pass(spark):
     df = spark.createDataFrame([("a", text, 50000, 50004), ("b", "x. yy  zz aa. b", 7, 9)], "chunk_id string, text string, start int, end int")
     got = {r.chunk_id: (r.start, r.end, len(r.phrase)) for r in layout.expand_phrases(df).collect()}
     assert got == {"a": (0, 99999, 99999), "b": (7, 13, 6)}
+
+
+def test_unlike_phrases_are_not_compared_at_every_place(spark):
+    """Words the wrong way round share their characters with every place: before, the sequence matcher read each."""
+    rng = random.Random(5)
+    cases = [("".join(rng.choice(a) for _ in range(rng.randint(0, 130))), "".join(rng.choice(a) for _ in range(n))) for a in ("ab", "abc ", "abcdéfg😀 ") for n in (1, 3, 9, 40, 63, 64, 65, 80) for _ in range(12)]
+    assert highlights.best_windows(*zip(*cases, strict=True)) == [plain_window(t, p) for t, p in cases]
+    for text, phrase in cases:
+        assert highlights._alike(phrase, text) == SequenceMatcher(None, phrase, text).ratio()
+    words = [rng.choice("alpha brook cedar delta ember frost grove haven".split()) for _ in range(300)]
+    text, phrase = " ".join(words), " ".join(words[40:47][::-1])
+    read, alike = [], highlights._alike
+    highlights._alike = lambda p, w: read.append(w) or alike(p, w)
+    try:
+        assert highlights.best_windows([text], [phrase]) == [plain_window(text, phrase)]
+    finally:
+        highlights._alike = alike
+    assert len(read) < 10 < sum(c == phrase[0] for c in text)
