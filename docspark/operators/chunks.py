@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 from pyspark.sql.window import Window
 
 from docspark.functions import strings
@@ -96,11 +100,36 @@ def split_overlap(docs: DataFrame, col: str, size: int, overlap: int) -> DataFra
     return rows.select("doc_id", "part", F.substring("t", F.col("part") * step + 1, F.lit(size)).alias("text"))
 
 
+def _summed(batches):
+    """Of rows (doc_id, vector), for each stretch of one id in a batch: sums and counts of the vectors' places."""
+    for batch in batches:
+        ids, vectors = batch["doc_id"], batch["vector"]
+        if not len(batch):
+            continue
+        fresh = pc.fill_null(pc.not_equal(ids.slice(1), ids.slice(0, len(ids) - 1)), True).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, fresh))
+        sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values, widths = vectors.flatten(), np.maximum.reduceat(sizes, first)
+        starts = np.cumsum(widths) - widths  # of each stretch's places
+        own = np.repeat(np.cumsum(np.append(0, fresh)), sizes)
+        at = starts[own] + np.arange(len(own)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        there = values.is_valid().to_numpy(zero_copy_only=False)
+        full = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False)
+        n = int(widths.sum())
+        offsets = pa.array(np.append(starts, n), pa.int32())
+        sums, counts = np.bincount(at, full, n), np.bincount(at[there], minlength=n)
+        yield pa.RecordBatch.from_arrays([ids.take(pa.array(first)), *[pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (sums, counts)]], names=["doc_id", "sums", "counts"])
+
+
 def centroid_summary(rows: DataFrame, k: int = 30) -> DataFrame:
     """Per document the k sentences nearest to the mean vector, in their order. rows: doc_id, pos, sentence, vector."""
     from docspark.functions import vectors
 
-    mean = rows.select("doc_id", F.posexplode("vector").alias("i", "x")).groupBy("doc_id", "i").agg(F.avg("x").alias("x"))
+    kind = rows.schema["doc_id"].dataType
+    part = StructType([StructField("doc_id", kind), *_parse_datatype_string("sums array<double>, counts array<long>")])
+    sums = rows.select("doc_id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(_summed, part)
+    parts = sums.select("doc_id", F.posexplode(F.arrays_zip("sums", "counts")).alias("i", "x"))
+    mean = parts.groupBy("doc_id", "i").agg((F.sum("x.sums") / F.nullif(F.sum("x.counts"), F.lit(0))).alias("x"))
     mean = mean.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("mean"))
     near = rows.join(mean, "doc_id").withColumn("near", F.round(vectors.cosine(F.col("vector"), F.col("mean")), 6))
     turn = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("near"), "pos"))

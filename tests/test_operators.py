@@ -334,3 +334,18 @@ def test_large_tables_are_dealt_into_more_partitions(spark, monkeypatch):
     df = spark.range(100).select(F.col("id").alias("doc_id"))
     assert shared.dealt(df, "doc_id").rdd.getNumPartitions() == 10 and shared.dealt(df, "doc_id").count() == 100
     assert shared.dealt(df.where("doc_id < 30"), "doc_id").rdd.getNumPartitions() == df.rdd.getNumPartitions()
+
+
+def test_a_mean_vector_goes_through_sums_of_stretches(spark):
+    """Before, a row for each place of each vector was counted; ids come in any order, and places may be missing."""
+    from docspark.operators import chunks
+
+    rows = [("a", [1.0, 2.0]), ("a", [3.0, None]), ("b", None), ("b", []), ("c", [1.0]), (None, [5.0]), (None, [7.0]), ("a", [5.0, 6.0, 7.0]), ("c", [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "doc_id string, vector array<double>").coalesce(1)
+    got = df.mapInArrow(chunks._summed, "doc_id string, sums array<double>, counts array<long>").collect()
+    assert sorted(map(tuple, (r for r in got if r.doc_id == "a"))) == [("a", [4.0, 2.0], [2, 1]), ("a", [5.0, 6.0, 7.0], [1, 1, 1])]
+    assert [tuple(r) for r in got if r.doc_id == "b"] == [("b", [], [])]
+    assert [tuple(r) for r in got if r.doc_id == "c"] == [("c", [1.0], [1]), ("c", [2.0, 4.0], [1, 1])]
+    assert len([r for r in got if r.doc_id is None]) == 2
+    s = spark.createDataFrame([(d, i, f"s{i}", v) for i, (d, v) in enumerate([("x", [1.0, 0.0]), ("x", [0.0, 1.0]), ("x", [1.0, 0.1]), ("y", None)])], "doc_id string, pos int, sentence string, vector array<float>")
+    assert [tuple(r) for r in chunks.centroid_summary(s, 2).collect()] == [("x", "s0\n---\ns2")]
