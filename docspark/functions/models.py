@@ -57,13 +57,21 @@ def word_overlap(pairs: list) -> list:
 
 
 def named_values(prompts: list) -> list:
-    """For JSON {values: [{code, name}], text}: a JSON array of the values whose name stands in the text, with a reason."""
-    out = []
+    """For JSON {values: [{code, name}], text}: a JSON array of the values whose name stands in the text, with a reason.
+    What comes before the text is read once for prompts that begin alike."""
+    out, read = [], {}
     for prompt in prompts:
-        asked = json.loads(prompt)
-        text = asked["text"].lower()
-        found = [v for v in asked["values"] if v.get("name") and v["name"].lower() in text]
-        out.append(json.dumps([{"code": v["code"], "reason": f"the text names {v['name']}"} for v in found]))
+        head, mark, text = prompt.partition('],"text":')  # quotes within a value are escaped
+        if '"values":[' not in head:
+            head, mark = prompt, ""
+        if (head, mark) not in read:
+            values = json.loads(prompt)["values"]
+            found = [(v["name"].lower(), json.dumps({"code": v["code"], "reason": f"the text names {v['name']}"})) for v in values if v.get("name")]
+            read = {} if len(read) > 100 else read
+            read[head, mark] = found
+        low = json.loads('{"text":' + text if mark else prompt)["text"].lower()
+        held = {name: name in low for name in dict.fromkeys(name for name, _ in read[head, mark])}
+        out.append("[" + ", ".join([item for name, item in read[head, mark] if held[name]]) + "]")
     return out
 
 

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docspark.functions import models
+from docspark.functions import models, strings
 from docspark.operators import chunks, texts
 from docspark.sources.shared import staged
 
@@ -101,6 +101,11 @@ def parse_codes(answer: Column) -> Column:
     return F.transform(given, lambda x: F.struct(x["code"].alias("code"), F.coalesce(x["reason"], F.lit("No reason provided")).alias("reason")))
 
 
+def _first_of_code(items: Column) -> Column:
+    """Of items by code and place, the first of each code."""
+    return F.filter(items, lambda x, i: (i == 0) | (F.get(items, i - 1)["code"] != x["code"]))
+
+
 def tag_taxonomies(docs: DataFrame, taxonomies: DataFrame, model: str = "classifier", window: int = 29_000, reserve: int = 2_000, chars_per_token: int = 2, overhead: int = 500) -> DataFrame:
     """(doc_id, taxonomy, codes, tags) of documents (doc_id, summary): for each taxonomy the values that the model finds.
 
@@ -114,15 +119,18 @@ def tag_taxonomies(docs: DataFrame, taxonomies: DataFrame, model: str = "classif
         raise ValueError(f"more than {TAXONOMY_ROWS} taxonomy values don't fit a prompt")
     values = values.select("taxonomy", F.transform("found", lambda v: F.struct(v["code"].alias("code"), v["name"].alias("name"))).alias("values"))
     room = (window - reserve) * chars_per_token - overhead - F.aggregate("values", F.lit(0), lambda s, v: s + F.length(v["code"]) + F.length(F.coalesce(v["name"], F.lit(""))))
-    asked = docs.where("summary <> ''").select("doc_id", "summary").join(F.broadcast(values.withColumn("room", F.greatest(room, F.lit(1)))))
-    parts = asked.select("doc_id", "taxonomy", "values", F.posexplode(texts.split_balanced(F.col("summary"), F.col("room"))).alias("part", "text"))
-    prompts = parts.select("doc_id", "taxonomy", "part", F.to_json(F.struct("taxonomy", "values", "text")).alias("prompt"))
-    said = models.apply(prompts, model, "prompt", "answer string").select("doc_id", "taxonomy", "part", F.posexplode(parse_codes(F.col("answer"))).alias("place", "item"))
-    first = said.groupBy("doc_id", "taxonomy", "item.code").agg(F.min_by(F.struct("part", "place", F.col("item.reason").alias("reason")), F.struct("part", "place")).alias("first"))
+    values = values.select("taxonomy", F.greatest(room, F.lit(1)).alias("room"), F.to_json(F.struct("taxonomy", "values")).alias("head"))
+    asked = docs.where("summary <> ''").select("doc_id", "summary").join(F.broadcast(values))
+    parts = asked.select("doc_id", "taxonomy", "head", F.posexplode(texts.split_balanced(F.col("summary"), F.col("room"))).alias("part", "text"))
+    prompt = F.concat(F.expr("substr(head, 1, length(head) - 1)"), F.lit(","), F.expr("substr(to_json(struct(text)), 2)"))
+    prompts = parts.select("doc_id", "taxonomy", "part", prompt.alias("prompt"))
+    said = models.apply(prompts, model, "prompt", "answer string").select("doc_id", "taxonomy", "part", parse_codes(F.col("answer")).alias("items"))
+    answers = said.groupBy("doc_id", "taxonomy").agg(F.array_sort(F.collect_list(F.struct("part", "items"))).alias("answers"))
+    in_order = F.transform(F.flatten(F.col("answers.items")), lambda x, i: F.struct(x["code"].alias("code"), i.alias("place"), x["reason"].alias("reason")))
+    first = answers.select("doc_id", "taxonomy", F.explode(strings.let(F.array_sort(in_order), _first_of_code)).alias("item")).select("doc_id", "taxonomy", "item.*")
     names = taxonomies.where("level = 'document'").select("taxonomy", "code", "name")
     known = first.join(F.broadcast(names), ["taxonomy", "code"])
-    row = F.struct("first.part", "first.place", "code", "name", "first.reason")
-    listed = known.groupBy("doc_id", "taxonomy").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    listed = known.groupBy("doc_id", "taxonomy").agg(F.array_sort(F.collect_list(F.struct("place", "code", "name", "reason"))).alias("rows"))
     codes = F.transform("rows", lambda r: F.struct(r["code"].alias("code"), r["name"].alias("name"), r["reason"].alias("reason")))
     tags = F.transform("rows", lambda r: F.when(F.coalesce(r["name"], F.lit("")) != "", F.concat(r["code"], F.lit(" - "), r["name"])).otherwise(r["code"]))
     return listed.select("doc_id", "taxonomy", codes.alias("codes"), tags.alias("tags"))

@@ -196,22 +196,21 @@ def inline_refs(elements: DataFrame, id_col: str = "chunk_id") -> DataFrame:
 
 def split_balanced(text: Column, most: int | Column, reach: int = 200) -> Column:
     """Near-equal parts of at most about `most` characters, each cut after the last blank line within `reach` of its end."""
-    n = F.length(text)
-    parts = F.ceil(n / most).cast("int")
-    size = F.floor(n / parts).cast("int")
+    let = strings.let
 
-    def step(s: Column, i: Column) -> Column:
+    def step(s: Column, last: Column, t: Column, n: Column, size: Column) -> Column:
         end = s["at"] + size
-        low = F.greatest(s["at"], end - reach)
-        window = F.substring(text, low + 1, F.least(n, end + reach) - low)
-        back = F.locate("\n\n", F.reverse(window))  # the last blank line, from the end
-        cut = F.when(back > 0, low + F.length(window) - back + 1).otherwise(end)
-        last = i == parts
-        part = F.when(last, F.substring(text, s["at"] + 1, n)).otherwise(F.substring(text, s["at"] + 1, cut - s["at"]))
-        return F.struct(cut.cast("int").alias("at"), F.concat(s["done"], F.array(part)).alias("done"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done"))
-    return F.when(n <= most, F.array(text)).otherwise(F.aggregate(F.sequence(F.lit(1), parts), start, step, lambda s: s["done"]))
+        took = lambda cut: F.struct(cut.alias("at"), F.concat(s["done"], F.array(F.substring(t, s["at"] + 1, F.when(last, n).otherwise(cut - s["at"])))).alias("done"))
+        cut = lambda low, window, back: F.when(back > 0, low + F.length(window) - back + 1).otherwise(end).cast("int")
+        within = lambda low, window: let(F.locate("\n\n", F.reverse(window)), lambda back: let(cut(low, window, back), took))  # noqa: E731  the last blank line, from the end
+        return let(F.greatest(s["at"], end - reach), lambda low: let(F.substring(t, low + 1, F.least(n, end + reach) - low), lambda window: within(low, window)))
+
+    def cut_up(t: Column, n: Column, parts: Column, size: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("done"))
+        return F.aggregate(F.sequence(F.lit(1), parts), start, lambda s, i: step(s, i == parts, t, n, size), lambda s: s["done"])
+
+    sized = lambda t, n: let(F.ceil(n / most).cast("int"), lambda parts: let(F.floor(n / parts).cast("int"), lambda size: cut_up(t, n, parts, size)))
+    return let(text, lambda t: let(F.length(t), lambda n: F.when(n <= most, F.array(t)).otherwise(sized(t, n))))
 
 
 def parse_labels(outputs: DataFrame, col: str = "output") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from docspark.operators import summaries, texts
 from docspark.plans.registry import query
-from docspark.plans.views import view
+from docspark.plans.views import spread, view
 
 # (doc_id, tax, part, text): a text `t` cut into k near-equal parts, each after the last blank line within 200 of its end
 SPLIT = """s AS (SELECT *, length(t) AS n, CAST(ceil(length(t) / most) AS INT) AS k FROM whole WHERE length(t) > 0),
@@ -60,7 +60,7 @@ f AS (SELECT doc_id, tax, ord, code, name, min(part) AS part FROM parts JOIN v O
 SELECT doc_id, tax AS taxonomy, string_agg(code || ' - ' || name, '; ' ORDER BY part, ord) AS tags, string_agg('the text names ' || name, '; ' ORDER BY part, ord) AS reasons FROM f GROUP BY 1, 2""")
 def t31(spark, sf):
     values = spark.sql(TAXONOMY, benchmark=spark.read.parquet(f"{sf}/benchmark.parquet"))
-    d = view(spark, sf, "v_docs").select("doc_id", F.col("sys_full_summary").alias("summary"))
+    d = spread(view(spark, sf, "v_docs").select("doc_id", F.col("sys_full_summary").alias("summary")))
     got = summaries.tag_taxonomies(d, values, window=2500, reserve=500)
     return got.select("doc_id", "taxonomy", F.array_join("tags", "; ").alias("tags"), F.array_join(F.transform("codes", lambda c: c["reason"]), "; ").alias("reasons"))
 

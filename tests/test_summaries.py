@@ -6,9 +6,10 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from docspark.functions import models
-from docspark.operators import summaries
+from docspark.operators import summaries, texts
 
 
 def sentences_of(rng, n):
@@ -129,3 +130,19 @@ def test_tags_of_selected_documents_are_replaced(spark):
     old = summaries.tag_taxonomies(spark.createDataFrame([(i, "hunger and water") for i in (1, 2, 3)], "doc_id int, summary string"), tax)
     got = summaries.renew_tags(docs, old, tax, docs["doc_id"] != 2).collect()
     assert sorted((r.doc_id, r.tags[0]) for r in got) == [(1, "a - Water"), (2, "a - Water"), (2, "s2 - Hunger"), (3, "a - Water"), (3, "s2 - Hunger"), (4, "s2 - Hunger")]
+
+
+def test_prompts_that_begin_alike_and_lengths_are_read_once(spark, monkeypatch):
+    """Before, the model read the values of each prompt, and a text's length was counted wherever its parts name it."""
+    values = [{"code": f"c{i}", "name": n} for i, n in enumerate(["Water", 'a"],"text":', "hunger"])]
+    asked = [{"taxonomy": t, "values": values, "text": x} for x in ("WATER and hunger", 'a"],"text":', "") for t in ("p", 'q],"text":')]
+    prompts = [json.dumps(a, separators=s) for a in asked for s in ((",", ":"), None)] + [json.dumps({"text": "x] water", "values": values[:1]})]
+    want = [[v["code"] for v in json.loads(p)["values"] if v["name"].lower() in json.loads(p)["text"].lower()] for p in prompts]
+    assert [[c["code"] for c in json.loads(x)] for x in models.named_values(prompts)] == want
+    seen, loads = [], json.loads
+    monkeypatch.setattr(models.json, "loads", lambda x: seen.append(x) or loads(x))
+    models.named_values([json.dumps({"values": values, "text": str(i)}, separators=(",", ":")) for i in range(50)])
+    assert sum('"values"' in x for x in seen) == 1
+    df = spark.createDataFrame([("ab\n\ncd" * 30,), ("",), (None,)], "t string")
+    plan = df.select(texts.split_balanced(F.col("t"), 50, 20).alias("parts"))._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("CEIL(") == 1
