@@ -37,8 +37,8 @@ END_ID = 1
 ROUNDS = 8
 FEW = 48  # lengths whose configurations are averaged over rounds
 TURNS, RATES, GAP = 6000, (0.3, 0.1, 0.03, 0.01), 1e-4  # of an average; of its weights; between mass and bound, where rounds end
-CACHE_BYTES = 64 << 20  # of words whose ids a worker keeps, in two generations
-SLICE_ROWS = 512  # texts held as Python strings at once
+CACHE_BYTES = 32 << 20  # of words whose ids a worker keeps, in two generations
+SLICE_ROWS = 512  # texts that a worker gets at once
 TOKENIZER = "word_bpe_49k.json"
 LOG = logging.getLogger(__name__)
 
@@ -361,7 +361,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A document is its ids and the end id 1; a null or empty text is the end id alone. Only documents over `limit` are
     cut. Repeated rows are packed each; other columns are ignored; an empty table gives an empty result."""
-    return pack(stage(tokenised(docs, id_col, text_col, limit, tokenizer, with_ids)), limit)
+    return pack(stage(tokenised(docs, id_col, text_col, limit, tokenizer, with_ids), SLICE_ROWS), limit)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -607,3 +607,13 @@ def test_pipeline_drops_what_each_stage_should(spark, tmp_path):
     assert {x.doc_id for x in rows} == {i for i in range(150) if i % 5} | {500, 504}
     check_packed(rows, 4096)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "decontamination", "packing"]
+
+
+def test_packing_hands_texts_to_workers_in_small_batches(spark, monkeypatch):
+    """Before, a worker got ten thousand texts at once."""
+    from docspark.llm import packing
+
+    seen, stage = [], packing.stage
+    monkeypatch.setattr(packing, "stage", lambda df, rows=None: seen.append(rows) or stage(df, rows))
+    docs = spark.createDataFrame([(i, "a few words") for i in range(1200)], "doc_id long, text string")
+    assert packing.pack_documents(docs).count() == 1200 and seen == [packing.SLICE_ROWS]
