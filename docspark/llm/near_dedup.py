@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.bytewise import STEP, Digests, mix64, pieces, release, seeded
 from docspark.llm.components import components
-from docspark.llm.sieve import sieve, thin
+from docspark.llm.sieve import holding, sieve
 from docspark.llm.staging import drop_stage, for_each_row, one_row_per_id, stage, table, without
 
 BANDS, ROWS = 40, 3  # rows are permutations: two values each
@@ -48,12 +48,15 @@ def _shingles(h: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray,
     return got, offs
 
 
-def _sets(docs: DataFrame, width: int, made, schema: str) -> DataFrame:
-    """Rows that `made(ids, sets, offs)` gives for the documents of a piece, whose distinct shingles are sorted."""
+def _sets(docs: DataFrame, width: int, made, schema: str, only=None) -> DataFrame:
+    """Rows that `made(ids, sets, offs)` gives for the documents of a piece, whose distinct shingles are sorted; with a
+    sieve `only`, of those that it lets through."""
 
     def run(batches):
         digests = Digests(folded=True)
         for batch in batches:
+            if only is not None:  # here and not by `thin`, whose own Python workers would stay beside these
+                batch = holding(batch, only.value, "doc_id")
             for p in pieces(batch, "doc_id", "text"):
                 got, offs = _shingles(*digests.of(p), width)
                 at = [a + np.unique(got[0, a:b], return_index=True)[1] for a, b in zip(offs[:-1], offs[1:], strict=True)]
@@ -100,13 +103,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return _sets(docs, width, made, "doc_id long, n long, f1 long, f2 long, bands array<long>")
 
 
-def _packed(docs: DataFrame, width: int) -> DataFrame:
-    """Per document its full set, sorted and packed."""
+def _packed(docs: DataFrame, width: int, only=None) -> DataFrame:
+    """Per document its full set, sorted and packed; with a sieve `only`, for those that it lets through."""
 
     def made(ids, got, offs):
         return pa.RecordBatch.from_arrays([pa.array(ids), pa.array([got[:, a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary())], names=["id", "packed"])
 
-    return _sets(docs, width, made, "id long, packed binary")
+    return _sets(docs, width, made, "id long, packed binary", only)
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, made, schema: str) -> DataFrame:
@@ -240,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     met = stage(keys.join(shared, "key"))
     drawn = met.groupBy("doc_id").agg(F.sum("members").alias("pull"))
     buckets = stage(met.drop("members").join(drawn, "doc_id"))
-    sets = stage(_packed(thin(docs, sieve(buckets.select("doc_id").distinct()), "doc_id"), width), 4 * SET_ROWS)
+    sets = stage(_packed(docs, width, sieve(buckets.select("doc_id").distinct())), 4 * SET_ROWS)
     similar = (F.col("n") * 100 >= F.col("m") * threshold) & (F.col("m") * 100 >= F.col("n") * threshold)
     pair = [F.least("doc_id", "other").alias("u"), F.greatest("doc_id", "other").alias("v")]
     tested, links, of, done = None, None, None, [signed, classes, met, buckets, sets]

@@ -331,7 +331,8 @@ def pack(pieces: DataFrame, limit: int = LIMIT, rounds: int = ROUNDS) -> DataFra
     sent = spark.sparkContext.broadcast(intervals)
     unit = max(1, -(-total // (4 * parts)))  # rows of a slice
     slices = F.greatest(F.lit(1), F.ceil(F.col("rows") / unit)).cast("long")
-    sizes = F.broadcast(spark.createDataFrame([(k, n) for k, n in histogram.items()], "length long, rows long").withColumn("slices", slices).drop("rows"))  # `limit` rows at most
+    rows = pa.table({"length": pa.array(histogram.keys(), pa.int64()), "rows": pa.array(histogram.values(), pa.int64())})  # a list would start Python workers of another kind
+    sizes = F.broadcast(spark.createDataFrame(rows).withColumn("slices", slices).drop("rows"))  # `limit` rows at most
     salted = pieces.join(sizes, "length").withColumn("slice", F.pmod(F.xxhash64("doc_id", "piece"), F.col("slices"))).drop("slices")
     counts = salted.groupBy("length", "slice").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)

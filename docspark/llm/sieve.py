@@ -55,13 +55,18 @@ def sieve(ids: DataFrame):
     return spark.sparkContext.broadcast(Sieve(words))
 
 
+def holding(batch: pa.RecordBatch, kept: Sieve, id_col: str) -> pa.RecordBatch:
+    """The rows of `batch` whose id may be in `kept`."""
+    ids = batch.column(batch.schema.get_field_index(id_col))
+    mask = kept.keeps(ids.fill_null(0).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros(0, bool)
+    return batch.filter(pa.array(mask))
+
+
 def thin(docs: DataFrame, kept, id_col: str) -> DataFrame:
     """The rows of `docs` whose id may be in the sieve `kept`."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(id_col))
-            mask = kept.value.keeps(ids.fill_null(0).to_numpy(zero_copy_only=False)) if len(batch) else np.zeros(0, bool)
-            yield batch.filter(pa.array(mask))
+            yield holding(batch, kept.value, id_col)
 
     return docs.mapInArrow(run, docs.schema)

@@ -617,3 +617,37 @@ def test_packing_hands_texts_to_workers_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(packing, "stage", lambda df, rows=None: seen.append(rows) or stage(df, rows))
     docs = spark.createDataFrame([(i, "a few words") for i in range(1200)], "doc_id long, text string")
     assert packing.pack_documents(docs).count() == 1200 and seen == [packing.SLICE_ROWS]
+
+
+def chained_python(plan):
+    """The most Python operators on a way through `plan` without an exchange between them: tasks of that stage need as many workers each."""
+    most, above = 0, []
+    for line in plan.split("\n"):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth]
+        name = re.sub(r"^\W*(\*\s*)?(\(\d+\)\s*)?", "", line)
+        n = above[-1][1] if above else 0
+        n = 0 if re.match(r"\w*Exchange", name) else n + bool(re.match("MapInArrow|MapInPandas|ArrowEvalPython|BatchEvalPython", name))
+        above.append((depth, n))
+        most = max(most, n)
+    return most
+
+
+def test_stages_of_the_pipeline_need_one_python_worker_a_task(spark, monkeypatch):
+    """Before, near dedup chained two, which stayed when packing made them all hold words; and the list of lengths started
+    workers of RDDs beside those."""
+    from docspark.llm import near_dedup
+
+    plans, lists = [], []
+    for module in (near_dedup, packing):
+        monkeypatch.setattr(module, "stage", lambda df, rows=None, f=module.stage: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df, rows))
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choice("abcdefgh") for _ in range(60))) for i in range(40)]
+    docs = spark.createDataFrame(docs + [(i + 100, t + " end") for i, t in docs[:20]], "doc_id long, text string")
+    make = type(spark).createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **b: lists.append(type(data)) or make(self, data, *a, **b))
+    kept = near_dedup.drop_near_copies(docs)
+    packed = packing.pack_documents(kept)
+    assert {x.doc_id for x in packed.collect()} == set(range(40))
+    assert sum("MapInArrow" in x for x in plans) >= 3 and max(map(chained_python, plans)) == 1
+    assert list not in lists
