@@ -155,6 +155,20 @@ except (AttributeError, OSError):  # another C library
     _trim = None
 
 
+def stretches(batch: pa.RecordBatch, id_col: str, text_col: str, limit: int = PIECE_BYTES, rows: int = SLICE_ROWS) -> Iterator[tuple[pa.Array, pa.LargeBinaryArray]]:
+    """Ids and texts of a batch, at most `limit` bytes and `rows` rows at a time but never less than one; null texts are empty."""
+    ids = batch.column(id_col)
+    for low in range(0, len(batch), rows):
+        texts = batch.column(text_col).slice(low, rows)
+        texts = (texts.fill_null("") if texts.null_count else texts).cast(pa.large_binary())
+        n, at = len(texts), 0
+        offs = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        while at < n:
+            to = max(at + 1, int(np.searchsorted(offs, offs[at] + limit, "right")) - 1)
+            yield ids.slice(low + at, to - at), texts.slice(at, to - at)
+            at = to
+
+
 def pieces(batch: pa.RecordBatch, id_col: str, text_col: str, limit: int = PIECE_BYTES, rows: int = SLICE_ROWS) -> Iterator[Piece]:
     """Documents of a batch, at most `limit` bytes and `rows` rows at a time but never less than one; null texts are empty."""
     forget()

@@ -16,20 +16,23 @@ spreads over the cluster.
 
 from __future__ import annotations
 
+import itertools
 import logging
 import math
-import struct
+import re
+import string
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from docspark.llm.bytewise import kept, release
+from docspark.llm.bytewise import WHITE, kept, release, stretches
 from docspark.llm.staging import stage, table
 
 LIMIT = 4096
@@ -37,8 +40,9 @@ END_ID = 1
 ROUNDS = 8
 FEW = 48  # lengths whose configurations are averaged over rounds
 TURNS, RATES, GAP = 6000, (0.3, 0.1, 0.03, 0.01), 1e-4  # of an average; of its weights; between mass and bound, where rounds end
-CACHE_BYTES = 32 << 20  # of words whose ids a worker keeps, in two generations
+CACHE_BYTES = 6 << 20  # of words and their ids that a worker keeps
 SLICE_ROWS = 512  # texts that a worker gets at once
+SLICE_BYTES = 1 << 20  # of them whose words are told apart at once
 TOKENIZER = "word_bpe_49k.json"
 LOG = logging.getLogger(__name__)
 
@@ -50,46 +54,95 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+def _joined(words: np.ndarray, at: np.ndarray) -> pa.LargeBinaryArray:
+    """Byte strings that follow each other in `words`, each beginning where `at` says and ending where the next does."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def _parts(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array, and where each of its strings begins (one more at the end)."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
 def _encoder(path: str):
-    """Bytes of a text -> its ids as little-endian unsigned 32-bit numbers; the tokenizer and the words that it has
-    encoded live as long as the function.
+    """Bytes of a text -> its ids as little-endian unsigned 32-bit numbers; `each` of it takes an array of texts. The
+    tokenizer and the words that it has encoded live as long as the function.
 
-    The tokenizer never joins ids over white space, nor a Latin letter that stays one in lower case with a full stop or
-    comma after it, so words are encoded once and kept. A word of plain Latin letters is one pre-token and goes straight
-    to the merges; any other takes the tokenizer's whole way."""
+    The tokenizer never joins ids over white space, nor a Latin letter that stays one in lower case with a mark after it
+    but an apostrophe, so texts are cut there, and each different word of an array is looked up once among the known ones.
+    A word of plain Latin letters is one pre-token and goes straight to the merges; any other takes the tokenizer's whole
+    way. Words are kept as Arrow arrays; when they are too many, those that did not occur since the last time go."""
     from tokenizers import Tokenizer
 
-    tok, known, old, size = Tokenizer.from_file(path), {}, {}, 0
-    merge, letters = tok.model.tokenize, _byte_letters()
-
-    def one(word: str) -> bytes:
-        low = word.lower()
-        if word.isalpha() and max(word) < "\u0130" and len(low) == len(word):
-            ids = [t.id for t in merge(low if low.isascii() else "".join([letters[b] for b in low.encode()]))]
-        else:
-            ids = tok.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    marks = {x.encode(): one(x) for x in ".,"}
-
-    def miss(raw: bytes) -> bytes:
-        """Words come in two generations: a full one becomes the old one, and words of the old one that occur return. A word
-        with a stop behind is not kept, as the two are joined at once: the next one splits in lower case."""
-        nonlocal known, old, size
-        if (mark := marks.get(raw[-1:])) and len(raw) > 1 and (last := raw.decode("utf-8", "replace")[-2]).isalpha() and last < "\u0130":
-            body = raw[:-1]
-            return (known.get(body) or miss(body)) + mark
-        got = old.get(raw) or one(raw.decode("utf-8", "replace"))
-        if len(raw) <= 64:
-            size += len(raw) + len(got) + 160
-            if size > CACHE_BYTES // 2:
-                known, old, size = {}, known, len(raw) + len(got) + 160
-            known[raw] = got
+    tok = Tokenizer.from_file(path)
+    merge, letters, plain = tok.model.tokenize, _byte_letters(), re.compile("[A-Za-zªµºÀ-ÖØ-öø-\u012f]+").fullmatch
+    special = "".join(t.content for t in tok.get_added_tokens_decoder().values())
+    letter, mark = np.zeros((2, 256), bool)
+    letter[list(string.ascii_letters.encode())] = True
+    mark[[ord(x) for x in string.punctuation if x != "'" and x not in special]] = True
+    lower = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+    none = pa.array([], pa.large_binary())
+    known, ids_of, used = none, none, np.zeros(0, bool)
+
+    def one(word: str) -> list[int]:
+        if plain(word):
+            word = word.lower()
+            return [t.id for t in merge(word if word.isascii() else "".join([letters[b] for b in word.encode()]))]
+        return tok.encode(word, add_special_tokens=False).ids
+
+    def folded(words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """Words of A-Z and a-z alone in lower case, as the tokenizer has them."""
+        buf, at = _parts(words)
+        low = np.logical_and.reduceat(letter[buf], at[:-1])
+        return _joined(np.where(np.repeat(low, np.diff(at)), lower[buf], buf), at)
+
+    def looked_up(words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
+        """The ids of different words."""
+        nonlocal known, ids_of, used
+        at = pc.index_in(words, known).fill_null(-1).to_numpy()
+        new = at < 0
+        used[at[~new]] = True
+        if new.any():
+            more = words.filter(pa.array(new))
+            ids = [one(w) for w in b" ".join(more.to_pylist()).decode("utf-8", "replace").split(" ")]
+            ends = np.cumsum([0, *map(len, ids)]) * 4
+            more_ids = _joined(np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1] // 4).view(np.uint8), ends)
+            if known.nbytes + ids_of.nbytes + more.nbytes + more_ids.nbytes > CACHE_BYTES:
+                at = np.where(new, -1, (np.cumsum(used) - 1)[at] if len(used) else at)
+                known, ids_of = known.filter(pa.array(used)), ids_of.filter(pa.array(used))
+                used = np.zeros(len(known), bool)
+            at = np.where(new, len(known) + np.cumsum(new) - 1, at)
+            known, ids_of, used = pa.concat_arrays([known, more]), pa.concat_arrays([ids_of, more_ids]), np.append(used, np.ones(len(more), bool))
+        got = ids_of.take(pa.array(at))
+        if known.nbytes + ids_of.nbytes > CACHE_BYTES:  # all of them occurred since
+            known, ids_of, used = none, none, np.zeros(0, bool)
         return got
 
+    def each(texts: pa.LargeBinaryArray) -> list[bytes]:
+        buf, offs = _parts(texts)
+        inside = ~WHITE[buf]
+        start = inside.copy()
+        start[1:] &= ~inside[:-1] | letter[buf[:-1]] & mark[buf[1:]]
+        edge = offs[:-1][offs[:-1] < len(buf)]
+        start[edge] = inside[edge]
+        begin = np.flatnonzero(start)
+        if not len(begin):
+            return [b""] * len(texts)
+        first = np.searchsorted(begin, offs)
+        ends = np.cumsum(inside, dtype=np.int32)  # of words without the space between
+        words = _joined(buf[inside], np.append(ends[begin] - 1, ends[-1])).dictionary_encode()
+        del inside, start, begin, ends
+        names = folded(words.dictionary).dictionary_encode()
+        ids = looked_up(names.dictionary).take(names.indices).take(words.indices)
+        data, at = _parts(ids)
+        to = at[first].tolist()
+        return [data[x:y].tobytes() for x, y in zip(to[:-1], to[1:], strict=True)]
+
     def encode(text: bytes) -> bytes:
-        return b"".join([known.get(w) or miss(w) for w in text.split()])  # `known` changes while this runs
+        return each(pa.array([text], pa.large_binary()))[0]
 
+    encode.each = each
     return encode
 
 
@@ -102,10 +155,9 @@ def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out = []
-            for at in range(0, len(batch), SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                for i, text in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.large_binary()).to_pylist(), strict=True):
-                    ids = encode(text or b"") + end
+            for own, texts in stretches(batch, "doc_id", "text", SLICE_BYTES, SLICE_ROWS):
+                for i, ids in zip(own.to_pylist(), encode.each(texts), strict=True):
+                    ids += end
                     for k, a in enumerate(range(0, len(ids), 4 * limit)):
                         piece = ids[a : a + 4 * limit]
                         out.append((i, k, a // 4, len(piece) // 4, zlib.crc32(piece), piece if with_ids else None))

@@ -18,6 +18,7 @@ from urllib.parse import urljoin
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -175,6 +176,40 @@ def test_words_with_odd_stops_get_the_tokenizers_ids():
         assert np.frombuffer(encode(t.encode()), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 
+def test_a_word_is_merged_once_whatever_its_case_and_marks(monkeypatch):
+    """Before, each notation of a word was a word of its own, and one with other marks than a stop or comma took the whole way."""
+    import tokenizers
+
+    asked = []
+
+    class Told:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, name):
+            got = getattr(self.of, name)
+            return Told(got) if name == "model" else got if name not in ("tokenize", "encode") else lambda x, *a, **b: asked.append(x) or got(x, *a, **b)
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    monkeypatch.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": staticmethod(lambda p: Told(Tokenizer.from_file(p)))}))
+    text = "Word word WORD word; wOrd: word. word... word"
+    assert np.frombuffer(packing._encoder(path)(text.encode()), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert sorted(asked) == [".", "...", ":", ";", "word"]
+
+
+@pytest.mark.parametrize("room", [1, 3000, 12 << 20])
+def test_texts_in_slices_get_the_tokenizers_ids_whatever_words_are_kept(monkeypatch, room):
+    monkeypatch.setattr(packing, "CACHE_BYTES", room)
+    path, r = public_tokenizers.path(packing.TOKENIZER), random.Random(8)
+    tok, encode = Tokenizer.from_file(path), packing._encoder(path)
+    words = ["".join(r.choice("aBzéÉßİıΣς.,'*|<>\u0331H") for _ in range(r.randrange(1, 7))) for _ in range(120)] + ["<|ENDOFTEXT|>", "a<|endoftext|>b"]
+    for _ in range(30):
+        texts = ["".join(r.choice(words) + r.choice(["", " ", "\n", "  "]) for _ in range(r.randrange(8))) for _ in range(20)] + ["", " ", ".a"]
+        got = encode.each(pa.array([t.encode() for t in ["x", *texts]], pa.large_binary())[1:])
+        for t, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
+
+
 def test_a_plan_does_not_grow_with_the_pieces():
     r = random.Random(4)
     lens = {k: r.randrange(1, 40) for k in range(1, 600, 7)}
