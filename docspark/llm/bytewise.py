@@ -70,6 +70,38 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (size - span)], x[size - span :]) if size > span else x
 
 
+def joined(words: np.ndarray, at: np.ndarray) -> pa.LargeBinaryArray:
+    """Byte strings that follow each other in `words`, each beginning where `at` says and ending where the next does."""
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(words))])
+
+
+def parts(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array, and where each of its strings begins (one more at the end)."""
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
+
+
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def fingerprints(words: pa.LargeBinaryArray) -> np.ndarray:
+    """64 bits of each byte string, the same in every process: a polynomial of its bytes, mixed. Equal strings have equal
+    ones; others nearly always differ, so they deal strings out but don't prove them equal."""
+    value, out, low = seeded(11, 256), [], 0
+    buf, at = parts(words)
+    while low < len(words):
+        to = max(low + 1, int(np.searchsorted(at, at[low] + (1 << 20), "right")) - 1)
+        own, ends = buf[at[low] : at[to]], at[low : to + 1] - at[low]
+        n = len(own) + 1
+        sums, power = np.zeros(n, np.uint64), np.full(n, _BASE, np.uint64)
+        power[0] = 1
+        np.cumsum(value[own] * np.cumprod(power)[:-1], out=sums[1:])
+        power[1:] = _BACK
+        out.append(mix64(np.diff(sums[ends]) * np.cumprod(power)[ends[:-1]] + np.diff(ends).astype(np.uint64) * STEP))
+        low = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 class Digests:
     """Digests of the words of pieces, as two columns of 64 bits. Those seen are kept in bounded memory for as long as
     the object lives, which is a task."""
@@ -121,6 +153,10 @@ class Piece:
         close = np.flatnonzero(edge & inside[:-1])
         return begin, close, np.searchsorted(begin, self.offs)
 
+    def different(self, begin: np.ndarray, close: np.ndarray) -> pa.DictionaryArray:
+        """All words in order, given their bounds: the different ones, and which of them each word is."""
+        return joined(self.buf[~WHITE[self.buf]], np.concatenate([[0], np.cumsum(close - begin)])).dictionary_encode()
+
     def doc_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.offs, at, "right") - 1
 

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from docspark.llm.bytewise import WHITE, kept, release, stretches
+from docspark.llm.bytewise import WHITE, joined, kept, parts, release, stretches
 from docspark.llm.staging import stage, table
 
 LIMIT = 4096
@@ -54,17 +54,6 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
-def _joined(words: np.ndarray, at: np.ndarray) -> pa.LargeBinaryArray:
-    """Byte strings that follow each other in `words`, each beginning where `at` says and ending where the next does."""
-    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(words))])
-
-
-def _parts(words: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of an array, and where each of its strings begins (one more at the end)."""
-    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
-    return np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at - at[0]
-
-
 def _encoder(path: str):
     """Bytes of a text -> its ids as little-endian unsigned 32-bit numbers; `each` of it takes an array of texts. The
     tokenizer and the words that it has encoded live as long as the function.
@@ -93,9 +82,9 @@ def _encoder(path: str):
 
     def folded(words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
         """Words of A-Z and a-z alone in lower case, as the tokenizer has them."""
-        buf, at = _parts(words)
+        buf, at = parts(words)
         low = np.logical_and.reduceat(letter[buf], at[:-1])
-        return _joined(np.where(np.repeat(low, np.diff(at)), lower[buf], buf), at)
+        return joined(np.where(np.repeat(low, np.diff(at)), lower[buf], buf), at)
 
     def looked_up(words: pa.LargeBinaryArray) -> pa.LargeBinaryArray:
         """The ids of different words."""
@@ -107,7 +96,7 @@ def _encoder(path: str):
             more = words.filter(pa.array(new))
             ids = [one(w) for w in b" ".join(more.to_pylist()).decode("utf-8", "replace").split(" ")]
             ends = np.cumsum([0, *map(len, ids)]) * 4
-            more_ids = _joined(np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1] // 4).view(np.uint8), ends)
+            more_ids = joined(np.fromiter(itertools.chain.from_iterable(ids), "<u4", ends[-1] // 4).view(np.uint8), ends)
             if known.nbytes + ids_of.nbytes + more.nbytes + more_ids.nbytes > CACHE_BYTES:
                 at = np.where(new, -1, (np.cumsum(used) - 1)[at] if len(used) else at)
                 known, ids_of = known.filter(pa.array(used)), ids_of.filter(pa.array(used))
@@ -120,7 +109,7 @@ def _encoder(path: str):
         return got
 
     def each(texts: pa.LargeBinaryArray) -> list[bytes]:
-        buf, offs = _parts(texts)
+        buf, offs = parts(texts)
         inside = ~WHITE[buf]
         start = inside.copy()
         start[1:] &= ~inside[:-1] | letter[buf[:-1]] & mark[buf[1:]]
@@ -131,11 +120,11 @@ def _encoder(path: str):
             return [b""] * len(texts)
         first = np.searchsorted(begin, offs)
         ends = np.cumsum(inside, dtype=np.int32)  # of words without the space between
-        words = _joined(buf[inside], np.append(ends[begin] - 1, ends[-1])).dictionary_encode()
+        words = joined(buf[inside], np.append(ends[begin] - 1, ends[-1])).dictionary_encode()
         del inside, start, begin, ends
         names = folded(words.dictionary).dictionary_encode()
         ids = looked_up(names.dictionary).take(names.indices).take(words.indices)
-        data, at = _parts(ids)
+        data, at = parts(ids)
         to = at[first].tolist()
         return [data[x:y].tobytes() for x, y in zip(to[:-1], to[1:], strict=True)]
 

@@ -2,7 +2,8 @@
 
 A window's minimiser is the least hash among its grams of four words. Consecutive windows that share it form a
 super-k-mer and travel as one packed string to the minimiser's bucket, about three times the text in all instead of
-fifty. Equal windows have equal minimisers, so each bucket is sorted and counted on its own, and it is exact.
+fifty. Equal windows have equal minimisers, so each bucket is sorted and counted on its own, and it is exact. Words are
+compared as bytes within a piece or block, and buckets of one document, most of them, are passed over.
 
 Map tasks first deduplicate what they read: of equal windows in a piece only those of the smallest document go on, so a
 passage in a third of all documents sends a row per piece and not per document.
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm.bytewise import Digests, Piece, pieces, runs, sliding_min
+from docspark.llm.bytewise import Piece, fingerprints, pieces, runs, seeded, sliding_min
 from docspark.llm.sieve import sieve, thin
 from docspark.llm.spans import CUT_SCHEMA, SPANS, blocks, cover, super_kmers, told
 from docspark.llm.staging import for_each_row, one_row_per_id, stage, table
@@ -27,25 +28,32 @@ BLOCK_BYTES = 4 << 20  # of super-k-mers, counted at once
 CUT_BYTES = 2 << 20  # of documents
 
 
-def _windows(p: Piece, window: int, digests: Digests) -> tuple:
-    """Bounds of words, where documents' words begin, word digests, and where all windows start with their document."""
+def _windows(p: Piece, window: int) -> tuple:
+    """Bounds of words, where documents' words begin, the words told apart, and where all windows start with their document."""
     begin, close, first = p.words()
-    h, _ = digests.of(p)
     room = np.maximum(np.diff(first) - window + 1, 0)
     at = np.repeat(first[:-1] - np.concatenate([[0], np.cumsum(room)[:-1]]), room) + np.arange(room.sum())
-    return begin, close, first, h, at, np.repeat(np.arange(len(p)), room)
+    return begin, close, first, p.different(begin, close), at, np.repeat(np.arange(len(p)), room)
 
 
-def _late(h: np.ndarray, at: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
-    """Windows whose words, by 128 bits, also start in a smaller id."""
+def _late(words: pa.DictionaryArray, at: np.ndarray, ids: np.ndarray, window: int) -> np.ndarray:
+    """Windows whose words, by 128 bits of their numbers, also start in a smaller id."""
+    late = np.zeros(len(at), bool)
     if not len(at):
-        return np.zeros(0, bool)
-    key, second = (runs(h[:, lane], window, lane)[at] for lane in range(2))
+        return late
+    which, n = words.indices.to_numpy(), len(words.dictionary)
+    key = runs(seeded(0, n)[which], window, 0)[at]
+    order = np.argsort(key)
+    twin = key[order][1:] == key[order][:-1]
+    some = order[np.append(twin, False) | np.append(False, twin)]  # others have no equal
+    if not len(some):
+        return late
+    second = runs(seeded(1 << 30, n)[which], window, 1)[at[some]]
+    key, ids = key[some], ids[some]
     order = np.lexsort((ids, second, key))
     same = np.zeros(len(key), bool)
     same[1:] = (key[order][1:] == key[order][:-1]) & (second[order][1:] == second[order][:-1])
-    late = np.zeros(len(key), bool)
-    late[order] = ids[order] > ids[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
+    late[some[order]] = ids[order] > ids[order][np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))]
     return late
 
 
@@ -53,31 +61,40 @@ def cut(window: int, gram: int):
     """Super-k-mers of each piece, and at once the intervals that the piece itself shows to be repeated."""
 
     def run(batches):
-        digests = Digests()
         for batch in batches:
             for p in pieces(batch, "doc_id", "text", CUT_BYTES):
-                begin, close, first, h, at, doc = _windows(p, window, digests)
-                late = _late(h, at, p.ids[doc], window)
+                begin, close, first, words, at, doc = _windows(p, window)
+                late = _late(words, at, p.ids[doc], window)
                 yield from told(p.ids, *cover(doc[late], at[late], first, window))
                 at, doc = at[~late], doc[~late]
                 if len(at):
-                    least = sliding_min(runs(h[:, 0], gram, 3), window - gram + 1)[at]
+                    h = fingerprints(words.dictionary)[words.indices.to_numpy()]
+                    least = sliding_min(runs(h, gram, 3), window - gram + 1)[at]
                     yield super_kmers(p, least, at, doc, first, begin, close, window)
 
     return run
 
 
+def _shared(minimisers: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Rows, sorted by minimiser, whose bucket has several documents, or may have as it is the last: in others no window
+    starts in a smaller id."""
+    heads = np.flatnonzero(np.append(True, minimisers[1:] != minimisers[:-1]))
+    several = np.minimum.reduceat(ids, heads) < np.maximum.reduceat(ids, heads)
+    several[-1] = True
+    return np.repeat(several, np.diff(np.append(heads, len(ids))))
+
+
 def _count(window: int):
     def run(batches):
-        digests = Digests()
-
         def settle(t: pa.Table):
             found, alive = [], np.zeros(len(t), bool)
+            rows = np.flatnonzero(_shared(t["minimiser"].to_numpy(), t["doc_id"].to_numpy()))
+            t = t.take(pa.array(rows))
             ids, start = t["doc_id"].to_numpy(), t["first"].to_numpy()
             for p in pieces(pa.record_batch([pa.array(ids), t["packed"].combine_chunks()], names=["doc_id", "text"]), "doc_id", "text", 1 << 62, len(t)):
-                _, _, first, h, at, row = _windows(p, window, digests)
-                late = _late(h, at, ids[row], window)
-                alive[row[~late]] = True
+                _, _, first, words, at, row = _windows(p, window)
+                late = _late(words, at, ids[row], window)
+                alive[rows[row[~late]]] = True
                 r, a, b = cover(row[late], at[late], first, window)
                 found.append(pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(start[r] + a), pa.array(start[r] + b)], names=["doc_id", "first", "last"]))
             return found, alive

@@ -7,10 +7,12 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docspark.llm import decontaminate, exact_dedup, near_dedup, queries, substring_dedup, suffix_dedup
+from docspark.llm.bytewise import fingerprints
 from docspark.llm.components import components
 from tests.comparing import database, same
 
@@ -320,6 +322,49 @@ def test_repeated_words(spark, piece, monkeypatch):
     assert got == brute_words(texts)
 
 
+def covered(texts, window=50):
+    """Words covered by repeated windows, by document, of the operator's own functions in one process."""
+    batch = pa.record_batch([pa.array([i for i, _ in texts], pa.int64()), pa.array([t for _, t in texts])], names=["doc_id", "text"])
+    rows = pa.Table.from_batches(list(substring_dedup.cut(window, 4)([batch]))).sort_by("minimiser")
+    out = defaultdict(set)
+    for found in substring_dedup._count(window)(rows.to_batches(max_chunksize=7)):
+        for i, a, b in zip(*(found[c].to_pylist() for c in ("doc_id", "first", "last")), strict=True):
+            out[i].update(range(a, b))
+    return {i: len(x) for i, x in out.items() if x}
+
+
+def test_buckets_of_one_document_are_not_compared(monkeypatch):
+    """Before, the words of all super-k-mers were told apart, though most buckets hold one document alone."""
+    r, seen, windows = random.Random(3), [], substring_dedup._windows
+    texts = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(300))) for i in range(20)]
+    passage = " ".join(texts[4][1].split()[100:180])
+    texts.append((50, f"before it {passage} and after"))
+    monkeypatch.setattr(substring_dedup, "CUT_BYTES", 3000)
+    monkeypatch.setattr(substring_dedup, "_windows", lambda p, *a: seen.append(len(p)) or windows(p, *a))
+    assert covered(texts) == {50: 80}
+    counted = sum(seen) - len(texts)
+    assert counted < 40
+
+
+@pytest.mark.parametrize("block", [1, 500, 4 << 20])
+def test_repeated_words_in_blocks_of_any_size(monkeypatch, block):
+    r = random.Random(block)
+    monkeypatch.setattr(substring_dedup, "CUT_BYTES", 400)
+    monkeypatch.setattr(substring_dedup, "BLOCK_BYTES", block)
+    for _ in range(25):
+        base = [r.choice("abcd") for _ in range(60)]
+        texts = [(i, r.choice([" ", "\n "]).join(base[r.randrange(20) : r.randrange(40, 60)] + [r.choice("abé") for _ in range(r.randrange(9))])) for i in range(14)]
+        want = {i: n for i, (_, n, _) in brute_words(texts, 8).items() if n}
+        assert covered(texts, 8) == want
+
+
+def test_fingerprints_of_words_follow_their_bytes_alone():
+    words = [f"{k}".encode() * (1 + k % 3) for k in range(30000)] + [b"a", b"aa", b"x" * (3 << 20), b"\0", b"\0\0", b""]
+    got = fingerprints(pa.array(words, pa.large_binary()))
+    assert (got[5:] == fingerprints(pa.array(words[5:], pa.large_binary()))).all()
+    assert (got[::-1] == fingerprints(pa.array(words[::-1], pa.large_binary()))).all() and len(set(got.tolist())) == len(set(words))
+
+
 def test_empty_tables(spark):
     none = table(spark, [(1, "a")]).limit(0)
     for f in (exact_dedup.exact_groups, suffix_dedup.suffix_digest, substring_dedup.substring_digest):
