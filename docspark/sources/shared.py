@@ -35,7 +35,15 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    made.staged_at = path
+    return made
+
+
+def dropped(made: DataFrame) -> None:
+    """Delete the files of a staged table that no later plan reads."""
+    where = made.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(made.staged_at)
+    where.getFileSystem(made.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 ROWS_A_TASK = 1_000_000

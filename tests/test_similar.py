@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
 from docspark.operators import similar
+from docspark.sources import shared
 
 
 def plain_set(text, width):
@@ -69,3 +71,41 @@ def test_texts_are_cut_into_shingles_once(spark):
     read.value = 0
     assert [tuple(r) for r in similar.near_duplicate_chunks(df).collect()] == [("d1", "d2", 8, 9)]
     assert read.value <= 2 * 32
+
+
+def test_shingles_of_many_texts_come_last(spark):
+    """Enough texts share a phrase for its slots to stand out, and some are near copies within it."""
+    rng = random.Random(5)
+    phrase = [f"s{i}" for i in range(24)]
+    rows = [(f"h{i}", " ".join(edited(rng, phrase) + [f"u{i}"] * (i % 2) + [f"w{i}x{k}" for k in range(i % 9)])) for i in range(240)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    assert similar._ranks(similar._keyed(df, 5)).any()
+    pairs, _ = plain_pairs(rows, 5, 80)
+    assert sorted(map(tuple, similar.near_duplicate_chunks(df, block=20).collect())) == pairs and len(pairs) > 400
+
+
+def test_repeated_ids(spark):
+    """A row that comes twice has its pairs twice; of two texts under one id each is a set of its own."""
+    words = [f"w{i}" for i in range(30)]
+    other = [f"o{i}" for i in range(40)]
+    rows = [("a", " ".join(words)), ("a", " ".join(words)), ("a", " ".join(other)), ("b", " ".join(words[:-1])), ("c", " ".join(other[1:])), (None, " ".join(words[1:])), (None, " ".join(words))]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    assert sorted(map(tuple, similar.near_duplicate_chunks(df).collect())) == [("a", "b", 25, 26)] * 2 + [("a", "c", 35, 36)]
+
+
+def test_disk_follows_prefixes_not_shingles(spark, tmp_path, monkeypatch):
+    """Staged tables and shuffle files at each step, against the number of shingles: all of them are staged once, and deleted;
+    only a fifth is sent."""
+    local = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda *tops: {p: p.stat().st_size for top in tops for p in Path(top).rglob("*") if p.is_file()}
+    used = lambda: sum(files(tmp_path).values()) + sum(size for p, size in files(*local).items() if p.suffix == ".data" and p not in before)
+    took, staged = [], similar.staged
+    monkeypatch.setattr(shared, "shared_folder", lambda spark: str(tmp_path))
+    monkeypatch.setattr(similar, "staged", lambda df: (staged(df), took.append(used()))[0])
+    rng = random.Random(1)
+    rows = [(f"c{i}", " ".join(f"{rng.randrange(10**9):x}" for _ in range(104))) for i in range(4000)]
+    rows += [(f"d{i}", rows[i][1] + " more") for i in range(20)]
+    before, shingles = files(*local), 100 * 4020
+    got = similar.near_duplicate_chunks(spark.createDataFrame(rows, "chunk_id string, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((f"c{i}", f"d{i}", 100, 101) for i in range(20))
+    assert max(took) < 20 * shingles and used() < 10 * shingles
