@@ -201,5 +201,6 @@ def near_duplicate_chunks(chunks: DataFrame, width: int = 5, percent: int = 80,
     both = once(pairs.join(a, "u").join(b, "v").withColumn("shared", F.size(F.array_intersect("u_set", "v_set"))), "shared")
     total = F.col("u_n") + F.col("v_n") - F.col("shared")
     found = both.withColumn("total", total).where((F.col("shared") * 100 >= F.col("total") * percent) & (F.col("u_chunk_id") != F.col("v_chunk_id")))
-    copies = F.explode(F.array_repeat(F.lit(0), F.col("u_times") * F.col("v_times")))
-    return found.select(F.least("u_chunk_id", "v_chunk_id").alias("u"), F.greatest("u_chunk_id", "v_chunk_id").alias("v"), "shared", "total", copies.alias("__copy")).drop("__copy")
+    for x in "uv":  # one after the other, as their product may be large
+        found = found.withColumn(f"{x}_copy", F.explode(F.array_repeat(F.lit(0), F.col(f"{x}_times"))))
+    return found.select(F.least("u_chunk_id", "v_chunk_id").alias("u"), F.greatest("u_chunk_id", "v_chunk_id").alias("v"), "shared", "total")
